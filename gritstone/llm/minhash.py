@@ -4,15 +4,17 @@
    shingle set, the minima of `HASHES` hash functions (only their low `BITS` bits are
    kept, packed) and the keys of `BANDS` bands of whole minima.
 2. Equal word sequences form a class; its smallest doc_id stands for it from here on.
-3. Bands that two or more classes share give candidate pairs. Not all pairs of a band:
-   each member is held against a hub, the smallest member that is not settled. What is
-   linked to the hub needs no pair among itself. Members that are still in different
-   components meet again in the next round, with the next hubs, until no band has an
-   open pair. No partner is capped or dropped.
+3. Bands that two or more classes share give candidate pairs, but not all pairs of a band:
+   each member is held against a hub, the member that shares most bands with others (the
+   text that a group's copies were made from shares more than the copies do).
 4. Bit counts of packed signatures estimate each pair's similarity, corrected for chance
    collisions of low bits; pairs far below the threshold end there. The rest is confirmed
-   on full shingle sets, which a second scan makes only for documents in such pairs.
-5. Components of the confirmed links.
+   on full shingle sets, which a second scan makes for documents in shared bands.
+5. Bands whose members are still in different components have open pairs. Small bands list
+   them. Large bands are joined to clusters, whose sets lie in bounded blocks; each block of
+   sets outside a cluster's main component meets each block of the cluster, and what
+   comes out are the links that connect components, not the pairs. No partner is capped or dropped.
+6. Components of the confirmed links.
 
 Two sets of similarity 0.85 share none of the bands with a probability under 1e-6; all else is exact.
 
@@ -28,17 +30,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut, documents, map_text
 
-HASHES, ROWS, BANDS, BITS = 192, 6, 32, 2
+HASHES, ROWS, BANDS, BITS = 192, 6, 32, 4
 WORDS, SHARE = 3, 85
-#: An estimate this many hundredths below the threshold is over six standard deviations away.
-MARGIN = 25
-#: Hubs that an open band gets in the second round; every later round has as many times more.
-HUBS = 8
+#: An estimate this many hundredths below the threshold is over five standard deviations away.
+MARGIN = 15
+#: Bands of up to so many members list their open pairs.
+SMALL = 12
+#: Shingles in a block of sets that ask, and in a block of sets that are asked.
+ASKING, ASKED = 200_000, 500_000
 
 
 class _WordHashes(dict):
@@ -202,35 +207,86 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Confirmed links that connect all nodes that any links of shared bands connect."""
     keys = nodes.select(F.explode("bands").alias("band"), "node", "n_shingles")
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-    #: members of open bands that have not been hubs, with the component each is in
-    members = cut(keys.join(shared, "band").withColumn("root", F.col("node")), "members")
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut(keys.join(shared, "band"), "members")
     sets = _sets(docs, nodes, members)
-    found, hubs_each = None, 1
-    while True:
-        lowest = members.groupBy("band", "root").agg(F.min(F.struct("node", "n_shingles")).alias("hub"))
-        if hubs_each == 1:
-            hubs = lowest.groupBy("band").agg(F.array(F.min("hub")).alias("hubs"))
-        else:
-            hubs = lowest.groupBy("band").agg(F.expr(f"slice(array_sort(collect_list(hub)), 1, {hubs_each})").alias("hubs"))
-        with_hubs = members.join(hubs, "band")
-        new = cut(_confirm(_with_sets(_with_signatures(_pairs(with_hubs), nodes), sets)), "links")
-        found = new if found is None else found.union(new)
-        roots = components(found).withColumnRenamed("id", "node")
-        rest = with_hubs.where(~F.array_contains("hubs.node", F.col("node"))).select("band", "node", "n_shingles")
-        rest = rest.join(roots, "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-        open_ = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        members = cut(rest.join(open_, "band"), "members")
-        hubs_each *= HUBS
-        if members.isEmpty():
-            return found
-
-
-def _pairs(with_hubs: DataFrame) -> DataFrame:
-    """Each member with the hubs of its band that it is not known to be connected with, where the sizes allow a link."""
-    each = with_hubs.select("node", "n_shingles", "root", F.explode("hubs").alias("hub")).where("node <> hub.node")
-    fits = F.least("n_shingles", "hub.n_shingles") * 100 >= F.greatest("n_shingles", "hub.n_shingles") * SHARE
-    return each.where(fits).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    hubs = members.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("hub"))
+    with_hubs = members.join(hubs, "band")
+    first = cut(_confirm(_with_sets(_with_signatures(_hub_pairs(with_hubs), nodes), sets)), "links")
+    # a hub has met every member of its band, so open pairs are among the others
+    rest = with_hubs.where("node <> hub.node").select("band", "node", "n_shingles")
+    rest = rest.join(components(first).withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("left")).where("lo <> hi").select("band", "left")
+    rest = cut(rest.join(open_, "band"), "open")
+    few = _confirm(_with_sets(_with_signatures(_all_pairs(rest.where(F.col("left") <= SMALL)), nodes), sets))
+    return first.union(cut(few, "links")).union(cut(_cluster_links(rest.where(F.col("left") > SMALL), sets), "links"))
+
+
+def _fits(a: str, b: str):
+    """Whether two set sizes allow a link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * SHARE
+
+
+def _hub_pairs(with_hubs: DataFrame) -> DataFrame:
+    each = with_hubs.where((F.col("node") != F.col("hub.node")) & _fits("n_shingles", "hub.n_shingles"))
+    return each.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def _all_pairs(rest: DataFrame) -> DataFrame:
+    """Open pairs of small bands: at most SMALL members each."""
+    held = rest.groupBy("band").agg(F.collect_list(F.struct("node", "root", "n_shingles")).alias("xs"))
+    fits = lambda x, y: F.least(x["n_shingles"], y["n_shingles"]) * 100 >= F.greatest(x["n_shingles"], y["n_shingles"]) * SHARE
+    partners = lambda x: F.filter("xs", lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"]) & fits(x, y))
+    pairs = F.flatten(F.transform("xs", lambda x: F.transform(partners(x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return held.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _cluster_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of large bands, in bounded blocks of sets."""
+    low = rest.groupBy("band").agg(F.min("node").alias("low"))
+    together = components(rest.join(low, "band").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "clusters").toDF("node", "cluster")
+    own = rest.select("node", "root", "n_shingles").distinct().join(together, "node")
+    sizes = own.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("s").alias("all"), (F.sum("s") - F.max(F.struct("n", "s"))["s"]).alias("outside"))
+    rows = own.join(main, "cluster").join(sets, "node")
+    block = lambda total, size: F.pmod(F.xxhash64("node"), F.ceil(F.col(total) / size) + 1).cast("int")
+    one = F.struct("node", "root", "shingles").alias("x")
+    pack = lambda df, prefix: df.groupBy("cluster", "block").agg(F.collect_list("x").alias("xs")).select("cluster", *(F.col(f"xs.{c}").alias(f"{prefix}_{c}") for c in ("node", "root", "shingles")))
+    asking = pack(rows.where("root <> main").select("cluster", block("outside", ASKING).alias("block"), one), "a")
+    asked = pack(rows.select("cluster", block("all", ASKED).alias("block"), one), "b")
+    return asking.join(asked, "cluster").drop("cluster").mapInArrow(_connect, "a long, b long")
+
+
+def _connect(batches):
+    """Of two blocks of sets, links that connect different components: no more than there are sets."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a_node, a_root, a_sets, b_node, b_root, b_sets = (batch.column(c)[i].values for c in ("a_node", "a_root", "a_shingles", "b_node", "b_root", "b_shingles"))
+            ends = np.append(0, np.cumsum(pc.list_value_length(b_sets).to_numpy()))
+            known, ids = np.unique(b_sets.flatten().to_numpy(), return_inverse=True)
+            size_b, b_nodes = np.diff(ends), b_node.to_numpy()
+            parent: dict[int, int] = {}
+
+            def find(x, parent=parent):
+                while (y := parent.get(x, x)) != x:
+                    x = y
+                return x
+
+            out = []
+            for node, root, own in zip(a_node.to_pylist(), a_root.to_pylist(), a_sets, strict=True):
+                x = own.values.to_numpy()
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                mark = np.zeros(len(known), np.int64)
+                mark[at[known[at] == x]] = 1
+                both = np.add.reduceat(mark[ids], ends[:-1])
+                for k in np.flatnonzero((100 * both >= SHARE * (len(x) + size_b - both)) & (b_nodes != node)).tolist():
+                    r, t = find(root), find(b_root[k].as_py())
+                    if r != t:
+                        parent[r] = t
+                        out.append((node, int(b_nodes[k])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
 def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
