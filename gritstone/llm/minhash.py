@@ -5,8 +5,8 @@
    kept, packed) and the keys of `BANDS` bands of whole minima.
 2. Equal word sequences form a class; its smallest doc_id stands for it from here on.
 3. Bands that two or more classes share give candidate pairs, but not all pairs of a band:
-   each member is held against a hub, the member that shares most bands with others (the
-   text that a group's copies were made from shares more than the copies do).
+   first each class is held against one hub of its bands, the member that shares most bands
+   with others (the text that a group's copies were made from shares more than they do).
 4. Bit counts of packed signatures estimate each pair's similarity, corrected for chance
    collisions of low bits; pairs far below the threshold end there. The rest is confirmed
    on full shingle sets, which a second scan makes for documents in shared bands.
@@ -49,7 +49,7 @@ ASKING, ASKED = 200_000, 500_000
 class _WordHashes(dict):
     """64-bit hashes of words, remembered; starts anew when it holds `limit` words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -212,13 +212,10 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = _sets(docs, nodes, members)
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = members.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("hub"))
-    with_hubs = members.join(hubs, "band")
-    first = cut(_confirm(_with_sets(_with_signatures(_hub_pairs(with_hubs), nodes), sets)), "links")
-    # a hub has met every member of its band, so open pairs are among the others
-    rest = with_hubs.where("node <> hub.node").select("band", "node", "n_shingles")
-    rest = rest.join(components(first).withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("left")).where("lo <> hi").select("band", "left")
-    rest = cut(rest.join(open_, "band"), "open")
+    first = cut(_confirm(_with_sets(_with_signatures(_hub_pairs(members.join(hubs, "band")), nodes), sets)), "links")
+    rooted = members.join(components(first).withColumnRenamed("id", "node"), "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("left")).where("lo <> hi").select("band", "left")
+    rest = cut(rooted.join(open_, "band"), "open")
     few = _confirm(_with_sets(_with_signatures(_all_pairs(rest.where(F.col("left") <= SMALL)), nodes), sets))
     return first.union(cut(few, "links")).union(cut(_cluster_links(rest.where(F.col("left") > SMALL), sets), "links"))
 
@@ -229,8 +226,9 @@ def _fits(a: str, b: str):
 
 
 def _hub_pairs(with_hubs: DataFrame) -> DataFrame:
-    each = with_hubs.where((F.col("node") != F.col("hub.node")) & _fits("n_shingles", "hub.n_shingles"))
-    return each.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    """Each node with the weightiest hub of its bands whose size allows a link."""
+    each = with_hubs.where((F.col("node") != F.col("hub.node")) & _fits("n_shingles", "hub.n_shingles")).groupBy("node").agg(F.max("hub")["node"].alias("hub"))
+    return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _all_pairs(rest: DataFrame) -> DataFrame:
