@@ -1,5 +1,8 @@
 """All registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from .queries import aggregates, joins, named, scans, sets, windows, analytics, sessions  # noqa: F401  they register
+from .registry import ORACLE, QUERIES
+
+FLAGSHIP = "weekly_segments"
