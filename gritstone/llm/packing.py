@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -35,6 +37,12 @@ MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_c
 BINS = f"sequence_id long, used long, members {MEMBERS}"
 
 
+#: A private-use character that parts words which are encoded together.
+_PART = "\ue000"
+#: A full stop or comma right after a letter or digit, at a word's end.
+_STOP = re.compile(r"([.,])(?<=[^\W_][.,]) ")
+
+
 @lru_cache(2)
 def word_ids(tokenizer_file: str) -> WordStore:
     """Ids by space-separated word; the tokenizer never joins what a space or line end parts."""
@@ -42,15 +50,39 @@ def word_ids(tokenizer_file: str) -> WordStore:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
+    ids_of = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    between = np.array(ids_of([_PART])[0])
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, int(counts.sum())), counts
+        """Many words at once, with a mark between them whose ids give the words' ends away."""
+        if any(_PART in w for w in words):
+            found = ids_of(words)
+            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found])
+        ids = np.array([i for x in ids_of([f" {_PART} ".join([*words[i : i + 400], ""]) for i in range(0, len(words), 400)]) for i in x], np.int32)
+        n = len(between)
+        marks = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == between[k] for k in range(n)]))
+        counts = np.diff(np.append(-n, marks)) - n
+        return np.delete(ids, (marks[:, None] + np.arange(n)).ravel()), counts
 
     return WordStore(encode)
 
 
+def split_words(text: str) -> list[str]:
+    """Words whose ids, one after another, are the text's; as few different ones as can be.
+
+    The tokenizer ignores case and cuts signs from letters. So text is lowered where that gives
+    the same letters as the tokenizer's own lowering, and a full stop or comma after a letter is parted from it.
+    """
+    text = text.replace("\n", " ")
+    if text.isascii():
+        text = text.lower() if "<|" not in text else text  # special tokens are written in lower case
+    elif "\u0130" in text or "\u03a3" in text:
+        return text.split(" ")  # lowered, these depend on what follows or leave a mark behind
+    elif "<|" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower := text.lower()):
+        text = lower
+    return _STOP.sub(r" \1 ", text).split(" ")
+
+
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, limit: int = 4096, ids: bool = False) -> DataFrame:
     """Pieces of at most `limit` ids: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
 
@@ -59,7 +91,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, limit: int =
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            flat, counts = store.expand([t.replace("\n", " ").split(" ") if t else [] for t in texts])
+            flat, counts = store.expand([split_words(t) if t else [] for t in texts])
             ends = np.cumsum(counts)
             flat = np.insert(flat, ends, end_id).astype("<u4")  # each document's end id follows its own ids
             sizes = counts + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -44,16 +45,16 @@ class WordStore:
 
     def expand(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the word lists, flat, and the number of ids of each list."""
-        distinct: set[str] = set()
-        for words in texts:
-            distinct.update(words)
         if len(self.slots) > self.limit:
             self._clear()
-        self.add([w for w in distinct if w not in self.slots])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        total = int(sizes.sum())
-        get = self.slots.__getitem__
-        slots = np.fromiter((s for words in texts for s in map(get, words)), np.int64, total)
+        words = list(chain.from_iterable(texts))
+        found = list(map(self.slots.get, words))
+        if None in found:
+            self.add(list({w for w, s in zip(words, found, strict=True) if s is None}))
+            found = list(map(self.slots.__getitem__, words))
+        slots = np.array(found, np.int64)
+        total = len(words)
         counts = self.counts[slots]
         ends = np.cumsum(counts)
         flat = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(int(ends[-1]) if total else 0)]
