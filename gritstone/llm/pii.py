@@ -240,7 +240,7 @@ def _examples(rng: random.Random) -> list[tuple[str, int, int, int]]:
         made += [("".join(rng.choice("0123456789abcdef") for _ in range(40)), 5)] * 2
         wrong = card()
         made += [(wrong[:-1] + str((int(wrong[-1]) + rng.randint(1, 9)) % 10), 0), (d(14), 0)] if rng.random() < 0.9 else []
-        made += [(d(rng.randint(1, 6)), 0), (f"{d(2)}.{d(2)}", 0), (f"{d(4)}-{d(2)}-{d(2)}", 0), (f"{d(2)}:{d(2)}", 0), (f"v{d(1)}.{d(1)}.{d(2)}", 0), (f"{word()}{d(2)}", 0), (f"{d(1)},{d(3)},{d(3)}", 0), (d(9), 0), (d(12), 0), (f"{d(2)} {d(2)} {d(3)}", 0), (" ".join(d(1) for _ in range(rng.randint(3, 14))), 0)]
+        made += [(d(rng.randint(1, 6)), 0), (f"{d(2)}.{d(2)}", 0), (f"{d(4)}-{d(2)}-{d(2)}", 0), (f"{d(2)}:{d(2)}", 0), (f"v{d(1)}.{d(1)}.{d(2)}", 0), (f"{word()}{d(2)}", 0), (f"{d(1)},{d(3)},{d(3)}", 0), (d(9), 0), (d(12), 0), (f"{d(2)} {d(2)} {d(3)}", 0), *((" ".join(d(n) for _ in range(rng.randint(3, 14))), 0) for n in (1, 2, 3))]
     cues = {kind: words for kind, words in _CUES}
     out = []
     for s, y in made:

@@ -33,12 +33,11 @@ SAMPLE, LEXICON = 20_000, 2_000
 THRESHOLD = 0.3
 #: Signs and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-NOISE = "._-*~'`^,:;#%&/\\=\""
 LETTERS = "\0" + string.ascii_lowercase  # 0: word boundary
 _INDEX = {c: i for i, c in enumerate(LETTERS)}
 N = len(LETTERS)
-#: Natural logs of the channel: a letter for itself, a sign for a letter, noise left out, a repetition left out.
-KEEP, SWAP, SKIP, REPEAT = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.3)
+#: Natural logs of the channel: a letter for itself, a sign for a letter, noise left out, a look-alike left out, a repetition left out.
+KEEP, SWAP, SKIP, LOSE, REPEAT = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.0005), math.log(0.3)
 LONGEST = 40  # longer tokens are no disguised words; they stay as they are
 _EDGE = string.punctuation + "«»“”„‘’…¡¿"
 _RUN = re.compile(r"([^\W\d_])\1\1")
@@ -84,7 +83,7 @@ class Channel:
         for sign in token:
             arcs = [(c, KEEP if c == sign else SWAP) for c in (sign if sign in _INDEX else LOOKALIKES.get(sign, ""))]
             again = sign == previous
-            lost = REPEAT if again else SKIP if sign in NOISE or sign in LOOKALIKES or sign not in _INDEX else None
+            lost = REPEAT if again else LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, word) in paths.items():
                 row = self.log[a][b]
@@ -248,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     lexicon = _lexicon(sample)
     counts = letter_triples(docs)
     if lexicon:
-        share = max(1, int(counts.sum()) // (500 * len(lexicon)))  # disguise is likelier for these words than for others
+        share = max(1, int(counts.sum()) // (20 * len(lexicon)))  # disguise is likelier for these words than for others
         counts = counts + trigram_counts({p: share for w, _ in lexicon if (p := plain_letters(w))})
     model = Model(lexicon, counts)
 

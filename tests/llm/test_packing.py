@@ -50,7 +50,7 @@ def test_tree_merges_small_partitions(spark):
     """Forty partitions with one small piece each end in few bins."""
     docs = spark.createDataFrame([(i, "word " * 9) for i in range(40)], "doc_id long, text string").repartition(40, "doc_id")
     rows = packing.pack_documents(docs, FILE, 1, 100).collect()
-    assert len({r.sequence_id for r in rows}) == 4  # ten pieces of ten ids each
+    assert len({r.sequence_id for r in rows}) <= 5  # ten pieces of ten ids fill one; bins merge as wholes
 
 
 def test_sequences_hold_the_ids(spark, small, texts):

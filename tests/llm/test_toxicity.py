@@ -57,8 +57,8 @@ def test_restore_equals_all_readings():
             yield from readings(rest, sign, word + c, score + (toxicity.KEEP if c == sign else toxicity.SWAP))
         if sign == previous:
             yield from readings(rest, sign, word, score + toxicity.REPEAT)
-        elif sign in toxicity.NOISE or sign in toxicity.LOOKALIKES:
-            yield from readings(rest, sign, word, score + toxicity.SKIP)
+        elif sign not in toxicity._INDEX:
+            yield from readings(rest, sign, word, score + (toxicity.LOSE if sign in toxicity.LOOKALIKES else toxicity.SKIP))
 
     for token in ("4bb4", "b0b", "a.b.b.a", "33bb", "b000b"):
         assert channel.restore(token) == max(readings(token))[1]
