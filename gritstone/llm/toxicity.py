@@ -36,8 +36,9 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 LETTERS = "\0" + string.ascii_lowercase  # 0: word boundary
 _INDEX = {c: i for i, c in enumerate(LETTERS)}
 N = len(LETTERS)
-#: Natural logs of the channel: a letter for itself, a sign for a letter, noise left out, a look-alike left out, a repetition left out.
-KEEP, SWAP, SKIP, LOSE, REPEAT = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.0005), math.log(0.3)
+#: Natural logs of the channel: a letter for itself, a sign for a letter, noise left out, a look-alike left out,
+#: a repetition left out where a sign stands three times or more, and where it stands twice.
+KEEP, SWAP, SKIP, LOSE, REPEAT, TWICE = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.0005), math.log(0.3), math.log(0.005)
 LONGEST = 40  # longer tokens are no disguised words; they stay as they are
 _EDGE = string.punctuation + "«»“”„‘’…¡¿"
 _RUN = re.compile(r"([^\W\d_])\1\1")
@@ -80,10 +81,10 @@ class Channel:
         """The most likely word behind a token, in lower-case letters."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         previous = ""
-        for sign in token:
+        for at, sign in enumerate(token):
             arcs = [(c, KEEP if c == sign else SWAP) for c in (sign if sign in _INDEX else LOOKALIKES.get(sign, ""))]
             again = sign == previous
-            lost = REPEAT if again else LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
+            lost = (REPEAT if sign * 3 in token[max(0, at - 2) : at + 3] else TWICE) if again else LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, word) in paths.items():
                 row = self.log[a][b]

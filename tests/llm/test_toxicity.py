@@ -43,8 +43,8 @@ def test_restore_equals_all_readings():
     counts = toxicity.trigram_counts({"abba": 5, "bob": 3, "ebb": 2})
     channel = toxicity.Channel(counts)
 
-    def readings(token, previous="", word="", score=0.0):
-        if not token:
+    def readings(whole, at=0, word="", score=0.0):
+        if at == len(whole):
             a = b = 0
             for c in word + "\0":
                 i = toxicity._INDEX[c]
@@ -52,13 +52,13 @@ def test_restore_equals_all_readings():
                 a, b = b, i
             yield score, word
             return
-        sign, rest = token[0], token[1:]
+        sign, previous = whole[at], whole[at - 1] if at else ""
         for c in sign if sign in toxicity._INDEX else toxicity.LOOKALIKES.get(sign, ""):
-            yield from readings(rest, sign, word + c, score + (toxicity.KEEP if c == sign else toxicity.SWAP))
+            yield from readings(whole, at + 1, word + c, score + (toxicity.KEEP if c == sign else toxicity.SWAP))
         if sign == previous:
-            yield from readings(rest, sign, word, score + toxicity.REPEAT)
+            yield from readings(whole, at + 1, word, score + (toxicity.REPEAT if sign * 3 in whole[max(0, at - 2) : at + 3] else toxicity.TWICE))
         elif sign not in toxicity._INDEX:
-            yield from readings(rest, sign, word, score + (toxicity.LOSE if sign in toxicity.LOOKALIKES else toxicity.SKIP))
+            yield from readings(whole, at + 1, word, score + (toxicity.LOSE if sign in toxicity.LOOKALIKES else toxicity.SKIP))
 
     for token in ("4bb4", "b0b", "a.b.b.a", "33bb", "b000b"):
         assert channel.restore(token) == max(readings(token))[1]
