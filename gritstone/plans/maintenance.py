@@ -78,7 +78,7 @@ def hourly_features(hours: DataFrame, machines: DataFrame, log: DataFrame) -> Da
     f = asof.asof_join(f, services, "machine_id", "ts", "service_ts", ["service_ts", "service_eh"])
     own = machines.select("machine_id", "machine_type", "service_interval_hours", "year")
     f = f.join(own, "machine_id", "left")
-    since = F.greatest(F.col("engine_h") - F.col("service_eh"), F.lit(0.0))
+    since = F.when(F.col("service_eh").isNotNull(), F.greatest(F.col("engine_h") - F.col("service_eh"), F.lit(0.0)))
     load = F.sum("high_load_min").over(Window.partitionBy("machine_id", "service_ts").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / 60
     built = F.make_date(F.col("year"), F.lit(1), F.lit(1))
     out = f.withColumns({"hours_since_service": since, "service_ratio": since / F.col("service_interval_hours"), "high_load_hours_since_service": load, "age_years": F.datediff(F.to_date("ts"), built) / 365.25})

@@ -102,7 +102,7 @@ def recommend_slots(spark, sf_dir):
     return c.withColumn("place", place).where(F.col("n") >= least).withColumn("r", F.row_number().over(w)).where("r <= 2").select("user_id", "event_type", "n")
 
 
-@query("""with v as (select user_id, max(case event_type when 'error' then 0.7 when 'click' then 0.3 else 0 end) as a, 0.6 * avg((event_type = 'purchase')::int) as b from events group by 1)
+@query("""with v as (select user_id, max(case event_type when 'error' then 0.7::double when 'click' then 0.3::double else 0::double end) as a, 0.6 * avg((event_type = 'purchase')::int) as b from events group by 1)
 select user_id, 1 - a as electrical, 1 - b as engine, least(1 - a, 1 - b) as overall, case when least(1 - a, 1 - b) >= 0.75 then 'green' when least(1 - a, 1 - b) >= 0.5 then 'orange' else 'red' end as band from v""")
 def health_scores(spark, sf_dir):
     """Scores of two subsystems from the worst event and a share, and the lowest of them."""
