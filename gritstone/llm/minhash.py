@@ -1,8 +1,8 @@
 """Operator 9: near-duplicates with b-bit MinHash.
 
 1. One scan computes, for each document, a digest of its word sequence, the size of its
-   shingle set, the minima of `HASHES` hash functions (only their low `BITS` bits are
-   kept, packed) and the keys of `BANDS` bands of whole minima.
+   shingle set, the minima of several hash functions (only their low `BITS` bits are
+   kept, packed) and the keys of bands of whole minima.
 2. Equal word sequences form a class; its smallest doc_id stands for it from here on.
 3. Bands that two or more classes share give candidate pairs, but not all pairs of a band:
    first each class is held against one hub of its bands, the member that shares most bands
@@ -16,7 +16,7 @@
    comes out are the links that connect components, not the pairs. No partner is capped or dropped.
 6. Components of the confirmed links.
 
-Two sets of similarity 0.85 share none of the bands with a probability under 1e-6; all else is exact.
+Two sets at the threshold share none of the bands with a probability under 1e-6; all else is exact.
 
 Edge cases: fewer words than a shingle make one shingle of them all; null, empty and blank
 texts have an empty set and link with nothing; repeated doc_ids keep a row each and share
@@ -26,20 +26,40 @@ a component; rows without doc_id are kept, with no component, and link with noth
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import math
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut, documents, map_text
 
-HASHES, ROWS, BANDS, BITS = 192, 6, 32, 4
-WORDS, SHARE = 3, 85
+ROWS, BITS = 6, 4
 #: An estimate this many hundredths below the threshold is over five standard deviations away.
 MARGIN = 15
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """What near means: shingles of so many words, and a similarity of so many hundredths or more."""
+
+    words: int = 5
+    share: int = 80
+
+    @property
+    def bands(self) -> int:
+        """So many that two sets at the threshold share none with a probability under one in a million; fours fill bytes."""
+        return 4 * math.ceil(math.log(1e-6) / math.log(1 - (self.share / 100) ** ROWS) / 4)
+
+    @property
+    def hashes(self) -> int:
+        return ROWS * self.bands
+
+
 #: Bands of up to so many members list their open pairs.
 SMALL = 12
 #: Shingles in a block of sets that ask, and in a block of sets that are asked.
@@ -65,14 +85,14 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
-@lru_cache(1)
-def _families() -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of the hash functions."""
+@lru_cache(4)
+def _families(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and offsets of n hash functions."""
     rng = np.random.default_rng(20240229)
-    return rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def shingles(text: str | None, n: int = WORDS) -> tuple[np.ndarray, bytes]:
+def shingles(text: str | None, n: int) -> tuple[np.ndarray, bytes]:
     """Distinct shingle hashes of a text and a digest of its word sequence."""
     words = text.encode("utf-8", "replace").lower().split() if text else []  # bytes.lower: A-Z only
     if not words:
@@ -86,22 +106,22 @@ def shingles(text: str | None, n: int = WORDS) -> tuple[np.ndarray, bytes]:
     return np.unique(mixed ^ (mixed >> np.uint64(32))), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The smallest value of each hash function over a set, 32 bits each."""
-    multiply, add = _families()
-    out = np.empty(HASHES, np.uint64)
-    for start in range(0, HASHES, 16):  # a block of functions at a time stays in the CPU's cache
+def minima(found: np.ndarray, n: int) -> np.ndarray:
+    """The smallest value of each of n hash functions over a set, 32 bits each."""
+    multiply, add = _families(n)
+    out = np.empty(n, np.uint64)
+    for start in range(0, n, 16):  # a block of functions at a time stays in the CPU's cache
         part = slice(start, start + 16)
         out[part] = (found[None, :] * multiply[part, None] + add[part, None]).min(axis=1)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(found: np.ndarray) -> tuple[bytes, list[int]]:
+def sketch(found: np.ndarray, like: Likeness) -> tuple[bytes, list[int]]:
     """Packed low bits of the minima, and a key for each band."""
-    low = minima(found)
+    low = minima(found, like.hashes)
     bits = ((low[:, None] >> np.arange(BITS, dtype=np.uint32)) & 1).astype(np.uint8)
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    rows = low.reshape(like.bands, ROWS).astype(np.uint64)
+    key = np.arange(like.bands, dtype=np.uint64) + np.uint64(1)
     for k in range(ROWS):
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]
     return np.packbits(bits.T.ravel()).tobytes(), (key ^ (key >> np.uint64(32))).astype(np.int64).tolist()
@@ -110,20 +130,20 @@ def sketch(found: np.ndarray) -> tuple[bytes, list[int]]:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities of packed signatures (one a row): agreeing functions by bit counts, less chance collisions."""
     differ = np.bitwise_or.reduce((a ^ b).reshape(len(a), BITS, -1), axis=1)
-    same = 1 - np.bitwise_count(differ).sum(axis=1) / HASHES
+    same = 1 - np.bitwise_count(differ).sum(axis=1) / (8 * differ.shape[1])
     chance = 2.0**-BITS
     return (same - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, digest of the word sequence, n_shingles, signature, bands; empty sets have neither digest nor bands."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"digest": [], "n_shingles": [], "signature": [], "bands": []}
             for text in batch.column("text").to_pylist():
-                found, digest = shingles(text)
-                signature, bands = sketch(found) if len(found) else (None, None)
+                found, digest = shingles(text, like.words)
+                signature, bands = sketch(found, like) if len(found) else (None, None)
                 for name, x in zip(out, (digest or None, len(found), signature, bands), strict=True):
                     out[name].append(x)
             return {"doc_id": batch.column("doc_id"), **out}
@@ -133,7 +153,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_text(documents(docs), make, "doc_id long, digest binary, n_shingles long, signature binary, bands array<long>")
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, share: int) -> DataFrame:
     """Pairs whose sizes and estimated similarity allow a link."""
 
     def run(batches):
@@ -141,13 +161,13 @@ def _likely(pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = estimate(a, b) * 100 >= SHARE - MARGIN
+            keep = estimate(a, b) * 100 >= share - MARGIN
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _confirm(rows: DataFrame) -> DataFrame:
+def _confirm(rows: DataFrame, share: int) -> DataFrame:
     """a, b, set_a, set_b to a, b and whether they link."""
 
     def run(batches):
@@ -156,18 +176,18 @@ def _confirm(rows: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 x, y = (np.asarray(batch.column(c)[i].values) for c in ("set_a", "set_b"))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= SHARE * (len(x) + len(y) - both))
+                linked.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, digest and the hashes of the whole shingle set."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            sets, digests = zip(*map(shingles, batch.column("text").to_pylist()), strict=True)
+            sets, digests = zip(*(shingles(t, words) for t in batch.column("text").to_pylist()), strict=True)
             ends = np.cumsum([0, *map(len, sets)])
             return {"doc_id": batch.column("doc_id"), "digest": digests, "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))}
 
@@ -195,52 +215,53 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
-    signed = cut(signatures(docs), "signatures")
+    signed = cut(signatures(docs, like), "signatures")
     named = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     first = [F.first(c).alias(c) for c in ("n_shingles", "signature", "bands")]  # alike in all rows of a digest
     nodes = cut(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), *first).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    return _result(signed, nodes, components(_links(docs, nodes), "final"))
+    return _result(signed, nodes, components(_links(docs, nodes, like), "final"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
     """Confirmed links that connect all nodes that any links of shared bands connect."""
     keys = nodes.select(F.explode("bands").alias("band"), "node", "n_shingles")
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = cut(keys.join(shared, "band"), "members")
-    sets = _sets(docs, nodes, members)
+    sets = _sets(docs, nodes, members, like.words)
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = members.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("hub"))
-    first = cut(_confirm(_with_sets(_with_signatures(_hub_pairs(members.join(hubs, "band")), nodes), sets)), "links")
+    share = like.share
+    linked = lambda pairs: cut(_confirm(_with_sets(_with_signatures(pairs, nodes, share), sets), share), "links")
+    first = linked(_hub_pairs(members.join(hubs, "band"), share))
     rooted = members.join(components(first).withColumnRenamed("id", "node"), "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("left")).where("lo <> hi").select("band", "left")
     rest = cut(rooted.join(open_, "band"), "open")
-    few = _confirm(_with_sets(_with_signatures(_all_pairs(rest.where(F.col("left") <= SMALL)), nodes), sets))
-    return first.union(cut(few, "links")).union(cut(_cluster_links(rest.where(F.col("left") > SMALL), sets), "links"))
+    few = linked(_all_pairs(rest.where(F.col("left") <= SMALL), share))
+    return first.union(few).union(cut(_cluster_links(rest.where(F.col("left") > SMALL), sets, share), "links"))
 
 
-def _fits(a: str, b: str):
+def _fits(a: Column | str, b: Column | str, share: int) -> Column:
     """Whether two set sizes allow a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * SHARE
+    return F.least(a, b) * 100 >= F.greatest(a, b) * share
 
 
-def _hub_pairs(with_hubs: DataFrame) -> DataFrame:
+def _hub_pairs(with_hubs: DataFrame, share: int) -> DataFrame:
     """Each node with the weightiest hub of its bands whose size allows a link."""
-    each = with_hubs.where((F.col("node") != F.col("hub.node")) & _fits("n_shingles", "hub.n_shingles")).groupBy("node").agg(F.max("hub")["node"].alias("hub"))
+    each = with_hubs.where((F.col("node") != F.col("hub.node")) & _fits("n_shingles", "hub.n_shingles", share)).groupBy("node").agg(F.max("hub")["node"].alias("hub"))
     return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _all_pairs(rest: DataFrame) -> DataFrame:
+def _all_pairs(rest: DataFrame, share: int) -> DataFrame:
     """Open pairs of small bands: at most SMALL members each."""
     held = rest.groupBy("band").agg(F.collect_list(F.struct("node", "root", "n_shingles")).alias("xs"))
-    fits = lambda x, y: F.least(x["n_shingles"], y["n_shingles"]) * 100 >= F.greatest(x["n_shingles"], y["n_shingles"]) * SHARE
-    partners = lambda x: F.filter("xs", lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"]) & fits(x, y))
+    partners = lambda x: F.filter("xs", lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"]) & _fits(x["n_shingles"], y["n_shingles"], share))
     pairs = F.flatten(F.transform("xs", lambda x: F.transform(partners(x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     return held.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _cluster_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _cluster_links(rest: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links between components of large bands, in bounded blocks of sets."""
     low = rest.groupBy("band").agg(F.min("node").alias("low"))
     together = components(rest.join(low, "band").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "clusters").toDF("node", "cluster")
@@ -253,10 +274,10 @@ def _cluster_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     pack = lambda df, prefix: df.groupBy("cluster", "block").agg(F.collect_list("x").alias("xs")).select("cluster", *(F.col(f"xs.{c}").alias(f"{prefix}_{c}") for c in ("node", "root", "shingles")))
     asking = pack(rows.where("root <> main").select("cluster", block("outside", ASKING).alias("block"), one), "a")
     asked = pack(rows.select("cluster", block("all", ASKED).alias("block"), one), "b")
-    return asking.join(asked, "cluster").drop("cluster").mapInArrow(_connect, "a long, b long")
+    return asking.join(asked, "cluster").drop("cluster").mapInArrow(partial(_connect, share=share), "a long, b long")
 
 
-def _connect(batches):
+def _connect(batches, share: int):
     """Of two blocks of sets, links that connect different components: no more than there are sets."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -278,7 +299,7 @@ def _connect(batches):
                 mark = np.zeros(len(known), np.int64)
                 mark[at[known[at] == x]] = 1
                 both = np.add.reduceat(mark[ids], ends[:-1])
-                for k in np.flatnonzero((100 * both >= SHARE * (len(x) + size_b - both)) & (b_nodes != node)).tolist():
+                for k in np.flatnonzero((100 * both >= share * (len(x) + size_b - both)) & (b_nodes != node)).tolist():
                     r, t = find(root), find(b_root[k].as_py())
                     if r != t:
                         parent[r] = t
@@ -287,22 +308,22 @@ def _connect(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _with_signatures(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """Pairs whose signatures make a link likely."""
     of = nodes.select("node", "signature")
     x = pairs.join(of.toDF("a", "sig_a"), "a").join(of.toDF("b", "sig_b"), "b")
-    return _likely(x.select("a", "b", "sig_a", "sig_b"))
+    return _likely(x.select("a", "b", "sig_a", "sig_b"), share)
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """Shingle sets of the nodes in shared bands, from a second scan of the texts."""
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest")
     texts = documents(docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = shingle_sets(texts).withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "digest"])
+    found = shingle_sets(texts, words).withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "digest"])
     return cut(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 

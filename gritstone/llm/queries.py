@@ -62,7 +62,7 @@ def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.duplicates(_docs(spark, sf_dir))
+    return minhash.duplicates(_docs(spark, sf_dir), minhash.Likeness(words=3, share=85))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,14 +18,14 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), failed
 
 
-def shingle_set(text):
+def shingle_set(text, n=3):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or ({tuple(words)} if words else set())
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, words=3, share=85):
     """(doc_id, n_shingles, component_id) by comparing all pairs that share a shingle."""
-    sets = {i: shingle_set(t) for i, t in rows}
+    sets = {i: shingle_set(t, words) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(i):
@@ -44,7 +44,7 @@ def near_duplicates(rows):
                 k = (ids[y], ids[x])
                 pairs[k] = pairs.get(k, 0) + 1
     for (a, b), n in pairs.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= share * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}

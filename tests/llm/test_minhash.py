@@ -7,12 +7,22 @@ import pytest
 from gritstone.llm import minhash as m
 
 
-def found(df):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in m.duplicates(df).collect()}
+LIKE = m.Likeness(words=3, share=85)
+
+
+def found(df, like=LIKE):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in m.duplicates(df, like).collect()}
 
 
 def test_documents(spark, small, texts):
-    assert found(spark.read.parquet(f"{small}/documents.parquet")) == brute.near_duplicates(texts.items())
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert found(docs) == brute.near_duplicates(texts.items())
+    assert found(docs, m.Likeness()) == brute.near_duplicates(texts.items(), 5, 80)
+
+
+def test_bands_suffice():
+    for like in (LIKE, m.Likeness(), m.Likeness(5, 95)):
+        assert (1 - (like.share / 100) ** m.ROWS) ** like.bands <= 1e-6 and like.hashes % 8 == 0
 
 
 @pytest.mark.parametrize("small_band", [2, 12])
@@ -41,12 +51,12 @@ def test_estimate_is_close():
         union = rng.integers(1, 1 << 62, 2000, dtype=np.uint64)
         n = int(share * 2000)
         a, b = np.append(union[:n], union[n : n + (2000 - n) // 2]), np.append(union[:n], union[n + (2000 - n) // 2 :])
-        sigs = [np.frombuffer(m.sketch(np.unique(x))[0], np.uint8)[None] for x in (a, b)]
+        sigs = [np.frombuffer(m.sketch(np.unique(x), LIKE)[0], np.uint8)[None] for x in (a, b)]
         assert abs(m.estimate(*sigs)[0] - share) < 0.15
 
 
 def test_odd_rows(odd_docs, no_docs):
-    rows = m.duplicates(odd_docs).collect()
+    rows = m.duplicates(odd_docs, LIKE).collect()
     assert len(rows) == odd_docs.count()
     by = {}
     for r in rows:

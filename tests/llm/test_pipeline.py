@@ -16,7 +16,7 @@ def test_stages_keep_columns_and_take_effect(spark, small, texts):
     good = {i for i in ids - toxic if not brute.quality(texts[i])[5] and compression_quality.compression(texts[i])[3] in ("ok", "short")}
     out = p.drop_poor(spark, out, small).cache()
     assert out.columns == columns and {r.doc_id for r in out.collect()} == good
-    components = brute.near_duplicates([(i, texts[i]) for i in good])
+    components = brute.near_duplicates([(i, texts[i]) for i in good], 5, 80)
     out = p.drop_copies(spark, out, small).cache()
     assert out.columns == columns and sorted(r.doc_id for r in out.collect()) == sorted({c for _, c in components.values()})
     masked = p.mask_private(spark, out, small).cache()
