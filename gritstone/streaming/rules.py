@@ -40,6 +40,10 @@ RULES: dict[str, dict] = {
     "EXCESS_IDLE": {"kind": "idle", "levels": {"info": (600.0, 0.0), "warning": (1200.0, 0.0)}, "response": "none"},
     "OVERSPEED": {"kind": "speed", "levels": {"warning": (0.0, 0.0)}, "response": "none"},
 }
+#: Fault codes and their severities; unknown codes are warnings. What a model's verdict opens.
+CODES = {"E-110": "warning", "E-215": "warning", "E-360": "warning", "E-365": "warning", "E-410": "warning", "E-520": "info"}
+VERDICTS = {"UNUSUAL_BEHAVIOUR": ("machine_fault", "warning"), "SENSOR_GLITCH": ("sensor_glitch", "info")}
+ACK = "acknowledged"
 SPEED_LIMIT = {"excavator": 5.5, "wheel_loader": 20.0, "dozer": 10.0, "articulated_truck": 40.0}
 MOVING_KMH, IDLE_RPM = 0.5, 1200.0
 
@@ -114,6 +118,42 @@ def readings(telemetry: DataFrame) -> DataFrame:
     return rows.select("machine_id", "ts", "us", "x.rule", "x.r.levels", "x.r.clear", "x.r.value", F.when(F.col("x.rule") == "HYD_PRESSURE_DROP", F.col("base")).alias("base"))
 
 
+def code_readings(telemetry: DataFrame, codes: list[str] | None = None) -> DataFrame:
+    """A row for each fault code and telemetry row: present or not. Without a list, the codes a machine ever shows."""
+    df = telemetry.withColumn("us", W.micros("ts"))
+    each = F.array(*map(F.lit, codes)) if codes else F.collect_set("fault_code").over(W.Window.partitionBy("machine_id"))
+    rows = df.withColumn("_codes", each).select("machine_id", "ts", "us", "fault_code", F.explode("_codes").alias("code"))
+    severity = F.coalesce(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))[F.col("code")], F.lit("warning"))
+    here = _false(F.col("fault_code") == F.col("code"))
+    return _plain(rows, F.concat(F.lit("FAULT_CODE:"), F.col("code")), F.when(here, F.array(severity)), ~here, F.lit(None))
+
+
+def verdict_readings(verdicts: DataFrame) -> DataFrame:
+    """A row for each kind of alert and minute of a model's output (machine_id, ts, kind, score)."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(k).alias("on"), F.lit(s).alias("severity")) for n, (k, s) in VERDICTS.items())))
+    rows = verdicts.withColumns({"us": W.micros("ts"), "v": kinds})
+    here = _false(F.col("kind") == F.col("v.on"))
+    return _plain(rows, F.col("v.rule"), F.when(here, F.array(F.col("v.severity"))), ~here, F.col("score"))
+
+
+def acknowledgements(acks: DataFrame) -> DataFrame:
+    """Acknowledged alerts (machine_id, ts, rule) as rows of the same stream."""
+    return _plain(acks.withColumn("us", W.micros("ts")), F.col("rule"), F.array(F.lit(ACK)), F.lit(False), F.lit(None))
+
+
+def _plain(df: DataFrame, rule: Column, levels: Column, clear: Column, value: Column) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return df.select("machine_id", "ts", "us", rule.alias("rule"), F.coalesce(levels, none).alias("levels"), clear.alias("clear"), value.cast("double").alias("value"), F.lit(None).cast("double").alias("base"))
+
+
+def _rule(name: str) -> dict:
+    """A rule by name; fault codes and verdicts hold at once and have no stages."""
+    if name in RULES:
+        return RULES[name]
+    severities = [VERDICTS[name][1]] if name in VERDICTS else ["info", "warning", "critical"]
+    return {"levels": {s: (0.0, 0.0) for s in severities}, "response": "none" if name in VERDICTS else "graded"}
+
+
 @dataclass
 class Alert:
     """State of one rule on one machine. Times are microseconds."""
@@ -132,7 +172,10 @@ class Alert:
 
     def feed(self, name: str, us: int, levels: list[str], clear: bool, value: float | None, base: float | None = None) -> list[tuple[str, str, str]]:
         """Takes one row; what changed, as (reason, severity, stage)."""
-        rule = RULES[name]
+        if ACK in levels:
+            self.acked = self.severity is not None
+            return []
+        rule = _rule(name)
         step = (us - self.last) / 1e6 if self.last is not None else 0.0
         step, self.last = step if 0 < step <= GAP_S else 0.0, us
         if rule.get("kind") == "drop":

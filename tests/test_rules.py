@@ -64,6 +64,19 @@ def test_pressure_drop_latches(spark):
     assert [s for s, _ in stages] == ["warn", "derate", "recommend_shutdown", "escalated", "resolved"]
 
 
+def test_codes_verdicts_and_acknowledgement(spark):
+    """Codes open and resolve one by one; verdicts do as well; an acknowledged alert waits for its full time."""
+    rows = [("M01", T0 + timedelta(minutes=i), "E-110" if 2 <= i < 5 else "X-9" if 4 < i < 8 else None, "machine_fault" if i in (3, 4) else "normal", 0.9) for i in range(15)]
+    df = spark.createDataFrame(rows, "machine_id string, ts timestamp, fault_code string, kind string, score double")
+    found = rules.code_readings(df).unionByName(rules.verdict_readings(df))
+    got = {(r.rule, r.reason): (r.severity, (r.ts - T0).total_seconds() / 60) for r in rules.alerts(found).collect()}
+    assert got == {("FAULT_CODE:E-110", "open"): ("warning", 2), ("FAULT_CODE:E-110", "resolve"): ("warning", 6), ("FAULT_CODE:X-9", "open"): ("warning", 5), ("FAULT_CODE:X-9", "resolve"): ("warning", 9), ("UNUSUAL_BEHAVIOUR", "open"): ("warning", 3), ("UNUSUAL_BEHAVIOUR", "resolve"): ("warning", 6)}
+    rising = rules.readings(frame(spark, lambda m: {"coolant_temp_c": 104.0 + 1.2 * (m - 4)} if 5 <= m < 14 else {}))
+    ack = rules.acknowledgements(spark.createDataFrame([("M01", T0 + timedelta(minutes=8.5), "COOLANT_CRITICAL")], "machine_id string, ts timestamp, rule string"))
+    stages = {r.stage: (r.ts - T0).total_seconds() / 60 for r in rules.alerts(rising.unionByName(ack)).where("rule = 'COOLANT_CRITICAL'").collect()}
+    assert stages["recommend_shutdown"] == 8 and stages["escalated"] == 12
+
+
 @pytest.mark.parametrize("per_batch", [1, 4])
 def test_stream_equals_table(spark, tmp_path, per_batch):
     """The same events whichever way the rows are cut into micro-batches."""
