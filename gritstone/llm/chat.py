@@ -15,7 +15,7 @@ roles and texts, `[` and `<` that begin a control string, and the escape sign `\
 the sign in front; so no text can end its turn, and removing one sign gives the text back.
 
 Edge cases: null texts and roles are empty; null conversation ids are a conversation of
-their own; null turn numbers come first; equal turn numbers follow in the order of role and text.
+their own; null turn numbers come first; equal turn numbers follow in the order of role, the text's first 64 characters and place in the table.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import cut
+
 BUDGET, HISTORY, SYSTEM, RUN = 2048, 512, 256, 256
 HEAD, TAIL, OPEN, CLOSE = "<s>", "</s>", "[INST] ", " [/INST]"
 _ESCAPE = r"(\\|<(?=/?s>)|\[(?=/?INST\]))"
@@ -75,36 +77,36 @@ def format_windows(conversations: DataFrame, tokenizer_file: str, budget: int =
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE), escape(F.col("text")))
-    turns = with_tokens(base.select("conv_id", "turn", "role", "text", body.alias("body"), F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 40))).alias("run")), tokenizer_file)
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    run = Window.partitionBy("conv_id", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = turns.withColumn("in_run", F.sum("n_tokens").over(run)).withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy(*order)))
-    runs = inner.groupBy("conv_id", "run").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
+    numbered = base.select("conv_id", "turn", "role", body.alias("body"), F.substring("text", 1, 64).alias("begin"), F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 40))).alias("run"))
+    turns = cut(with_tokens(numbered, tokenizer_file).withColumn("id", F.monotonically_increasing_id()), "turns")
+    # spans are chosen on lengths alone; the texts join them once, when all is placed
+    order = [F.col("turn").asc_nulls_first(), "role", "begin", "id"]
+    run = Window.partitionBy("conv_id", "run").orderBy(*order)
+    inner = turns.drop("body").withColumns({"in_run": F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(run)})
+    runs = turns.groupBy("conv_id", "run").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
     earlier = Window.partitionBy("conv_id").orderBy("run")
     runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), (F.sum("n").over(earlier) - F.col("n")).alias("before"), (F.sum("k").over(earlier) - F.col("k")).alias("k_before"))
     placed = inner.join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r"))).select(
-        "conv_id", "role", "body", "n_tokens", (F.col("in_run") + F.col("before")).alias("upto"), (F.col("nth") + F.col("k_before")).alias("place")
+        "id", "conv_id", "role", "n_tokens", (F.col("in_run") + F.col("before")).alias("upto"), (F.col("nth") + F.col("k_before")).alias("place")
     )
     # the running sum is ruled into stretches; a span holds the turns inside one, or the single turn that crosses its end
     stretch = max(1, budget - history - system)
     begins, ends = F.floor((F.col("upto") - F.col("n_tokens")) / stretch), F.floor((F.col("upto") - 1) / stretch)
-    placed = placed.withColumn("window", (2 * begins + (ends > begins).cast("long")).cast("long"))
+    placed = cut(placed.withColumn("window", (2 * begins + (ends > begins).cast("long")).cast("long")), "placed")
     head = (F.col("place") == 1) & (F.col("role") == ROLE_SYSTEM)
-    systems = placed.where(head).select("conv_id", "role", "body", F.lit(0).cast("long").alias("place"))
+    systems = placed.where(head).select("id", "conv_id", "place")
     # history: a turn of the span before, if it lies within the history budget before this span's beginning
-    start = placed.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("n_tokens")).alias("start"), F.count(F.lit(1)).alias("own"))
+    start = placed.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("n_tokens")).alias("start"))
     order_w = Window.partitionBy("conv_id").orderBy("window")
     start = start.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), F.lead("window").over(order_w).alias("next"), F.lead("start").over(order_w).alias("next_start"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
     linked = placed.join(start, same & (F.col("window") == F.col("w")))
     repeat = F.col("next").isNotNull() & (F.col("next_start") - F.col("upto") + F.col("n_tokens") <= history) & ~head
-    uses = F.when(repeat, F.array(F.struct(F.col("window").alias("window"), F.lit(True).alias("own")), F.struct(F.col("next").alias("window"), F.lit(False).alias("own")))).otherwise(
-        F.array(F.struct(F.col("window").alias("window"), F.lit(True).alias("own")))
-    )
-    rows = linked.select("conv_id", "role", "body", "place", F.explode(uses).alias("use")).select("conv_id", "use.window", "role", "body", "place", "use.own")
-    later = start.where("next is not null").select(F.col("c"), F.col("next").alias("window"))
-    kept = systems.join(later, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "window", "role", "body", "place", F.lit(False).alias("own"))
-    return _format(rows.unionByName(kept))
+    own, again = F.struct(F.col("window").alias("window"), F.lit(True).alias("own")), F.struct(F.col("next").alias("window"), F.lit(False).alias("own"))
+    rows = linked.select("id", "conv_id", "place", F.explode(F.when(repeat, F.array(own, again)).otherwise(F.array(own))).alias("use")).select("id", "conv_id", "use.window", "place", "use.own")
+    later = start.where("next is not null").select("c", F.col("next").alias("window"))
+    kept = systems.join(later, same).select("id", "conv_id", "window", "place", F.lit(False).alias("own"))
+    return _format(rows.unionByName(kept).join(turns.select("id", "role", "body"), "id"))
 
 
 def _format(rows: DataFrame) -> DataFrame:
