@@ -39,12 +39,12 @@ def integers(vectors: DataFrame) -> DataFrame:
     return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * 256).cast("long")).alias("vector"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about `size` vectors: number, ids and flat components."""
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Blocks of about `size` vectors (number, ids and flat components), and how many numbers there are."""
     blocks = max(1, -(-rows.count() // size))
     number = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     packed = rows.select(number.alias("block"), F.struct("vec_id", "vector").alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
-    return cut(packed.select("block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.vector").alias("flat")), name)
+    return cut(packed.select("block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.vector").alias("flat")), name), blocks
 
 
 def _matrix(batch: pa.RecordBatch, i: int, ids: str, flat: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +102,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
     sized = rows.join(F.broadcast(size), F.size("vector") == F.col("n"), "left_semi")  # one row
     asked = integers(queries).join(F.broadcast(size), F.size("vector") == F.col("n"), "left_semi").dropDuplicates(["vec_id"])
-    candidates, blocks = _blocks(sized, CANDIDATE_BLOCK, "candidates"), _blocks(asked, QUERY_BLOCK, "queries")
-    numbers = candidates.agg(F.max("block").alias("last"))
-    spread = blocks.join(F.broadcast(numbers)).select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), "last")).alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    (candidates, numbers), (blocks, _) = _blocks(sized, CANDIDATE_BLOCK, "candidates"), _blocks(asked, QUERY_BLOCK, "queries")
+    spread = blocks.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     first = _search(spread.join(candidates, "block"), k, 1)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cutoff = cut(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff")), "cutoff")
