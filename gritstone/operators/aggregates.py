@@ -78,11 +78,10 @@ def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
 
     Counts by distinct score come first, so the running sums go over distinct scores only.
     """
-    from pyspark.sql import Window
+    from .windows import running_totals
 
-    each = df.groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = each.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w)})
+    each = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    steps = running_totals(each, "score", ["pos", "n"]).withColumnsRenamed({"total_pos": "tp", "total_n": "seen"})
     return steps.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("average_precision"))
 
 

@@ -132,3 +132,20 @@ def head_tail_change(df: DataFrame, key: str, order: list[Column], reverse: list
 def hop_windows(df: DataFrame, ts: str, length: str, step: str) -> DataFrame:
     """Each row in every sliding window that holds it: columns start and end."""
     return df.withColumn("_w", F.window(F.col(ts).cast("timestamp"), length, step)).withColumns({"start": F.col("_w.start"), "end": F.col("_w.end")}).drop("_w")
+
+
+def running_totals(df: DataFrame, order: str, values: list[str], buckets: int = 64) -> DataFrame:
+    """Adds total_v, the sum of v over all rows up to this one, highest `order` first; rows of equal order share it.
+
+    A window over the whole table would be one task. Rows are dealt by approximate quantiles of
+    `order`, summed within their bucket, and the totals of higher buckets, a row each, are added.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    dealt = df.withColumn("_bucket", bucket)
+    w = Window.partitionBy("_bucket").orderBy(F.desc(order))
+    inside = dealt.withColumns({f"_in_{v}": F.sum(v).over(w) for v in values})
+    each = dealt.groupBy("_bucket").agg(*(F.sum(v).alias(f"_all_{v}") for v in values))
+    higher = Window.orderBy(F.desc("_bucket"))
+    above = each.select("_bucket", *((F.sum(f"_all_{v}").over(higher) - F.col(f"_all_{v}")).alias(f"_above_{v}") for v in values))
+    return inside.join(F.broadcast(above), "_bucket").select(*df.columns, *((F.col(f"_in_{v}") + F.col(f"_above_{v}")).alias(f"total_{v}") for v in values))  # at most `buckets` rows

@@ -116,3 +116,10 @@ def test_lookback(spark):
     for k, ts, i, _, _ in rows:
         xs = [q[3] for q in rows if q[0] == k and ts - timedelta(seconds=600) <= q[1] < ts and q[3] is not None]
         assert got[k, i] == (pytest.approx(sum(xs) / len(xs)) if xs else None)
+
+
+def test_running_totals(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([0.1, 0.2, rng.random()]), rng.randint(0, 5)) for _ in range(300)]
+    got = W.running_totals(spark.createDataFrame(rows, "s double, v int"), "s", ["v"], 7).collect()
+    assert sorted((r.s, r.v, r.total_v) for r in got) == sorted((s, v, sum(b for a, b in rows if a >= s)) for s, v in rows)
