@@ -52,18 +52,41 @@ def word_ids(tokenizer_file: str) -> WordStore:
     tokenizer = Tokenizer.from_file(tokenizer_file)
     ids_of = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     between = np.array(ids_of([_PART])[0])
+    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends_word[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def joined(words: list[str], mark: str) -> np.ndarray:
+        return np.array([i for x in ids_of([mark.join([*words[i : i + 400], ""]) for i in range(0, len(words), 400)]) for i in x], np.int32)
+
+    def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone are one unit each for the tokenizer, and a unit's last id says so."""
+        ids = joined(words, " ")
+        ends = np.flatnonzero(ends_word[ids])
+        return ids, np.diff(np.append(-1, ends))
+
+    def others(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many words at once, with a mark between them whose ids give the words' ends away."""
         if any(_PART in w for w in words):
             found = ids_of(words)
             return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found])
-        ids = np.array([i for x in ids_of([f" {_PART} ".join([*words[i : i + 400], ""]) for i in range(0, len(words), 400)]) for i in x], np.int32)
-        n = len(between)
+        ids, n = joined(words, f" {_PART} "), len(between)
         marks = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == between[k] for k in range(n)]))
         counts = np.diff(np.append(-n, marks)) - n
         return np.delete(ids, (marks[:, None] + np.arange(n)).ravel()), counts
 
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([w.isalpha() and w.lower().isalpha() for w in words])
+        parts = [(f, np.flatnonzero(chosen)) for f, chosen in ((letters, plain), (others, ~plain)) if chosen.any()]
+        got = [(*f([words[i] for i in at.tolist()]), at) for f, at in parts]
+        if any(len(counts) != len(at) for _, counts, at in got):  # some sign that is no letter to the tokenizer
+            return others(words)
+        ids, counts, at = (np.concatenate(x) for x in zip(*got, strict=True))
+        starts = np.cumsum(counts) - counts
+        order = np.argsort(at)
+        counts = counts[order]
+        ends = np.cumsum(counts)
+        return ids[np.repeat(starts[order] - (ends - counts), counts) + np.arange(len(ids))], counts
+
     return WordStore(encode)
 
 

@@ -56,11 +56,13 @@ def test_round_trip_and_odd_rows(spark, odd_docs, no_docs):
     assert codec.encode(no_docs, FILE).collect() == []
 
 
-def test_store_starts_anew_when_full():
-    model, _ = codec.model(FILE)
+@pytest.mark.parametrize("limit", [1, 3, 50])
+def test_store_forgets_without_harm(texts, limit):
+    """A store that keeps few words gives the same ids."""
     from gritstone.llm.wordstore import WordStore
 
-    store = WordStore(model.encode_words, limit=3)
-    for text in ("one two three four", "five six one", "two two two"):
+    model, full = codec.model(FILE)
+    store = WordStore(model.encode_words, limit=limit)
+    for text in list(texts.values())[:40] + ["one two three four", "five six one", "two two two", ""]:
         flat, counts = store.expand([model.split(text)])
-        assert flat.tolist() == codec.model(FILE)[1].expand([model.split(text)])[0].tolist()
+        assert flat.tolist() == full.expand([model.split(text)])[0].tolist()
