@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.llm import compression_quality, minhash, packing, pii, toxicity
-from gritstone.llm.frames import shared_dir, table
+from gritstone.llm.frames import clean_up, cut, table, written
 from gritstone.llm.queries import vocabulary
 
 
@@ -47,11 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written to the shared folder and read again."""
+    """All stages over `documents`; each stage's rows are written to the shared folder and read again.
+
+    When a stage is written, what it and the stage before it had written goes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = written()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clean_up(spark, start, -1)
     return docs

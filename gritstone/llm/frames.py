@@ -22,17 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, which ends its lineage.
 
     A lost executor later costs a re-read of files and not a re-run of what made them.
+    The files stay until `clean_up`, as the frames read from them are lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables have been cut so far and not been removed."""
+    return len(_written)
+
+
+def clean_up(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Remove tables that were cut, from the first to before the last, once nothing reads them any more."""
+    gone = _written[first:last]
+    del _written[first:last]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder with only the named columns."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

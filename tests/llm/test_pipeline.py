@@ -2,7 +2,7 @@ import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from gritstone.llm import compression_quality, pii, toxicity
+from gritstone.llm import compression_quality, frames, pii, toxicity
 from gritstone.llm.queries import QUERIES
 
 
@@ -30,7 +30,9 @@ def test_stages_keep_columns_and_take_effect(spark, small, texts):
 
 def test_run_and_names(spark, small):
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality", "near_dedup", "pii", "packing"]
+    before = frames.written()
     assert p.run(spark, small).agg(F.max("length")).first()[0] <= 4096
+    assert frames.written() == before + 1  # only the result's own table is left
     assert len(QUERIES) == 10
 
 
