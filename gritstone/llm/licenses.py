@@ -87,7 +87,8 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """digest and license_id, one row a digest."""
-    rows = spark.createDataFrame([(i, t) for i, t in texts] or [("", "")], "license_id string, text string")
+    constants = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts or [("", "")]]
+    rows = spark.range(1).select(F.inline(F.array(*constants)))
     return rows.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -275,19 +276,32 @@ def field() -> Field:
     return found
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order; overlapping spans are one stretch."""
+    starts, ends = [], []
+    for i, j in sorted((i, j) for _, i, j in spans):
+        if ends and i < ends[-1]:
+            ends[-1] = max(ends[-1], j)
+        else:
+            starts.append(i)
+            ends.append(j)
+    return starts, ends
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> list[tuple[str, int, int]]:
     """Spans of the field that overlap no base span."""
-    taken = sorted((i, j) for _, i, j in base)
+    starts, ends = _covered(base)
+
+    def settled(start: int, end: int) -> bool:
+        k = bisect_right(ends, start)
+        return k < len(ends) and starts[k] < end
+
     out = []
     for tokens, before in windows(text):
-        if not tokens:
-            continue
-        a, b = tokens[0][0], tokens[-1][1]
-        near = [t for t in taken if t[0] < b and t[1] > a]
         # what base spans cover is settled; the program runs on what lies between them
         free: list[list[tuple[int, int]]] = [[]]
         for t in tokens:
-            if any(i < t[1] and j > t[0] for i, j in near):
+            if settled(*t):
                 free.append([])
             else:
                 free[-1].append(t)
