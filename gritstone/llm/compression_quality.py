@@ -16,9 +16,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .frames import documents, map_text
+from .frames import documents, map_batches, map_text
 
 #: From this many bytes on, the ratio of a whole document must lie within these limits.
 DOCUMENT_BANDS = ((256, 0.25, 0.95), (1024, 0.25, 0.85), (4096, 0.22, 0.75), (16384, 0.18, 0.70))
@@ -106,10 +105,9 @@ def assess(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that the rules keep; a row is judged by its own text."""
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keep = [(b := base_counts(t))[0] >= 10 and 100 * b[4] <= 20 * b[0] and compression(t)[3] in ("ok", "short") for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        keep = [(b := base_counts(t))[0] >= 10 and 100 * b[4] <= 20 * b[0] and compression(t)[3] in ("ok", "short") for t in texts]
+        return batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return map_batches(docs, lambda: step)

@@ -62,7 +62,21 @@ def documents(df: DataFrame, *others: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What `make()` gives, kept in a worker process for its next tasks, until an operator with another key runs in it.
+
+    Workers serve one operator after another, so what all of them keep would add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -94,6 +108,19 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, struct)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], column: str = "text") -> DataFrame:
+    """Like `map_text` for functions that return rows of `df`'s own schema; the text column becomes a string."""
+    typed = df.withColumn(column, F.col(column).cast("string"))
+
+    def run(batches):
+        step = make()
+        for batch in batches:
+            for part in pieces(batch, column):
+                yield step(part)
+
+    return typed.mapInArrow(run, typed.schema)
+
+
 def arrow_schema(fields: list[tuple[str, str]]) -> pa.Schema:
     """Arrow's types for the few Spark types that these operators return."""
     plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, documents, map_text
+from .frames import cut, documents, held, map_text
 
 ROWS, BITS = 6, 4
 #: An estimate this many hundredths below the threshold is over five standard deviations away.
@@ -80,9 +80,8 @@ class _WordHashes(dict):
         return found
 
 
-@lru_cache(1)
 def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+    return held(("minhash",), _WordHashes)
 
 
 @lru_cache(4)

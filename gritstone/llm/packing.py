@@ -19,7 +19,6 @@ import os
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrow_schema, cut, documents, map_text
+from .frames import arrow_schema, cut, documents, held, map_text
 from .wordstore import WordStore
 
 FLUSH = 200_000
@@ -43,9 +42,12 @@ _PART = "\ue000"
 _STOP = re.compile(r"([.,])(?<=[^\W_][.,]) ")
 
 
-@lru_cache(2)
 def word_ids(tokenizer_file: str) -> WordStore:
     """Ids by space-separated word; the tokenizer never joins what a space or line end parts."""
+    return held(("packing", tokenizer_file), lambda: _word_ids(tokenizer_file))
+
+
+def _word_ids(tokenizer_file: str) -> WordStore:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

@@ -24,9 +24,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .frames import documents, map_text
+from .frames import documents, map_batches, map_text
 
 BASE = ("email", "ip", "card", "phone")
 #: Types of the field; 0 is no entity.
@@ -342,20 +341,18 @@ def annotate(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span's text replaced by its kind in angle brackets; n_chars follows where a text changes."""
     model = field()
-    typed = docs.withColumn("text", F.col("text").cast("string"))
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            new = [_redacted(t, [s for part in find(t, model) for s in part]) for t in texts]
-            at = batch.schema.get_field_index("text")
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-            if (at := batch.schema.get_field_index("n_chars")) >= 0:
-                counts = [len(b) if a != b else n for a, b, n in zip(texts, new, batch.column(at).to_pylist(), strict=True)]
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
-            yield batch
-
-    return typed.mapInArrow(run, typed.schema)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        new = [_redacted(t, [s for part in find(t, model) for s in part]) for t in texts]
+        at = batch.schema.get_field_index("text")
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        if (at := batch.schema.get_field_index("n_chars")) >= 0:
+            counts = [len(b) if a != b else n for a, b, n in zip(texts, new, batch.column(at).to_pylist(), strict=True)]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
+        return batch
+
+    return map_batches(docs, lambda: step)
 
 
 def _redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

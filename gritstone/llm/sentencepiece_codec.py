@@ -18,13 +18,12 @@ become byte pieces; a literal U+2581 decodes to a space, as in the library.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import documents, map_text
+from .frames import documents, held, map_text
 from .wordstore import WordStore
 
 MARK = "▁"
@@ -221,9 +220,12 @@ class PieceModel:
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
-@lru_cache(2)
 def model(model_file: str) -> tuple[PieceModel, WordStore]:
-    """Built once per worker process."""
+    """Kept in a worker process from task to task."""
+    return held(("sentencepiece", model_file), lambda: _model(model_file))
+
+
+def _model(model_file: str) -> tuple[PieceModel, WordStore]:
     found = PieceModel(model_file)
     for piece in found.texts:
         if len(piece) > 1 and not piece.startswith("<") and ("\n" in piece or re.search(f"[^{MARK}]{MARK}", piece)):

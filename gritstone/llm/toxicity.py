@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import documents, map_text
+from .frames import documents, held, map_batches, map_text
 
 SAMPLE, LEXICON = 20_000, 2_000
 THRESHOLD = 0.3
@@ -110,7 +110,7 @@ def disguised(token: str) -> bool:
 class Words(dict):
     """Lexicon numbers (from 1; 0: none) of raw tokens, remembered; starts anew at `limit` tokens."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __init__(self, lexicon: dict[str, int], channel: Channel):
         super().__init__()
@@ -160,6 +160,7 @@ class Model:
 
     def words(self) -> Words:
         """A reader of texts; a task makes its own."""
+        held(("toxicity",), bool)
         return Words(self.lexicon, Channel(self.counts))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -285,12 +286,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted toxic."""
-    typed = docs.withColumn("text", F.col("text").cast("string"))
 
-    def run(batches):
+    def make():
         words = model.words()
-        for batch in batches:
-            x = np.array([features(*words.hits(t), model.weights) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
-            yield batch.filter(pa.array(model.score(x) < THRESHOLD, pa.bool_()))
 
-    return typed.mapInArrow(run, typed.schema)
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = np.array([features(*words.hits(t), model.weights) for t in batch.column("text").to_pylist()])
+            return batch.filter(pa.array(model.score(x) < THRESHOLD, pa.bool_()))
+
+        return step
+
+    return map_batches(docs, make)
