@@ -16,7 +16,7 @@ class WordStore:
     the most used half. To forget a word costs time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
