@@ -92,8 +92,8 @@ def _word_ids(tokenizer_file: str) -> WordStore:
     return WordStore(encode)
 
 
-def split_words(text: str) -> list[str]:
-    """Words whose ids, one after another, are the text's; as few different ones as can be.
+def plain_words(text: str) -> str:
+    """Words, parted by blanks, whose ids, one after another, are the text's; as few different ones as can be.
 
     The tokenizer ignores case and cuts signs from letters. So text is lowered where that gives
     the same letters as the tokenizer's own lowering, and a full stop or comma after a letter is parted from it.
@@ -102,10 +102,10 @@ def split_words(text: str) -> list[str]:
     if text.isascii():
         text = text.lower() if "<|" not in text else text  # special tokens are written in lower case
     elif "\u0130" in text or "\u03a3" in text:
-        return text.split(" ")  # lowered, these depend on what follows or leave a mark behind
+        return text  # lowered, these depend on what follows or leave a mark behind
     elif "<|" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower := text.lower()):
         text = lower
-    return _STOP.sub(r" \1 ", text).split(" ")
+    return _STOP.sub(r" \1 ", text)
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, limit: int = 4096, ids: bool = False) -> DataFrame:
@@ -116,7 +116,8 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, limit: int =
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            flat, counts = store.expand([split_words(t) if t else [] for t in texts])
+            words = pc.split_pattern(pa.array([plain_words(t) if t else "" for t in texts], pa.string()), " ")
+            flat, counts = store.expand_flat(words.flatten(), pc.list_value_length(words).to_numpy().astype(np.int64))
             ends = np.cumsum(counts)
             flat = np.insert(flat, ends, end_id).astype("<u4")  # each document's end id follows its own ids
             sizes = counts + 1

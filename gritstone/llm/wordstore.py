@@ -6,6 +6,7 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 
 class WordStore:
@@ -67,19 +68,20 @@ class WordStore:
 
     def expand(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the word lists, flat, and the number of ids of each list."""
+        return self.expand_flat(pa.array(chain.from_iterable(texts), pa.string()), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+    def expand_flat(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one array of words that holds `sizes` words a list; each different word is looked up once."""
         if len(self.slots) > self.limit:
             self._forget()
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        words = list(chain.from_iterable(texts))
-        found = list(map(self.slots.get, words))
-        if None in found:
-            self.add(list({w for w, s in zip(words, found, strict=True) if s is None}))
-            found = list(map(self.slots.__getitem__, words))
-        slots = np.array(found, np.int64)
-        total = len(words)
-        self.uses[: len(self.slots)] += np.bincount(slots, minlength=len(self.slots))
+        coded = words.dictionary_encode()
+        different, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.add([w for w in different if w not in self.slots])
+        own = np.fromiter(map(self.slots.__getitem__, different), np.int64, len(different))
+        self.uses[own] += np.bincount(place, minlength=len(own))
+        slots = own[place]
         counts = self.counts[slots]
         ends = np.cumsum(counts)
-        flat = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(int(ends[-1]) if total else 0)]
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        flat = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
         return flat, np.diff(at)
