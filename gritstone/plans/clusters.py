@@ -38,6 +38,43 @@ def assign(weeks: DataFrame, scaler, kmeans, plane) -> DataFrame:
     return out.withColumns({"cluster_id": F.col("prediction"), "plane_x": xy[0], "plane_y": xy[1], "x": vector_to_array("x")}).drop("prediction", "plane", "_v", *(c for c in out.columns if c.startswith("_")))
 
 
+#: Names of clusters by the feature that sets them apart, above and below the mean.
+TRAITS = {
+    "fuel_per_productive_hour": ("high fuel use", "fuel-saving"),
+    "idle_pct": ("idle-heavy", "low idle"),
+    "productivity_per_hour": ("high output", "low output"),
+    "time_ratio": ("slow pace", "fast pace"),
+    "anomaly_per_10h": ("anomaly-prone", "few anomalies"),
+    "safety_per_10h": ("needs safety coaching", "few safety events"),
+}
+#: Fixed value: a centroid this far from the mean in a feature may be named after it.
+TRAIT_LEAST = 0.5
+
+
+def cluster_names(centroids: dict[int, dict[str, float]]) -> dict[int, str]:
+    """A name for each cluster (as many as k) from its centroid in standard deviations.
+
+    Safety coaching, idling and efficiency go first, each to the cluster that shows it most; the others take their
+    strongest trait that no cluster has, or are average. A name that is taken gets a number.
+    """
+    first = [
+        ("needs safety coaching", lambda x: x["safety_per_10h"], TRAIT_LEAST),
+        ("idle-heavy", lambda x: x["idle_pct"], TRAIT_LEAST),
+        ("efficient", lambda x: -x["time_ratio"] - x["fuel_per_productive_hour"], 1e-9),
+    ]
+    names: dict[int, str] = {}
+    for name, strength, least in first:
+        open_ = [(strength(x), -i) for i, x in centroids.items() if i not in names]
+        if open_ and max(open_)[0] >= least:
+            names[-max(open_)[1]] = name
+    for i in sorted(centroids.keys() - names.keys()):
+        traits = sorted(((abs(z), TRAITS[f][z < 0]) for f, z in centroids[i].items() if f in TRAITS and abs(z) >= TRAIT_LEAST), reverse=True)
+        name = next((t for _, t in traits if t not in names.values()), "average")
+        alike = sum(x.startswith(name) for x in names.values())
+        names[i] = f"{name} {alike + 1}" if alike else name
+    return names
+
+
 def noise(column: str, core: list[list[float]], radius: float, df: DataFrame) -> Column:
     """Whether no core point is within the radius."""
     return ~within_distance(df, column, core, radius)

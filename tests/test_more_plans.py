@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gritstone.operators import recurrence
 from gritstone.operators import windows as W
 from gritstone.plans import anomaly, clusters, task_time
 from gritstone.streaming import proximity
@@ -55,6 +56,26 @@ def test_clusters(spark):
     assert [r[0] for r in far.select(clusters.noise("x", [[0.1, 0.0]], 1.0, far)).collect()] == [False, True]
 
 
+def test_cluster_names():
+    flat = dict.fromkeys(clusters.TRAITS, 0.0)
+    centroids = {0: {**flat, "idle_pct": 1.2, "safety_per_10h": 0.9}, 1: {**flat, "idle_pct": 0.8}, 2: {**flat, "time_ratio": -1.0}, 3: {**flat, "productivity_per_hour": -0.7}, 4: flat, 5: flat}
+    assert clusters.cluster_names(centroids) == {0: "needs safety coaching", 1: "idle-heavy", 2: "efficient", 3: "low output", 4: "average", 5: "average 2"}
+
+
+def test_recurrences(spark):
+    """A carried value over several batches of a key; nulls keep it."""
+    values = [4.0, None, 8.0, 0.0, 100.0]
+    df = spark.createDataFrame([(k, i, x) for k in ("a", "b", None) for i, x in enumerate(values)], "k string, i int, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    got = {}
+    for r in recurrence.follow(df, "k", ["i"], "x", 0.5, "level").collect():
+        got.setdefault(r.k, {})[r.i] = r.level
+    walk = [r.y for r in recurrence.bounded_walk(df.where("k = 'a'").withColumn("d", F.col("x") / 10), "k", ["i"], "d", "y").orderBy("i").collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict.fromkeys(("a", "b", None), {0: 4.0, 1: 4.0, 2: 6.0, 3: 3.0, 4: 51.5})
+    assert walk == [0.5, 0.5, 1.0, 1.0, 1.0]
+
+
 def test_proximity(spark):
     """Entry at the limit, exit beyond the slack, repeats while red, a fresh start after two unseen seconds."""
     ds = [8.0, 7.0, 7.2, 7.4, 6.0, 2.9, 3.2, 3.2, 3.2, 3.4]
