@@ -82,7 +82,7 @@ _CUES = (("email", ("mail", "email", "contact")), ("ip", ("ip", "host", "server"
 _HEX = re.compile(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*")
 FEATURES = (
     "bias", "at", "dots", "three dots", "four small numbers", "plus", "bracket", "digits 1-6", "digits 7-8", "digits 9-12", "digits 13-19", "digits 20+", "checksum", "one number", "groups of four", "even groups", "letters and digits",
-    "long mixed", "letters only", "ends in letters", "domain end", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "blank inside", "odd sign", "short groups",
+    "long mixed", "letters only", "ends in letters", "domain end", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "blank inside", "odd sign", "short groups", "joined left", "joined right",
 )
 K = {name: i for i, name in enumerate(FEATURES)}
 _DOMAIN_END = re.compile(r"\.[A-Za-z]{2,6}$")
@@ -241,6 +241,8 @@ def _examples(rng: random.Random) -> list[tuple[str, int, int, int]]:
         wrong = card()
         made += [(wrong[:-1] + str((int(wrong[-1]) + rng.randint(1, 9)) % 10), 0), (d(14), 0)] if rng.random() < 0.9 else []
         made += [(d(rng.randint(1, 6)), 0), (f"{d(2)}.{d(2)}", 0), (f"{d(4)}-{d(2)}-{d(2)}", 0), (f"{d(2)}:{d(2)}", 0), (f"v{d(1)}.{d(1)}.{d(2)}", 0), (f"{word()}{d(2)}", 0), (f"{d(1)},{d(3)},{d(3)}", 0), (d(9), 0), (d(12), 0), (f"{d(2)} {d(2)} {d(3)}", 0), *((" ".join(d(n) for _ in range(rng.randint(3, 14))), 0) for n in (1, 2, 3))]
+    for _ in range(40):  # sums and calls: a sign or bracket right behind a letter or digit
+        made += [(f"{d(1)}+{d(rng.randint(4, 5))}", 0), (f"{word()}+{d(rng.randint(4, 9))}", 0), (f"{word()}++{d(4)}", 0), (f"{word()}({d(rng.randint(4, 8))})", 0), (f"{word()}({d(rng.randint(4, 8))}, {d(2)})", 0)]
     cues = {kind: words for kind, words in _CUES}
     out = []
     for s, y in made:

@@ -12,6 +12,23 @@ def test_base_patterns(text):
     assert pii.base_spans(text) == brute.private(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "x1", "+", "++", "(", ")", "@", ".", "-", " ", "\n", "_", "7", "2024", "5551234"]), max_size=20).map("".join))
+def test_field_takes_any_text(text):
+    base, more = pii.find(text, pii.field())
+    assert base == pii.base_spans(text) and all(0 <= i < j <= len(text) for _, i, j in more)
+
+
+@pytest.mark.parametrize("text", ["f(2024)", "1+1000", "C++2011", "y=x+10000", "x = f(20241234, 12)"])
+def test_sums_and_calls_are_clean(text):
+    assert pii.find(text, pii.field()) == ([], [])
+
+
+def test_number_joined_to_a_word():
+    text = "phone(555) 123-4567"
+    assert [k for k, _, _ in pii.find(text, pii.field())[1]] == ["phone"]
+
+
 def test_documents(spark, small, texts):
     for r in pii.annotate(spark.read.parquet(f"{small}/documents.parquet")).collect():
         base = brute.private(texts[r.doc_id])
