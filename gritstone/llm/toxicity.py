@@ -1,8 +1,8 @@
 """Operator 7: toxicity after noisy-channel deobfuscation.
 
-Words that may be disguised (letters mixed with look-alike signs, long repetitions, letters
+Words that may be disguised (letters mixed with look-alike signs, repetitions, letters
 set apart by blanks or points) become character lattices: each sign may stand for
-letters, be noise, or repeat its neighbour. The Viterbi path under a character trigram
+letters, be noise, or repeat its neighbour; a blank or inner punctuation may also end a word. The Viterbi path under a character trigram
 model restores the word. Other words have a lattice of one path and stay.
 
 Learnt here: a lexicon of words whose documents are labelled toxic far above chance, from at
@@ -39,10 +39,14 @@ N = len(LETTERS)
 #: Natural logs of the channel: a letter for itself, a sign for a letter, noise left out, a look-alike left out,
 #: a repetition left out where a sign stands three times or more, and where it stands twice.
 KEEP, SWAP, SKIP, LOSE, REPEAT, TWICE = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.0005), math.log(0.3), math.log(0.005)
-LONGEST = 40  # longer tokens are no disguised words; they stay as they are
+#: The same of a blank between single signs: left out, left out where it is wider than one, and as a word's end.
+JOIN, WIDE, BREAK = math.log(0.5), math.log(0.1), math.log(0.5)
+LONGEST = 40  # lexicon words are no longer
 _EDGE = string.punctuation + "«»“”„‘’…¡¿"
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_TWICE = re.compile(r"(.)\1+", re.S)
+_LONG = re.compile(r"(.)\1{3,}", re.S)
+_APART = re.compile(r"(?<!\S)\S(?!\S)(?:\s++\S(?!\S)){2,}")
+_SIGN = re.compile(r"(\s*)(\S)")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,7 +75,10 @@ def trigram_counts(words: dict[str, int]) -> np.ndarray:
 class Channel:
     """Restores disguised words."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, lexicon: dict[str, int] | None = None):
+        plain = [p for w in lexicon or () if (p := plain_letters(w))]
+        self.whole, self.begun = set(plain), {w[:i] for w in plain for i in range(1, len(w) + 1)}
+        self.prior = math.log(0.05 / max(1, len(plain)))  # the lexicon's share of words, as in training
         three = counts.reshape(N, N, N).astype(float)
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         share = lambda x: (x + 0.01) / (x + 0.01).sum(axis=-1, keepdims=True)
@@ -98,37 +105,110 @@ class Channel:
             paths, previous = after or paths, sign
         return max((score + self.log[a][b][0], word) for (a, b), (score, word) in paths.items())[1]
 
+    def restore_words(self, text: str) -> list[str]:
+        """The most likely words behind single signs: a blank or inner punctuation may be noise or the end of a word."""
+        signs = [(len(m[1]), m[2]) for m in _SIGN.finditer(text)]
+        # a path is its score and a chain of letters, the last one first; a blank ends a word
+        # its state is the last two letters, or the beginning of a lexicon word, which counts as a whole
+        paths: dict[tuple[int, int] | str, tuple[float, tuple | None]] = {(0, 0): (0.0, None), "": (0.0, None)}
+
+        def end(state: tuple[int, int] | str) -> float:
+            if isinstance(state, str):
+                return 0.0 if not state else self.prior if state in self.whole else -math.inf
+            return self.log[state[0]][state[1]][0] if state != (0, 0) else 0.0
+
+        def broken(ends: dict, weight: float) -> tuple[float, tuple | None]:
+            return max(((score + weight + end(state), (word, " ")) for state, (score, word) in ends.items()), key=lambda x: x[0])
+
+        for at, (gap, sign) in enumerate(signs):
+            if gap and at:
+                cut = broken(paths, BREAK)
+                paths = {k: (score + (JOIN if gap == 1 else WIDE), word) for k, (score, word) in paths.items()}
+                if (0, 0) not in paths or paths[0, 0][0] < cut[0]:
+                    paths[0, 0] = paths[""] = cut
+            arcs = [(c, KEEP if c == sign else SWAP) for c in (sign if sign in _INDEX else LOOKALIKES.get(sign, ""))]
+            again = at > 0 and sign == signs[at - 1][1]
+            thrice = again and any(all(x == sign for _, x in signs[i : i + 3]) and i + 3 <= len(signs) for i in range(max(0, at - 2), at + 1))
+            noise = LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for state, (score, word) in paths.items():
+                for c, weight in arcs:
+                    if isinstance(state, str):
+                        x, then = score + weight, state + c
+                        if then not in self.begun:
+                            continue
+                    else:
+                        i = _INDEX[c]
+                        x, then = score + weight + self.log[state[0]][state[1]][i], (state[1], i)
+                    if then not in after or after[then][0] < x:
+                        after[then] = (x, (word, c))
+                lost = (REPEAT if thrice else TWICE) if again and state not in ((0, 0), "") else noise
+                if lost is not None and (state not in after or after[state][0] < score + lost):
+                    after[state] = (score + lost, word)
+            if not sign.isalnum():
+                cut = broken(paths, SKIP)
+                if (0, 0) not in after or after[0, 0][0] < cut[0]:
+                    after[0, 0] = after[""] = cut
+            paths = after or paths
+        chain, letters = broken(paths, 0.0)[1], []
+        while chain:
+            chain, c = chain
+            letters.append(c)
+        return "".join(reversed(letters)).split()
+
 
 def disguised(token: str) -> bool:
-    """Whether a token's lattice has more than one path: look-alikes or noise among letters, or a long repetition."""
-    if len(token) > LONGEST or token.isalpha() and not _RUN.search(token):
+    """Whether a token's lattice has more than one path: look-alikes or noise among letters, or a repetition."""
+    if token.isalpha() and not _TWICE.search(token):
         return False
     letters = sum(c in _INDEX for c in token)
     return letters >= 1 and len(token) >= 3
 
 
 class Words(dict):
-    """Lexicon numbers (from 1; 0: none) of raw tokens, remembered; starts anew at `limit` tokens."""
+    """Lexicon numbers (from 1) of the words in raw tokens, remembered; starts anew at `limit` tokens."""
 
     limit = 200_000
 
     def __init__(self, lexicon: dict[str, int], channel: Channel):
         super().__init__()
         self.lexicon, self.channel = lexicon, channel
+        self.single = {_TWICE.sub(r"\1", w) for w in lexicon}
 
-    def __missing__(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        self[raw] = found = self.number(raw)
+        self[raw] = found = self.numbers(raw)
         return found
 
-    def number(self, raw: str) -> int:
-        token = raw.strip(_EDGE)
-        found = self.lexicon.get(token, 0)
-        if not found and disguised(raw.strip(",;:.?\"'()")):
-            token = unicodedata.normalize("NFD", raw) if not raw.isascii() else raw
-            found = self.lexicon.get(self.channel.restore("".join(c for c in token if not unicodedata.combining(c))), 0)
-        return found
+    def numbers(self, raw: str) -> tuple[int, ...]:
+        if found := self.lexicon.get(raw.strip(_EDGE), 0):
+            return (found,)
+        if not disguised(raw.strip(",;:.?\"'()")):
+            return ()
+        token = unicodedata.normalize("NFD", raw) if not raw.isascii() else raw
+        token = _LONG.sub(r"\1\1\1", "".join(c for c in token if not unicodedata.combining(c)))
+        if token.isalpha():  # only repetitions can be left out, so the word is one of those alike without any
+            if _TWICE.sub(r"\1", token) not in self.single:
+                return ()
+            return self._known([self.channel.restore(token)])
+        # letters are left out only as repetitions: a token without punctuation that has more than a word's is none
+        if not token.isalnum() or len(_TWICE.sub(r"\1", "".join(c for c in token if c in _INDEX))) <= LONGEST:
+            if len(token) <= 2 * LONGEST and (found := self._known([self.channel.restore(token)])):
+                return found
+        inner = token.strip(_EDGE)
+        return self._known(self.channel.restore_words(token)) if inner and not inner.isalnum() else ()
+
+    def _known(self, words: list[str]) -> tuple[int, ...]:
+        return tuple(i for w in words if (i := self.lexicon.get(w, 0)))
+
+    def apart(self, run: str) -> tuple[int, ...]:
+        """Of the words in a run of single signs between blanks."""
+        joined = "".join(run.split())
+        if len(joined) <= LONGEST and (found := self.numbers(joined)):
+            return found
+        plain = run if run.isascii() else "".join(c for c in unicodedata.normalize("NFD", run) if not unicodedata.combining(c))
+        return self._known(self.channel.restore_words(plain)) if any(c in _INDEX for c in plain) else ()
 
     def hits(self, text: str | None) -> tuple[list[int], int]:
         """Lexicon numbers of a restored text's words, and its word count."""
@@ -136,11 +216,9 @@ class Words(dict):
             return [], 0
         lower = text.lower()
         words = lower.split()
-        found = [i for i in map(self.__getitem__, words) if i]
+        found = [i for x in map(self.__getitem__, words) if x for i in x]
         for m in _APART.finditer(lower):
-            joined = m[0].replace(" ", "").replace("\t", "")
-            if i := self.lexicon.get(joined, 0) or self.number(joined):
-                found.append(i)
+            found += self.apart(m[0])
         return found, len(words)
 
 
@@ -161,7 +239,7 @@ class Model:
     def words(self) -> Words:
         """A reader of texts; a task makes its own."""
         held(("toxicity",), bool)
-        return Words(self.lexicon, Channel(self.counts))
+        return Words(self.lexicon, Channel(self.counts, self.lexicon))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Ridge-damped Newton steps; without both labels, the share of the label alone."""

@@ -33,6 +33,16 @@ def test_words_set_apart(model):
     assert model.words().hits("you i d i o t there")[0] and model.words().hits("a b c d e f")[0] == []
 
 
+@pytest.mark.parametrize(
+    "text, words",
+    [("a m o r o n", ["moron"]), ("d u m b i d i o t", ["idiot"]), ("m o r o n i d i o t", ["moron", "idiot"]), ("i d i o t  m o r o n", ["idiot", "moron"]), ("i  d  i  o  t", ["idiot"]), ("i d i o t " * 12, ["idiot"] * 12), ("moron/idi0t", ["moron", "idiot"]), ("idioot", ["idiot"]), ("stuupid", ["stupid"]), ("id" + 40 * "i" + "ot", ["idiot"])],
+)
+def test_spacing_and_repetition_reach_the_lattice(model, text, words):
+    found = model.words().hits(f"you are {text} there")[0]
+    names = {i: w for w, i in model.lexicon.items()}
+    assert [w for i in found if (w := names[i]) in ("moron", "idiot", "stupid")] == words
+
+
 @pytest.mark.parametrize("text", ["v1.2.30 of 2024", "mail a.19@mail5.example.com", "l'été à la mer", "THE END!!", "### $$$"])
 def test_clean_text_has_no_hits(model, text):
     assert model.words().hits(text)[0] == []
