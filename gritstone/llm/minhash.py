@@ -16,11 +16,16 @@
    comes out are the links that connect components, not the pairs. No partner is capped or dropped.
 6. Components of the confirmed links.
 
+A band, hub or node with over a thousandth of all rows is dealt over many tasks in every join
+(`frames.dealt`); counts and extremes of a band are summed before they are shuffled.
+
 Two sets at the threshold share none of the bands with a probability under 1e-6; all else is exact.
 
 Edge cases: fewer words than a shingle make one shingle of them all; null, empty and blank
-texts have an empty set and link with nothing; repeated doc_ids keep a row each and share
-a component; rows without doc_id are kept, with no component, and link with nothing.
+texts have an empty set and link with nothing; a long text is read whole; equal doc_ids are one
+document, whose texts are linked with each other; repeated rows keep a row each; rows without
+doc_id are kept, with no component, and link with nothing; an empty table has no rows in the
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, documents, held, map_text
+from .frames import cut, dealt, documents, heavy_keys, held, join_dealt, keep, map_text, scratched, spread
 
 ROWS, BITS = 6, 4
 #: An estimate this many hundredths below the threshold is over five standard deviations away.
@@ -62,8 +67,8 @@ class Likeness:
 
 #: Bands of up to so many members list their open pairs.
 SMALL = 12
-#: Shingles in a block of sets that ask, and in a block of sets that are asked.
-ASKING, ASKED = 200_000, 500_000
+#: Shingles in a block of sets that ask, and in a block of sets that are asked; asking blocks that one task compares with a block.
+ASKING, ASKED, GROUP = 200_000, 500_000, 16
 
 
 class _WordHashes(dict):
@@ -135,7 +140,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, digest of the word sequence, n_shingles, signature, bands; empty sets have neither digest nor bands."""
+    """doc_id, exact (a digest of the text), digest of the word sequence, n_shingles, signature, bands; empty sets have neither of the last two digests nor bands."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -145,11 +150,16 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
                 signature, bands = sketch(found, like) if len(found) else (None, None)
                 for name, x in zip(out, (digest or None, len(found), signature, bands), strict=True):
                     out[name].append(x)
-            return {"doc_id": batch.column("doc_id"), **out}
+            return {"doc_id": batch.column("doc_id"), "exact": batch.column("exact"), **out}
 
         return step
 
-    return map_text(documents(docs), make, "doc_id long, digest binary, n_shingles long, signature binary, bands array<long>")
+    return map_text(documents(docs, exact_text().alias("exact")), make, "doc_id long, exact binary, digest binary, n_shingles long, signature binary, bands array<long>")
+
+
+def exact_text() -> Column:
+    """A digest of a text as it is; null of a null text."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
 
 
 def _likely(pairs: DataFrame, share: int) -> DataFrame:
@@ -202,10 +212,11 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     round more than halves a path. Each round is a written table; it ends when none changes.
     """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
+    heavy = heavy_keys(edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", "n", edges.count())
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     labels = cut(labels, name)
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        near = dealt(edges, heavy, "b", "a").join(spread(labels.withColumnRenamed("id", "b"), heavy, "b"), ["b", "salt"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("root", "near").alias("new"), "root")
         jump = lower.select(F.col("id").alias("new"), F.col("new").alias("far"))
         moved = cut(lower.join(jump, "new", "left").select("id", F.least("new", F.coalesce("far", "new")).alias("root"), (F.least("new", F.coalesce("far", "new")) < F.col("root")).alias("moved")), name)
@@ -214,29 +225,78 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+@scratched
 def duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
+    signed, nodes = _classes(docs, like)
+    roots = components(_links(docs, nodes, like).union(_same_document(signed, nodes)), "final")
+    by_digest = _rooted(nodes, roots).select("digest", F.col("least.doc_id").alias("component"))
+    rows = signed.select("doc_id", "digest", "n_shingles").join(by_digest, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = cut(rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "duplicates")
+    keep(out)
+    return out
+
+
+@scratched
+def drop_copies(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """One row of each group of near-duplicate texts, with all columns of `docs`.
+
+    Groups are of texts, whatever their ids, so no text goes because its id occurs twice. The row with the smallest
+    doc_id stays, among those the one with the least digest of its text, and of rows with equal id and text the one
+    whose other columns come first. Texts without words stay, one row for each id and text; rows without doc_id all stay.
+    """
+    signed, nodes = _classes(docs, like)
+    roots = components(_links(docs, nodes, like), "final")
+    least = _rooted(nodes, roots).select(F.col("least.doc_id").alias("kept_id"), F.col("least.exact").alias("kept_exact"))
+    alone = signed.where("digest is null and doc_id is not null").select("doc_id", "exact")
+    kept = cut(least.union(alone).distinct(), "kept")
+    keep(kept)
+    same = (F.col("kept_id") == F.col("own_id")) & F.col("kept_exact").eqNullSafe(F.col("own_exact"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("own_id"), exact_text().alias("own_exact"), F.struct(*docs.columns).alias("row"))
+    once = rows.groupBy("own_id", "own_exact").agg(F.min("row").alias("row")).join(kept, same, "left_semi").select("row.*")
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def _classes(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and a node for each different word sequence with the first of its documents."""
     signed = cut(signatures(docs, like), "signatures")
     named = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     first = [F.first(c).alias(c) for c in ("n_shingles", "signature", "bands")]  # alike in all rows of a digest
-    nodes = cut(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), *first).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    return _result(signed, nodes, components(_links(docs, nodes, like), "final"))
+    return signed, cut(named.groupBy("digest").agg(F.min(F.struct("doc_id", "exact")).alias("rep"), *first).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _same_document(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the texts that share a doc_id."""
+    named = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "digest")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id", "one")
+    pairs = named.distinct().join(several, "doc_id").where("digest <> one").select("one", F.col("digest").alias("other")).distinct()
+    of = nodes.select("digest", "node")
+    return pairs.join(of.toDF("one", "a"), "one").join(of.toDF("other", "b"), "other").select("a", "b")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """digest, and the least document of its component."""
+    of = nodes.select("node", "rep", "digest").join(roots.withColumnRenamed("id", "node"), "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
+    return of.join(of.groupBy("root").agg(F.min("rep").alias("least")), "root").select("digest", "least")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
     """Confirmed links that connect all nodes that any links of shared bands connect."""
     keys = nodes.select(F.explode("bands").alias("band"), "node", "n_shingles")
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut(keys.join(shared, "band"), "members")
+    shared = cut(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    heavy = heavy_keys(shared, "band", "members", nodes.count() * like.bands)
+    salted = ["band", "salt"]
+    members = cut(dealt(keys, heavy, "band", "node").join(spread(shared, heavy, "band"), salted), "members")
     sets = _sets(docs, nodes, members, like.words)
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = members.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("hub"))
     share = like.share
     linked = lambda pairs: cut(_confirm(_with_sets(_with_signatures(pairs, nodes, share), sets), share), "links")
-    first = linked(_hub_pairs(members.join(hubs, "band"), share))
-    rooted = members.join(components(first).withColumnRenamed("id", "node"), "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("left")).where("lo <> hi").select("band", "left")
-    rest = cut(rooted.join(open_, "band"), "open")
+    first = linked(_hub_pairs(members.join(spread(hubs, heavy, "band"), salted), share))
+    rooted = members.join(components(first).withColumnRenamed("id", "node"), "node", "left").select(*salted, "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("low"), F.count(F.lit(1)).alias("left")).where("lo <> hi").select("band", "left", "low")
+    rest = cut(rooted.join(spread(open_, heavy, "band"), salted), "open")
     few = linked(_all_pairs(rest.where(F.col("left") <= SMALL), share))
     return first.union(few).union(cut(_cluster_links(rest.where(F.col("left") > SMALL), sets, share), "links"))
 
@@ -247,9 +307,9 @@ def _fits(a: Column | str, b: Column | str, share: int) -> Column:
 
 
 def _hub_pairs(with_hubs: DataFrame, share: int) -> DataFrame:
-    """Each node with the weightiest hub of its bands whose size allows a link."""
+    """Each node (a) with the weightiest hub (b) of its bands whose size allows a link."""
     each = with_hubs.where((F.col("node") != F.col("hub.node")) & _fits("n_shingles", "hub.n_shingles", share)).groupBy("node").agg(F.max("hub")["node"].alias("hub"))
-    return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return each.select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def _all_pairs(rest: DataFrame, share: int) -> DataFrame:
@@ -262,18 +322,23 @@ def _all_pairs(rest: DataFrame, share: int) -> DataFrame:
 
 def _cluster_links(rest: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links between components of large bands, in bounded blocks of sets."""
-    low = rest.groupBy("band").agg(F.min("node").alias("low"))
-    together = components(rest.join(low, "band").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "clusters").toDF("node", "cluster")
-    own = rest.select("node", "root", "n_shingles").distinct().join(together, "node")
+    together = components(rest.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "clusters").toDF("node", "cluster")
+    own = cut(rest.select("node", "root", "n_shingles").distinct().join(together, "node"), "clustered")
     sizes = own.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = lambda total, size: F.ceil(F.col(total) / size) + 1
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("s").alias("all"), (F.sum("s") - F.max(F.struct("n", "s"))["s"]).alias("outside"))
-    rows = own.join(main, "cluster").join(sets, "node")
-    block = lambda total, size: F.pmod(F.xxhash64("node"), F.ceil(F.col(total) / size) + 1).cast("int")
+    main = main.select("cluster", "main", blocks("outside", ASKING).alias("n_a"), blocks("all", ASKED).alias("n_b"))
+    rows = join_dealt(own, main, "cluster", "node").join(sets, "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int").alias("block")
     one = F.struct("node", "root", "shingles").alias("x")
-    pack = lambda df, prefix: df.groupBy("cluster", "block").agg(F.collect_list("x").alias("xs")).select("cluster", *(F.col(f"xs.{c}").alias(f"{prefix}_{c}") for c in ("node", "root", "shingles")))
-    asking = pack(rows.where("root <> main").select("cluster", block("outside", ASKING).alias("block"), one), "a")
-    asked = pack(rows.select("cluster", block("all", ASKED).alias("block"), one), "b")
-    return asking.join(asked, "cluster").drop("cluster").mapInArrow(partial(_connect, share=share), "a long, b long")
+    pack = lambda df, prefix: df.groupBy("cluster", "block", "n_a", "n_b").agg(F.collect_list("x").alias("xs")).select("cluster", "block", "n_a", "n_b", *(F.col(f"xs.{c}").alias(f"{prefix}_{c}") for c in ("node", "root", "shingles")))
+    asking = pack(rows.where("root <> main").select("cluster", block(F.col("n_a")), "n_a", "n_b", one), "a")
+    asked = pack(rows.select("cluster", block(F.col("n_b")), "n_a", "n_b", one), "b")
+    # a key is an asked block and a group of asking blocks, so the block pairs of one cluster go to many tasks
+    group = lambda n: F.floor(n / GROUP).cast("int")
+    asking = asking.withColumn("b_block", F.explode(F.sequence(F.lit(0), (F.col("n_b") - 1).cast("int")))).withColumn("group", group(F.col("block"))).drop("block", "n_a", "n_b")
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), group(F.col("n_a") - 1)))).withColumnRenamed("block", "b_block").drop("n_a", "n_b")
+    return asking.join(asked, ["cluster", "b_block", "group"]).drop("cluster", "b_block", "group").mapInArrow(partial(_connect, share=share), "a long, b long")
 
 
 def _connect(batches, share: int):
@@ -315,22 +380,14 @@ def _with_signatures(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFram
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    """Pairs with both sets; a hub's copies of its set are made in many tasks."""
+    second = join_dealt(cut(pairs, "likely"), sets.toDF("b", "set_b"), "b", "a")  # a hub is always b
+    return second.join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """Shingle sets of the nodes in shared bands, from a second scan of the texts."""
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep"), "digest")
     texts = documents(docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = shingle_sets(texts, words).withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "digest"])
     return cut(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
-
-
-def _result(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every row with the smallest doc_id of its component."""
-    of = nodes.select("node", "rep", "digest").join(roots.withColumnRenamed("id", "node"), "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("rep").alias("component"))
-    by_digest = of.join(least, "root").select("digest", "component")
-    rows = signed.select("doc_id", "digest", "n_shingles").join(by_digest, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

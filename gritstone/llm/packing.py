@@ -9,7 +9,8 @@ its bins are made once and survive lost executors. A task packs at most
 no round gathers the corpus in one task.
 
 Edge cases: null and empty texts are one piece of the end id alone; repeated rows are
-packed as often as they occur; an empty table packs into no bins.
+packed as often as they occur; a long text is cut into pieces and packed whole; an empty table packs into no bins;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrow_schema, cut, documents, held, map_text
+from .frames import arrow_schema, cut, documents, held, keep, map_text, scratch, scratched
 from .wordstore import WordStore
 
 FLUSH = 200_000
@@ -208,6 +209,7 @@ def _pack_round(items: DataFrame, level: int, limit: int) -> DataFrame:
     return items.select("used", "members").mapInArrow(run, BINS)
 
 
+@scratched
 def pack(pieces: DataFrame, limit: int = 4096, nearly: int = 16, fan: int = 8) -> DataFrame:
     """Pieces with sequence_id and offset. `nearly`: bins with at most this room are final; `fan`: partitions merged by a round."""
     member = F.struct("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
@@ -218,6 +220,7 @@ def pack(pieces: DataFrame, limit: int = 4096, nearly: int = 16, fan: int = 8) -
         under = bins.where(F.col("used") < limit - nearly)
         n = under.count()
         last = parts <= 1 or n < 2 or (before is not None and n > 0.99 * before)
+        keep(bins)
         done.append(bins if last else bins.where(F.col("used") >= limit - nearly))
         if last:
             break
@@ -231,7 +234,10 @@ def pack(pieces: DataFrame, limit: int = 4096, nearly: int = 16, fan: int = 8) -
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
     """Documents to packed pieces."""
-    return pack(cut(tokenise(docs, tokenizer_file, end_id, limit), "pieces"), limit)
+    with scratch(docs.sparkSession) as own:
+        out = pack(cut(tokenise(docs, tokenizer_file, end_id, limit), "pieces"), limit)
+        own.keep_passed()
+    return out
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer_file: str, end_id: int = 1, limit: int = 4096) -> DataFrame:

@@ -10,8 +10,9 @@ counts: rows get their place within a shard and a bucket of the input's order, a
 running totals of the buckets are added. Keys have no say in the buckets, so repeated
 rows don't meet in one task.
 
-Edge cases: null texts have one byte of size; a null doc_id is a key of its own;
-repeated doc_ids go to one shard; an empty table has no rows.
+Edge cases: a child of weight 0, as a shard that is being drained, gets no keys, and a tree without any weight is
+refused; null texts have one byte of size, long ones are measured whole; a null doc_id is a key of its own; repeated
+doc_ids go to one shard; an empty table has no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, keep, scratched
 
 #: Rows of the input that are numbered together; other buckets are numbered beside them.
 BUCKET_ROWS = 1 << 16
@@ -53,12 +54,17 @@ def place(key: Column, node: Node) -> Column:
     """The shard of a key below a node."""
     if node.shard is not None:
         return F.lit(node.shard)
-    if len(node.children) == 1:
-        return place(key, node.children[0])
-    draws = [F.struct((_draw(key, c.name) / F.lit(c.weight)).alias("draw"), F.lit(i).alias("child")) for i, c in enumerate(node.children)]
+    if any(not c.weight >= 0 for c in node.children):
+        raise ValueError(f"a child of {node.name} has a weight below 0")
+    live = [c for c in node.children if c.weight > 0]
+    if not live:
+        raise ValueError(f"no child of {node.name} has a weight above 0")
+    if len(live) == 1:
+        return place(key, live[0])
+    draws = [F.struct((_draw(key, c.name) / F.lit(c.weight)).alias("draw"), F.lit(i).alias("child")) for i, c in enumerate(live)]
     choice = F.least(*draws)["child"]
-    below = [place(key, c) for c in node.children]
-    return F.element_at(F.array(*below), choice + 1) if all(c.shard is not None for c in node.children) else _case(choice, below)
+    below = [place(key, c) for c in live]
+    return F.element_at(F.array(*below), choice + 1) if all(c.shard is not None for c in live) else _case(choice, below)
 
 
 def _case(choice: Column, below: list[Column]) -> Column:
@@ -74,6 +80,7 @@ def _draw(key: Column, name: str) -> Column:
     return -F.log((bits.cast("double") + 0.5) / float(1 << 52))
 
 
+@scratched
 def assign(docs: DataFrame, root: Node, grown: Node | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -82,7 +89,9 @@ def assign(docs: DataFrame, root: Node, grown: Node | None = None, bucket_rows:
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         place(key, root).cast("int").alias("shard"), (place(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
     )
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "placed").withColumn("bucket", F.floor(F.col("row") / bucket_rows))
+    written = cut(rows.withColumn("row", F.monotonically_increasing_id()), "placed")
+    keep(written)
+    rows = written.withColumn("bucket", F.floor(F.col("row") / bucket_rows))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row")) - 1

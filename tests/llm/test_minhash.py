@@ -61,7 +61,26 @@ def test_odd_rows(odd_docs, no_docs):
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
-    assert by[2] == by[2] and by[2][0] == (0, 2, True) and by[3][0] == (0, 3, True) and by[4][0] == (0, 4, True)
+    assert by[2] == [(0, 2, True)] and by[3][0] == (0, 3, True) and by[4][0] == (0, 4, True)
     assert by[6] == [by[6][0]] * 2 and by[6][0][1:] == (1, False) and by[1][0][1:] == (1, True)
     assert by[None][0][1:] == (None, True) and by[8][0] == (1, 8, True)
     assert m.duplicates(no_docs).collect() == []
+
+
+def test_texts_of_one_document_are_linked(spark):
+    a, b, c = ("one text of some length", "quite another text than that", "a third one of its own")
+    rows = [(1, a), (6, a), (6, b), (9, b), (4, c), (None, b)]
+    got = m.duplicates(spark.createDataFrame(rows, "doc_id long, text string"), LIKE).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 1, True), (4, 4, True), (6, 1, False), (6, 1, False), (9, 1, False)]
+
+
+def test_heavy_keys_lose_no_rows(spark, monkeypatch):
+    """Joins whose keys are dealt over tasks, with every key heavy and with none."""
+    from gritstone.llm import frames
+
+    rows = frames.cut(spark.range(1000).selectExpr("id", "if(id % 3 = 0, 0, id) as k"), "rows")
+    one = rows.select("k").distinct().withColumn("twice", rows.k * 2)
+    for heavy in (1, 10**9):
+        monkeypatch.setattr(frames, "HEAVY", heavy)
+        got = frames.join_dealt(rows, one, "k", "id").collect()
+        assert sorted((r.id, r.k, r.twice) for r in got) == sorted((i, k, 2 * k) for i in range(1000) if (k := 0 if i % 3 == 0 else i) is not None)

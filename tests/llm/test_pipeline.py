@@ -1,9 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from gritstone.llm import compression_quality, frames, pii, toxicity
-from gritstone.llm.queries import QUERIES
 
 
 def test_stages_keep_columns_and_take_effect(spark, small, texts):
@@ -28,14 +31,48 @@ def test_stages_keep_columns_and_take_effect(spark, small, texts):
     assert {r.doc_id for r in packed} == {c for _, c in components.values()}
 
 
+def _left(spark):
+    """Tables in the shared folder."""
+    return sorted(Path(frames.shared_dir(spark).removeprefix("file://")).glob("*"))
+
+
 def test_run_and_names(spark, small):
     assert [n for n, _ in p.STAGES] == ["toxicity", "quality", "near_dedup", "pii", "packing"]
-    before = frames.written()
+    before = _left(spark)
     assert p.run(spark, small).agg(F.max("length")).first()[0] <= 4096
-    assert frames.written() == before + 1  # only the result's own table is left
-    assert len(QUERIES) == 10
+    assert len(_left(spark)) == len(before) + 1  # only the result's own table is left
+
+
+def test_runs_side_by_side_and_failures_leave_nothing_behind(spark, small, monkeypatch):
+    before = _left(spark)
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(p.run, spark, small) for _ in range(2)]
+    counts = [r.result().count() for r in runs]
+    assert counts[0] == counts[1] > 0 and len(_left(spark)) == len(before) + 2
+    monkeypatch.setattr(p, "STAGES", [*p.STAGES[:3], ("bad", lambda spark, docs, sf_dir: 1 / 0)])
+    with pytest.raises(ZeroDivisionError):
+        p.run(spark, small)
+    assert len(_left(spark)) == len(before) + 2
 
 
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d", 1), (1, "a b c d", 1), (None, "a b c d", 2), (2, "e f g h", 3)], "doc_id long, text string, n_chars long")
     assert sorted(str(r.doc_id) for r in p.drop_copies(spark, docs, "").collect()) == ["1", "2", "None"]
+
+
+def test_no_text_is_lost_where_an_id_has_two(spark):
+    a, b = "one text of some length that two ids have", "another text that is not like the first at all"
+    docs = spark.createDataFrame([(1, a, "x"), (6, a, "x"), (6, b, "x"), (6, None, "y"), (6, "", "y"), (7, None, "z"), (7, None, "a")], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.text, r.lang) for r in p.drop_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a, "x"), (6, b, "x"), (6, None, "y"), (6, "", "y"), (7, None, "a")], key=str)
+
+
+def test_odd_tables(spark, tmp_path, odd_docs, no_docs):
+    """Nulls, repeated rows, clashing columns and no rows at all, through the whole run."""
+    spark.createDataFrame([(1, 0), (5, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    odd_docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id for r in got} <= {1, None, 5, 7, 9} and {1, None} <= {r.doc_id for r in got}
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    no_docs.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert p.run(spark, f"{tmp_path}/none").collect() == []

@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from gritstone.llm import sharding as s
@@ -41,3 +42,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.grown_shard is None for r in rows)
     assert {r.size for r in rows if r.doc_id in (2, 3)} == {1} and len({r.shard for r in rows if r.doc_id == 6}) == 1
     assert s.assign(no_docs, s.tree(4)).collect() == []
+
+
+def test_weight_zero(spark):
+    """A shard that is drained gets no keys, and only its keys move; no weight at all is refused."""
+    ids = spark.range(5_000).select(F.col("id").cast("string").alias("k"))
+    root = lambda w: s.Node("root", (s.Node("a", (s.Node("x", own=w, shard=0), s.Node("y", own=1.0, shard=1))), s.Node("z", own=1.0, shard=2)))
+    moved = ids.select(s.place(F.col("k"), root(1.0)).alias("a"), s.place(F.col("k"), root(0.0)).alias("b"))
+    assert moved.where("b = 0").count() == 0 and moved.where("a <> 0 and a <> b and a <> 1").count() == 0
+    for bad in (s.Node("root", (s.Node("x", own=0.0, shard=0), s.Node("y", own=0.0, shard=1))), s.Node("root", (s.Node("x", own=-1.0, shard=0), s.Node("y", own=2.0, shard=1)))):
+        with pytest.raises(ValueError):
+            s.place(F.col("k"), bad)
