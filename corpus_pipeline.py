@@ -1,4 +1,9 @@
-"""A training-data pipeline over `documents`: five stages, each one operator of the llm package."""
+"""A training-data pipeline over `documents`: five stages, each one operator of the llm package.
+
+Edge cases: each stage judges a row by its own text, whole, however long; a null or empty text fails the quality rules and
+goes; rows that repeat a text, with one doc_id or several, count once; rows without doc_id pass the near-dedup stage;
+an empty table gives an empty result; columns of any names besides doc_id and text reach the last stage as they are.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.llm import compression_quality, minhash, packing, pii, toxicity
-from gritstone.llm.frames import clean_up, cut, table, written
+from gritstone.llm.frames import cut, discard, scratch, table
 from gritstone.llm.queries import vocabulary
 
 
@@ -22,10 +27,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; rows that repeat a doc_id count once."""
-    kept = minhash.duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicate texts, the one with the smallest doc_id; rows without doc_id stay."""
+    return minhash.drop_copies(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +50,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's rows are written to the shared folder and read again.
 
-    When a stage is written, what it and the stage before it had written goes.
+    When a stage is written, what it and the stage before it had written goes, also if a stage fails.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    start = written()
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        clean_up(spark, start, -1)
+        try:
+            with scratch(spark) as own:
+                out = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                own.keep(out)
+        finally:
+            discard(docs)
+        docs = out
     return docs
