@@ -1,9 +1,9 @@
 """Operator 6: chat formatting in budgeted windows.
 
 Running sums of turn tokens cut a conversation into spans of whole turns. Each span is
-formatted as a window: the system turn, the last turns before the span as far as the
-history budget goes, then the span's own turns. The loss mask covers an assistant's text in
-its own span only; system and history turns that are repeated stay unmasked.
+formatted as a window: the system turn, all turns before the span that begin within the
+history budget of its beginning, whatever spans they are from, then the span's own turns. The loss
+mask covers an assistant's text in its own span only; system and history turns that are repeated stay unmasked.
 
 The running sum has two levels, within runs of `RUN` turn numbers and over the runs'
 totals, so a very long conversation is summed in many tasks. A window stays within its
@@ -15,7 +15,9 @@ roles and texts, `[` and `<` that begin a control string, and the escape sign `\
 the sign in front; so no text can end its turn, and removing one sign gives the text back.
 
 Edge cases: null texts and roles are empty; null conversation ids are a conversation of
-their own; null turn numbers come first; equal turn numbers follow in the order of role, the text's first 64 characters and place in the table.
+their own; null turn numbers come first; equal turn numbers follow in the order of role and of a sha256 of the whole
+text, so the order of rows in the table has no say; repeated rows are turns each; a text is never cut; an empty
+table has no windows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import cut
+from .frames import cut, keep, scratched
 
 BUDGET, HISTORY, SYSTEM, RUN = 2048, 512, 256, 256
 HEAD, TAIL, OPEN, CLOSE = "<s>", "</s>", "[INST] ", " [/INST]"
@@ -71,42 +73,56 @@ def with_tokens(turns: DataFrame, tokenizer_file: str) -> DataFrame:
     return turns.mapInArrow(run, T.StructType([*turns.schema.fields, T.StructField("n_tokens", T.LongType())]))
 
 
+@scratched
 def format_windows(conversations: DataFrame, tokenizer_file: str, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM) -> DataFrame:
     """One row a window: conv_id, window, n_turns, n_repeated, text, loss (spans of code points, end exclusive)."""
     base = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE), escape(F.col("text")))
-    numbered = base.select("conv_id", "turn", "role", body.alias("body"), F.substring("text", 1, 64).alias("begin"), F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 40))).alias("run"))
+    numbered = base.select("conv_id", "turn", "role", body.alias("body"), F.unhex(F.sha2("text", 256)).alias("whole"), F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 40))).alias("run"))
     turns = cut(with_tokens(numbered, tokenizer_file).withColumn("id", F.monotonically_increasing_id()), "turns")
     # spans are chosen on lengths alone; the texts join them once, when all is placed
-    order = [F.col("turn").asc_nulls_first(), "role", "begin", "id"]
+    order = [F.col("turn").asc_nulls_first(), "role", "whole", "id"]
     run = Window.partitionBy("conv_id", "run").orderBy(*order)
     inner = turns.drop("body").withColumns({"in_run": F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(run)})
     runs = turns.groupBy("conv_id", "run").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
     earlier = Window.partitionBy("conv_id").orderBy("run")
     runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), (F.sum("n").over(earlier) - F.col("n")).alias("before"), (F.sum("k").over(earlier) - F.col("k")).alias("k_before"))
     placed = inner.join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r"))).select(
-        "id", "conv_id", "role", "n_tokens", (F.col("in_run") + F.col("before")).alias("upto"), (F.col("nth") + F.col("k_before")).alias("place")
+        "id", "conv_id", "role", (F.col("in_run") + F.col("before") - F.col("n_tokens")).alias("begin"), (F.col("in_run") + F.col("before")).alias("upto"), (F.col("nth") + F.col("k_before")).alias("place")
     )
     # the running sum is ruled into stretches; a span holds the turns inside one, or the single turn that crosses its end
     stretch = max(1, budget - history - system)
-    begins, ends = F.floor((F.col("upto") - F.col("n_tokens")) / stretch), F.floor((F.col("upto") - 1) / stretch)
+    begins, ends = F.floor(F.col("begin") / stretch), F.floor((F.col("upto") - 1) / stretch)
     placed = cut(placed.withColumn("window", (2 * begins + (ends > begins).cast("long")).cast("long")), "placed")
     head = (F.col("place") == 1) & (F.col("role") == ROLE_SYSTEM)
-    systems = placed.where(head).select("id", "conv_id", "place")
-    # history: a turn of the span before, if it lies within the history budget before this span's beginning
-    start = placed.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("n_tokens")).alias("start"))
-    order_w = Window.partitionBy("conv_id").orderBy("window")
-    start = start.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), F.lead("window").over(order_w).alias("next"), F.lead("start").over(order_w).alias("next_start"))
-    same = F.col("conv_id").eqNullSafe(F.col("c"))
-    linked = placed.join(start, same & (F.col("window") == F.col("w")))
-    repeat = F.col("next").isNotNull() & (F.col("next_start") - F.col("upto") + F.col("n_tokens") <= history) & ~head
-    own, again = F.struct(F.col("window").alias("window"), F.lit(True).alias("own")), F.struct(F.col("next").alias("window"), F.lit(False).alias("own"))
-    rows = linked.select("id", "conv_id", "place", F.explode(F.when(repeat, F.array(own, again)).otherwise(F.array(own))).alias("use")).select("id", "conv_id", "use.window", "place", "use.own")
-    later = start.where("next is not null").select("c", F.col("next").alias("window"))
-    kept = systems.join(later, same).select("id", "conv_id", "window", "place", F.lit(False).alias("own"))
-    return _format(rows.unionByName(kept).join(turns.select("id", "role", "body"), "id"))
+    starts = placed.groupBy("conv_id", "window").agg(F.min("begin").alias("start"))
+    rows = placed.select("id", "conv_id", "window", "place", F.lit(True).alias("own"))
+    rows = rows.unionByName(_history(placed.where(~head), starts, history)).unionByName(_systems(placed.where(head), starts))
+    keep(turns, placed)
+    return _format(rows.join(turns.select("id", "role", "body"), "id"))
+
+
+def _history(placed: DataFrame, starts: DataFrame, history: int) -> DataFrame:
+    """Turns in later windows: those that begin at most `history` tokens before a window that starts at or after their end.
+
+    Both sides meet by stretches of `history` tokens; a turn looks into the two that its windows can start in.
+    """
+    if history <= 0:
+        return placed.limit(0).select("id", "conv_id", "window", "place", F.lit(False).alias("own"))
+    part = lambda x: F.floor(x / history)
+    near = placed.where(F.col("upto") <= F.col("begin") + history).select("id", "conv_id", "place", "begin", "upto", F.explode(F.array_distinct(F.array(part(F.col("begin")), part(F.col("begin") + history)))).alias("part"))
+    to = starts.select(F.col("conv_id").alias("c"), "window", "start", part(F.col("start")).alias("p"))
+    meets = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    inside = (F.col("start") >= F.col("upto")) & (F.col("start") <= F.col("begin") + history)
+    return near.join(to, meets).where(inside).select("id", "conv_id", "window", "place", F.lit(False).alias("own"))
+
+
+def _systems(systems: DataFrame, starts: DataFrame) -> DataFrame:
+    """The system turn in every window after the first."""
+    later = starts.where("start > 0").select(F.col("conv_id").alias("c"), "window")
+    return systems.select("id", "conv_id", "place").join(later, F.col("conv_id").eqNullSafe(F.col("c"))).select("id", "conv_id", "window", "place", F.lit(False).alias("own"))
 
 
 def _format(rows: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Operator 2: quality rules with compression bands.
 
 zstandard ratios (compressed over plain bytes) of the whole document and of fixed
-chunks are held against a band that depends on the length: text below it repeats
-itself, text above it is close to random. Base counts of words, symbols, repeated
-lines and repeated five-word windows come along.
+chunks are held against a band that depends on the length and on whether most characters are
+single bytes: text below it repeats itself, text above it is close to random. From 4096 bytes on the
+ratio must also stay below the order-0 entropy of the text's own bytes: random text in any alphabet
+compresses to that and hardly further, natural text well below it. The last chunk takes in what is left over, so
+chunks cover the whole text. Base counts of words, symbols, repeated lines and repeated five-word windows come along.
 
 Edge cases: a null or empty text has no words and fails the base rule. Texts shorter than
-the first band's length have no compression verdict of their own: their ratio says nothing.
-Ratios are of UTF-8 bytes. Random text of three-byte characters still compresses to about two
-thirds, as their leading bytes are few, and so it stays within the bands.
+the first band's length have no compression verdict: their ratio says nothing. A long text is read whole.
+Repeated rows are judged one by one; an empty table has no rows in the result; other columns, whatever their
+names, are not read. Below 4096 bytes random words of a small alphabet (letters, hex digits) compress
+like prose and stay within the bands; so do random words of two-byte characters at any length, as their
+leading bytes repeat.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame
 
 from .frames import documents, map_batches, map_text
 
-#: From this many bytes on, the ratio of a whole document must lie within these limits.
-DOCUMENT_BANDS = ((256, 0.25, 0.95), (1024, 0.25, 0.85), (4096, 0.22, 0.75), (16384, 0.18, 0.70))
-#: Chunk bytes, limits for a chunk, and the share of chunks outside them that is too much.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (0.22, 0.80), 0.5
-SYMBOLS = b"[]#*$%&|<>"[2:]
+#: From so many bytes on: least ratio, most where nine tenths of the bytes are characters, most otherwise, most over the order-0 entropy.
+BANDS = ((256, 0.25, 0.88, 0.95, None), (512, 0.25, 0.80, 0.92, None), (1024, 0.25, 0.72, 0.85, None), (2048, 0.24, 0.66, 0.80, None), (4096, 0.22, 0.64, 0.75, 0.995), (8192, 0.20, 0.62, 0.72, 0.975), (16384, 0.18, 0.60, 0.70, 0.95))
+#: Chunk bytes, and the share of chunks outside their bands that is too much.
+CHUNK, CHUNK_SHARE = 2048, 0.5
+SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, odd_chunks long, n_chunks long, band string, kept boolean"
 
@@ -72,19 +76,42 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _entropy(raw: bytes) -> float:
+    """Order-0 entropy of bytes, in bytes a byte."""
+    share = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / len(raw)
+    share = share[share > 0]
+    return float(-(share * np.log2(share)).sum()) / 8
+
+
+def _judged(raw: bytes) -> tuple[float, str]:
+    """Ratio of some text, and whether it lies in its length's band: ok, repetitive or random."""
+    ratio = len(_compressor().compress(raw)) / len(raw)
+    _, low, plain, wide, over = next(b for b in reversed(BANDS) if len(raw) >= b[0])
+    characters = len(raw) if raw.isascii() else len(raw.decode("utf-8", "ignore"))
+    if ratio < low:
+        return ratio, "repetitive"
+    return ratio, "random" if ratio > (plain if 10 * characters >= 9 * len(raw) else wide) or over is not None and ratio > over * _entropy(raw) else "ok"
+
+
+def _chunks(raw: bytes) -> list[bytes]:
+    """Fixed chunks of all of a text; a rest too short for a band belongs to the last one."""
+    starts = list(range(0, len(raw), CHUNK))
+    if len(starts) > 1 and len(raw) - starts[-1] < BANDS[0][0]:
+        starts.pop()
+    return [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+
 def compression(text: str | None) -> tuple[float | None, int, int, str]:
-    """Ratio of the whole text, chunks outside the chunk band, chunks, and the verdict: ok, short, repetitive or random."""
+    """Ratio of the whole text, chunks outside their bands, chunks, and the verdict: ok, short, repetitive or random."""
     raw = (text or "").encode("utf-8", "replace")
-    if len(raw) < DOCUMENT_BANDS[0][0]:
+    if len(raw) < BANDS[0][0]:
         return None, 0, 0, "short"
-    squeeze = _compressor().compress
-    ratio = len(squeeze(raw)) / len(raw)
-    low, high = next((lo, hi) for n, lo, hi in reversed(DOCUMENT_BANDS) if len(raw) >= n)
-    starts = range(0, len(raw) - CHUNK + 1, CHUNK) if len(raw) > CHUNK else ()
-    parts = [len(squeeze(raw[i : i + CHUNK])) / CHUNK for i in starts]
-    few, many = sum(r < CHUNK_BAND[0] for r in parts), sum(r > CHUNK_BAND[1] for r in parts)
-    verdict = "repetitive" if ratio < low or few > CHUNK_SHARE * len(parts) else "random" if ratio > high or many > CHUNK_SHARE * len(parts) else "ok"
-    return ratio, few + many, len(parts), verdict
+    ratio, verdict = _judged(raw)
+    chunks = [_judged(x)[1] for x in _chunks(raw)]
+    for odd in ("repetitive", "random"):
+        if verdict == "ok" and chunks.count(odd) > CHUNK_SHARE * len(chunks):
+            verdict = odd
+    return ratio, len(chunks) - chunks.count("ok"), len(chunks), verdict
 
 
 def assess(docs: DataFrame) -> DataFrame:

@@ -217,9 +217,9 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     labels = cut(labels, name)
     while True:
         near = dealt(edges, heavy, "b", "a").join(spread(labels.withColumnRenamed("id", "b"), heavy, "b"), ["b", "salt"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "id").select("id", F.least("root", "near").alias("new"), "root")
-        jump = lower.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        moved = cut(lower.join(jump, "new", "left").select("id", F.least("new", F.coalesce("far", "new")).alias("root"), (F.least("new", F.coalesce("far", "new")) < F.col("root")).alias("moved")), name)
+        lower = cut(labels.join(near, "id").select("id", F.least("root", "near").alias("new"), "root"), f"{name}-lower")
+        jump = lower.select(F.col("id").alias("new"), F.col("new").alias("far"))  # every label is an id
+        moved = cut(join_dealt(lower, jump, "new", "id").select("id", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")), name)
         labels = moved.select("id", "root")
         if not moved.where("moved").limit(1).count():
             return labels

@@ -7,10 +7,13 @@ program chooses boundaries and types together. Its spans that no base span overl
 addresses in forms that the patterns leave out, and secret tokens. Base spans always stay.
 
 The field learns from generated lines: each type in several written forms, and numbers
-that are none of them. Away from digits and @ there are no candidates, so
-the program splits there exactly, and most of a text costs one search for digits.
+that are none of them. Words without digits or @ end a stretch of candidates, lone signs and white space of any
+kind and length do not; the program splits there, and most of a text costs one search for digits.
+A candidate has at most `MOST` tokens and, without @ or letters, at most `MOST_DIGITS` digits, as the longest
+card number; so their number grows with the text, however long, also in tables of figures.
 
-Edge cases: null texts are empty; repeated rows are judged one by one; offsets are code points.
+Edge cases: null texts are empty; repeated rows are judged one by one; offsets are code points; an empty table
+has no rows in the result; other columns, whatever their names, are passed on by `redact` and not read by `annotate`.
 """
 
 from __future__ import annotations
@@ -82,7 +85,7 @@ _CUES = (("email", ("mail", "email", "contact")), ("ip", ("ip", "host", "server"
 _HEX = re.compile(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*")
 FEATURES = (
     "bias", "at", "dots", "three dots", "four small numbers", "plus", "bracket", "digits 1-6", "digits 7-8", "digits 9-12", "digits 13-19", "digits 20+", "checksum", "one number", "groups of four", "even groups", "letters and digits",
-    "long mixed", "letters only", "ends in letters", "domain end", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "blank inside", "odd sign", "short groups", "joined left", "joined right",
+    "long mixed", "letters only", "ends in letters", "domain end", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "blank inside", "odd sign", "short groups", "joined left", "joined right", "single digits", "four numbers and no cue", "line end and no cue", "begins with 00",
 )
 K = {name: i for i, name in enumerate(FEATURES)}
 _DOMAIN_END = re.compile(r"\.[A-Za-z]{2,6}$")
@@ -99,13 +102,15 @@ def span_features(text: str, start: int, end: int, before: str) -> list[int]:
     on += ["four small numbers"] * (len(numbers) == 4 and letters == 0 and all(len(x) < 4 and int(x) < 256 for x in numbers))
     on += ["checksum"] * (12 < n < 20 and luhn(digits)) + ["one number"] * (s == digits) + ["groups of four"] * (len(numbers) > 2 and letters == 0 and all(len(x) == 4 for x in numbers[:-1]))
     on += ["letters only"] * (n == 0) + ["letters and digits"] * (n > 0 < letters) + ["long mixed"] * (len(s) > 19 and n > 3 and letters > 3 and bool(_HEX.fullmatch(s))) + ["ends in letters"] * s[-1].isalpha()
-    on += ["domain end"] * bool(_DOMAIN_END.search(s)) + ["blank inside"] * (" " in s) + ["odd sign"] * bool(re.search(r"[^\w\s.@+()-]", s)) + ["short groups"] * (len(numbers) > 5) + ["even groups"] * (len(numbers) > 1 and len({len(x) for x in numbers}) == 1)
-    on += [f"cue {kind}" for kind, cues in _CUES if any(c in before for c in cues)]
+    on += ["domain end"] * bool(_DOMAIN_END.search(s)) + ["blank inside"] * any(c.isspace() for c in s) + ["odd sign"] * bool(re.search(r"[^\w\s.@+()-]", s)) + ["short groups"] * (len(numbers) > 5) + ["even groups"] * (len(numbers) > 1 and len({len(x) for x in numbers}) == 1)
+    cued = [f"cue {kind}" for kind, cues in _CUES if any(c in before for c in cues)]
+    on += cued + ["single digits"] * (len(numbers) > 2 and 2 * sum(len(x) == 1 for x in numbers) >= len(numbers)) + ["four numbers and no cue"] * (len(numbers) > 3 and not cued and "+" not in s) + ["line end and no cue"] * ("\n" in s and not cued) + ["begins with 00"] * (s[:2] == "00" and len(numbers) > 2)
     on += ["joined left"] * (start > 0 and text[start - 1].isalnum()) + ["joined right"] * (end < len(text) and text[end].isalnum())
     return [K[x] for x in on]
 
 
-_CHUNK = re.compile(r"\S*[0-9@]\S*(?:[ \t]\S*[0-9@]\S*)*")
+#: Words with a digit or @, parted by white space and lone signs.
+_CHUNK = re.compile(r"\S*[0-9@]\S*(?:\s+(?:[^\w\s]{1,3}\s+)?\S*[0-9@]\S*)*")
 
 
 def windows(text: str):
@@ -116,26 +121,26 @@ def windows(text: str):
         yield tokens, re.findall(r"[a-z]+", front.lower())[-3:]
 
 
-#: Without @, an entity has this many digits at least and this many numbers at most; bounds candidates in tables of figures.
-LEAST_DIGITS, MOST_NUMBERS = 4, 6
+#: Without @, an entity has this many digits at least; without @ and letters, this many at most.
+LEAST_DIGITS, MOST_DIGITS = 4, 19
 
 
 def candidates(text: str, tokens: list[tuple[int, int]], before: list[str]) -> list[tuple[int, int, list[int]]]:
     """Segments (first token, token after the last, features): whole words of signs, from letter, digit, + or ( on, with a digit or @."""
     out = []
     digits_of = [sum(c in "0123456789" for c in text[a:b]) for a, b in tokens]
+    letter_in = [any(c.isalpha() for c in text[a:b]) for a, b in tokens]
     for i, (a, _) in enumerate(tokens):
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         inside = re.findall(r"[a-z]+", text[max(tokens[0][0], a - 40) : a].lower())
         front = " ".join([*before, *inside][-3:])
-        digits = numbers = 0
-        at = False
+        digits, at, letters = 0, False, False
         for j in range(i + 1, min(i + MOST, len(tokens)) + 1):
             s, b = tokens[j - 1]
-            digits, numbers = digits + digits_of[j - 1], numbers + (digits_of[j - 1] > 0)
-            at = at or text[s] == "@"
-            if numbers > MOST_NUMBERS and not at:
+            digits += digits_of[j - 1]
+            at, letters = at or text[s] == "@", letters or letter_in[j - 1]
+            if digits > MOST_DIGITS and not at and not letters:
                 break
             if (at or digits >= LEAST_DIGITS) and text[b - 1].isalnum():
                 out.append((i, j, span_features(text, a, b, front)))
@@ -236,17 +241,23 @@ def _examples(rng: random.Random) -> list[tuple[str, int, int, int]]:
         made += [(f"{word()}.{d(2)}@{host}", 1), (f"{word()}@{word()}", 1), (f"{word()}{d(2)}@mail{d(1)}.{host}", 1)]
         made += [(".".join(str(rng.randint(0, 255)) for _ in range(4)), 2)] * 2
         made += [(card(), 3), (grouped(card(), " "), 3), (grouped(card(), "-"), 3), (grouped(card(), "."), 3)]
+        pairs = [d(rng.choice([2, 2, 2, 1, 3])) for _ in range(rng.randint(4, 6))]
+        made += [(f"{rng.choice(['00 ', ''])}{d(2)} {' '.join(pairs)}", 4), (f"{d(3)} {rng.choice('-/.')} {d(3)} {rng.choice('-/.')} {d(4)}", 4), (f"{d(3)}{rng.choice(['  ', chr(160), chr(10)])}{d(3)}{rng.choice(['  ', chr(160), ' '])}{d(4)}", 4)]
+        made += [("  ".join(x[i : i + 4] for x in [card()] for i in range(0, len(x), 4)), 3)]
         made += [(f"+1 ({d(3)}) {d(3)}-{d(4)}", 4), (f"({d(3)}) {d(3)}-{d(4)}", 4), (f"+{d(2)} {d(3)} {d(4)} {d(3)}", 4), (f"{d(3)}-{d(3)}-{d(4)}", 4)]
         made += [("".join(rng.choice("0123456789abcdef") for _ in range(40)), 5)] * 2
         wrong = card()
         made += [(wrong[:-1] + str((int(wrong[-1]) + rng.randint(1, 9)) % 10), 0), (d(14), 0)] if rng.random() < 0.9 else []
-        made += [(d(rng.randint(1, 6)), 0), (f"{d(2)}.{d(2)}", 0), (f"{d(4)}-{d(2)}-{d(2)}", 0), (f"{d(2)}:{d(2)}", 0), (f"v{d(1)}.{d(1)}.{d(2)}", 0), (f"{word()}{d(2)}", 0), (f"{d(1)},{d(3)},{d(3)}", 0), (d(9), 0), (d(12), 0), (f"{d(2)} {d(2)} {d(3)}", 0), *((" ".join(d(n) for _ in range(rng.randint(3, 14))), 0) for n in (1, 2, 3))]
+        made += [(d(rng.randint(1, 6)), 0), (f"{d(2)}.{d(2)}", 0), (f"{d(4)}-{d(2)}-{d(2)}", 0), (f"{d(2)}:{d(2)}", 0), (f"v{d(1)}.{d(1)}.{d(2)}", 0), (f"{word()}{d(2)}", 0), (f"{d(1)},{d(3)},{d(3)}", 0), (d(9), 0), (d(12), 0), (d(16), 0), (d(rng.randint(13, 19)), 0), (f"{d(2)} {d(2)} {d(3)}", 0), *((" ".join(d(n) for _ in range(rng.randint(3, 14))), 0) for n in (1, 2, 3))]
+    for _ in range(60):  # tables of figures
+        figure = lambda: rng.choice([d(1), d(2), d(3), d(4), f"{d(1)}.{d(1)}", f"{d(2)},{d(1)}", f"{d(2)}.{d(2)}"])
+        made += [("\n".join(rng.choice(" \t").join(figure() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(2, 5))), 0), (rng.choice(["\n", "  ", " - ", " / "]).join(d(rng.randint(1, 4)) for _ in range(rng.randint(2, 8))), 0)]
     for _ in range(40):  # sums and calls: a sign or bracket right behind a letter or digit
         made += [(f"{d(1)}+{d(rng.randint(4, 5))}", 0), (f"{word()}+{d(rng.randint(4, 9))}", 0), (f"{word()}++{d(4)}", 0), (f"{word()}({d(rng.randint(4, 8))})", 0), (f"{word()}({d(rng.randint(4, 8))}, {d(2)})", 0)]
     cues = {kind: words for kind, words in _CUES}
     out = []
     for s, y in made:
-        front = f"{word()} {word()} " + (f"{rng.choice(cues[TYPES[y]])}{rng.choice([' ', ': ', ' = ', ' = ' + chr(34)])}" if y and (y == 5 or rng.random() < 0.4) else "")
+        front = f"{word()} {word()} " + (f"{rng.choice(cues[TYPES[y]])}{rng.choice([' ', ': ', ' = ', ' = ' + chr(34)])}" if y and (y == 5 or " " in s and y == 4 and "(" not in s or rng.random() < 0.4) else "")
         out.append((f"{front}{s}{rng.choice(['', '.', ',', chr(34)])} {word()} {word()}", len(front), len(front) + len(s), y))
     return out
 

@@ -10,8 +10,13 @@ most `SAMPLE` labelled rows; the trigram model, from the words of all documents
 lexicon; and a logistic score over the lexicon words in a restored text, from the sample again.
 Only rows with crc32(doc_id) mod 4 other than 2 teach.
 
-Edge cases: null and empty texts get the score of a text without lexicon words; without
-labelled rows all scores are 0; repeated labels of a document count as toxic if one says so.
+Tokens of any length go through the lattice. Lexicon words have at most `LONGEST` letters, a parameter of
+the model; so a token without signs that can be noise or a word's end and with more letters is none of them, and only such a one is passed over.
+
+Edge cases: null and empty texts get the score of a text without lexicon words; a long text is scored whole; without
+labelled rows or without documents all scores are 0; repeated labels of a document count as toxic if one says so, and of
+its repeated rows the one with the least text teaches; repeated rows are scored one by one; an empty table has no rows
+in the result; other columns, whatever their names, are passed on by `keep_clean` and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ N = len(LETTERS)
 KEEP, SWAP, SKIP, LOSE, REPEAT, TWICE = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.0005), math.log(0.3), math.log(0.005)
 #: The same of a blank between single signs: left out, left out where it is wider than one, and as a word's end.
 JOIN, WIDE, BREAK = math.log(0.5), math.log(0.1), math.log(0.5)
-LONGEST = 40  # lexicon words are no longer
+LONGEST = 40  # letters of a lexicon word
 _EDGE = string.punctuation + "«»“”„‘’…¡¿"
 _TWICE = re.compile(r"(.)\1+", re.S)
 _LONG = re.compile(r"(.)\1{3,}", re.S)
@@ -72,6 +77,18 @@ def trigram_counts(words: dict[str, int]) -> np.ndarray:
     return out
 
 
+def _readings(sign: str) -> str:
+    return sign if sign in _INDEX else LOOKALIKES.get(sign, "")
+
+
+def _repetitions(signs: list[str] | str) -> list[float | None]:
+    """For each sign, the weight of leaving it out as a repetition: the sign before is the same or may be the same letter."""
+    alike = lambda *xs: all(x == xs[0] for x in xs) or bool(set.intersection(*(set(_readings(x)) for x in xs)))
+    pair = [i > 0 and alike(signs[i - 1], signs[i]) for i in range(len(signs))]
+    triple = [False, False, *(pair[i - 1] and pair[i] and alike(*signs[i - 2 : i + 1]) for i in range(2, len(signs))), False, False]
+    return [(REPEAT if any(triple[i : i + 3]) else TWICE) if pair[i] else None for i in range(len(signs))]
+
+
 class Channel:
     """Restores disguised words."""
 
@@ -86,24 +103,23 @@ class Channel:
 
     def restore(self, token: str) -> str:
         """The most likely word behind a token, in lower-case letters."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        previous = ""
-        for at, sign in enumerate(token):
-            arcs = [(c, KEEP if c == sign else SWAP) for c in (sign if sign in _INDEX else LOOKALIKES.get(sign, ""))]
-            again = sign == previous
-            lost = (REPEAT if sign * 3 in token[max(0, at - 2) : at + 3] else TWICE) if again else LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        # a path is its score and a chain of letters, the last one first
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for sign, again in zip(token, _repetitions(token), strict=True):
+            arcs = [(c, KEEP if c == sign else SWAP) for c in _readings(sign)]
+            lost = again if again is not None else LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, word) in paths.items():
                 row = self.log[a][b]
                 for c, weight in arcs:
                     i = _INDEX[c]
                     x = score + weight + row[i]
                     if (b, i) not in after or after[b, i][0] < x:
-                        after[b, i] = (x, word + c)
+                        after[b, i] = (x, (word, c))
                 if lost is not None and ((a, b) not in after or after[a, b][0] < score + lost):
                     after[a, b] = (score + lost, word)
-            paths, previous = after or paths, sign
-        return max((score + self.log[a][b][0], word) for (a, b), (score, word) in paths.items())[1]
+            paths = after or paths
+        return _spelt(max(((score + self.log[a][b][0], word) for (a, b), (score, word) in paths.items()), key=lambda x: x[0])[1])
 
     def restore_words(self, text: str) -> list[str]:
         """The most likely words behind single signs: a blank or inner punctuation may be noise or the end of a word."""
@@ -120,15 +136,13 @@ class Channel:
         def broken(ends: dict, weight: float) -> tuple[float, tuple | None]:
             return max(((score + weight + end(state), (word, " ")) for state, (score, word) in ends.items()), key=lambda x: x[0])
 
-        for at, (gap, sign) in enumerate(signs):
+        for at, ((gap, sign), again) in enumerate(zip(signs, _repetitions([x for _, x in signs]), strict=True)):
             if gap and at:
                 cut = broken(paths, BREAK)
                 paths = {k: (score + (JOIN if gap == 1 else WIDE), word) for k, (score, word) in paths.items()}
                 if (0, 0) not in paths or paths[0, 0][0] < cut[0]:
                     paths[0, 0] = paths[""] = cut
-            arcs = [(c, KEEP if c == sign else SWAP) for c in (sign if sign in _INDEX else LOOKALIKES.get(sign, ""))]
-            again = at > 0 and sign == signs[at - 1][1]
-            thrice = again and any(all(x == sign for _, x in signs[i : i + 3]) and i + 3 <= len(signs) for i in range(max(0, at - 2), at + 1))
+            arcs = [(c, KEEP if c == sign else SWAP) for c in _readings(sign)]
             noise = LOSE if sign in LOOKALIKES else SKIP if sign not in _INDEX else None
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for state, (score, word) in paths.items():
@@ -142,7 +156,7 @@ class Channel:
                         x, then = score + weight + self.log[state[0]][state[1]][i], (state[1], i)
                     if then not in after or after[then][0] < x:
                         after[then] = (x, (word, c))
-                lost = (REPEAT if thrice else TWICE) if again and state not in ((0, 0), "") else noise
+                lost = again if again is not None and state not in ((0, 0), "") else noise
                 if lost is not None and (state not in after or after[state][0] < score + lost):
                     after[state] = (score + lost, word)
             if not sign.isalnum():
@@ -150,11 +164,16 @@ class Channel:
                 if (0, 0) not in after or after[0, 0][0] < cut[0]:
                     after[0, 0] = after[""] = cut
             paths = after or paths
-        chain, letters = broken(paths, 0.0)[1], []
-        while chain:
-            chain, c = chain
-            letters.append(c)
-        return "".join(reversed(letters)).split()
+        return _spelt(broken(paths, 0.0)[1]).split()
+
+
+def _spelt(chain: tuple | None) -> str:
+    """Letters of a chain, the first one first."""
+    letters = []
+    while chain:
+        chain, c = chain
+        letters.append(c)
+    return "".join(reversed(letters))
 
 
 def disguised(token: str) -> bool:
@@ -192,10 +211,9 @@ class Words(dict):
             if _TWICE.sub(r"\1", token) not in self.single:
                 return ()
             return self._known([self.channel.restore(token)])
-        # letters are left out only as repetitions: a token without punctuation that has more than a word's is none
-        if not token.isalnum() or len(_TWICE.sub(r"\1", "".join(c for c in token if c in _INDEX))) <= LONGEST:
-            if len(token) <= 2 * LONGEST and (found := self._known([self.channel.restore(token)])):
-                return found
+        # letters are left out only as repetitions: with more of them than a lexicon word's, the token as one word is none
+        if len(_TWICE.sub(r"\1", "".join(c for c in token if c in _INDEX))) <= LONGEST and (found := self._known([self.channel.restore(token)])):
+            return found
         inner = token.strip(_EDGE)
         return self._known(self.channel.restore_words(token)) if inner and not inner.isalnum() else ()
 
@@ -205,7 +223,7 @@ class Words(dict):
     def apart(self, run: str) -> tuple[int, ...]:
         """Of the words in a run of single signs between blanks."""
         joined = "".join(run.split())
-        if len(joined) <= LONGEST and (found := self.numbers(joined)):
+        if found := self.numbers(joined):
             return found
         plain = run if run.isascii() else "".join(c for c in unicodedata.normalize("NFD", run) if not unicodedata.combining(c))
         return self._known(self.channel.restore_words(plain)) if any(c in _INDEX for c in plain) else ()
@@ -262,10 +280,11 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, toxic of at most `most` labelled rows that may teach, whichever have the least hashes."""
+    """doc_id, text, toxic of at most `most` labelled documents that may teach, whichever have the least hashes; one row each."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     few = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents(docs).join(F.broadcast(few), "doc_id")  # at most `most` rows of two numbers
+    rows = documents(docs).join(F.broadcast(few), "doc_id")  # at most `most` rows of two numbers
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def _lexicon(sample: DataFrame) -> list[tuple[str, float]]:
@@ -340,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
         return step
 
-    got = map_text(sample, make, "x0 double, x1 double, x2 double, toxic int").collect()  # at most `most` rows, more only for repeated doc_ids
+    got = map_text(sample, make, "x0 double, x1 double, x2 double, toxic int").collect()  # at most `most` rows
     table = np.array([tuple(r) for r in got]).reshape(-1, 4)
     model.fit(table[:, :3], table[:, 3])
     return model

@@ -74,7 +74,7 @@ def digest(text):
 
 def turns(rows):
     """(n_turns, turns_sha256, loss_chars, loss_sha256) of (turn, role, text) rows."""
-    rows = sorted((t, r or "", x or "") for t, r, x in rows)
+    rows = sorted(((t, r or "", x or "") for t, r, x in rows), key=lambda x: (*x[:2], digest(x[2])))
     loss = "".join(x for _, r, x in rows if r == "assistant")
     return len(rows), digest("".join(f"{r}\n{x}\n" for _, r, x in rows)), len(loss), digest(loss)
 

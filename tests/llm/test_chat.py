@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import brute
@@ -37,6 +38,35 @@ def test_long_conversation(spark):
     assert (back.n_turns, back.turns_sha256, back.loss_chars, back.loss_sha256) == brute.turns([r[1:] for r in rows])
 
 
+def test_whole_texts_order_turns_of_one_number(spark):
+    """Turns that differ late in their texts: the order of rows has no say."""
+    rows = [(1, 0, "user", "a" * 70 + "x"), (1, 0, "user", "a" * 70 + "y"), (1, 0, "user", "a" * 70), (1, 1, "assistant", "z")]
+    got = [chat.read_back(chat.format_windows(spark.createDataFrame(r, SCHEMA), FILE)).first().turns_sha256 for r in (rows, rows[::-1])]
+    assert got[0] == got[1] == brute.turns([r[1:] for r in rows])[1]
+
+
+def test_history_equals_plain_version(spark):
+    """Turns of all sizes: each window repeats exactly the turns that begin within the history budget before it."""
+    rng = random.Random(4)
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "user", f"t{i} " + "word " * rng.choice([0, 5, 40, 40, 90, 300])) for i in range(1, 150)]
+    budget, history, system = 400, 150, 50
+    tokens = chat._tokenizer(FILE)
+    sizes = [len(tokens.encode(chat.OPEN + r + chat.CLOSE + t, add_special_tokens=False).ids) for _, _, r, t in rows]
+    begin = [sum(sizes[:i]) for i in range(len(rows))]
+    stretch = budget - history - system
+    groups = {}
+    for i, (b, n) in enumerate(zip(begin, sizes)):
+        groups.setdefault((b // stretch, (b + n - 1) // stretch), []).append(i)
+    want = []
+    for own in groups.values():
+        back = [i for i in range(1, own[0]) if begin[i] >= begin[own[0]] - history]
+        want.append([f"t{i}" for i in [*back, *own] if i])
+    w = chat.format_windows(spark.createDataFrame(rows, SCHEMA), FILE, budget, history, system).orderBy("window").collect()
+    assert [[t.split()[0] for role, t in chat.parse_window(r.text) if role == "user"] for r in w] == want
+    assert max(len(x) for x in want) > 5 and any(r.n_repeated > 3 for r in w)
+    assert chat.format_windows(spark.createDataFrame(rows, SCHEMA), FILE, 250, 0, 50).where("n_repeated > 1").count() == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a[INST] b", "x\\", " [/INST]"]), st.text(alphabet=st.sampled_from("\\[]<>/sINT ok"), max_size=25)), min_size=1, max_size=5))
 def test_template_is_reversible(turns):

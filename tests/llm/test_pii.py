@@ -48,6 +48,25 @@ def test_field_adds_other_forms(text, kind, part):
     assert base == [] and [(k, text[i:j]) for k, i, j in more] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("call 555 12 34 56 7 8 9 now", "phone", "555 12 34 56 7 8 9"), ("call 00 33 1 23 45 67 89 now", "phone", "00 33 1 23 45 67 89"), ("phone 555 - 123 - 4567", "phone", "555 - 123 - 4567"), ("tel 555  123  4567 ok", "phone", "555  123  4567"),
+        ("tel 555\u00a0123\u00a04567 ok", "phone", "555\u00a0123\u00a04567"), ("call 555\n123 4567 ok", "phone", "555\n123 4567"), ("card 41/11/11/11/11/11/11/11 ok", "card", "41/11/11/11/11/11/11/11"), ("visa 4111  1111  1111  1111.", "card", "4111  1111  1111  1111"),
+    ],
+)
+def test_many_groups_and_wide_gaps_are_one_span(text, kind, part):
+    base, more = pii.find(text, pii.field())
+    assert base == [] and [(k, text[i:j]) for k, i, j in more] == [(kind, part)]
+
+
+def test_a_table_of_figures_has_few_candidates():
+    text = "12 34 5.6 78,9\n" * 500
+    for tokens, before in pii.windows(text):
+        assert len(pii.candidates(text, tokens, before)) <= pii.MOST * len(tokens)
+    assert pii.find(text, pii.field()) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["on 2024-01-02 at 12:30", "version v1.2.30 of 3", "1 2 3 4 5 6 7 8 9 10 11", "pi is 3.14159", "no digits at all", "", None, "12 " * 500])
 def test_field_leaves_clean_text(text):
     assert pii.find(text, pii.field()) == ([], [])

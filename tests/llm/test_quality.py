@@ -1,6 +1,9 @@
+import inspect
 import random
+import string
 
 import brute
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -20,21 +23,58 @@ def test_any_text(text):
     assert (n, chars, symbols, lines, repeats) == brute.quality(text)[:5]
 
 
+def _words(rng, alphabet, n):
+    out = ""
+    while len(out.encode()) < n:
+        out += "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 10))) + " "
+    return out
+
+
 def test_bands():
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(900)]
     prose = " ".join(rng.choice(words) for _ in range(1500))
-    noise = "".join(chr(rng.randint(33, 126)) for _ in range(9000))
-    han = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000))
     assert q.compression(prose)[3] == "ok"
     assert q.compression("the same line again\n" * 400)[3] == "repetitive"
-    assert q.compression(noise)[3] == "random"
-    assert q.compression(han)[0] < 0.75 and q.compression(han)[3] == "ok"  # a known limit: see the module's text
     assert q.compression("short text")[3] == "short" and q.compression(None)[3] == "short"
     half = prose[:6000] + "tick tock " * 1200
     assert q.compression(half)[3] == "repetitive"  # most chunks are
 
 
+ALPHABETS = {"letters": "abcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef", "base64": string.ascii_letters + string.digits + "+/", "signs": "".join(map(chr, range(33, 127))), "cyrillic": "".join(map(chr, range(0x430, 0x450))), "han": "".join(map(chr, range(0x4E00, 0x9FFF)))}
+
+
+def test_random_text_of_two_byte_characters_is_a_known_limit():
+    assert q.compression(_words(random.Random(1), ALPHABETS["cyrillic"], 20000))[3] == "ok"
+
+
+@pytest.mark.parametrize("name", [x for x in ALPHABETS if x != "cyrillic"])
+def test_random_text_is_rejected(name):
+    """From 4096 bytes on; where the alphabet is large, from 512."""
+    rng = random.Random(name)
+    for n in (4200, 6000, 9000, 20000, 60000, *((600, 1200, 2500) if name in ("base64", "signs") else ())):
+        assert all(q.compression(_words(rng, ALPHABETS[name], n))[3] == "random" for _ in range(10)), n
+
+
+def test_natural_text_is_kept():
+    """Prose of this library's documentation at all lengths."""
+    prose = inspect.getdoc(random.Random.sample) + "".join(open(m.__file__).read() for m in (inspect, random, string))
+    for n in (256, 400, 800, 1500, 3000, 6000, 12000, 30000):
+        verdicts = [q.compression(prose[i : i + n])[3] for i in range(0, len(prose) - n, n)]
+        assert verdicts.count("random") == 0, n
+
+
+def test_chunks_cover_the_whole_text():
+    rng = random.Random(3)
+    for n in (256, 2047, 2048, 2303, 2304, 4000, 5000, 100_000):
+        raw = bytes(rng.randrange(97, 123) for _ in range(n))
+        parts = q._chunks(raw)
+        assert b"".join(parts) == raw and all(256 <= len(x) < q.CHUNK + 256 for x in parts)
+    clean = _words(rng, ["alpha ", "beta ", "gamma ", "delta ", "epsilon ", "zeta ", "eta ", "theta "] + [f"w{i} " for i in range(500)], 2048)
+    noise = "".join(rng.choice(ALPHABETS["signs"]) for _ in range(1900))
+    assert q.compression(clean[:2048] + noise)[1] == 1  # the last, shorter chunk is judged too
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = q.assess(odd_docs).collect()
     assert len(rows) == odd_docs.count()

@@ -35,7 +35,7 @@ def test_words_set_apart(model):
 
 @pytest.mark.parametrize(
     "text, words",
-    [("a m o r o n", ["moron"]), ("d u m b i d i o t", ["idiot"]), ("m o r o n i d i o t", ["moron", "idiot"]), ("i d i o t  m o r o n", ["idiot", "moron"]), ("i  d  i  o  t", ["idiot"]), ("i d i o t " * 12, ["idiot"] * 12), ("moron/idi0t", ["moron", "idiot"]), ("idioot", ["idiot"]), ("stuupid", ["stupid"]), ("id" + 40 * "i" + "ot", ["idiot"])],
+    [("a m o r o n", ["moron"]), ("d u m b i d i o t", ["idiot"]), ("m o r o n i d i o t", ["moron", "idiot"]), ("i d i o t  m o r o n", ["idiot", "moron"]), ("i  d  i  o  t", ["idiot"]), ("i d i o t " * 12, ["idiot"] * 12), ("moron/idi0t", ["moron", "idiot"]), ("idioot", ["idiot"]), ("stuupid", ["stupid"]), ("id" + 40 * "i" + "ot", ["idiot"]), ("idi0" + 38 * "o" + "t", ["idiot"]), ("y o u i d i o t", ["idiot"]), ("s t u p i d i d i o t", ["stupid", "idiot"]), ("." * 90 + "1d1ot", ["idiot"]), ("xyz.-_!" * 40 + ".1d1ot", ["idiot"])],
 )
 def test_spacing_and_repetition_reach_the_lattice(model, text, words):
     found = model.words().hits(f"you are {text} there")[0]
@@ -65,12 +65,14 @@ def test_restore_equals_all_readings():
         sign, previous = whole[at], whole[at - 1] if at else ""
         for c in sign if sign in toxicity._INDEX else toxicity.LOOKALIKES.get(sign, ""):
             yield from readings(whole, at + 1, word + c, score + (toxicity.KEEP if c == sign else toxicity.SWAP))
-        if sign == previous:
-            yield from readings(whole, at + 1, word, score + (toxicity.REPEAT if sign * 3 in whole[max(0, at - 2) : at + 3] else toxicity.TWICE))
+        letters = lambda x: {x} | set(toxicity.LOOKALIKES.get(x, ""))
+        if previous and letters(sign) & letters(previous):
+            thrice = any(letters(x) & letters(y) & letters(z) for x, y, z in (whole[i : i + 3] for i in range(max(0, at - 2), min(at, len(whole) - 3) + 1)))
+            yield from readings(whole, at + 1, word, score + (toxicity.REPEAT if thrice else toxicity.TWICE))
         elif sign not in toxicity._INDEX:
             yield from readings(whole, at + 1, word, score + (toxicity.LOSE if sign in toxicity.LOOKALIKES else toxicity.SKIP))
 
-    for token in ("4bb4", "b0b", "a.b.b.a", "33bb", "b000b"):
+    for token in ("4bb4", "b0b", "a.b.b.a", "33bb", "b000b", "b0ob", "b0oob", "8b6a"):
         assert channel.restore(token) == max(readings(token))[1]
 
 
@@ -82,3 +84,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.scores(no_docs, none).collect() == [] and {r.score for r in toxicity.scores(odd_docs, none).collect()} == {0.0}
     assert toxicity.keep_clean(odd_docs, none).columns == odd_docs.columns
     assert "op7_toxicity" in QUERIES
+
+
+def test_one_row_a_document_teaches(spark):
+    """A labelled id that is repeated many times brings one row to the driver."""
+    docs = spark.range(5000).selectExpr("id % 3 as doc_id", "concat('text ', cast(id % 6 as string)) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (9, 1)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs, labels, 100).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 3 and all(r.text == f"text {r.doc_id}" for r in rows)
