@@ -1,9 +1,15 @@
-"""Alert rules on telemetry: levels as columns, and one state machine a key for batch and stream.
+"""Alert rules on telemetry: levels, episodes and stages as columns; a carry a key for streams.
 
 What a rule sees in a row (which levels hold, whether the signal is back inside its band, the
-watched value) needs no memory and is computed by column expressions. Order-dependent state -
-hold times, hysteresis, stages that pause - lives in `Alert`, one small object a
-machine and rule, which a sorted batch and a stream both feed.
+watched value) needs no memory. What needs some is said by windows over a key's rows: how long a level
+has held is the age of a run, an alert is an episode from a first active row to a first calm one, the time spent critical is a
+running sum, and each stage begins at the first row that meets its condition. Only the latch of a
+pressure drop depends on its own past; it is carried from row to row.
+
+A stream has no windows over rows, so there each key carries the same quantities from batch to batch
+(`Carry`); keys that have been silent for long are forgotten.
+
+A key's rows are in one window partition, sorted and spilled by Spark; all keys run side by side.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +30,10 @@ from ..operators.islands import runs
 
 GAP_S, BAND, CLEAR_S, PERIOD_S = 120.0, 0.05, 120.0, 60.0
 RANK = {"info": 0, "warning": 1, "critical": 2, "emergency": 3}
+SEVERITIES = list(RANK)
 STAGES = ["warn", "derate", "recommend_shutdown", "escalated"]
+#: Minutes of values that an alert looks back on.
+HISTORY_S = 720.0
 #: Seconds of critical time at which the graded stages begin, and of the two short cuts.
 DERATE_S, SHUTDOWN_S, ESCALATE_S, RISING_S, IGNORED_S = 120.0, 300.0, 420.0, 60.0, 120.0
 
@@ -86,13 +96,13 @@ def speed(rule: dict) -> Column:
     return _reading({"warning": x > limit}, x.isNull() | limit.isNull() | (x < limit * (1 - BAND)), x)
 
 
-def readings(telemetry: DataFrame) -> DataFrame:
+def readings(telemetry: DataFrame, since: datetime | None = None) -> DataFrame:
     """machine_id, ts, us, rule, levels, clear, value: a row for each rule and telemetry row.
 
-    Optional columns: machine_type, zone_limit, fault_code. The rules that look back use windows
-    of minutes over the machine's rows, which share one shuffle.
+    Optional columns: machine_type, zone_limit. The rules that look back use windows
+    of minutes over the machine's rows, which share one shuffle. Rows before `since` warm these windows up and raise nothing.
     """
-    for name, kind in (("machine_type", "string"), ("zone_limit", "double"), ("fault_code", "string")):
+    for name, kind in (("machine_type", "string"), ("zone_limit", "double")):
         telemetry = telemetry if name in telemetry.columns else telemetry.withColumn(name, F.lit(None).cast(kind))
     df = telemetry.withColumn("us", W.micros("ts"))
     m = lambda minutes: W.trailing("machine_id", 60 * minutes)
@@ -114,15 +124,20 @@ def readings(telemetry: DataFrame) -> DataFrame:
         "idle": lambda r: _reading({n: fast & (F.col("_run") > over) for n, (over, _) in r["levels"].items()}, ~F.col("_idle") | (F.col("_rpm") < IDLE_RPM * (1 - BAND)), F.col("_run")),
     }
     items = [F.struct(F.lit(name).alias("rule"), special.get(rule.get("kind"), threshold)(rule).alias("r")) for name, rule in RULES.items()]
+    df = df if since is None else df.where(F.col("ts") >= F.lit(since))
     rows = df.select("machine_id", "ts", "us", F.col("_before").alias("base"), F.explode(F.array(*items)).alias("x"))
     return rows.select("machine_id", "ts", "us", "x.rule", "x.r.levels", "x.r.clear", "x.r.value", F.when(F.col("x.rule") == "HYD_PRESSURE_DROP", F.col("base")).alias("base"))
 
 
 def code_readings(telemetry: DataFrame, codes: list[str] | None = None) -> DataFrame:
-    """A row for each fault code and telemetry row: present or not. Without a list, the codes a machine ever shows."""
-    df = telemetry.withColumn("us", W.micros("ts"))
-    each = F.array(*map(F.lit, codes)) if codes else F.collect_set("fault_code").over(W.Window.partitionBy("machine_id"))
-    rows = df.withColumn("_codes", each).select("machine_id", "ts", "us", "fault_code", F.explode("_codes").alias("code"))
+    """A row for each fault code and telemetry row: present or not. Without a list, which a stream needs, the codes that a machine shows."""
+    df = telemetry.select("machine_id", "ts", W.micros("ts").alias("us"), "fault_code")
+    if codes is not None:
+        rows = df.withColumn("code", F.explode(F.array(*map(F.lit, codes))))
+    elif df.isStreaming:
+        raise ValueError("a stream needs the list of codes: which of them will come is not known")
+    else:
+        rows = df.join(df.where("fault_code is not null").select("machine_id", F.col("fault_code").alias("code")).distinct(), "machine_id")
     severity = F.coalesce(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))[F.col("code")], F.lit("warning"))
     here = _false(F.col("fault_code") == F.col("code"))
     return _plain(rows, F.concat(F.lit("FAULT_CODE:"), F.col("code")), F.when(here, F.array(severity)), ~here, F.lit(None))
@@ -146,153 +161,215 @@ def _plain(df: DataFrame, rule: Column, levels: Column, clear: Column, value: Co
     return df.select("machine_id", "ts", "us", rule.alias("rule"), F.coalesce(levels, none).alias("levels"), clear.alias("clear"), value.cast("double").alias("value"), F.lit(None).cast("double").alias("base"))
 
 
-def _rule(name: str) -> dict:
-    """A rule by name; fault codes and verdicts hold at once and have no stages."""
-    if name in RULES:
-        return RULES[name]
-    severities = [VERDICTS[name][1]] if name in VERDICTS else ["info", "warning", "critical"]
-    return {"levels": {s: (0.0, 0.0) for s in severities}, "response": "none" if name in VERDICTS else "graded"}
+def _hold(name: str, level: str) -> float:
+    """Seconds that a level must hold; fault codes and verdicts hold at once."""
+    return RULES[name]["levels"].get(level, (0.0, 0.0))[1] if name in RULES else 0.0
 
 
-@dataclass
-class Alert:
-    """State of one rule on one machine. Times are microseconds."""
-
-    last: int | None = None
-    held: dict[str, float] = field(default_factory=dict)  # seconds that each level has held
-    calm: float | None = None  # seconds inside the clear band
-    severity: str | None = None  # of the open alert
-    stage: str | None = None
-    stage_at: int = 0
-    critical: float | None = None  # seconds spent critical; pauses, never resets
-    ran: bool = False  # whether the row before was critical
-    seen: list = field(default_factory=list)  # recent (time, value) of the open alert
-    latch: float | None = None  # pressure before a drop
-    acked: bool = False
+def _response(name: str) -> str:
+    return RULES[name]["response"] if name in RULES else "none" if name in VERDICTS else "graded"
 
-    def feed(self, name: str, us: int, levels: list[str], clear: bool, value: float | None, base: float | None = None) -> list[tuple[str, str, str]]:
-        """Takes one row; what changed, as (reason, severity, stage)."""
-        if ACK in levels:
-            self.acked = self.severity is not None
-            return []
-        rule = _rule(name)
-        step = (us - self.last) / 1e6 if self.last is not None else 0.0
-        step, self.last = step if 0 < step <= GAP_S else 0.0, us
-        if rule.get("kind") == "drop":
-            levels, clear = self._latched(levels, value, base)
-        for level in rule["levels"]:
-            if level in levels:
-                self.held[level] = self.held[level] + step if step and level in self.held else 0.0
-            else:
-                self.held.pop(level, None)
-        active = [n for n, s in self.held.items() if s + PERIOD_S >= rule["levels"][n][1]]
-        if active:
-            return self._active(rule, us, max(active, key=RANK.__getitem__), value, step)
-        self.ran = False
-        if self.severity is None:
-            return []
-        self.calm = (self.calm + step if self.calm is not None and step else 0.0) if clear else None
-        if self.calm is None or self.calm + PERIOD_S < CLEAR_S:
-            return []
-        severity = self.severity
-        self.severity = self.stage = self.critical = self.calm = None
-        self.seen, self.acked = [], False
-        return [("resolve", severity, "resolved")]
-
-    def _latched(self, levels: list[str], value: float | None, base: float | None) -> tuple[list[str], bool]:
-        """A leak's pressure stays down, so the level before it is kept until the pressure is back."""
-        if levels and self.latch is None:
-            self.latch = base
-        if self.latch is None or value is None:
-            return [], self.latch is None
-        low, back = value < 0.65 * self.latch, value >= 0.65 * (1 + BAND) * self.latch
-        if back:
-            self.latch = None
-        return (["critical"] if low else []), back
-
-    def _active(self, rule: dict, us: int, severity: str, value: float | None, step: float) -> list[tuple[str, str, str]]:
-        self.calm = None
-        out = []
-        if self.severity is None:
-            self.severity, self.stage, self.stage_at, self.critical, self.seen = severity, "warn", us, None, []
-            out.append(("open", severity, "warn"))
-        elif RANK[severity] > RANK[self.severity]:
-            self.severity = severity
-            out.append(("severity", severity, self.stage))
-        if value is not None:
-            self.seen = [*self.seen, (us, value)][-64:]
-        if severity != "critical" or rule["response"] == "none":
-            self.ran = False
-            return out
-        self.critical = 0.0 if self.critical is None else self.critical + (step if self.ran else 0.0)
-        self.ran = True
-        return out + self._advance(rule, us, value)
-
-    def _advance(self, rule: dict, us: int, value: float | None) -> list[tuple[str, str, str]]:
-        age, at = (us - self.stage_at) / 1e6, STAGES.index(self.stage)
-        if rule["response"] == "escalate":
-            to = 3 if self.critical >= rule["escalate_s"] else at
-            passed = [3] if to > at else []
-        else:
-            to = 1 if self.critical >= DERATE_S else 0
-            if self.critical >= SHUTDOWN_S or (self.stage == "derate" and age >= RISING_S and self._rising(rule, us, value)):
-                to = 2
-            if self.critical >= ESCALATE_S or (self.stage == "recommend_shutdown" and not self.acked and age >= IGNORED_S):
-                to = 3
-            passed = list(range(at + 1, to + 1))
-        if not passed:
-            return []
-        self.stage, self.stage_at = STAGES[passed[-1]], us
-        self.severity = "critical" if self.stage == "escalated" else self.severity
-        return [("stage", self.severity, STAGES[i]) for i in passed]
 
-    def _rising(self, rule: dict, us: int, value: float | None) -> bool:
-        if "rising" not in rule or value is None:
-            return False
-        delta, seconds = rule["rising"]
-        before = [v for t, v in self.seen if t <= us - seconds * 1e6]
-        return bool(before) and value - before[-1] >= delta
+def _by_rule(value, default) -> Column:
+    """A rule's own value as a column."""
+    items = {name: value(name) for name in [*RULES, *VERDICTS]}
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in items.items() for x in kv))[F.col("rule")], F.lit(default))
 
 
 EVENTS = "machine_id string, rule string, ts timestamp, reason string, severity string, stage string"
+KEY = ["machine_id", "rule"]
+_COLUMNS = ["machine_id", "rule", "ts", "reason", "severity", "stage"]
 
 
 def alerts(found: DataFrame) -> DataFrame:
-    """Alert events of a table of readings. Sorted rows stream through; a task holds one state at a time."""
+    """Alert events of a table of readings and acknowledgements: machine_id, rule, ts, reason, severity, stage."""
+    acked = F.array_contains("levels", ACK)
+    rows = _episodes(_active(_latched(found.where(~acked))))
+    return _told(_staged(rows, found.where(acked).select(*KEY, F.col("us").alias("ack_us"))))
+
+
+def _latched(found: DataFrame) -> DataFrame:
+    """Levels and clear of a pressure drop follow the pressure before it, which is kept until the pressure is back."""
+    drop = F.col("rule") == "HYD_PRESSURE_DROP"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, alert = None, Alert()
+        key, held = None, None
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if (r.machine_id, r.rule) != key:
-                    key, alert = (r.machine_id, r.rule), Alert()
-                out += [(*key, r.ts, *e) for e in alert.feed(r.rule, r.us, list(r.levels), r.clear, _number(r.value), _number(r.base))]
-            yield pd.DataFrame(out, columns=["machine_id", "rule", "ts", "reason", "severity", "stage"])
-
-    return found.repartition("machine_id", "rule").sortWithinPartitions("machine_id", "rule", "us").mapInPandas(run, EVENTS)
+            for k, levels, value, base in zip(b.machine_id, b.levels, b.value, b.base, strict=True):
+                key, held = (key, held) if k == key else (k, None)
+                held, levels, clear = _latch(held, len(levels) > 0, _number(value), _number(base))
+                out.append((levels, clear))
+            yield b.assign(levels=[x for x, _ in out], clear=[x for _, x in out])
+
+    kept = found.where(drop).repartition("machine_id").sortWithinPartitions("machine_id", "us").mapInPandas(run, found.schema)
+    return found.where(~drop).unionByName(kept)
+
+
+def _latch(held: float | None, found: bool, value: float | None, base: float | None) -> tuple[float | None, list[str], bool]:
+    """The pressure before a drop (None: no drop), and the levels and clear flag that follow from it."""
+    held = base if found and held is None else held
+    if held is None or value is None:
+        return held, [], held is None
+    back = value >= 0.65 * (1 + BAND) * held
+    return (None if back else held), (["critical"] if value < 0.65 * held else []), back
+
+
+def _step() -> Column:
+    """Seconds since the row before; NULL at a gap."""
+    seconds = (F.col("us") - F.lag("us").over(W.by(KEY))) / 1e6
+    return F.when((seconds > 0) & (seconds <= GAP_S), seconds)
+
+
+def _age(on: Column) -> Column:
+    """Seconds since the run of rows that `on` holds for began; a gap begins a new one. NULL outside of runs."""
+    w = W.by(KEY)
+    goes_on = F.col("step").isNotNull() & F.lag(on).over(w)
+    begun = F.last(F.when(on & ~_false(goes_on), F.col("us")), True).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
+    return F.when(on, (F.col("us") - begun) / 1e6)
+
+
+def _active(found: DataFrame) -> DataFrame:
+    """Adds step, rank (of the highest level that has held long enough) and calm (whether the clear band has held so)."""
+    df = found.withColumn("step", _step())
+    ages = {f"_{n}": _age(F.array_contains("levels", n)) for n in SEVERITIES}
+    held = [F.when(F.col(f"_{n}") + PERIOD_S >= _by_rule(lambda rule, n=n: _hold(rule, n), 0.0), F.lit(r)) for n, r in RANK.items()]
+    df = df.withColumns(ages).withColumn("rank", F.greatest(*held)).drop(*ages)
+    return df.withColumn("calm", _false(_age(F.col("rank").isNull() & F.col("clear")) + PERIOD_S >= CLEAR_S))
+
+
+def _episodes(df: DataFrame) -> DataFrame:
+    """Numbers the alerts of a key; keeps their active rows and the calm row that ends each."""
+    w = W.by(KEY)
+    sign = F.when(F.col("rank").isNotNull(), "active").when(F.col("calm"), "calm")
+    before = F.last("sign", True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
+    df = df.withColumns({"sign": sign, "crit_step": F.when((F.col("rank") == RANK["critical"]) & (F.lag("rank").over(w) == RANK["critical"]), F.col("step"))}).withColumn("before", before)
+    opens, ends = (F.col("sign") == "active") & ~_false(F.col("before") == "active"), (F.col("sign") == "calm") & (F.col("before") == "active")
+    numbered = df.withColumns({"opens": _false(opens), "ends": _false(ends)}).withColumn("episode", F.sum(F.col("opens").cast("long")).over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
+    return numbered.where(F.col("rank").isNotNull() | F.col("ends"))
+
+
+def _staged(df: DataFrame, acks: DataFrame) -> DataFrame:
+    """Adds top (the episode's highest rank so far) and the times at which the stages begin."""
+    each = W.by([*KEY, "episode"])
+    so_far, whole = each.rowsBetween(W.Window.unboundedPreceding, 0), W.Window.partitionBy(*KEY, "episode")
+    critical = F.col("rank") == RANK["critical"]
+    response, delta = _by_rule(_response, "graded"), _by_rule(lambda n: RULES.get(n, {}).get("rising", (None, 0.0))[0], None)
+    earlier = F.last(F.when(F.col("rank").isNotNull(), F.col("value")), True).over(each.rangeBetween(-round(HISTORY_S * 1e6), -180_000_000))
+    df = df.withColumns({"top": F.max("rank").over(so_far), "spent": F.sum(F.coalesce("crit_step", F.lit(0.0))).over(so_far), "rising": _false(F.col("value") - earlier >= delta), "opened": F.min("us").over(whole), "graded": response == "graded"})
+    # acknowledgements of an episode count from their time on
+    spans = df.groupBy(*KEY, "episode").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"))
+    own = acks.join(spans, KEY).where("ack_us between from_us and to_us").groupBy(*KEY, "episode").agg(F.min("ack_us").alias("ack_us"))
+    df = df.join(own, [*KEY, "episode"], "left")
+    first = lambda cond: F.min(F.when(critical & cond, F.col("us"))).over(whole)
+    after = lambda stage, seconds: F.col("us") >= F.col(stage) + round(seconds * 1e6)
+    spent, graded = F.col("spent"), F.col("graded")
+    df = df.withColumn("derate", first(graded & (spent >= DERATE_S)))
+    df = df.withColumn("recommend_shutdown", first(graded & ((spent >= SHUTDOWN_S) | after("derate", RISING_S) & F.col("rising"))))
+    ignored = after("recommend_shutdown", IGNORED_S) & ~_false(F.col("ack_us") <= F.col("us"))
+    alone = (response == "escalate") & (spent >= _by_rule(lambda n: RULES.get(n, {}).get("escalate_s", float("inf")), float("inf")))
+    return df.withColumn("escalated", first(alone | graded & ((spent >= ESCALATE_S) | _false(ignored))))
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """Rows at which something changes, as events."""
+    named = lambda rank: F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1)
+    rises = ~F.col("opens") & _false(F.col("top") > F.lag("top").over(W.by([*KEY, "episode"])))
+    before = F.lit("warn")
+    for stage in STAGES[1:]:
+        before = F.when(F.col(stage) < F.col("us"), stage).otherwise(before)
+    event = lambda cond, reason, stage: F.when(cond, F.struct(F.lit(reason).alias("reason"), named(F.col("top")).alias("severity"), stage.alias("stage")))
+    told = [event(F.col("opens"), "open", F.lit("warn")), event(rises, "severity", before), *(event(F.col(s) == F.col("us"), "stage", F.lit(s)) for s in STAGES[1:]), event(F.col("ends"), "resolve", F.lit("resolved"))]
+    changes = df.withColumn("told", F.filter(F.array(*told), lambda x: x.isNotNull())).where(F.size("told") > 0)
+    return changes.select(*KEY, "ts", F.explode("told").alias("e")).select(*KEY, "ts", "e.*")
 
 
 def _number(x) -> float | None:
     return None if x is None or x != x else float(x)
 
 
-def alerts_stream(found: DataFrame) -> DataFrame:
-    """Alert events of a stream of readings; each key's state is kept between micro-batches.
+@dataclass
+class Carry:
+    """What a key of a stream takes from row to row. Times are microseconds."""
+
+    us: int | None = None
+    ran: bool = False  # the row before was critical
+    runs: dict[str, int] = field(default_factory=dict)  # begin of each level's run, and of the clear band's
+    top: int | None = None  # of the open alert
+    spent: float = 0.0
+    marks: dict[str, int] = field(default_factory=dict)  # stages and when they began
+    values: list = field(default_factory=list)  # (time, value) of the last minutes
+    acked: bool = False
+    latch: float | None = None
 
-    A micro-batch's rows are taken in time order. The rules that look back over windows
-    need their columns from the source, as a stream has no windows over rows.
+    def take(self, rule: str, us: int, levels: list[str], clear: bool, value: float | None, base: float | None) -> list[tuple[str, str, str]]:
+        """Takes one row; what changed, as (reason, severity, stage)."""
+        if ACK in levels:
+            self.acked = self.top is not None
+            return []
+        step = (us - self.us) / 1e6 if self.us is not None and 0 < us - self.us <= GAP_S * 1e6 else None
+        self.us = us
+        if rule == "HYD_PRESSURE_DROP":
+            self.latch, levels, clear = _latch(self.latch, bool(levels), value, base)
+        old = self.runs if step else {}
+        self.runs = {n: old.get(n, us) for n in levels}
+        age = lambda n: (us - self.runs[n]) / 1e6 + PERIOD_S
+        rank = max((RANK[n] for n in levels if age(n) >= _hold(rule, n)), default=None)
+        if rank is None and clear:
+            self.runs["clear"] = old.get("clear", us)
+        critical = rank == RANK["critical"]
+        ran, self.ran = self.ran, critical
+        if rank is None:
+            if self.top is None or not clear or age("clear") < CLEAR_S:
+                return []
+            severity = SEVERITIES[self.top]
+            self.top, self.spent, self.marks, self.values, self.acked = None, 0.0, {}, [], False
+            return [("resolve", severity, "resolved")]
+        told = [] if self.top is not None and rank <= self.top else [("open" if self.top is None else "severity", SEVERITIES[rank], max(self.marks, key=STAGES.index, default="warn"))]
+        self.top = max(rank, -1 if self.top is None else self.top)
+        self.values = [(t, v) for t, v in self.values if t >= us - HISTORY_S * 1e6] + ([(us, value)] if value is not None else [])
+        if critical:
+            self.spent += step if step and ran else 0.0
+            new = [s for s in STAGES[1:] if s not in self.marks and self._due(s, rule, us, value)]
+            self.marks |= dict.fromkeys(new, us)
+            told += [("stage", SEVERITIES[self.top], s) for s in new]
+        return told
+
+    def _due(self, stage: str, rule: str, us: int, value: float | None) -> bool:
+        since = lambda s: (us - self.marks[s]) / 1e6 if s in self.marks else -1.0
+        if _response(rule) != "graded":
+            return stage == "escalated" and _response(rule) == "escalate" and self.spent >= RULES[rule]["escalate_s"]
+        if stage == "derate":
+            return self.spent >= DERATE_S
+        if stage == "recommend_shutdown":
+            delta = RULES.get(rule, {}).get("rising", (None, 0.0))[0]
+            before = next((v for t, v in reversed(self.values) if t <= us - 180_000_000), None)
+            return self.spent >= SHUTDOWN_S or since("derate") >= RISING_S and None not in (delta, before, value) and value - before >= delta
+        return self.spent >= ESCALATE_S or since("recommend_shutdown") >= IGNORED_S and not self.acked
+
+
+def alerts_stream(found: DataFrame, forget_ms: int = 86_400_000) -> DataFrame:
+    """Alert events of a stream of readings; each key's carry is kept between micro-batches, and forgotten after a day of silence.
+
+    A micro-batch's rows are taken in time order, acknowledgements before readings of their time. The rules that look back over
+    windows need their columns from the source, as a stream has no windows over rows.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert = Alert(**json.loads(state.get[0])) if state.exists else Alert()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        carry = Carry(**json.loads(state.get[0])) if state.exists else Carry()
+        rows = pd.concat(list(frames))
+        rows = rows.assign(later=[ACK not in x for x in rows.levels]).sort_values(["us", "later"], kind="stable")
         out = []
-        for r in pd.concat(list(frames)).sort_values("us", kind="stable").itertuples(index=False):
-            out += [(*key, r.ts, *e) for e in alert.feed(key[1], r.us, list(r.levels), r.clear, _number(r.value), _number(r.base))]
-        state.update((json.dumps(asdict(alert)),))
-        yield pd.DataFrame(out, columns=["machine_id", "rule", "ts", "reason", "severity", "stage"])
+        for r in rows.itertuples(index=False):
+            out += [(*key, r.ts, *e) for e in carry.take(key[1], r.us, list(r.levels), r.clear, _number(r.value), _number(r.base))]
+        state.update((json.dumps(asdict(carry)),))
+        state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return found.groupBy("machine_id", "rule").applyInPandasWithState(run, EVENTS, "alert string", "append", GroupStateTimeout.NoTimeout)
+    return found.groupBy(*KEY).applyInPandasWithState(run, EVENTS, "carry string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def newest_alert(events: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden timelines of alerts, and streams that give what a table gives."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -33,6 +34,22 @@ def test_rising_value_skips_ahead(spark):
     assert [(s, t) for _, _, s, t in got][:4] == [("warn", 5), ("derate", 7), ("recommend_shutdown", 8), ("escalated", 10)]
 
 
+def test_rising_value_at_one_second(spark):
+    """The look-back goes by time: the same stages at one row a second as at one a minute."""
+    got = timeline(spark, "COOLANT_CRITICAL", lambda m: {"coolant_temp_c": 104.0 + 1.2 * (m - 4)} if 5 <= m < 14 else {}, minutes=15, step=1 / 60)
+    assert [(s, round(t)) for _, _, s, t in got][:4] == [("warn", 5), ("derate", 7), ("recommend_shutdown", 8), ("escalated", 10)]
+
+
+def test_warm_up_raises_nothing(spark):
+    """Rows before the start fill the windows of minutes and open no alert."""
+    change = lambda m: {"coolant_temp_c": 101.0} if m < 6 else {"hydraulic_pressure_bar": 120.0} if m >= 10 else {}
+    df = frame(spark, change, minutes=20)
+    since = T0 + timedelta(minutes=8)
+    opened = lambda d, *more: {r.rule: r.ts for r in rules.alerts(rules.readings(d, *more)).where("reason = 'open'").collect()}
+    warm, cold = opened(df, since), opened(df.where(F.col("ts") >= since))
+    assert "COOLANT_HIGH" in opened(df) and "COOLANT_HIGH" not in warm and warm["HYD_PRESSURE_DROP"] < cold["HYD_PRESSURE_DROP"]
+
+
 def test_critical_time_pauses(spark):
     """Back under the limit but not calm: the time spent critical goes on later."""
     got = timeline(spark, "COOLANT_CRITICAL", lambda m: {"coolant_temp_c": 107.0 if m in (5, 6, 10, 11, 12) else 103.0} if 5 <= m < 13 else {})
@@ -80,12 +97,20 @@ def test_codes_verdicts_and_acknowledgement(spark):
 @pytest.mark.parametrize("per_batch", [1, 4])
 def test_stream_equals_table(spark, tmp_path, per_batch):
     """The same events whichever way the rows are cut into micro-batches."""
-    found = rules.readings(frame(spark, lambda m: {"coolant_temp_c": 110.0} if 5 <= m < 15 else {})).where("rule in ('COOLANT_CRITICAL', 'COOLANT_HIGH')").cache()
+    rng = random.Random(5)
+    level = [0.0]
+
+    def change(m):
+        level[0] += rng.uniform(-2, 2) - 0.1 * level[0]
+        return {"coolant_temp_c": 103.0 + 2 * level[0], "roll_deg": 15 + 6 * level[0], "hydraulic_pressure_bar": 240.0 if m % 60 < 40 else 120.0, "hydraulic_oil_temp_c": 92.0 + level[0], "seatbelt_fastened": level[0] < 1}
+
+    acks = spark.createDataFrame([("M01", T0 + timedelta(minutes=m), rule) for m in range(0, 200, 7) for rule in ("COOLANT_CRITICAL", "HYD_OIL_HIGH")], "machine_id string, ts timestamp, rule string")
+    found = rules.readings(frame(spark, change, minutes=200)).unionByName(rules.acknowledgements(acks)).cache()
     table = {tuple(r) for r in rules.alerts(found).collect()}
-    rows = found.orderBy("us", "rule").collect()
-    size = len(rows) // 5
+    assert {r for _, r, *_ in table} >= {"COOLANT_CRITICAL", "COOLANT_HIGH", "TIP_RISK", "HYD_OIL_HIGH", "SEATBELT", "HYD_PRESSURE_DROP"} and {s for *_, s in table} == {*rules.STAGES, "resolved"}
     for i in range(5):
-        spark.createDataFrame(rows[i * size : (i + 1) * size if i < 4 else None], found.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i}"))
+        at = [T0 + timedelta(minutes=40 * k) for k in (i, i + 1)]
+        found.where((F.col("ts") >= at[0]) & (F.col("ts") < at[1])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i}"))
     stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
     q = rules.alerts_stream(stream).writeStream.format("memory").queryName(f"alerts{per_batch}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
