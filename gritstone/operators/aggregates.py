@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,25 @@ def worst(level: Column, ranks: dict[str, int]) -> Column:
     return F.max(F.struct(table[level].alias("rank"), level.alias("level")))["level"]
 
 
-def quantile_higher(x: Column, p: float) -> Column:
-    """The smallest value with at least the share p of ranks below or at it."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, (F.ceil(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
+def at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, name: str) -> DataFrame:
+    """One row a group: the value at a rank from 1 on, in rising order; `rank` may use the group's count, `n`. NULLs don't count.
+
+    Values are counted first, so a group travels as its distinct values. Their counts are summed up in order: in one sorted
+    window a group, which is never held whole, or without keys in buckets of values side by side (`windows.running_totals`).
+    """
+    from .windows import running_totals
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    if keys:
+        upto = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy(value)))
+        return upto.join(counts.groupBy(*keys).agg(F.sum("_k").alias("n")), keys).where(F.col("_upto") >= rank).groupBy(*keys).agg(F.min(value).alias(name))
+    down = running_totals(counts, value, ["_k"])  # from the highest value on
+    return down.join(F.broadcast(counts.agg(F.sum("_k").alias("n")))).where(F.col("total__k") > F.col("n") - rank).agg(F.max(value).alias(name))  # one row
+
+
+def quantile_higher(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
+    """One row a group: the smallest value with at least the share p of ranks below or at it."""
+    return at_rank(df, keys, value, F.ceil(F.lit(p) * (F.col("n") - 1)) + 1, name)
 
 
 def intraclass(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -41,10 +41,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     return found.select(*kept, *(F.col("_found")[c].alias(c) for c in columns))
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, by: str, ts: str, start: str, end: str, columns: list[str]) -> DataFrame:
-    """Each point with the interval [start, end) of its key that holds it; intervals of a key don't overlap."""
+def point_in_interval(points: DataFrame, intervals: DataFrame, by: str, ts: str, start: str, end: str, columns: list[str], chunk: float | None = None) -> DataFrame:
+    """Each point with the interval [start, end) of its key that holds it; intervals of a key don't overlap.
+
+    With `chunk` seconds a hot key's points are sorted in stretches of time (see `asof_join`).
+    """
     kept = points.columns
-    found = asof_join(points, intervals, by, ts, start, [*columns, end] if end not in columns else columns)
+    found = asof_join(points, intervals, by, ts, start, [*columns, end] if end not in columns else columns, chunk=chunk)
     inside = F.col(ts) < F.col(end)
     return found.select(*kept, *(F.when(inside, F.col(c)).alias(c) for c in columns))
 
@@ -68,8 +71,8 @@ def overlap_join(a: DataFrame, b: DataFrame, by: str, a_span: tuple[str, str], b
     return pairs.drop("_bucket", "_a0", "_a1", "_b0", "_b1")
 
 
-def cut_by_first(intervals: DataFrame, events: DataFrame, by: str, row: str, start: str, end: str, ts: str, name: str) -> DataFrame:
-    """Intervals with `name`: their end, or the first event of their key inside them if there is one."""
-    inside = intervals.select(row, by, start, end).join(events.select(F.col(by), F.col(ts).alias("_ts")), by).where((F.col("_ts") >= F.col(start)) & (F.col("_ts") < F.col(end)))
-    first = inside.groupBy(row).agg(F.min("_ts").alias("_first"))
-    return intervals.join(first, row, "left").withColumn(name, F.coalesce("_first", end)).drop("_first")
+def cut_by_first(intervals: DataFrame, events: DataFrame, by: str, start: str, end: str, ts: str, name: str) -> DataFrame:
+    """Intervals with `name`: their end, or the first event of their key inside them if there is one: the next one from the start on."""
+    kept = intervals.columns
+    found = asof_join(intervals, events.select(by, F.col(ts).alias("_first")), by, start, "_first", ["_first"], "forward")
+    return found.select(*kept, F.when(F.col("_first") < F.col(end), F.col("_first")).otherwise(F.col(end)).alias(name))

@@ -39,6 +39,11 @@ def run_starts(active: Column, key: str, gap_seconds: float, value: str | None =
     return active & ~F.coalesce(joined, F.lit(False))
 
 
+def latched(on: Column, off: Column, window) -> Column:
+    """Whether the last row so far that decides, by `on` or else by `off`, said on; `window` reaches from the first row to this one."""
+    return F.coalesce(F.last(F.when(on, True).when(off, False), ignorenulls=True).over(window), F.lit(False))
+
+
 def hold_trigger(df: DataFrame, key: str, cond: Column, seconds: float) -> DataFrame:
     """Rows where a condition has just been true for longer than `seconds`: one a run."""
     found = runs(df.withColumn("_c", F.coalesce(cond, F.lit(False))), key, float(1 << 40), "_c")

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str], newest: Column | None = None) -> DataFrame:
+def upsert(target: DataFrame, changes: DataFrame, keys: list[str], newest: Column) -> DataFrame:
     """`target` with the rows of `changes` in place of those of equal keys, or added.
 
-    Columns that `changes` lacks keep the target's values. Of several changes of one key the
-    newest counts (by default any one of equal rows).
+    Columns that `changes` lacks keep the target's values. Of several changes of one key the one with the
+    greatest `newest` counts.
     """
-    w = Window.partitionBy(*keys).orderBy(newest.desc() if newest is not None else F.lit(1))
+    w = Window.partitionBy(*keys).orderBy(newest.desc())
     last = changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("_sent", F.lit(True))
     t, c = target.alias("t"), last.alias("c")
     both = t.join(c, [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "full")

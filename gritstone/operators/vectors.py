@@ -27,12 +27,18 @@ def match_vectors(vectors: DataFrame, key: str, vector: str, query: list[float],
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+#: Queries that may travel to every task.
+MOST_QUERIES = 1000
+
+
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """For a bounded set of queries: query, the k nearest other rows and ranks.
 
-    Queries travel as one array to every row, so their number must be small; scoring and the
+    Queries travel as one array to every row, so more than `MOST_QUERIES` are refused; scoring and the
     k best of a task need no shuffle of the vectors.
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: deal them out in parts")
     held = queries.select(F.struct(F.col(key).alias("q"), F.col(vector).alias("v")).alias("q")).agg(F.collect_list("q").alias("qs"))
     scored = vectors.join(F.broadcast(held)).select(key, vector, F.explode("qs").alias("one")).where(F.col("one.q") != F.col(key))
     scored = scored.select(F.col("one.q").alias("query_id"), key, cosine(F.col(vector), F.col("one.v")).alias("similarity"))

@@ -29,7 +29,7 @@ def shift_engine_hours(shifts: DataFrame, machines: DataFrame, log: DataFrame) -
 
     A shift counts in full, up to the first failure inside it.
     """
-    cut = asof.cut_by_first(shifts.select("shift_id", "machine_id", "start_time", "end_time"), failures(log), "machine_id", "shift_id", "start_time", "end_time", "failure_ts", "stop")
+    cut = asof.cut_by_first(shifts.select("shift_id", "machine_id", "start_time", "end_time"), failures(log), "machine_id", "start_time", "end_time", "failure_ts", "stop")
     hours = (F.unix_micros("stop") - F.unix_micros("start_time")) / 3.6e9
     rows = cut.withColumn("hours", hours).join(machines.select("machine_id", "total_engine_hours"), "machine_id", "left")
     from_here = W.reverse_total(F.col("hours"), W.by("machine_id", "start_time"))

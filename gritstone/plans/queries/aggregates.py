@@ -38,7 +38,7 @@ def percentile_cont(spark, sf_dir):
 @query("select p_brand, list_sort(list(p_size))[ceil(0.9 * (count(p_size) - 1))::int + 1] as p90 from part group by 1")
 def percentile_higher(spark, sf_dir):
     """The quantile that is one of the values."""
-    return table(spark, sf_dir, "part", "p_brand", "p_size").groupBy("p_brand").agg(A.quantile_higher(F.col("p_size"), 0.9).alias("p90"))
+    return A.quantile_higher(table(spark, sf_dir, "part", "p_brand", "p_size"), ["p_brand"], "p_size", 0.9, "p90")
 
 
 @query("select l_returnflag, sum(l_discount * l_quantity) / sum(l_quantity) as discount from lineitem where l_quantity > 0 group by 1")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ...operators import asof, scoring
 from ...operators import windows as W
-from .. import fleet, replan
+from .. import anomaly, fleet, health, maintenance, recommend, replan, task_time
 from ..registry import events, query, table
+from .alerts import NUMBERED, numbered
 
 #: Users are machines, signups begin shifts of up to two days, other events are telemetry in them.
 _BASE = """s as (select user_id, event_id as shift_id, ts as start_time, least(ts + interval '2 days', coalesce(lead(ts) over (partition by user_id order by ts), timestamp '9999-01-01')) as end_time from events where event_type = 'signup'),
@@ -102,41 +103,73 @@ def recommend_slots(spark, sf_dir):
     return c.withColumn("place", place).where(F.col("n") >= least).withColumn("r", F.row_number().over(w)).where("r <= 2").select("user_id", "event_type", "n")
 
 
-@query("""with v as (select user_id, max(case event_type when 'error' then 0.7::double when 'click' then 0.3::double else 0::double end) as a, 0.6 * avg((event_type = 'purchase')::int) as b from events group by 1)
-select user_id, 1 - a as electrical, 1 - b as engine, least(1 - a, 1 - b) as overall, case when least(1 - a, 1 - b) >= 0.75 then 'green' when least(1 - a, 1 - b) >= 0.5 then 'orange' else 'red' end as band from v""")
+@query("""with a as (select user_id, case event_id % 6 when 0 then 'cooling' when 1 then 'hydraulics' when 2 then 'engine' when 3 then 'electrical' when 4 then case event_id % 3 when 0 then 'cooling' when 1 then 'hydraulics' end end as s, case when value >= 60 then 0.7 when value >= 20 then 0.3 else 0 end as x
+    from events where event_type = 'error' and event_id % 5 <> 0),
+p as (select user_id, case event_id % 6 when 0 then 'engine' when 1 then 'hydraulics' when 2 then 'cooling' when 3 then 'electrical' when 4 then 'undercarriage' end as s, floor(value) / 500 as x from events where event_type = 'purchase'),
+m as (select user_id, unnest(case event_id % 5 when 0 then ['cooling'] when 1 then [case when event_id % 2 = 0 then 'undercarriage' else 'engine' end] when 2 then ['cooling', 'hydraulics'] when 3 then ['electrical'] else []::varchar[] end) as s, 0.6 * (event_id % 100) / 100 as x from events where event_type = 'click' and value > 3),
+w as (select user_id, s, max(x) as x from (select * from a union all select * from p union all select * from m) where s is not null group by 1, 2),
+h as (select u.user_id, """ + ", ".join(f"round_even(1 - coalesce(max(x) filter (s = '{x}'), 0)::double, 3) as {x}_score" for x in ("engine", "hydraulics", "cooling", "electrical", "undercarriage")) + """ from (select distinct user_id from events) u left join w on u.user_id = w.user_id group by 1),
+o as (select *, least(engine_score, hydraulics_score, cooling_score, electrical_score, undercarriage_score) as overall_score from h)
+select * exclude (user_id), 'm' || user_id as machine_id, case when overall_score >= 0.75 then 'green' when overall_score >= 0.5 then 'orange' else 'red' end as band from o""")
 def health_scores(spark, sf_dir):
-    """Scores of two subsystems from the worst event and a share, and the lowest of them."""
-    from ...functions.predicates import bands
+    """Subsystem scores from open alerts (errors), failure predictions (purchases) and anomalies (clicks)."""
+    df = events(spark, sf_dir, "event_id", "user_id", "event_type", "value").withColumn("machine_id", F.concat(F.lit("m"), F.col("user_id")))
+    pick = lambda n, *xs: F.array(*map(F.lit, xs))[(F.col("event_id") % n).cast("int")]
+    severity = F.when(F.col("value") >= 60, "critical").when(F.col("value") >= 20, "Warning").otherwise("info")
+    alerts = df.where("event_type = 'error'").select("machine_id", pick(6, "COOLANT_HIGH", "HYD_PRESSURE_DROP", "OIL_PRESSURE_LOW", "BATTERY_LOW", "FAULT_CODE", "TIP_RISK").alias("alert_code"), severity.alias("severity"), pick(5, "resolved", None, "warn", "derate", "warn").alias("stage"), pick(3, "E-110", "E-360", "X-1").alias("fault_code"))
+    predictions = df.where("event_type = 'purchase'").select("machine_id", pick(6, *health.SUBSYSTEMS[:2], "cooling", "electrical", "undercarriage", "unknown").alias("likely_component"), (F.floor("value") / 500).alias("failure_probability"))
+    top = pick(5, "coolant_temp_c_mean5", "vibration_rms_g_std5", "coolant_minus_hyd_oil_c", "battery_voltage_slope15", "pitch_deg_mean5")
+    anomalies = df.where("event_type = 'click'").select("machine_id", F.when(F.col("value") > 3, "machine_fault").otherwise("normal").alias("kind"), (F.col("event_id") % 100 / 100).alias("anomaly_score"), (F.col("event_id") % 2 == 0).alias("travelling"), F.array(top).alias("top"))
+    return health.health(df.select("machine_id").distinct(), health.alert_penalties(alerts), health.prediction_penalties(predictions), health.anomaly_penalties(anomalies))
+
+
+@query("""with e as (select event_id, user_id as m, ts, event_type, (epoch_us(ts) - 1704067200000000) / 3.6e9 as h from events), f as (select m, ts, h from e where event_type = 'error'), r as (select m, ts from e where event_type = 'purchase'),
+fr as (select f.m, f.ts, min(r.ts) as repaired from f left join r on r.m = f.m and r.ts >= f.ts group by 1, 2),
+n as (select e.event_id, e.m, e.ts, e.h, min(f.ts) as next_ts, min(f.h) as next_h from e left join f on f.m = e.m and f.ts > e.ts group by 1, 2, 3, 4),
+l as (select n.*, arg_max(fr.repaired, fr.ts) filter (fr.repaired is not null) as repaired_any, max(fr.ts) as failed from n left join fr on fr.m = n.m and fr.ts <= n.ts group by all),
+d as (select l.* exclude (repaired_any), fr.repaired from l left join fr on fr.m = l.m and fr.ts = l.failed), z as (select m, max(h) as end_h from e group by 1)
+select event_id, next_h - h as hours_to_failure, coalesce(next_h - h > 0 and next_h - h <= 48, false)::int as label, not coalesce(ts <= repaired, false) and not (next_ts is null and end_h - h < 48) as keep from d join z using (m)""")
+def failure_labels(spark, sf_dir):
+    """Hours to the next failure (error), whether it is within two days, and rows that can be used: not broken, not near the end."""
+    df = events(spark, sf_dir, "event_id", "user_id", "event_type").select("*", F.col("user_id").alias("machine_id"), ((F.col("us") - 1704067200000000) / 3.6e9).alias("engine_h"))
+    log = df.where("event_type in ('error', 'purchase')").select("machine_id", F.when(F.col("event_type") == "error", "failure").otherwise("repair").alias("event_type"), F.col("ts").alias("event_date"), F.lit("engine").alias("component"), F.col("engine_h").alias("engine_hours_at_event"))
+    end = df.groupBy("machine_id").agg(F.max("engine_h").alias("end_eh"))
+    return maintenance.labels(df.select("event_id", "machine_id", "ts", "engine_h"), log, end).select("event_id", "hours_to_failure", "label", "keep")
 
-    a = F.max(F.when(F.col("event_type") == "error", 0.7).when(F.col("event_type") == "click", 0.3).otherwise(0.0))
-    g = events(spark, sf_dir, "user_id", "event_type").groupBy("user_id").agg((1 - a).alias("electrical"), (1 - 0.6 * F.avg((F.col("event_type") == "purchase").cast("int"))).alias("engine"))
-    overall = F.least("electrical", "engine")
-    return g.select("user_id", "electrical", "engine", overall.alias("overall"), bands(overall, [(0.75, "green"), (0.5, "orange")], "red").alias("band"))
 
+@query(f"""with {NUMBERED}, c as (select *, n * 60000000 + pauses * 600000000 as us, event_type = 'view' and value < 2 as glitch, coalesce(value > 12, false) and n % 30 >= 5 as counts from nb),
+g as (select *, not counts or lag(us) over w is null or us - lag(us) over w > 120000000 as new from c window w as (partition by user_id order by us)),
+r as (select *, sum(new::int) over (partition by user_id order by us rows unbounded preceding) as run from g), l as (select *, sum(counts::int) over (partition by user_id, run order by us rows unbounded preceding) as k from r)
+select event_id, user_id, case when glitch then 'sensor_glitch' when counts and k >= 3 then 'machine_fault' else 'normal' end as kind from l""")
+def persist_flags(spark, sf_dir):
+    """A glitch at once, a fault from the third counting flag in a row on."""
+    df = numbered(spark, sf_dir, "event_id", "value").drop("us")
+    us = F.col("n").cast("long") * 60_000_000 + F.col("pauses") * 600_000_000
+    scored = df.select("event_id", "user_id", "machine_id", us.alias("us"), (F.col("value") > 12).alias("flagged"), (F.col("n") % 30).alias("state_age_min"), F.when((F.col("event_type") == "view") & (F.col("value") < 2), "coolant_temp_c").alias("glitch"))
+    return anomaly.classify(scored).select("event_id", "user_id", "kind")
 
-@query("""with e as (select *, lag(ts) over w as pt, lag(event_type) over w as pe from events window w as (partition by user_id order by ts)),
-n as (select e.event_id, e.user_id, e.ts, min(f.ts) as next_ts from events e left join events f on f.user_id = e.user_id and f.event_type = 'error' and f.ts > e.ts group by 1, 2, 3)
-select event_id, user_id, (next_ts is not null and next_ts <= ts + interval '2 days')::int as label, next_ts is not null or ts <= timestamp '2024-01-28' as keep from n""")
-def failure_labels(spark, sf_dir):
-    """Whether an error follows within two days; rows near the end without one don't count."""
-    df = events(spark, sf_dir, "event_id", "user_id", "event_type")
-    f = df.where("event_type = 'error'").select("user_id", F.col("ts").alias("next_ts"))
-    d = asof.asof_join(df.select("event_id", "user_id", "ts"), f, "user_id", "ts", "next_ts", ["next_ts"], "forward", exact=False)
-    near = F.coalesce(F.col("next_ts") <= F.col("ts") + F.expr("interval 2 days"), F.lit(False))
-    return d.select("event_id", "user_id", near.cast("int").alias("label"), (F.col("next_ts").isNotNull() | (F.col("ts") <= F.lit("2024-01-28").cast("timestamp"))).alias("keep"))
 
+_IMPACTS = {"rain": (7, 3, 0.013), "skill": (5, 2, 0.027), "distance": (3, 1, 0.041)}
 
-@query("""with f as (select event_id, user_id, ts, value > 60 as flag from events), b as (select *, sum((not flag or ts - lag_ts > interval '2 days' or lag_ts is null)::int) over (partition by user_id order by ts rows unbounded preceding) as run from (select *, lag(ts) over (partition by user_id order by ts) as lag_ts from f)),
-l as (select *, sum(flag::int) over (partition by user_id, run order by ts rows unbounded preceding) as len from b)
-select event_id, user_id, case when flag and len >= 2 then 'machine_fault' else 'normal' end as kind from l""")
-def persist_flags(spark, sf_dir):
-    """A flag counts as a fault from the second in a row on."""
-    df = events(spark, sf_dir, "event_id", "user_id", "value").withColumn("flag", F.col("value") > 60)
-    w = W.by("user_id")
-    new = ~F.col("flag") | F.lag("us").over(w).isNull() | (F.col("us") - F.lag("us").over(w) > 172_800_000_000)
-    run = df.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.sum(F.col("flag").cast("int")).over(W.by(["user_id", "run"]).rowsBetween(Window.unboundedPreceding, 0))
-    return run.withColumn("n", n).select("event_id", "user_id", F.when(F.col("flag") & (F.col("n") >= 2), "machine_fault").otherwise("normal").alias("kind"))
+
+@query("with i as (select event_id, unnest([" + ", ".join(f"{{'f': '{n}', 'x': (value + 10) - (exp(ln(value + 11) - ((event_id % {k} - {m}) / 10.0::double + {c})) - 1)}}" for n, (k, m, c) in _IMPACTS.items()) + """]) as u from events),
+r as (select event_id, u.f as f, u.x as x, row_number() over (partition by event_id order by abs(u.x) desc, u.f) as k from i)
+select event_id, max(f) filter (k = 1) as first, max(round_even(x, 1)) filter (k = 1) as first_min, max(f) filter (k = 2) as second, max(round_even(x, 1)) filter (k = 2) as second_min from r group by 1""")
+def factor_minutes(spark, sf_dir):
+    """The two factors that move a forecast most, in minutes."""
+    df = events(spark, sf_dir, "event_id", "value")
+    parts = {n: (F.col("event_id") % k - m) / 10.0 + c for n, (k, m, c) in _IMPACTS.items()}
+    top = df.select("event_id", task_time.top_factors(F.col("value") + 10, parts, 2).alias("t"))
+    return top.select("event_id", *(x.alias(n) for i, (a, b) in enumerate((("first", "first_min"), ("second", "second_min"))) for n, x in ((a, F.col("t")[i]["feature"]), (b, F.col("t")[i]["impact_min"]))))
+
+
+@query("""with x as (select event_id, greatest(value * 0.8 - (event_id % 50), (event_id % 50) - value * 1.2) / value as miss from events where event_type = 'purchase' and value > 0), n as (select count(*) as n from x)
+select miss as "offset" from x, n qualify row_number() over (order by miss) = least(ceil((n + 1) * 0.8), n)""")
+def interval_offset(spark, sf_dir):
+    """The share of the forecast by which its interval must widen to hold four fifths of what happened."""
+    df = events(spark, sf_dir, "event_id", "event_type", "value").where("event_type = 'purchase' and value > 0")
+    cols = df.select((F.col("event_id") % 50).alias("actual"), (F.col("value") * 0.8).alias("low"), F.col("value").alias("middle"), (F.col("value") * 1.2).alias("high"))
+    return task_time.conformal_offset(cols, "actual", "low", "middle", "high", 0.8)
 
 
 @query("select p_partkey, (p_retailprice - m) / s as z from part join (select p_brand as b, avg(p_retailprice) as m, coalesce(nullif(stddev_pop(p_retailprice), 0), 1.0) as s from part group by 1) on p_brand = b")
@@ -146,16 +179,23 @@ def z_by_type(spark, sf_dir):
     return scoring.z_scores(p, scoring.fit_scales(p, ["p_brand"], ["p_retailprice"]), ["p_brand"], {"p_retailprice": 1.0}).select("p_partkey", F.col("z_p_retailprice").alias("z"))
 
 
-@query("""with c as (select user_id, count(*) as n, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (event_type = 'error') as errors from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by 1),
-l as (select user_id, arg_max(event_type, ts) as last_type from events where ts < timestamp '2024-01-20' group by 1)
-select c.*, last_type from c join l on c.user_id = l.user_id""")
+@query("""with s as (select user_id, event_id as shift_id, value, ts as start_time, least(ts + interval '2 days', coalesce(lead(ts) over (partition by user_id order by ts), timestamp '9999-01-01')) as end_time from events where event_type = 'signup'),
+e as (select e.user_id, e.ts, 'A' || (e.event_id % 7) as code, min(p.ts) as resolved from events e left join events p on p.user_id = e.user_id and p.event_type = 'purchase' and p.ts > e.ts where e.event_type = 'error' group by e.user_id, e.ts, e.event_id),
+o as (select shift_id, string_agg(code, ',' order by code) as open_alerts from s join e on e.user_id = s.user_id and e.ts <= s.end_time and (e.resolved is null or e.resolved > s.end_time) group by 1),
+c as (select shift_id, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'view') as views from s join events v on v.user_id = s.user_id and v.ts >= s.start_time and v.ts < s.end_time group by 1),
+p as (select shift_id, arg_max(v.value, v.ts) as failure_probability from s join events v on v.user_id = s.user_id and v.event_type = 'view' and v.ts <= s.end_time group by 1)
+select s.shift_id, value - value / 4 as fuel_used_pct, open_alerts, nullif(clicks, 0) as clicks, nullif(views, 0) as views, (s.shift_id % 3 <> 0)::bigint as unfinished, failure_probability from s left join o using (shift_id) left join c using (shift_id) left join p using (shift_id)""")
 def handover_facts(spark, sf_dir):
-    """Facts of a span: counts, first and last event, and the latest state at its end."""
-    end = F.lit("2024-01-20").cast("timestamp")
-    df = events(spark, sf_dir, "user_id", "event_type").where(F.col("ts") < end)
-    inside = F.col("ts") >= F.lit("2024-01-10").cast("timestamp")
-    g = df.groupBy("user_id").agg(F.count_if(inside).alias("n"), F.min(F.when(inside, F.col("ts"))).alias("first_ts"), F.max(F.when(inside, F.col("ts"))).alias("last_ts"), F.count_if(inside & (F.col("event_type") == "error")).alias("errors"), F.max_by("event_type", "us").alias("last_type"))
-    return g.where("n > 0")
+    """Facts of each shift at its end: open alerts (errors), events, unfinished tasks, fuel, the last prediction (view)."""
+    df = events(spark, sf_dir).withColumn("machine_id", F.col("user_id"))
+    end = F.least(F.col("ts") + F.expr("interval 2 days"), F.coalesce(F.lead("ts").over(W.by("user_id")), F.lit("9999-01-01").cast("timestamp")))
+    shifts = df.where("event_type = 'signup'").select(F.col("event_id").alias("shift_id"), "machine_id", F.col("ts").alias("start_time"), end.alias("end_time"), F.col("value").alias("fuel_start_pct"), (F.col("value") / 4).alias("fuel_end_pct"))
+    bought = df.where("event_type = 'purchase'").select("machine_id", F.col("ts").alias("resolved_at"))
+    alerts = asof.asof_join(df.where("event_type = 'error'").select("machine_id", "ts", F.concat(F.lit("A"), F.col("event_id") % 7).alias("alert_code")), bought, "machine_id", "ts", "resolved_at", ["resolved_at"], "forward", exact=False)
+    tasks = df.select(F.col("event_id").alias("shift_id"), F.when(F.col("event_id") % 3 == 0, "completed").otherwise("open").alias("status"))
+    predictions = df.where("event_type = 'view'").select("machine_id", F.col("ts").alias("predicted_at"), F.col("value").alias("failure_probability"))
+    facts = recommend.handover_facts(shifts, alerts, df.select("machine_id", "ts", "event_type"), tasks, predictions, chunk=5 * W.DAY)
+    return facts.select("shift_id", "fuel_used_pct", F.array_join("open_alerts", ",").alias("open_alerts"), F.col("events")["click"].alias("clicks"), F.col("events")["view"].alias("views"), "unfinished", "failure_probability")
 
 
 @query("""with s as (select *, sum((event_type = 'view')::int) over w as v, sum((event_type = 'error')::int) over w as e, count(*) over w as n from events window w as (partition by user_id order by ts range between interval '259199999999 microseconds' preceding and current row))

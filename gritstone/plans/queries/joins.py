@@ -100,7 +100,7 @@ def interval_first_match(spark, sf_dir):
 def cut_by_min(spark, sf_dir):
     """Spans cut at the first error inside them."""
     errors = events(spark, sf_dir, "user_id", "event_type").where("event_type = 'error'")
-    return asof.cut_by_first(_spans(spark, sf_dir), errors, "user_id", "span_id", "start_ts", "end_ts", "ts", "cut_ts").select("span_id", "cut_ts")
+    return asof.cut_by_first(_spans(spark, sf_dir), errors, "user_id", "start_ts", "end_ts", "ts", "cut_ts").select("span_id", "cut_ts")
 
 
 @query("""with o as (select o_orderkey as k, o_custkey, o_orderdate as a, o_orderdate + interval '20 days' as b from orders)

@@ -56,7 +56,8 @@ def calibration(spark, sf_dir):
     return near.join(med, "user_id").groupBy("user_id").agg(F.avg(F.when(F.col("value") >= 0.8 * F.col("med"), F.col("value"))).alias("baseline"))
 
 
-@query()
+@query("""with l as (select *, last_value(case when value >= 30 then 1 when value < 20 then 0 end ignore nulls) over k as a, last_value(case when value >= 60 then 1 when value < 50 then 0 end ignore nulls) over k as b from events window k as (partition by user_id order by ts rows unbounded preceding))
+select event_id, user_id, (coalesce(a, 0) + coalesce(b, 0))::int as level from l""")
 def hysteresis_levels(spark, sf_dir):
     """A level that enters at its floor and leaves only well below it, in event order."""
     df = events(spark, sf_dir, "event_id", "user_id", "value")

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plural
+from ..operators import asof
 
 #: Event type, least count and module of the safety rules, in order of priority.
 SAFETY = (("tip_risk", 1, "TM-SAFE-03"), ("seatbelt_unfastened", 1, "TM-SAFE-02"), ("proximity_breach", 2, "TM-SAFE-01"))
 HARSH, TIME_RATIO, TIME_TASKS, IDLE_PCT, MOST_OPEN, WINDOW_DAYS = 3, 1.2, 2, 25.0, 2, 7
 
 
+MODULES = [*(m for _, _, m in SAFETY), "TM-SMTH-01", "TM-SIM-01", "TM-EXC-01", "TM-CYC-01", "TM-IDLE-01", "TM-FUEL-01"]
+
+
 def counts(events: DataFrame, key: str, as_of: Column) -> DataFrame:
     """Events of each kind in the week before an instant; blind-spot intrusions count as proximity."""
     kind = F.when(F.col("event_type") == "blindspot_intrusion", "proximity_breach").otherwise(F.col("event_type"))
@@ -40,7 +44,7 @@ def recommend(rules: DataFrame, key: str, existing: DataFrame, modules: DataFram
     existing: key, module_id, status, created_at. A key has a handful of rules, so they fold in an array.
     """
     taken = existing.groupBy(key).agg(F.collect_set(F.when(F.col("status").isin("pending", "booked") | (F.col("created_at") >= now - F.expr(f"interval {WINDOW_DAYS} days")), F.col("module_id"))).alias("taken"), F.count_if(F.col("status").isin("pending", "booked")).alias("open"))
-    known = modules.agg(F.collect_set("module_id").alias("known"))  # the catalogue of modules, a few dozen
+    known = modules.where(F.col("module_id").isin(*MODULES)).agg(F.collect_set("module_id").alias("known"))  # no more than the rules name
     held = rules.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "metric", "value", "modules"))).alias("rules")).join(taken, key, "left").join(F.broadcast(known))
     empty = F.array().cast("array<struct<module_id:string,metric:string,value:double>>")
     slots = F.greatest(F.lit(MOST_OPEN) - F.coalesce("open", F.lit(0)), F.lit(0))
@@ -60,19 +64,37 @@ def reason(metric: Column, value: Column) -> Column:
     return F.when(metric == "harsh_maneuver", F.concat(plural(n, "harsh movement"), F.lit(" in the last 7 days"))).when(metric == "idle_pct", F.concat(F.lit("Idle for "), F.bround(value).cast("int").cast("string"), F.lit("% of engine time"))).otherwise(F.concat(F.lit("Happened "), plural(n, "time"), F.lit(" in the last 7 days")))
 
 
-def handover_facts(shifts: DataFrame, alerts: DataFrame, events: DataFrame, tasks: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Facts of each shift at its end: open alerts, events by kind, unfinished tasks, fuel used, the latest prediction."""
+def handover_facts(shifts: DataFrame, alerts: DataFrame, events: DataFrame, tasks: DataFrame, predictions: DataFrame, chunk: float | None = None) -> DataFrame:
+    """Facts of each shift at its end: open alerts, events by kind, unfinished tasks, fuel used, the latest prediction.
+
+    Each source meets the shifts by one sort or by time buckets, so rows grow with what is found and not with
+    shifts times events. Shifts of a machine don't overlap. `chunk` seconds cut a hot machine's series (see `asof_join`).
+    """
     s = shifts.select("shift_id", "machine_id", "start_time", "end_time", (F.col("fuel_start_pct") - F.col("fuel_end_pct")).alias("fuel_used_pct"))
-    open_ = s.join(alerts.select("machine_id", F.col("ts").alias("_ts"), "resolved_at", "alert_code"), "machine_id").where((F.col("_ts") <= F.col("end_time")) & (F.col("resolved_at").isNull() | (F.col("resolved_at") > F.col("end_time"))))
-    open_ = open_.groupBy("shift_id").agg(F.array_sort(F.collect_list("alert_code")).alias("open_alerts"))
-    seen = s.join(events.select("machine_id", F.col("ts").alias("_ts"), "event_type"), "machine_id").where((F.col("_ts") >= F.col("start_time")) & (F.col("_ts") < F.col("end_time")))
+    ends = s.select("shift_id", "machine_id", F.col("end_time").alias("_at"))
+    spans = alerts.select("machine_id", "ts", F.coalesce("resolved_at", F.lit("9999-01-01").cast("timestamp")).alias("_until"), "alert_code")
+    open_ = _open_at(spans, ends).groupBy("shift_id").agg(F.array_sort(F.collect_list("alert_code")).alias("open_alerts"))
+    seen = asof.point_in_interval(events.select("machine_id", "ts", "event_type"), s, "machine_id", "ts", "start_time", "end_time", ["shift_id"], chunk).where("shift_id is not null")
     seen = seen.groupBy("shift_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("shift_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("events"))
     undone = tasks.where("status <> 'completed'").groupBy("shift_id").agg(F.count(F.lit(1)).alias("unfinished"))
-    last = s.join(predictions.select("machine_id", "predicted_at", "failure_probability"), "machine_id").where("predicted_at <= end_time").groupBy("shift_id").agg(F.max_by("failure_probability", "predicted_at").alias("failure_probability"))
-    out = s
-    for part in (open_, seen, undone, last):
+    last = asof.asof_join(s, predictions.select("machine_id", "predicted_at", "failure_probability"), "machine_id", "end_time", "predicted_at", ["failure_probability"], chunk=chunk)
+    out = last
+    for part in (open_, seen, undone):
         out = out.join(part, "shift_id", "left")
-    return out.withColumn("unfinished", F.coalesce("unfinished", F.lit(0)))
+    return out.select("shift_id", "machine_id", "start_time", "end_time", "fuel_used_pct", "open_alerts", "events", F.coalesce("unfinished", F.lit(0)).alias("unfinished"), "failure_probability")
+
+
+def _open_at(spans: DataFrame, ends: DataFrame) -> DataFrame:
+    """shift_id and alert_code of alerts that are open at a shift's end: raised at or before it and not resolved by then.
+
+    An alert meets the next end of a shift after it was raised, and with that the ones that follow until it is resolved: ends are numbered
+    by machine, and an alert covers a stretch of numbers.
+    """
+    place = ends.withColumn("_n", F.row_number().over(Window.partitionBy("machine_id").orderBy("_at", "shift_id")))
+    first = asof.asof_join(spans, place.select("machine_id", "_at", F.col("_n").alias("_from")), "machine_id", "ts", "_at", ["_from"], "forward", tie="_from")
+    both = asof.asof_join(first, place.select("machine_id", "_at", F.col("_n").alias("_to")), "machine_id", "_until", "_at", ["_to"], exact=False, tie="_to")
+    covered = both.where("_from <= _to").select("machine_id", "alert_code", F.explode(F.sequence("_from", "_to")).alias("_n"))
+    return covered.join(place.select("machine_id", "_n", "shift_id"), ["machine_id", "_n"]).select("shift_id", "alert_code")
 
 
 def latest(df: DataFrame, key: str, ts: str) -> DataFrame:

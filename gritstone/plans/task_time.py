@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asof
+from ..operators import aggregates, asof
 from ..operators import windows as W
 from .maintenance import shift_engine_hours
 
@@ -74,8 +74,16 @@ def calibrate(low: Column, middle: Column, high: Column, offset: float) -> Colum
 
 def conformal_offset(df: DataFrame, actual: str, low: str, middle: str, high: str, share: float) -> DataFrame:
     """One row: the offset that makes the interval hold the given share of actual values."""
-    miss = F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high)) / F.col(middle)
-    n = F.count(miss)
-    sorted_ = F.array_sort(F.collect_list(miss))
-    place = F.least(F.ceil((n + 1) * share), n).cast("int")
-    return df.agg(F.when(n > 0, F.element_at(sorted_, place)).alias("offset"))
+    miss = df.select((F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high)) / F.col(middle)).alias("miss"))
+    return aggregates.at_rank(miss, [], "miss", F.least(F.ceil((F.col("n") + 1) * share), F.col("n")), "offset")
+
+
+def factor_minutes(p50: Column, contributions: Column) -> Column:
+    """Minutes of each factor, from an array of its contributions in log1p space: p50 less what it would be without the factor."""
+    return F.transform(contributions, lambda c: p50 - F.expm1(F.log1p(p50) - c))
+
+
+def top_factors(p50: Column, contributions: dict[str, Column], k: int) -> Column:
+    """The k factors of the largest absolute minutes, as an array of feature and impact_min (to a tenth); ties by feature."""
+    each = F.array(*(F.struct((-F.abs(p50 - F.expm1(F.log1p(p50) - c))).alias("by"), F.lit(n).alias("feature"), F.bround(p50 - F.expm1(F.log1p(p50) - c), 1).alias("impact_min")) for n, c in contributions.items()))
+    return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.struct(x["feature"].alias("feature"), x["impact_min"].alias("impact_min")))

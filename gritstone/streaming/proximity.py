@@ -1,7 +1,8 @@
 """Distances, zones and fatigue signs from detections, for tables and streams.
 
-What a frame alone tells is a column expression; trailing counts and shares are windows; only
-zones, which leave later than they are entered, keep state a track.
+What a frame alone tells is a column expression; trailing counts and shares are windows, and so are
+zones, which are left later than they are entered. Only posts that keep a distance in time from the last
+one depend on themselves; they are carried from row to row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import windows as W
-from ..operators.islands import hold_trigger
+from ..operators.islands import hold_trigger, latched, runs
 
 #: Heights in metres, zone limits, slack on leaving, closing speed, repeat of a red post, life of a track.
 HEIGHT_M = {"person": 1.7, "car": 1.5, "truck": 3.0}
@@ -44,53 +45,51 @@ def closing(df: DataFrame, track: str) -> DataFrame:
     return df.withColumn("closing_mps", speed).withColumn("approaching", F.coalesce(F.col("closing_mps") > CLOSING_MPS, F.lit(False)))
 
 
-def zone_of(d: float, before: str, wide: bool) -> str:
-    """red, orange or clear; entered at the limits, left only beyond the slack."""
-    red, orange = (x + (WIDER_M if wide else 0.0) for x in (RED_M, ORANGE_M))
-    if d < red + (SLACK_M if before == "red" else 0.0):
-        return "red"
-    return "orange" if d <= orange + (SLACK_M if before != "clear" else 0.0) else "clear"
-
-
-def severity_of(zone: str, approaching: bool) -> str | None:
-    base = {"red": 2, "orange": 1}.get(zone)
-    return None if base is None else LEVELS[min(base + approaching, 2)]
-
-
-class Track:
-    """What one track remembers."""
-
-    def __init__(self) -> None:
-        self.zone, self.severity, self.posted, self.seen = "clear", None, None, None
-
-    def feed(self, us: int, d: float, approaching: bool, wide: bool) -> tuple[str, str | None, bool]:
-        """Zone, severity, and whether to post: on a new zone, a higher severity, or again while it stays red."""
-        if self.seen is not None and us - self.seen > LIFE_S * 1e6:
-            self.__init__()
-        zone = zone_of(d, self.zone, wide)
-        severity = severity_of(zone, approaching)
-        rank = lambda s: -1 if s is None else LEVELS.index(s)
-        post = zone != "clear" and (zone != self.zone or rank(severity) > rank(self.severity) or (zone == "red" and (self.posted is None or us - self.posted >= REPEAT_S * 1e6)))
-        self.posted = us if post else None if zone == "clear" else self.posted
-        self.zone, self.severity, self.seen = zone, severity, us
-        return zone, severity, post
+#: Zones from the innermost: name, limit, whether the limit itself is inside, and the severity's place in LEVELS.
+ZONES = (("red", RED_M, False, 2), ("orange", ORANGE_M, True, 1))
 
 
 def zones(df: DataFrame, track: str) -> DataFrame:
-    """Adds zone, severity and post to sorted detections (us, distance_m, approaching, wide)."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in (("zone", T.StringType()), ("severity", T.StringType()), ("post", T.BooleanType())))])
+    """Adds zone, severity and post to detections (us, distance_m, approaching, wide).
+
+    A zone is entered at its limit and left beyond the slack; a track that was not seen for its life begins anew. Who comes
+    nearer counts one level more. A post goes out on a new zone, on a higher severity, and again and again while it stays red.
+    """
+    lives = runs(df, track, LIFE_S).drop("run_start", "run_pos")
+    w = W.by([track, "run_id"])
+    so_far = w.rowsBetween(W.Window.unboundedPreceding, 0)
+    d, wider = F.col("distance_m"), F.when(F.col("wide"), WIDER_M).otherwise(0.0)
+    zone, base = F.lit("clear"), F.lit(None).cast("int")
+    for name, limit, closed, place in reversed(ZONES):
+        within = lambda slack, limit=limit, closed=closed: (d <= limit + wider + slack) if closed else (d < limit + wider + slack)
+        held = latched(within(0.0), ~within(SLACK_M), so_far)
+        zone, base = F.when(held, name).otherwise(zone), F.when(held, place).otherwise(base)
+    level = F.when(base.isNotNull(), F.least(base + F.coalesce(F.col("approaching"), F.lit(False)).cast("int"), F.lit(len(LEVELS) - 1)))
+    df = lives.withColumns({"zone": zone, "_level": level})
+    rises = F.coalesce(F.col("_level") > F.coalesce(F.lag("_level").over(w), F.lit(-1)), F.lit(False))
+    new = (F.col("zone") != "clear") & ((F.col("zone") != F.lag("zone", 1, "clear").over(w)) | rises)
+    df = df.withColumns({"severity": F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_level") + 1), "_new": new, "_again": F.col("zone") == "red"}).drop("_level", "run_id")
+    return spaced(df, track, "_new", "_again", REPEAT_S, "post").drop("_new", "_again")
+
+
+def spaced(df: DataFrame, key: str, sure: str, may: str, seconds: float, name: str) -> DataFrame:
+    """Adds `name`: rows that are sure, and rows that may if the last one of either kind is at least `seconds` ago.
+
+    Which rows count depends on which did before. Sorted rows stream through, one time a key is kept.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, now = object(), Track()
+        at, last = None, None
         for b in batches:
             out = []
-            for k, us, d, near, wide in zip(b[track], b["us"], b["distance_m"], b["approaching"], b["wide"], strict=True):
-                if k != key:
-                    key, now = k, Track()
-                out.append(now.feed(us, d, bool(near), bool(wide)))
-            yield b.assign(**{n: [o[i] for o in out] for i, n in enumerate(("zone", "severity", "post"))})
-
-    return df.repartition(track).sortWithinPartitions(track, "us").mapInPandas(run, schema)
+            for k, us, yes, perhaps in zip(b[key], b["us"], b[sure], b[may], strict=True):
+                last = last if k == at else None
+                at = k
+                out.append(bool(yes or (perhaps and (last is None or us - last >= seconds * 1e6))))
+                last = us if out[-1] else last
+            yield b.assign(**{name: out})
+
+    return df.repartition(key).sortWithinPartitions(key, "us").mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
 
 def aspect_ratio(points: Column, top: list[int], bottom: list[int], left: int, right: int) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.islands import latched
+from ..operators.windows import no_nan
+
 
 def coalesce_events(df: DataFrame, ts: str, gap: str, keys: list[str], watermark: str | None = None, **aggregates: Column) -> DataFrame:
     """Events of a key no further than `gap` apart become one row: start_ts, last_ts, n and more.
@@ -32,28 +34,23 @@ def step_level(level: int, x: float | None, floors: list[float], slack: float) -
 
 
 def hysteresis(df: DataFrame, key: str, order: str, value: str, floors: list[float], slack: float, name: str) -> DataFrame:
-    """Adds the level of each row in the order of its key. Needs the rows before, so it runs per key."""
-    out = T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, level = object(), 0
-        for b in batches:
-            levels = []
-            for k, x in zip(b[key], b[value], strict=True):
-                level = step_level(level if k == at else 0, x, floors, slack)
-                at = k
-                levels.append(level)
-            yield b.assign(**{name: levels})
+    """Adds the level of each row in the order of its key: floors that were reached and have not been left by `slack` since."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = no_nan(F.col(value).cast("double"))
+    return df.withColumn(name, sum((latched(x >= f, x < f - slack, w).cast("int") for f in floors), F.lit(0)))
 
-    # sorted partitions stream through: a key's rows are never held together
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, out)
 
+def hysteresis_stream(stream: DataFrame, key: str, ts: str, value: str, floors: list[float], slack: float, forget_ms: int = 86_400_000) -> DataFrame:
+    """The level of each key after each row, kept across micro-batches; rows of a batch are taken in time order.
 
-def hysteresis_stream(stream: DataFrame, key: str, ts: str, value: str, floors: list[float], slack: float) -> DataFrame:
-    """The level of each key after each row, kept across micro-batches; rows of a batch are taken in time order."""
+    A key that is silent for a day is forgotten and begins at level 0 again.
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
         levels = []
@@ -61,6 +58,7 @@ def hysteresis_stream(stream: DataFrame, key: str, ts: str, value: str, floors:
             level = step_level(level, x, floors, slack)
             levels.append(level)
         state.update((level,))
+        state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({key: rows[key], ts: rows[ts], "level": levels})
 
-    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, level int", "level int", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, level int", "level int", "append", GroupStateTimeout.ProcessingTimeTimeout)
