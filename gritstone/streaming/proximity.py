@@ -68,7 +68,7 @@ def zones(df: DataFrame, track: str) -> DataFrame:
     df = lives.withColumns({"zone": zone, "_level": level})
     rises = F.coalesce(F.col("_level") > F.coalesce(F.lag("_level").over(w), F.lit(-1)), F.lit(False))
     new = (F.col("zone") != "clear") & ((F.col("zone") != F.lag("zone", 1, "clear").over(w)) | rises)
-    df = df.withColumns({"severity": F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_level") + 1), "_new": new, "_again": F.col("zone") == "red"}).drop("_level", "run_id")
+    df = df.withColumns({"severity": F.create_map(*(F.lit(x) for kv in enumerate(LEVELS) for x in kv))[F.col("_level")], "_new": new, "_again": F.col("zone") == "red"}).drop("_level", "run_id")
     return spaced(df, track, "_new", "_again", REPEAT_S, "post").drop("_new", "_again")
 
 
