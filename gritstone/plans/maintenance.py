@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +105,23 @@ def labels(features: DataFrame, log: DataFrame, run_end: DataFrame, horizon: flo
     return d.withColumns({"hours_to_failure": left, "label": hit.cast("int"), "keep": ~down & ~censored}).drop("_eh", "_failed", "_repaired", "end_eh")
 
 
+def folds(features: DataFrame, bounds: list[datetime], horizon: float = HORIZON_H) -> DataFrame:
+    """Rows with fold (from 1) and part: each fold tests on the time between two bounds and trains on all before.
+
+    Training rows whose label looks into the tested time are purged: those less than `horizon` engine hours before
+    the machine's first row in it.
+    """
+    out = []
+    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
+        lo_, hi_ = F.lit(lo), F.lit(hi)
+        begins = features.where(F.col("ts") >= lo_).groupBy("machine_id").agg(F.min("engine_h").alias("_begins"))
+        d = features.where(F.col("ts") < hi_).join(begins, "machine_id", "left")
+        fits = F.coalesce(F.col("engine_h") <= F.col("_begins") - horizon, F.lit(True))
+        part = F.when(F.col("ts") >= lo_, "test").when(fits, "train")
+        out.append(d.withColumns({"fold": F.lit(k), "part": part}).where("part is not null").drop("_begins"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def fit_scales(rows: DataFrame) -> DataFrame:
     """Means and sample deviations of trends and deviations by machine type, from more than ten rows."""
     return scoring.fit_scales(rows, ["machine_type"], [f"{s}_{k}" for s in SIGNALS for k in ("slope72", "dev24")], population=False, least=10)

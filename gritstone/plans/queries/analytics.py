@@ -123,18 +123,26 @@ def health_scores(spark, sf_dir):
     return health.health(df.select("machine_id").distinct(), health.alert_penalties(alerts), health.prediction_penalties(predictions), health.anomaly_penalties(anomalies))
 
 
-@query("""with e as (select event_id, user_id as m, ts, event_type, (epoch_us(ts) - 1704067200000000) / 3.6e9 as h from events), f as (select m, ts, h from e where event_type = 'error'), r as (select m, ts from e where event_type = 'purchase'),
+LABELS = """e as (select event_id, user_id as m, ts, event_type, (epoch_us(ts) - 1704067200000000) / 3.6e9 as h from events), f as (select m, ts, h from e where event_type = 'error'), r as (select m, ts from e where event_type = 'purchase'),
 fr as (select f.m, f.ts, min(r.ts) as repaired from f left join r on r.m = f.m and r.ts >= f.ts group by 1, 2),
 n as (select e.event_id, e.m, e.ts, e.h, min(f.ts) as next_ts, min(f.h) as next_h from e left join f on f.m = e.m and f.ts > e.ts group by 1, 2, 3, 4),
-l as (select n.*, arg_max(fr.repaired, fr.ts) filter (fr.repaired is not null) as repaired_any, max(fr.ts) as failed from n left join fr on fr.m = n.m and fr.ts <= n.ts group by all),
-d as (select l.* exclude (repaired_any), fr.repaired from l left join fr on fr.m = l.m and fr.ts = l.failed), z as (select m, max(h) as end_h from e group by 1)
-select event_id, next_h - h as hours_to_failure, coalesce(next_h - h > 0 and next_h - h <= 48, false)::int as label, not coalesce(ts <= repaired, false) and not (next_ts is null and end_h - h < 48) as keep from d join z using (m)""")
-def failure_labels(spark, sf_dir):
-    """Hours to the next failure (error), whether it is within two days, and rows that can be used: not broken, not near the end."""
+l as (select n.*, max(fr.ts) as failed from n left join fr on fr.m = n.m and fr.ts <= n.ts group by all),
+d as (select l.*, fr.repaired from l left join fr on fr.m = l.m and fr.ts = l.failed), z as (select m, max(h) as end_h from e group by 1),
+labelled as (select event_id, next_h - h as hours_to_failure, coalesce(next_h - h > 0 and next_h - h <= 48, false)::int as label, not coalesce(ts <= repaired, false) and not (next_ts is null and end_h - h < 48) as keep from d join z using (m))"""
+
+
+def labelled(spark, sf_dir):
+    """Events as hours of machines: errors are failures, purchases repairs."""
     df = events(spark, sf_dir, "event_id", "user_id", "event_type").select("*", F.col("user_id").alias("machine_id"), ((F.col("us") - 1704067200000000) / 3.6e9).alias("engine_h"))
     log = df.where("event_type in ('error', 'purchase')").select("machine_id", F.when(F.col("event_type") == "error", "failure").otherwise("repair").alias("event_type"), F.col("ts").alias("event_date"), F.lit("engine").alias("component"), F.col("engine_h").alias("engine_hours_at_event"))
     end = df.groupBy("machine_id").agg(F.max("engine_h").alias("end_eh"))
-    return maintenance.labels(df.select("event_id", "machine_id", "ts", "engine_h"), log, end).select("event_id", "hours_to_failure", "label", "keep")
+    return maintenance.labels(df.select("event_id", "machine_id", "ts", "engine_h"), log, end)
+
+
+@query(f"with {LABELS} select * from labelled")
+def failure_labels(spark, sf_dir):
+    """Hours to the next failure, whether it is within two days, and rows that can be used: not broken, not near the end."""
+    return labelled(spark, sf_dir).select("event_id", "hours_to_failure", "label", "keep")
 
 
 @query(f"""with {NUMBERED}, c as (select *, n * 60000000 + pauses * 600000000 as us, event_type = 'view' and value < 2 as glitch, coalesce(value > 12, false) and n % 30 >= 5 as counts from nb),

@@ -97,6 +97,12 @@ def _open_at(spans: DataFrame, ends: DataFrame) -> DataFrame:
     return covered.join(place.select("machine_id", "_n", "shift_id"), ["machine_id", "_n"]).select("shift_id", "alert_code")
 
 
+def handover_candidates(shifts: DataFrame, failed: DataFrame, now: Column, lookback: str = "12 hours", retry: str = "10 minutes") -> DataFrame:
+    """Shifts that ended within the lookback and have no summary, less those whose summary failed a short while ago (shift_id, failed_at)."""
+    ended = (F.col("end_time") <= now) & (F.col("end_time") > now - F.expr(f"interval {lookback}")) & F.col("summary").isNull()
+    return shifts.where(ended).join(failed.where(F.col("failed_at") > now - F.expr(f"interval {retry}")).select("shift_id").distinct(), "shift_id", "left_anti")
+
+
 def latest(df: DataFrame, key: str, ts: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(ts))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

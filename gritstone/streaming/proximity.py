@@ -115,3 +115,23 @@ def fatigue_score(perclos: Column, yawns: Column, nods: Column, hours: Column, n
     """0 to 1 from closed eyes, yawns, head drops, hours into the shift and the night."""
     part = lambda x, full: F.least(x / full, F.lit(1.0))
     return 0.45 * part(perclos, 0.3) + 0.15 * part(yawns, 3) + 0.15 * part(nods, 3) + 0.15 * part(F.greatest(hours, F.lit(0.0)), 10) + 0.10 * night.cast("int")
+
+
+#: Scores at which fatigue is high and at which it no longer is, history that it needs, closed eyes and their repeat.
+HIGH_FROM, HIGH_UNTIL, SPAN_S, CLOSED_S, CLOSED_REPEAT_S = 0.6, 0.55, 30.0, 2.0, 2.0
+
+
+def fatigue_alerts(df: DataFrame, key: str) -> DataFrame:
+    """Rows (us, score, span_s, closed, moving) at which an alert goes out, with reason: score or eyes_closed.
+
+    A high score alerts once, until it has fallen well below; eyes closed for long on a moving machine do again and again.
+    """
+    w = W.by(key)
+    high = latched((F.col("score") >= HIGH_FROM) & (F.col("span_s") >= SPAN_S), F.col("score") < HIGH_UNTIL, w.rowsBetween(W.Window.unboundedPreceding, 0))
+    shut = F.coalesce(F.col("closed") & F.col("moving"), F.lit(False))
+    found = runs(df.withColumns({"_high": high, "_shut": shut}), key, float(1 << 40), "_shut")
+    found = found.withColumn("_over", F.col("_shut") & (F.col("us") - F.col("run_start") > round(CLOSED_S * 1e6))).drop("run_id", "run_start", "run_pos")
+    enters = F.col("_high") & ~F.lag("_high", 1, False).over(w)
+    told = spaced(found.withColumns({"_enters": enters, "_first": F.col("_over") & ~F.lag("_over", 1, False).over(w)}), key, "_first", "_over", CLOSED_REPEAT_S, "_again")
+    reasons = F.array_compact(F.array(F.when(F.col("_enters"), "score"), F.when(F.col("_again"), "eyes_closed")))
+    return told.withColumn("reason", F.explode(reasons)).drop("_high", "_shut", "_over", "_enters", "_first", "_again")

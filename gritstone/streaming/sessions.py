@@ -33,6 +33,12 @@ def step_level(level: int, x: float | None, floors: list[float], slack: float) -
     return max(level, up)
 
 
+def orphans(alerts: DataFrame, tracked: DataFrame, now: Column, quiet: str = "30 seconds", never: tuple[str, ...] = ("SOS",)) -> DataFrame:
+    """Open alerts (id, ts, last_ts, resolved_at, alert_code) that nobody tracks (id) any more and that have been quiet: a restart resolves them."""
+    old = F.coalesce("last_ts", "ts") <= now - F.expr(f"interval {quiet}")
+    return alerts.where(F.col("resolved_at").isNull() & old & ~F.col("alert_code").isin(*never)).join(tracked.select("id").distinct(), "id", "left_anti")
+
+
 def hysteresis(df: DataFrame, key: str, order: str, value: str, floors: list[float], slack: float, name: str) -> DataFrame:
     """Adds the level of each row in the order of its key: floors that were reached and have not been left by `slack` since."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
