@@ -67,13 +67,25 @@ def efficiency_index(spark, sf_dir):
     return _weeks(spark, sf_dir).select(*fleet.KEYS, "efficiency_index")
 
 
-@query("""with o as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_returnflag, l_extendedprice, l_linenumber, l_partkey) as i, l_quantity as m from lineitem)
-select k, i::int as i, m from o where i <= 3""")
+@query("""with recursive l as (select l_orderkey as s, l_returnflag as f, l_quantity::double as p50, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice, l_quantity, l_returnflag) as seq from lineitem),
+t as (select *, s * 100 + seq as task_id, case when seq = 1 and f = 'R' then 'in_progress' when f = 'A' then 'completed' else 'scheduled' end as status from l), h as (select o_orderkey as s, greatest((o_orderkey % 5) * 30 - 10, 0)::double as avail, o_orderkey % 2 = 0 as tired from orders),
+w as (select t.*, row_number() over (partition by s order by seq % 3 + 1, p50, seq, task_id) as i from t where status = 'scheduled'),
+u as (select h.s, avail, (select count(*) from t where t.s = h.s and status = 'in_progress') as r, coalesce((select sum(greatest(p50 - 20, 5)) from t where t.s = h.s and status = 'in_progress'), 0) + case when tired and exists (select 1 from w where w.s = h.s) then 15 else 0 end as used from h),
+g as (select w.s, w.i, w.task_id, used + p50 <= avail as fits, used + case when used + p50 <= avail then p50 else 0 end as used from w join u using (s) where i = 1
+  union all select w.s, w.i, w.task_id, g.used + w.p50 <= avail, g.used + case when g.used + w.p50 <= avail then w.p50 else 0 end from g join w on w.s = g.s and w.i = g.i + 1 join u on u.s = g.s),
+p as (select task_id, fits, i - 1 + r as place from g join u using (s) union all select task_id, true, 0 from t where status = 'in_progress' and s in (select s from h)),
+a as (select t.*, fits, place, max(case when fits is null then seq end) over (partition by s) as fixed from t left join p using (task_id))
+select task_id, (case when fits then coalesce(fixed, 0) + row_number() over (partition by s, fits order by place) when fits is null then seq end)::bigint as new_sequence_no, coalesce(not fits, false) as moved from a""")
 def plan_order(spark, sf_dir):
-    """The first three lines of an order by priority and duration."""
-    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_extendedprice", "l_linenumber", "l_partkey", "l_quantity")
-    w = Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_extendedprice", "l_linenumber", "l_partkey")
-    return l.withColumn("i", F.row_number().over(w)).where("i <= 3").select(F.col("l_orderkey").alias("k"), "i", F.col("l_quantity").alias("m"))
+    """New sequence numbers of a shift's (order's) tasks after it was planned anew, and the tasks that are moved."""
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")).cast("long")
+    status = F.when((F.col("sequence_no") == 1) & (F.col("l_returnflag") == "R"), "in_progress").when(F.col("l_returnflag") == "A", "completed").otherwise("scheduled")
+    now = F.lit("2024-01-01 08:00:00").cast("timestamp")
+    later = lambda minutes: F.timestamp_micros(F.unix_micros(now) + minutes.cast("long") * 60_000_000)
+    tasks = l.withColumn("sequence_no", seq).select(F.col("l_orderkey").alias("shift_id"), (F.col("l_orderkey") * 100 + F.col("sequence_no")).alias("task_id"), status.alias("status"), (F.col("sequence_no") % 3 + 1).alias("priority"), "sequence_no", F.col("l_quantity").cast("double").alias("p50"), later(F.lit(-20)).alias("actual_start"))
+    shifts = table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("shift_id"), now.alias("now"), later(F.col("o_orderkey") % 5 * 30).alias("end_time"), (F.col("o_orderkey") % 2 == 0).alias("fatigue_high"))
+    return replan.accept(tasks, replan.re_evaluate(tasks, shifts)).select("task_id", F.col("new_sequence_no").cast("long").alias("new_sequence_no"), "moved")
 
 
 @query("""with recursive o as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_returnflag, l_extendedprice, l_linenumber, l_partkey) as i, l_quantity as m from lineitem),
@@ -89,18 +101,34 @@ def plan_greedy(spark, sf_dir):
     return fits.select(F.col("l_orderkey").alias("k"), F.size(F.filter("fits", lambda f: f)).cast("long").alias("fitting"), used.alias("used"))
 
 
-@query("""with c as (select user_id, event_type, count(*) as n from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-15' group by 1, 2),
-f as (select user_id, case event_type when 'error' then 0 when 'purchase' then 1 else 2 end as place, event_type, n from c where (event_type = 'error' and n >= 1) or (event_type = 'purchase' and n >= 2) or (event_type = 'click' and n >= 3))
-select user_id, event_type, n from f qualify row_number() over (partition by user_id order by place) <= 2""")
+@query("""with recursive k as (select user_id, case event_type when 'error' then case when event_id % 2 = 0 then 'tip_risk' else 'harsh_maneuver' end when 'click' then 'proximity_breach' when 'purchase' then case when event_id % 4 = 0 then 'seatbelt_unfastened' end end as metric, ts from events),
+c as (select user_id, metric, count(*)::double as value from k where metric is not null and ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-15' group by 1, 2), u as (select distinct user_id from events),
+f as (select user_id, 0::double as place, metric, value, ['TM-SAFE-03'] as mods from c where metric = 'tip_risk' union all select user_id, 1, metric, value, ['TM-SAFE-02'] from c where metric = 'seatbelt_unfastened'
+  union all select user_id, 2, metric, value, ['TM-SAFE-01'] from c where metric = 'proximity_breach' and value >= 2 union all select user_id, 3, 'cluster_label', 1, ['TM-SIM-01'] from u where user_id % 6 = 0
+  union all select user_id, 4, metric, value, ['TM-SMTH-01'] from c where metric = 'harsh_maneuver' and value >= 3
+  union all select user_id, 5 + 1 / (2 + (user_id % 5) / 10.0::double), 'time_ratio', 1 + (user_id % 5) / 10.0::double, [case when user_id % 2 = 0 then 'TM-EXC-01' else 'TM-CYC-01' end] from u where 1 + (user_id % 5) / 10.0::double > 1.2 and user_id % 4 >= 2
+  union all select user_id, 6, 'idle_pct', (user_id % 50)::double, ['TM-IDLE-01', 'TM-FUEL-01'] from u where user_id % 50 > 25),
+e as (select user_id, case user_id % 3 when 0 then 'TM-SAFE-03' when 1 then 'TM-IDLE-01' else 'TM-SAFE-01' end as m, user_id % 4 = 0 as is_open, user_id % 7 < 3 as recent from u),
+b as (select u.user_id, case when is_open or recent then [m] else []::varchar[] end as blocked, 2 - is_open::int as slots from u join e using (user_id)),
+n as (select f.*, row_number() over (partition by user_id order by place, metric) as i from f),
+r as (select user_id, 0::bigint as i, []::varchar[] as taken, null::varchar as pick, null::varchar as metric, null::double as value from b
+  union all select n.user_id, n.i, case when x.free is not null then list_append(r.taken, x.free) else r.taken end, x.free, n.metric, n.value from r join n on n.user_id = r.user_id and n.i = r.i + 1 join b on b.user_id = r.user_id,
+    lateral (select case when len(r.taken) < b.slots then list_filter(n.mods, lambda m: m <> 'TM-SIM-01' and not list_contains(b.blocked, m) and not list_contains(r.taken, m))[1] end as free) x)
+select user_id, (len(taken) - 1)::int as place, pick as module_id, metric, value from r where pick is not null""")
 def recommend_slots(spark, sf_dir):
-    """The two foremost rules that a user's week fires."""
-    week = (F.col("ts") >= F.lit("2024-01-08").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-15").cast("timestamp"))
-    c = events(spark, sf_dir, "user_id", "event_type").where(week).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    rules = {"error": (0, 1), "purchase": (1, 2), "click": (2, 3)}
-    place = F.create_map(*(F.lit(x) for k, (p, _) in rules.items() for x in (k, p)))[F.col("event_type")]
-    least = F.create_map(*(F.lit(x) for k, (_, n) in rules.items() for x in (k, n)))[F.col("event_type")]
-    w = Window.partitionBy("user_id").orderBy("place")
-    return c.withColumn("place", place).where(F.col("n") >= least).withColumn("r", F.row_number().over(w)).where("r <= 2").select("user_id", "event_type", "n")
+    """New training modules of each user: rules by priority, two open ones at most."""
+    df = events(spark, sf_dir, "event_id", "user_id", "event_type")
+    kind = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "tip_risk").otherwise("harsh_maneuver")).when(F.col("event_type") == "click", F.when(F.col("event_id") % 2 == 0, "blindspot_intrusion").otherwise("proximity_breach")).when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), "seatbelt_unfastened")
+    now = F.lit("2024-01-15").cast("timestamp")
+    users, u = df.select("user_id").distinct(), F.col("user_id")
+    counted = recommend.counts(df.select("user_id", "ts", kind.alias("event_type")).where("event_type is not null"), "user_id", now)
+    clusters = users.select("user_id", F.when(u % 6 == 0, "needs safety coaching").otherwise("steady").alias("cluster_label"))
+    ratios = users.select("user_id", F.when(u % 2 == 0, "dig").otherwise("haul").alias("task_type"), (1 + u % 5 / 10.0).alias("ratio"), (u % 4).alias("n"))
+    idle = users.select("user_id", (u % 50).cast("double").alias("idle_pct"))
+    existing = users.select("user_id", F.array(*map(F.lit, ("TM-SAFE-03", "TM-IDLE-01", "TM-SAFE-01")))[(u % 3).cast("int")].alias("module_id"), F.when(u % 4 == 0, "booked").otherwise("done").alias("status"), F.when(u % 7 < 3, now - F.expr("interval 2 days")).otherwise(now - F.expr("interval 20 days")).alias("created_at"))
+    modules = spark.createDataFrame([(m,) for m in recommend.MODULES if m != "TM-SIM-01"], "module_id string")
+    got = recommend.recommend(recommend.fired(counted, "user_id", clusters, ratios, idle), "user_id", existing, modules, now)
+    return got.select("user_id", F.col("place").cast("int").alias("place"), "module_id", "metric", "value")
 
 
 @query("""with a as (select user_id, case event_id % 6 when 0 then 'cooling' when 1 then 'hydraulics' when 2 then 'engine' when 3 then 'electrical' when 4 then case event_id % 3 when 0 then 'cooling' when 1 then 'hydraulics' end end as s, case when value >= 60 then 0.7 when value >= 20 then 0.3 else 0 end as x

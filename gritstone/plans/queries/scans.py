@@ -102,13 +102,16 @@ def script_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.script(F.col("text")).alias("script"))
 
 
-@query("""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as w from documents), b as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark where item_id < 5)
-select doc_id, item_id, len(list_intersect(d.w, b.w))::int as overlap from d, b""")
+@query("""with d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from documents), b as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from benchmark),
+o as (select doc_id, item_id, count(*) as overlap from d join b using (w) group by 1, 2)
+select doc_id, item_id, overlap from o qualify row_number() over (partition by doc_id order by overlap desc, item_id) = 1""")
 def word_overlap(spark, sf_dir):
-    """Words that documents share with five fixed benchmark items."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.words(F.col("text")).alias("w"))
-    items = table(spark, sf_dir, "benchmark", "item_id", "text").where("item_id < 5").select("item_id", text.words(F.col("text")).alias("b"))
-    return d.join(F.broadcast(items)).select("doc_id", "item_id", text.overlap(F.col("w"), F.col("b")).alias("overlap"))  # five rows
+    """The benchmark item that shares most words with each document."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(text.words(F.col("text"))).alias("w"))
+    b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.explode(text.words(F.col("text"))).alias("w"))
+    shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"))
+    best = F.max(F.struct("overlap", (-F.col("item_id")).alias("first")))
+    return shared.groupBy("doc_id").agg(best.alias("b")).select("doc_id", (-F.col("b.first")).alias("item_id"), F.col("b.overlap").alias("overlap"))
 
 
 @query("select event_id, json_extract(props, '$.k')::bigint as k, json_extract(props, '$.missing') is not null as has_missing, 'k=' || coalesce((json_extract(props, '$.k'))::varchar, '') as label from events")
