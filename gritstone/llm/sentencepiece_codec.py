@@ -12,7 +12,9 @@ counts here only if it fits the piece that the best path to its start ends with
 equals the library's own encoding.
 
 Edge cases: a null or empty text has no ids; characters outside the vocabulary
-become byte pieces; a literal U+2581 decodes to a space, as in the library.
+become byte pieces; a literal U+2581 decodes to a space, as in the library; a long text is
+encoded whole; repeated rows are encoded one by one; an empty table has no rows in the result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
