@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed ranges of Unicode blocks.
 SCRIPTS = (("devanagari", "[\\u0900-\\u097F]"), ("tamil", "[\\u0B80-\\u0BFF]"), ("latin accents", "[\\u00C0-\\u00FF]"))
@@ -25,6 +27,18 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1)))
 
 
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    """Compatibility form without case; no built-in function has it."""
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
+def question_key(text: Column) -> Column:
+    """A question as a key: no case, no signs but hyphens, fault codes in one spelling (E365, e 365: e-365), single blanks."""
+    coded = F.regexp_replace(_folded(text), r"\be\s*-?\s*(\d{3})\b", "e-$1")
+    return F.trim(F.regexp_replace(coded, r"[^\p{L}\p{M}\p{N}-]+", " "))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """How many words two sets share."""
     return F.size(F.array_intersect(a, b))

@@ -22,18 +22,19 @@ def fault_starts(minutes: DataFrame, gap_seconds: float = 120) -> DataFrame:
     return marked.withColumn("_start", start).where("_start").select("machine_id", "ts")
 
 
-def weekly_segments(telemetry: DataFrame, tasks: DataFrame, shifts: DataFrame, machines: DataFrame, safety_events: DataFrame, faults: DataFrame, p50: str = "fleet_p50_min", excluded: tuple[str, ...] = ("fatigue_high",)) -> DataFrame:
+def weekly_segments(telemetry: DataFrame, tasks: DataFrame, shifts: DataFrame, machines: DataFrame, safety_events: DataFrame, faults: DataFrame, p50: str = "fleet_p50_min", excluded: tuple[str, ...] = ("fatigue_high",), chunk: float | None = None) -> DataFrame:
     """Metrics of each entity, week and machine type, for operators and machines.
 
     Each source is brought to one row a shift before anything is joined, so only shift-sized
-    rows are shuffled twice. A shift without any source row drops out.
+    rows are shuffled twice. A shift without any source row drops out. `chunk` seconds cut a hot
+    machine's events into stretches that are sorted apart.
     """
     t = telemetry.groupBy("shift_id").agg(F.count(F.lit(1)).cast("double").alias("engine_min"), F.sum(F.col("is_idle").cast("double")).alias("idle_min"), (F.sum("fuel_rate_lph") / 60).alias("fuel_l"))
     done = tasks.where((F.col("status") == "completed") & F.col("actual_duration_min").isNotNull())
     timed = F.col(p50).isNotNull()
     k = done.groupBy("shift_id").agg(F.sum("quantity").alias("quantity"), F.sum(F.when(timed, F.col("actual_duration_min"))).alias("actual_min"), F.sum(F.when(timed, F.col(p50))).alias("p50_min"))
     events = safety_events.where(~F.col("event_type").isin(*excluded)).select("machine_id", "ts", F.lit("safety_n").alias("what")).unionByName(faults.select("machine_id", "ts", F.lit("anomaly_n").alias("what")))
-    placed = asof.point_in_interval(events, shifts.select("machine_id", "shift_id", "start_time", "end_time"), "machine_id", "ts", "start_time", "end_time", ["shift_id"])
+    placed = asof.point_in_interval(events, shifts.select("machine_id", "shift_id", "start_time", "end_time"), "machine_id", "ts", "start_time", "end_time", ["shift_id"], chunk)
     e = placed.where("shift_id is not null").groupBy("shift_id").agg(F.count_if(F.col("what") == "safety_n").cast("double").alias("safety_n"), F.count_if(F.col("what") == "anomaly_n").cast("double").alias("anomaly_n"))
     sums = ["engine_min", "idle_min", "fuel_l", "quantity", "actual_min", "p50_min", "safety_n", "anomaly_n"]
     per = t.join(k, "shift_id", "full").join(e, "shift_id", "full").fillna(0.0, sums)

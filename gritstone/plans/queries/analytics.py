@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...operators import asof, scoring
 from ...operators import windows as W
+from ...sources.shared import written_once
 from .. import anomaly, fleet, health, maintenance, recommend, replan, task_time
 from ..registry import events, query, table
 from .alerts import NUMBERED, numbered
@@ -30,11 +31,11 @@ def _segments(spark, sf_dir):
     machine = lambda c: F.concat(F.lit("m"), F.col(c))
     shifts = start.select(F.col("event_id").alias("shift_id"), machine("user_id").alias("machine_id"), F.concat(F.lit("o"), F.col("user_id") % 20).alias("operator_id"), F.concat(F.lit("site"), F.col("user_id") % 5).alias("site_id"), F.col("ts").alias("shift_date"), F.col("ts").alias("start_time"), "end_time")
     rows = df.select(machine("user_id").alias("machine_id"), "ts", "event_type", "value")
-    inside = asof.point_in_interval(rows, shifts.select("machine_id", "shift_id", "start_time", "end_time"), "machine_id", "ts", "start_time", "end_time", ["shift_id"]).where("shift_id is not null and event_type <> 'signup'")
+    inside = asof.point_in_interval(rows, shifts.select("machine_id", "shift_id", "start_time", "end_time"), "machine_id", "ts", "start_time", "end_time", ["shift_id"], 7 * W.DAY).where("shift_id is not null and event_type <> 'signup'")
     telemetry = inside.select("shift_id", (F.col("event_type") == "view").alias("is_idle"), F.col("value").alias("fuel_rate_lph"))
     tasks = inside.where("event_type = 'purchase'").select("shift_id", F.lit("completed").alias("status"), F.col("value").alias("quantity"), (2 * F.col("value")).alias("actual_duration_min"), (F.col("value") + 10).alias("fleet_p50_min"))
     machines = df.select("user_id").distinct().select(machine("user_id").alias("machine_id"), F.concat(F.lit("type"), F.col("user_id") % 3).alias("machine_type"))
-    return fleet.weekly_segments(telemetry, tasks, shifts, machines, rows.where("event_type = 'error'").select("machine_id", "ts", "event_type"), rows.where("event_type = 'click'").select("machine_id", "ts"))
+    return fleet.weekly_segments(telemetry, tasks, shifts, machines, rows.where("event_type = 'error'").select("machine_id", "ts", "event_type"), rows.where("event_type = 'click'").select("machine_id", "ts"), chunk=7 * W.DAY)
 
 
 @query(f"with {_BASE} select * from m")
@@ -52,7 +53,7 @@ _EW = "ew as (select entity_type, entity_id, site_id, week_start, count(distinct
 
 
 def _weeks(spark, sf_dir):
-    seg = _segments(spark, sf_dir)
+    seg = written_once(_segments(spark, sf_dir), "segments")  # read for the scales and for the scores
     return fleet.entity_weeks(seg, fleet.fit_scales(seg, 0.05))
 
 

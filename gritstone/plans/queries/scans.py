@@ -114,6 +114,13 @@ def word_overlap(spark, sf_dir):
     return shared.groupBy("doc_id").agg(best.alias("b")).select("doc_id", (-F.col("b.first")).alias("item_id"), F.col("b.overlap").alias("overlap"))
 
 
+@query(r"""select doc_id, trim(regexp_replace(regexp_replace(replace(lower(text || ' E 365, e-1234 and E110!'), 'ß', 'ss'), '\be\s*-?\s*(\d{3})\b', 'e-\1', 'g'), '[^\p{L}\p{M}\p{N}-]+', ' ', 'g')) as key from documents""")
+def question_keys(spark, sf_dir):
+    """Texts as keys of a cache: without case and signs, fault codes in one spelling."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", text.question_key(F.concat("text", F.lit(" E 365, e-1234 and E110!"))).alias("key"))
+
+
 @query("select event_id, json_extract(props, '$.k')::bigint as k, json_extract(props, '$.missing') is not null as has_missing, 'k=' || coalesce((json_extract(props, '$.k'))::varchar, '') as label from events")
 def json_path(spark, sf_dir):
     k = F.get_json_object("props", "$.k")

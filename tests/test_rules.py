@@ -19,7 +19,7 @@ def frame(spark, change, minutes=40, step=1.0):
 
 
 def timeline(spark, rule, change, **kw):
-    rows = rules.alerts(rules.readings(frame(spark, change, **kw))).where(F.col("rule") == rule).collect()
+    rows = rules.alerts(rules.readings(frame(spark, change, **kw)).where(F.col("rule") == rule)).collect()
     return [(r.reason, r.severity, r.stage, (r.ts - T0).total_seconds() / 60) for r in sorted(rows, key=lambda r: (r.ts, rules.STAGES.index(r.stage) if r.stage in rules.STAGES else 9))]
 
 
@@ -90,7 +90,7 @@ def test_codes_verdicts_and_acknowledgement(spark):
     assert got == {("FAULT_CODE:E-110", "open"): ("warning", 2), ("FAULT_CODE:E-110", "resolve"): ("warning", 6), ("FAULT_CODE:X-9", "open"): ("warning", 5), ("FAULT_CODE:X-9", "resolve"): ("warning", 9), ("UNUSUAL_BEHAVIOUR", "open"): ("warning", 3), ("UNUSUAL_BEHAVIOUR", "resolve"): ("warning", 6)}
     rising = rules.readings(frame(spark, lambda m: {"coolant_temp_c": 104.0 + 1.2 * (m - 4)} if 5 <= m < 14 else {}))
     ack = rules.acknowledgements(spark.createDataFrame([("M01", T0 + timedelta(minutes=8.5), "COOLANT_CRITICAL")], "machine_id string, ts timestamp, rule string"))
-    stages = {r.stage: (r.ts - T0).total_seconds() / 60 for r in rules.alerts(rising.unionByName(ack)).where("rule = 'COOLANT_CRITICAL'").collect()}
+    stages = {r.stage: (r.ts - T0).total_seconds() / 60 for r in rules.alerts(rising.unionByName(ack).where("rule = 'COOLANT_CRITICAL'")).collect()}
     assert stages["recommend_shutdown"] == 8 and stages["escalated"] == 12
 
 
