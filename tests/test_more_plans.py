@@ -5,9 +5,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gritstone.operators import recurrence
+from gritstone.functions import text
+from gritstone.operators import recurrence, vectors
 from gritstone.operators import windows as W
-from gritstone.plans import anomaly, clusters, task_time
+from gritstone.plans import anomaly, clusters, recommend, task_time
 from gritstone.streaming import proximity
 
 T0 = datetime(2026, 6, 1)
@@ -88,3 +89,26 @@ def test_proximity(spark):
     one = spark.range(1).select(proximity.distance(F.lit(170.0), F.lit("person"), F.lit(1000.0), F.lit(None).cast("double")).alias("d"), proximity.fatigue_score(F.lit(0.3), F.lit(3), F.lit(0), F.lit(5.0), F.lit(True)).alias("f")).first()
     assert one.d == pytest.approx(10.0) and one.f == pytest.approx(0.45 + 0.15 + 0.075 + 0.1)
     assert W.DAY == 86400
+
+
+def test_question_keys(spark):
+    """Wide letters, capitals and codes come to one key; marks of other scripts stay."""
+    rows = spark.createDataFrame([("What is E 365?!",), ("what is  ｅ３６５",), ("WHAT IS e-365",), ("தமிழ் का?",), (None,)], "q string")
+    assert [r[0] for r in rows.select(text.question_key(F.col("q"))).collect()] == ["what is e-365"] * 3 + ["தமிழ் का", None]
+
+
+def test_too_many_queries_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 3)
+    df = spark.range(5).selectExpr("id", "array(cast(id as double), 1.0) as v")
+    with pytest.raises(ValueError):
+        vectors.top_k_per_query(df, df, "id", "v", 1)
+
+
+def test_open_alerts_of_a_handover(spark):
+    """Open at a shift's end: raised by then and not resolved; alerts raised at the very end count, those resolved then do not."""
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    shifts = spark.createDataFrame([("s1", "m", at(0), at(8), 90.0, 50.0), ("s2", "m", at(8), at(16), 90.0, 60.0), ("s3", "x", at(0), at(8), None, 1.0)], "shift_id string, machine_id string, start_time timestamp, end_time timestamp, fuel_start_pct double, fuel_end_pct double")
+    alerts = spark.createDataFrame([("m", at(1), at(8), "A"), ("m", at(8), None, "B"), ("m", at(2), at(20), "C"), ("m", at(17), None, "D"), ("m", at(9), at(10), "E")], "machine_id string, ts timestamp, resolved_at timestamp, alert_code string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = recommend.handover_facts(shifts, alerts, none("machine_id string, ts timestamp, event_type string"), none("shift_id string, status string"), none("machine_id string, predicted_at timestamp, failure_probability double")).collect()
+    assert {r.shift_id: r.open_alerts for r in got} == {"s1": ["B", "C"], "s2": ["B", "C"], "s3": None}
