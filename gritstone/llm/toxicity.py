@@ -81,12 +81,26 @@ def _readings(sign: str) -> str:
     return sign if sign in _INDEX else LOOKALIKES.get(sign, "")
 
 
+_READ = {sign: frozenset(_readings(sign)) for sign in (*_INDEX, *LOOKALIKES)}
+_NONE: frozenset[str] = frozenset()
+
+
 def _repetitions(signs: list[str] | str) -> list[float | None]:
     """For each sign, the weight of leaving it out as a repetition: the sign before is the same or may be the same letter."""
-    alike = lambda *xs: all(x == xs[0] for x in xs) or bool(set.intersection(*(set(_readings(x)) for x in xs)))
-    pair = [i > 0 and alike(signs[i - 1], signs[i]) for i in range(len(signs))]
-    triple = [False, False, *(pair[i - 1] and pair[i] and alike(*signs[i - 2 : i + 1]) for i in range(2, len(signs))), False, False]
-    return [(REPEAT if any(triple[i : i + 3]) else TWICE) if pair[i] else None for i in range(len(signs))]
+    out: list[float | None] = [None] * len(signs)
+    # letters that a sign may share with the one before; a sign without letters stands for itself
+    pair, last = None, _NONE
+    for i, sign in enumerate(signs):
+        own = _READ.get(sign) or frozenset((sign,))
+        now = own & last if i else None
+        if now:
+            thrice = bool(pair and now & pair)
+            out[i] = REPEAT if thrice else TWICE
+            if thrice:
+                out[i - 1] = REPEAT
+                out[i - 2] = REPEAT if out[i - 2] is not None else None
+        pair, last = now, own
+    return out
 
 
 class Channel:
