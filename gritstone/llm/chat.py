@@ -44,7 +44,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
 @lru_cache(2)
@@ -138,13 +138,23 @@ def _format(rows: DataFrame) -> DataFrame:
     )
 
 
-_TURN = re.compile(r"(?<!\\)((?:\\\\)*)\[INST\] ")
+def _openings(text: str) -> list[int]:
+    """Ends of the signs that open a turn: those with an even number of escape signs in front."""
+    out, at = [], text.find(OPEN)
+    while at >= 0:
+        k = at
+        while k and text[k - 1] == "\\":
+            k -= 1
+        if (at - k) % 2 == 0:
+            out.append(at + len(OPEN))
+        at = text.find(OPEN, at + 1)
+    return out
 
 
 def parse_window(text: str) -> list[tuple[str, str]]:
     """Roles and texts, unescaped, of a formatted window."""
     inside = text.removeprefix(HEAD).removesuffix(TAIL)
-    starts = [m.end() for m in _TURN.finditer(inside)]
+    starts = _openings(inside)
     stops = [s - len(OPEN) for s in starts[1:]] + [len(inside)]
     turns = [inside[i:j].split(CLOSE, 1) for i, j in zip(starts, stops, strict=True)]  # in a role the sign parts blank and bracket
     return [(unescape(role), unescape(body)) for role, body in turns]
