@@ -277,8 +277,8 @@ def _same_document(signed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """digest, and the least document of its component."""
-    of = nodes.select("node", "rep", "digest").join(roots.withColumnRenamed("id", "node"), "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
-    return of.join(of.groupBy("root").agg(F.min("rep").alias("least")), "root").select("digest", "least")
+    of = cut(nodes.select("node", "rep", "digest").join(roots.withColumnRenamed("id", "node"), "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root")), "rooted")
+    return join_dealt(of, of.groupBy("root").agg(F.min("rep").alias("least")), "root", "digest").select("digest", "least")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
