@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression_quality, exact_topk, licenses, minhash, packing, pii, sentencepiece_codec, sharding, toxicity
+from . import centroids, chat, compression_quality, exact_topk, licenses, minhash, packing, pii, sentencepiece_codec, sharding, toxicity, vector_codes, warc
 from .frames import table
 
 
@@ -69,13 +69,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_docs(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan of operator 10 over known texts as files hold them, as `documents` has no whole licence."""
     return licenses.scan(spark.createDataFrame(licenses.variants(), "doc_id long, text string"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_compression_quality, op3_exact_topk, op4_pii, op5_packing, op6_chat, op7_toxicity, op8_hash_tree_sharding, op9_minhash, op10_license_scan, license_variants)
+    f.__name__: f for f in (op1_sentencepiece, op2_compression_quality, op3_exact_topk, op4_pii, op5_packing, op6_chat, op7_toxicity, op8_hash_tree_sharding, op9_minhash, op10_license_scan, op11_warc, op12_centroids, op13_vector_codes, license_variants)
 }
 
 ORACLE: dict[str, str] = {
@@ -83,6 +96,9 @@ ORACLE: dict[str, str] = {
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+    "op11_warc": warc.round_trip_sql(),
+    "op12_centroids": centroids.cluster_sql(),
+    "op13_vector_codes": vector_codes.encode_sql(),
     "op10_license_scan": licenses.scan_sql(),
     "license_variants": licenses.variants_sql(),
 }
