@@ -10,7 +10,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.evaluation import knee
+from ..operators.neighbours import density_clusters, k_distances
 from ..operators.vectors import within_distance
+from ..sources.shared import remove, written_once
 
 
 def scaled(columns: list[str]) -> Pipeline:
@@ -51,28 +54,37 @@ TRAITS = {
 TRAIT_LEAST = 0.5
 
 
+#: Names that go first, in this order: what must be strong (columns added up with their signs) and how much at least.
+FIRST = (
+    ("needs safety coaching", {"safety_per_10h": 1}, TRAIT_LEAST),
+    ("idle-heavy", {"idle_pct": 1}, TRAIT_LEAST),
+    ("efficient", {"time_ratio": -1, "fuel_per_productive_hour": -1}, 1e-9),
+)
+
+
 def cluster_names(centroids: dict[int, dict[str, float]]) -> dict[int, str]:
     """A name for each cluster (as many as k) from its centroid in standard deviations.
 
-    Safety coaching, idling and efficiency go first, each to the cluster that shows it most; the others take their
-    strongest trait that no cluster has, or are average. A name that is taken gets a number.
+    Every name that would suit a cluster is a claim. Claims are heard in one order: the names that go first by strength, then each
+    cluster's traits by strength. A claim holds if cluster and name are both free. Who is left is average, and numbered if there are several.
     """
-    first = [
-        ("needs safety coaching", lambda x: x["safety_per_10h"], TRAIT_LEAST),
-        ("idle-heavy", lambda x: x["idle_pct"], TRAIT_LEAST),
-        ("efficient", lambda x: -x["time_ratio"] - x["fuel_per_productive_hour"], 1e-9),
-    ]
-    names: dict[int, str] = {}
-    for name, strength, least in first:
-        open_ = [(strength(x), -i) for i, x in centroids.items() if i not in names]
-        if open_ and max(open_)[0] >= least:
-            names[-max(open_)[1]] = name
-    for i in sorted(centroids.keys() - names.keys()):
-        traits = sorted(((abs(z), TRAITS[f][z < 0]) for f, z in centroids[i].items() if f in TRAITS and abs(z) >= TRAIT_LEAST), reverse=True)
-        name = next((t for _, t in traits if t not in names.values()), "average")
-        alike = sum(x.startswith(name) for x in names.values())
-        names[i] = f"{name} {alike + 1}" if alike else name
-    return names
+    claims = [(place, -sum(sign * z[f] for f, sign in of.items()), i, name) for place, (name, of, least) in enumerate(FIRST) for i, z in centroids.items() if sum(sign * z[f] for f, sign in of.items()) >= least]
+    claims += [(len(FIRST) + i, -abs(z), i, TRAITS[f][z < 0]) for i, row in centroids.items() for f, z in row.items() if f in TRAITS and abs(z) >= TRAIT_LEAST]
+    owner: dict[str, int] = {}
+    for *_, i, name in sorted(claims):
+        if name not in owner and i not in owner.values():
+            owner[name] = i
+    left = sorted(centroids.keys() - set(owner.values()))
+    return {i: name for name, i in owner.items()} | {i: "average" if n == 1 else f"average {n}" for n, i in enumerate(left, 1)}
+
+
+def dense(weeks: DataFrame, key: str, vector: str = "x", least: int = 5) -> tuple[float | None, DataFrame]:
+    """The radius at the knee of the k-distances, and weeks with core and cluster by density; rows without a cluster are noise."""
+    far = written_once(k_distances(weeks, key, vector, least), "k-distances")
+    eps = knee(far, "k_distance").first()["eps"]
+    remove(far)
+    found = density_clusters(weeks, key, vector, eps if eps is not None else 0.0, least)
+    return eps, weeks.join(found.withColumnRenamed("id", key), key, "left")
 
 
 def noise(column: str, core: list[list[float]], radius: float, df: DataFrame) -> Column:
