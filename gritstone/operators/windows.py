@@ -40,7 +40,7 @@ def trailing_stats(df: DataFrame, key: str, value: str, seconds: float, prefix:
     return df.withColumns({f"{prefix}n": F.count(x).over(w), f"{prefix}sum": F.sum(x).over(w), f"{prefix}mean": F.avg(x).over(w), f"{prefix}std": F.stddev_pop(x).over(w)})
 
 
-def chunked(df: DataFrame, key: str, seconds: float, chunk: float, compute: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+def chunked(df: DataFrame, key: str | list[str], seconds: float, chunk: float, compute: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     """Run a trailing-window computation on chunks of time, so that one key's rows spread over many tasks.
 
     `compute(frame, keys)` adds columns from windows over `keys` that reach back `seconds` at most.
@@ -51,7 +51,7 @@ def chunked(df: DataFrame, key: str, seconds: float, chunk: float, compute: Call
     own = F.floor(F.col("us") / size)
     reach = F.floor((F.col("us") + round(seconds * 1_000_000) - 1) / size)
     copies = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, reach)))
-    return compute(copies, [key, "_chunk"]).where("_own = _chunk").drop("_own", "_chunk")
+    return compute(copies, [*([key] if isinstance(key, str) else key), "_chunk"]).where("_own = _chunk").drop("_own", "_chunk")
 
 
 def slope(t: Column, x: Column, w: WindowSpec, null_aware: bool = False, least: int = 3) -> Column:

@@ -1,21 +1,18 @@
 """Distances, zones and fatigue signs from detections, for tables and streams.
 
 What a frame alone tells is a column expression; trailing counts and shares are windows, and so are
-zones, which are left later than they are entered. Only posts that keep a distance in time from the last
-one depend on themselves; they are carried from row to row.
+zones, which are left later than they are entered. Posts that keep a distance in time from the last
+one depend on themselves; they are found by following each row's successor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import windows as W
 from ..operators.islands import hold_trigger, latched, runs
+from ..operators.stretches import spaced
 
 #: Heights in metres, zone limits, slack on leaving, closing speed, repeat of a red post, life of a track.
 HEIGHT_M = {"person": 1.7, "car": 1.5, "truck": 3.0}
@@ -72,26 +69,6 @@ def zones(df: DataFrame, track: str) -> DataFrame:
     return spaced(df, track, "_new", "_again", REPEAT_S, "post").drop("_new", "_again")
 
 
-def spaced(df: DataFrame, key: str, sure: str, may: str, seconds: float, name: str) -> DataFrame:
-    """Adds `name`: rows that are sure, and rows that may if the last one of either kind is at least `seconds` ago.
-
-    Which rows count depends on which did before. Sorted rows stream through, one time a key is kept.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, None
-        for b in batches:
-            out = []
-            for k, us, yes, perhaps in zip(b[key], b["us"], b[sure], b[may], strict=True):
-                last = last if k == at else None
-                at = k
-                out.append(bool(yes or (perhaps and (last is None or us - last >= seconds * 1e6))))
-                last = us if out[-1] else last
-            yield b.assign(**{name: out})
-
-    return df.repartition(key).sortWithinPartitions(key, "us").mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
-
-
 def aspect_ratio(points: Column, top: list[int], bottom: list[int], left: int, right: int) -> Column:
     """Mean height over width of an eye or mouth; points is an array of [x, y]."""
     dist = lambda a, b: F.sqrt(F.pow(points[a][0] - points[b][0], 2) + F.pow(points[a][1] - points[b][1], 2))
