@@ -3,18 +3,20 @@
 What a rule sees in a row (which levels hold, whether the signal is back inside its band, the
 watched value) needs no memory. What needs some is said by windows over a key's rows: how long a level
 has held is the age of a run, an alert is an episode from a first active row to a first calm one, the time spent critical is a
-running sum, and each stage begins at the first row that meets its condition. Only the latch of a
-pressure drop depends on its own past; it is carried from row to row.
+running sum, and each stage begins at the first row that meets its condition. The latch of a
+pressure drop depends on its own past: a stretch of rows is reduced to what becomes of each pressure that it may begin with, and stretches are put together.
 
 A stream has no windows over rows, so there each key carries the same quantities from batch to batch
 (`Carry`); keys that have been silent for long are forgotten.
 
-A key's rows are in one window partition, sorted and spilled by Spark; all keys run side by side.
+A key's rows are in one window partition, sorted and spilled by Spark; all keys run side by side. With `chunk`
+seconds, a busy key's rows lie in stretches of time: what looks back over minutes gets copies of the rows before, and running values are put together from stretches.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.predicates import is_false
+from ..operators import asof
 from ..operators import windows as W
-from ..operators.islands import runs
+from ..operators.stretches import Stretches
+from ..sources.shared import written_once
 
 GAP_S, BAND, CLEAR_S, PERIOD_S = 120.0, 0.05, 120.0, 60.0
 RANK = {"info": 0, "warning": 1, "critical": 2, "emergency": 3}
@@ -96,39 +100,60 @@ def speed(rule: dict) -> Column:
     return _reading({"warning": x > limit}, x.isNull() | limit.isNull() | (x < limit * (1 - BAND)), x)
 
 
-def readings(telemetry: DataFrame, since: datetime | None = None) -> DataFrame:
+#: Seconds that the windows of a reading look back.
+LOOK_S = 360.0
+
+
+def readings(telemetry: DataFrame, since: datetime | None = None, chunk: float | None = None) -> DataFrame:
     """machine_id, ts, us, rule, levels, clear, value: a row for each rule and telemetry row.
 
     Optional columns: machine_type, zone_limit. The rules that look back use windows
     of minutes over the machine's rows, which share one shuffle. Rows before `since` warm these windows up and raise nothing.
     """
-    for name, kind in (("machine_type", "string"), ("zone_limit", "double")):
-        telemetry = telemetry if name in telemetry.columns else telemetry.withColumn(name, F.lit(None).cast(kind))
-    df = telemetry.withColumn("us", W.micros("ts"))
-    m = lambda minutes: W.trailing("machine_id", 60 * minutes)
-    earlier = W.by("machine_id").rangeBetween(-360_000_000 + 1, -180_000_000)
-    pressure = F.col("hydraulic_pressure_bar")
-    covered = F.col("us") - F.min("us").over(m(6)) >= 300_000_000
-    df = df.withColumns({"_recent": F.avg(pressure).over(m(2)), "_before": F.avg(pressure).over(earlier), "_loaded": (F.min(F.coalesce("engine_load_pct", F.lit(0.0))).over(m(6)) > 40) & covered, "_still": F.avg("ground_speed_kmh").over(m(3)) < 2})
-    idle = _false(F.col("is_idle")) & F.col("engine_rpm").isNotNull()
-    df = runs(df.withColumn("_idle", idle), "machine_id", GAP_S, "_idle")
-    run = W.by(["machine_id", "run_id"]).rowsBetween(W.Window.unboundedPreceding, 0)
-    minutes = F.when(F.col("_idle"), (F.col("us") - F.col("run_start")) / 1e6 + PERIOD_S)
-    df = df.withColumns({"_rpm": F.avg("engine_rpm").over(run), "_run": minutes})
+    df = _looked_back(with_optional(telemetry).withColumn("us", W.micros("ts")), chunk)
     found = _false((F.col("_before") > 100) & (F.col("_recent") < 0.65 * F.col("_before")) & F.col("_loaded") & F.col("_still"))
     fast = F.col("_idle") & (F.col("_rpm") > IDLE_RPM)
     special = {
-        "tilt": tilt, "seatbelt": seatbelt, "speed": speed,
         # the value of a drop carries what a latch needs: the mean now, and before where a drop is found
         "drop": lambda r: F.struct(F.when(found, F.array(F.lit("critical"))).otherwise(F.array().cast("array<string>")).alias("levels"), F.lit(False).alias("clear"), F.col("_recent").alias("value")),
         "idle": lambda r: _reading({n: fast & (F.col("_run") > over) for n, (over, _) in r["levels"].items()}, ~F.col("_idle") | (F.col("_rpm") < IDLE_RPM * (1 - BAND)), F.col("_run")),
     }
-    items = [F.struct(F.lit(name).alias("rule"), special.get(rule.get("kind"), threshold)(rule).alias("r")) for name, rule in RULES.items()]
+    items = [F.struct(F.lit(name).alias("rule"), special.get(rule.get("kind"), PLAIN.get(rule.get("kind"), threshold))(rule).alias("r")) for name, rule in RULES.items()]
     df = df if since is None else df.where(F.col("ts") >= F.lit(since))
     rows = df.select("machine_id", "ts", "us", F.col("_before").alias("base"), F.explode(F.array(*items)).alias("x"))
     return rows.select("machine_id", "ts", "us", "x.rule", "x.r.levels", "x.r.clear", "x.r.value", F.when(F.col("x.rule") == "HYD_PRESSURE_DROP", F.col("base")).alias("base"))
 
 
+def with_optional(telemetry: DataFrame) -> DataFrame:
+    """Telemetry with the optional columns, null where it has none."""
+    missing = {n: F.lit(None).cast(kind) for n, kind in (("machine_type", "string"), ("zone_limit", "double")) if n not in telemetry.columns}
+    return telemetry.withColumns(missing)
+
+
+#: Kinds of rules that a row alone decides; those without a kind are thresholds.
+PLAIN = {"tilt": tilt, "seatbelt": seatbelt, "speed": speed}
+
+
+def _looked_back(df: DataFrame, chunk: float | None) -> DataFrame:
+    """Adds the pressures of a drop, load and speed over minutes, and length and mean rpm of an idle run."""
+    pressure = F.col("hydraulic_pressure_bar")
+    df = df.withColumn("_idle", _false(F.col("is_idle")) & F.col("engine_rpm").isNotNull())
+
+    def minutes(rows: DataFrame, keys: list[str]) -> DataFrame:
+        m = lambda n: W.trailing(keys, 60 * n)
+        earlier = W.by(keys).rangeBetween(-round(LOOK_S * 1e6) + 1, -180_000_000)
+        covered = F.col("us") - F.min("us").over(m(6)) >= 300_000_000
+        before = F.lag(F.struct("us", "_idle")).over(W.by(keys))
+        goes_on = _false((before["us"] >= F.col("us") - round(GAP_S * 1e6)) & before["_idle"])
+        return rows.withColumns({"_recent": F.avg(pressure).over(m(2)), "_before": F.avg(pressure).over(earlier), "_loaded": (F.min(F.coalesce("engine_load_pct", F.lit(0.0))).over(m(6)) > 40) & covered, "_still": F.avg("ground_speed_kmh").over(m(3)) < 2, "_starts": F.col("_idle") & ~goes_on})
+
+    df = minutes(df, ["machine_id"]) if chunk is None else W.chunked(df, "machine_id", LOOK_S, chunk, minutes)
+    df = Stretches(("machine_id",), chunk).scan(df, last={"_since": F.when(F.col("_starts"), F.col("us"))})
+    run = Stretches(("machine_id", "_since"), chunk).scan(df, total={"_rpm_sum": F.when(F.col("_idle"), F.col("engine_rpm")), "_rpm_n": F.col("_idle").cast("int")})
+    idle = F.col("_idle")
+    return run.withColumns({"_rpm": F.when(idle, F.col("_rpm_sum") / F.col("_rpm_n")), "_run": F.when(idle, (F.col("us") - F.col("_since")) / 1e6 + PERIOD_S)})
+
+
 def code_readings(telemetry: DataFrame, codes: list[str] | None = None) -> DataFrame:
     """A row for each fault code and telemetry row: present or not. Without a list, which a stream needs, the codes that a machine shows."""
     df = telemetry.select("machine_id", "ts", W.micros("ts").alias("us"), "fault_code")
@@ -181,28 +206,46 @@ KEY = ["machine_id", "rule"]
 _COLUMNS = ["machine_id", "rule", "ts", "reason", "severity", "stage"]
 
 
-def alerts(found: DataFrame) -> DataFrame:
-    """Alert events of a table of readings and acknowledgements: machine_id, rule, ts, reason, severity, stage."""
+#: How far back a row's levels and calm can depend on other rows: the longest hold, the clear band's, and the rows at their ends.
+REACH_S = max(hold for r in RULES.values() for _, hold in r["levels"].values()) + CLEAR_S + 4 * GAP_S
+
+
+def alerts(found: DataFrame, chunk: float | None = None) -> DataFrame:
+    """Alert events of a table of readings and acknowledgements: machine_id, rule, ts, reason, severity, stage.
+
+    With `chunk` seconds (at least HISTORY_S) no task holds all rows of a machine and rule. An acknowledgement counts
+    from its time on, if the alert has opened before it.
+    """
     acked = F.array_contains("levels", ACK)
-    rows = _episodes(_active(_latched(found.where(~acked))))
-    return _told(_staged(rows, found.where(acked).select(*KEY, F.col("us").alias("ack_us"))))
+    rows = _episodes(_active(_latched(found.where(~acked), chunk), chunk), chunk)
+    rows = rows if chunk is None else written_once(rows, "episodes")
+    return _told(_staged(rows, found.where(acked).select(*KEY, F.col("us").alias("ack_us")), chunk))
 
 
-def _latched(found: DataFrame) -> DataFrame:
+def _latched(found: DataFrame, chunk: float | None) -> DataFrame:
     """Levels and clear of a pressure drop follow the pressure before it, which is kept until the pressure is back."""
-    drop = F.col("rule") == "HYD_PRESSURE_DROP"
+    drop, place = F.col("rule") == "HYD_PRESSURE_DROP", ["machine_id", "_stretch"]
+    size, columns = round(chunk * 1e6) if chunk else 1 << 62, found.columns
+    rows = found.where(drop).withColumn("_stretch", F.floor(F.col("us") / size))
+    begins = F.lit(None).cast("double")
+    if chunk:
+        left = rows.repartition(*place).sortWithinPartitions(*place, "us").mapInPandas(_transitions, "machine_id string, _stretch long, free double, marks array<double>, exits array<double>")
+        held = left.repartition("machine_id").sortWithinPartitions(*place).mapInPandas(_composed, "machine_id string, _stretch long, _held double")  # a row a stretch
+        rows = rows.join(held, place, "left")
+    else:
+        rows = rows.withColumn("_held", begins)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, None
         for b in batches:
             out = []
-            for k, levels, value, base in zip(b.machine_id, b.levels, b.value, b.base, strict=True):
-                key, held = (key, held) if k == key else (k, None)
+            for k, levels, value, base, start in zip(zip(b.machine_id, b._stretch, strict=True), b.levels, b.value, b.base, b._held, strict=True):
+                key, held = (key, held) if k == key else (k, _number(start))
                 held, levels, clear = _latch(held, len(levels) > 0, _number(value), _number(base))
                 out.append((levels, clear))
-            yield b.assign(levels=[x for x, _ in out], clear=[x for _, x in out])
+            yield b.assign(levels=[x for x, _ in out], clear=[x for _, x in out])[columns]
 
-    kept = found.where(drop).repartition("machine_id").sortWithinPartitions("machine_id", "us").mapInPandas(run, found.schema)
+    kept = rows.repartition(*place).sortWithinPartitions(*place, "us").mapInPandas(run, found.schema)
     return found.where(~drop).unionByName(kept)
 
 
@@ -211,70 +254,152 @@ def _latch(held: float | None, found: bool, value: float | None, base: float | N
     held = base if found and held is None else held
     if held is None or value is None:
         return held, [], held is None
-    back = value >= 0.65 * (1 + BAND) * held
+    back = value >= _back(held)
     return (None if back else held), (["critical"] if value < 0.65 * held else []), back
 
 
-def _step() -> Column:
-    """Seconds since the row before; NULL at a gap."""
-    seconds = (F.col("us") - F.lag("us").over(W.by(KEY))) / 1e6
-    return F.when((seconds > 0) & (seconds <= GAP_S), seconds)
-
-
-def _age(on: Column) -> Column:
-    """Seconds since the run of rows that `on` holds for began; a gap begins a new one. NULL outside of runs."""
-    w = W.by(KEY)
-    goes_on = F.col("step").isNotNull() & F.lag(on).over(w)
-    begun = F.last(F.when(on & ~_false(goes_on), F.col("us")), True).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
-    return F.when(on, (F.col("us") - begun) / 1e6)
-
-
-def _active(found: DataFrame) -> DataFrame:
-    """Adds step, rank (of the highest level that has held long enough) and calm (whether the clear band has held so)."""
-    df = found.withColumn("step", _step())
-    ages = {f"_{n}": _age(F.array_contains("levels", n)) for n in SEVERITIES}
-    held = [F.when(F.col(f"_{n}") + PERIOD_S >= _by_rule(lambda rule, n=n: _hold(rule, n), 0.0), F.lit(r)) for n, r in RANK.items()]
-    df = df.withColumns(ages).withColumn("rank", F.greatest(*held)).drop(*ages)
-    return df.withColumn("calm", _false(_age(F.col("rank").isNull() & F.col("clear")) + PERIOD_S >= CLEAR_S))
-
-
-def _episodes(df: DataFrame) -> DataFrame:
-    """Numbers the alerts of a key; keeps their active rows and the calm row that ends each."""
-    w = W.by(KEY)
-    sign = F.when(F.col("rank").isNotNull(), "active").when(F.col("calm"), "calm")
-    before = F.last("sign", True).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
-    df = df.withColumns({"sign": sign, "crit_step": F.when((F.col("rank") == RANK["critical"]) & (F.lag("rank").over(w) == RANK["critical"]), F.col("step"))}).withColumn("before", before)
-    opens, ends = (F.col("sign") == "active") & ~_false(F.col("before") == "active"), (F.col("sign") == "calm") & (F.col("before") == "active")
-    numbered = df.withColumns({"opens": _false(opens), "ends": _false(ends)}).withColumn("episode", F.sum(F.col("opens").cast("long")).over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    return numbered.where(F.col("rank").isNotNull() | F.col("ends"))
-
+def _back(held: float) -> float:
+    """The pressure at which a drop from `held` is over."""
+    return 0.65 * (1 + BAND) * held
+
+
+def _transitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a stretch: what it leaves if it begins without a drop, and, for each new highest value in it, what it leaves if that value ends the drop it began with."""
+    for key, rows in _groups(batches, ["machine_id", "_stretch"], ["levels", "value", "base"]):
+        marks, exits, top = [], [], float("-inf")
+        drops = [i for i, r in enumerate(rows) if len(r[0]) and _number(r[2]) is not None]
+        seen: dict[int, float | None] = {}
+        for i, r in enumerate(rows):
+            v = _number(r[1])
+            if v is not None and v > top:
+                top = v
+                marks.append(v)
+                exits.append(_left(rows, drops, i + 1, seen))
+        yield pd.DataFrame({"machine_id": [key[0]], "_stretch": [key[1]], "free": [_left(rows, drops, 0, seen)], "marks": [marks], "exits": [exits]})
+
+
+def _left(rows: list, drops: list[int], start: int, seen: dict[int, float | None]) -> float | None:
+    """The pressure that is still held at the end of a stretch, if nothing is held at row `start`. `seen` knows it for drops that were met before."""
+    path, held = [], None
+    while (at := bisect_left(drops, start)) < len(drops):
+        i = drops[at]
+        if i in seen:
+            held = seen[i]
+            break
+        path.append(i)
+        base = float(rows[i][2])
+        end = next((j for j in range(i, len(rows)) if (v := _number(rows[j][1])) is not None and v >= _back(base)), None)
+        if end is None:
+            held = base
+            break
+        start = end + 1
+    seen.update(dict.fromkeys(path, held))
+    return held
+
+
+def _composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pressure that is held where each stretch begins, from the transitions of the stretches before it."""
+    machine, held = None, None
+    for b in batches:
+        out = []
+        for m, free, marks, exits in zip(b.machine_id, b.free, b.marks, b.exits, strict=True):
+            held = held if m == machine else None
+            machine = m
+            out.append(held)
+            if held is None:
+                held = _number(free)
+            elif (at := next((i for i, x in enumerate(marks) if x >= _back(held)), None)) is not None:
+                held = _number(exits[at])
+        yield pd.DataFrame({"machine_id": b.machine_id, "_stretch": b._stretch, "_held": pd.Series(out, dtype="float64")})
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of equal keys in sorted rows, across batches."""
+    key, rows = None, []
+    for b in batches:
+        for k, r in zip(zip(*(b[c] for c in keys), strict=True), zip(*(b[c] for c in columns), strict=True), strict=True):
+            if k != key and rows:
+                yield key, rows
+                rows = []
+            key = k
+            rows.append(r)
+    if rows:
+        yield key, rows
+
+
+def _active(found: DataFrame, chunk: float | None) -> DataFrame:
+    """Rows that an alert acts on, with sign: active (rank: the highest level that has held long enough) or calm (the clear band has held so).
+
+    crit_step: seconds since the row before, if both are critical and no gap is between them.
+    """
 
-def _staged(df: DataFrame, acks: DataFrame) -> DataFrame:
-    """Adds top (the episode's highest rank so far) and the times at which the stages begin."""
-    each = W.by([*KEY, "episode"])
-    so_far, whole = each.rowsBetween(W.Window.unboundedPreceding, 0), W.Window.partitionBy(*KEY, "episode")
+    def compute(df: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.by(keys)
+        begins = w.rowsBetween(W.Window.unboundedPreceding, 0)
+        age = lambda on, was: F.when(on, (F.col("us") - F.last(F.when(on & ~(F.col("step").isNotNull() & _false(was)), F.col("us")), True).over(begins)) / 1e6)
+        df = df.withColumn("_p", F.lag(F.struct("us", "levels")).over(w))
+        seconds = (F.col("us") - F.col("_p.us")) / 1e6
+        df = df.withColumn("step", F.when((seconds > 0) & (seconds <= GAP_S), seconds))
+        held = [F.when(age(F.array_contains("levels", n), F.array_contains("_p.levels", n)) + PERIOD_S >= _by_rule(lambda rule, n=n: _hold(rule, n), 0.0), F.lit(r)) for n, r in RANK.items()]
+        df = df.withColumn("rank", F.greatest(*held)).withColumn("_q", F.col("rank").isNull() & F.col("clear"))
+        df = df.withColumn("_o", F.lag(F.struct("rank", "_q")).over(w))
+        calm = _false(age(F.col("_q"), F.col("_o._q")) + PERIOD_S >= CLEAR_S)
+        both = (F.col("rank") == RANK["critical"]) & (F.col("_o.rank") == RANK["critical"])
+        return df.withColumns({"sign": F.when(F.col("rank").isNotNull(), "active").when(calm, "calm"), "crit_step": F.when(both, F.col("step"))}).drop("_p", "_o", "_q", "step")
+
+    rows = compute(found, KEY) if chunk is None else W.chunked(found, KEY, REACH_S, chunk, compute)
+    return rows.where("sign is not null")
+
+
+def _episodes(df: DataFrame, chunk: float | None) -> DataFrame:
+    """Names the alerts of a key by when they open; keeps their active rows and the calm row that ends each."""
+    over = Stretches(tuple(KEY), chunk)
+    df = over.scan(df, before={"before": F.col("sign")})
+    opens, ends = (F.col("sign") == "active") & ~_false(F.col("before") == "active"), (F.col("sign") == "calm") & _false(F.col("before") == "active")
+    kept = df.withColumns({"opens": opens, "ends": ends}).where((F.col("sign") == "active") | F.col("ends"))
+    return over.scan(kept, last={"episode": F.when(F.col("opens"), F.col("us"))}).drop("before", "sign")
+
+
+def _staged(df: DataFrame, acks: DataFrame, chunk: float | None) -> DataFrame:
+    """Adds top (the episode's highest rank so far), top_before, and the times at which the stages begin."""
+    own = [*KEY, "episode"]
     critical = F.col("rank") == RANK["critical"]
     response, delta = _by_rule(_response, "graded"), _by_rule(lambda n: RULES.get(n, {}).get("rising", (None, 0.0))[0], None)
-    earlier = F.last(F.when(F.col("rank").isNotNull(), F.col("value")), True).over(each.rangeBetween(-round(HISTORY_S * 1e6), -180_000_000))
-    df = df.withColumns({"top": F.max("rank").over(so_far), "spent": F.sum(F.coalesce("crit_step", F.lit(0.0))).over(so_far), "rising": _false(F.col("value") - earlier >= delta), "opened": F.min("us").over(whole), "graded": response == "graded"})
-    # acknowledgements of an episode count from their time on
-    spans = df.groupBy(*KEY, "episode").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"))
-    own = acks.join(spans, KEY).where("ack_us between from_us and to_us").groupBy(*KEY, "episode").agg(F.min("ack_us").alias("ack_us"))
-    df = df.join(own, [*KEY, "episode"], "left")
-    first = lambda cond: F.min(F.when(critical & cond, F.col("us"))).over(whole)
+
+    def rising(rows: DataFrame, keys: list[str]) -> DataFrame:
+        earlier = F.last(F.when(F.col("rank").isNotNull(), F.col("value")), True).over(W.by(keys).rangeBetween(-round(HISTORY_S * 1e6), -180_000_000))
+        return rows.withColumn("rising", _false(F.col("value") - earlier >= delta))
+
+    df = rising(df, own) if chunk is None else W.chunked(df, own, HISTORY_S + 1, chunk, rising)
+    df = Stretches(tuple(own), chunk).scan(df, total={"spent": F.coalesce("crit_step", F.lit(0.0))}, top={"top": F.col("rank")}, top_before={"top_before": F.col("rank")})
+    df = df.withColumn("graded", response == "graded")
+    # acknowledgements go to the last alert that has opened before them, if it is still open, and count from their time on
+    key = F.struct(*KEY).alias("_k")
+    spans = df.groupBy(*own).agg(F.max("us").alias("to_us")).select(key, "episode", "to_us", F.timestamp_micros("episode").alias("_from"))
+    met = asof.asof_join(acks.select(key, "ack_us", F.timestamp_micros("ack_us").alias("_at")), spans, "_k", "_at", "_from", ["episode", "to_us"], exact=False, chunk=chunk)
+    first_ack = met.where("ack_us <= to_us").groupBy("_k.machine_id", "_k.rule", "episode").agg(F.min("ack_us").alias("ack_us"))
+    df = df.join(first_ack, own, "left")
     after = lambda stage, seconds: F.col("us") >= F.col(stage) + round(seconds * 1e6)
     spent, graded = F.col("spent"), F.col("graded")
-    df = df.withColumn("derate", first(graded & (spent >= DERATE_S)))
-    df = df.withColumn("recommend_shutdown", first(graded & ((spent >= SHUTDOWN_S) | after("derate", RISING_S) & F.col("rising"))))
+
+    def begins(rows: DataFrame, stage: str, cond: Column) -> DataFrame:
+        """The first critical row of the episode that meets the condition."""
+        at = F.min(F.when(critical & cond, F.col("us")))
+        if chunk is None:
+            return rows.withColumn(stage, at.over(W.Window.partitionBy(*own)))
+        return rows.join(rows.groupBy(*own).agg(at.alias(stage)), own)
+
+    df = begins(df, "derate", graded & (spent >= DERATE_S))
+    df = begins(df, "recommend_shutdown", graded & ((spent >= SHUTDOWN_S) | after("derate", RISING_S) & F.col("rising")))
     ignored = after("recommend_shutdown", IGNORED_S) & ~_false(F.col("ack_us") <= F.col("us"))
     alone = (response == "escalate") & (spent >= _by_rule(lambda n: RULES.get(n, {}).get("escalate_s", float("inf")), float("inf")))
-    return df.withColumn("escalated", first(alone | graded & ((spent >= ESCALATE_S) | _false(ignored))))
+    return begins(df, "escalated", alone | graded & ((spent >= ESCALATE_S) | _false(ignored)))
 
 
 def _told(df: DataFrame) -> DataFrame:
     """Rows at which something changes, as events."""
     named = lambda rank: F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1)
-    rises = ~F.col("opens") & _false(F.col("top") > F.lag("top").over(W.by([*KEY, "episode"])))
+    rises = ~F.col("opens") & _false(F.col("top") > F.col("top_before"))
     before = F.lit("warn")
     for stage in STAGES[1:]:
         before = F.when(F.col(stage) < F.col("us"), stage).otherwise(before)

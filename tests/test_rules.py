@@ -139,3 +139,51 @@ def test_hysteresis():
         level = sessions.step_level(level, x, [30.0, 60.0], 10.0)
         got.append(level)
     assert got == [0, 1, 1, 1, 0, 2, 2, 1, 0]
+
+
+def odd_telemetry(spark, minutes=400, seed=9):
+    """Two machines with gaps, nulls, runs of idling, drops of pressure, long criticals."""
+    rng = random.Random(seed)
+    rows = []
+    for m in ("M01", "M02"):
+        at, level, low = T0, 0.0, 0
+        for _ in range(minutes):
+            at += timedelta(seconds=rng.choice([60, 60, 60, 20, 90, 400 if rng.random() < 0.1 else 60]))
+            level += rng.uniform(-2, 2) - 0.03 * level
+            low = low - 1 if low else (rng.randrange(5, 30) if rng.random() < 0.02 else 0)
+            idle = rng.random() < 0.995 if level < 0 else False
+            change = {
+                "coolant_temp_c": None if rng.random() < 0.03 else 103.0 + 2 * level, "roll_deg": 15 + 6 * level, "hydraulic_oil_temp_c": 92.0 + level, "seatbelt_fastened": None if rng.random() < 0.02 else level < 1, "engine_rpm": None if rng.random() < 0.004 else 1350.0 if idle else 1400.0 + 60 * level,
+                "hydraulic_pressure_bar": None if rng.random() < 0.02 else (110.0 if low else 240.0) + rng.uniform(-15, 15), "is_idle": idle, "battery_voltage": 24.2 + 0.3 * level, "oil_pressure_kpa": 105 + 10 * level, "ground_speed_kmh": None if rng.random() < 0.02 else max(0.0, level),
+            }
+            rows.append((m, at, *{**NORMAL, **change}.values(), "excavator"))
+    return spark.createDataFrame(rows, SCHEMA + ", machine_type string").cache()
+
+
+def test_stretches_equal_whole_keys(spark):
+    """Cut into stretches of time, readings and alerts are those of whole keys."""
+    df = odd_telemetry(spark)
+    whole = rules.readings(df).cache()
+    assert sorted(map(str, (r for r in rules.readings(df, chunk=900.0).where("rule <> 'EXCESS_IDLE'").collect()))) == sorted(map(str, whole.where("rule <> 'EXCESS_IDLE'").collect()))
+    idle = lambda d: {(r.machine_id, r.us, *r.levels, r.clear, r.value) for r in d.where("rule = 'EXCESS_IDLE'").collect()}
+    assert idle(rules.readings(df, chunk=900.0)) == idle(whole)
+    acks = df.where("second(ts) = 0 and minute(ts) % 7 = 0").select("machine_id", "ts", F.explode(F.array(F.lit("COOLANT_CRITICAL"), F.lit("HYD_OIL_HIGH"), F.lit("HYD_PRESSURE_DROP"))).alias("rule"))
+    found = whole.unionByName(rules.acknowledgements(acks)).cache()
+    table = sorted(tuple(r) for r in rules.alerts(found).collect())
+    assert {r for _, r, *_ in table} >= {"COOLANT_CRITICAL", "COOLANT_HIGH", "TIP_RISK", "HYD_OIL_HIGH", "SEATBELT", "HYD_PRESSURE_DROP", "EXCESS_IDLE", "BATTERY_LOW"}
+    for chunk in (1000.0, 5000.0):
+        assert sorted(tuple(r) for r in rules.alerts(found, chunk=chunk).collect()) == table
+
+
+def test_acknowledgement_at_the_opening_counts_nowhere(spark, tmp_path):
+    """An alert must be open before it can be acknowledged: the table says what the stream says."""
+    found = rules.readings(frame(spark, lambda m: {"coolant_temp_c": 106.0 + 2 * m})).where("rule = 'COOLANT_CRITICAL'")
+    ack = rules.acknowledgements(spark.createDataFrame([("M01", T0, "COOLANT_CRITICAL")], "machine_id string, ts timestamp, rule string"))
+    both = found.unionByName(ack)
+    table = {tuple(r) for r in rules.alerts(both).collect()}
+    assert {(s, (t - T0).total_seconds() / 60) for *_, t, _, _, s in [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in table]} >= {("escalated", 5)}
+    both.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(both.schema).parquet(str(tmp_path / "in"))
+    q = rules.alerts_stream(stream).writeStream.format("memory").queryName("acked_at_open").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("acked_at_open").collect()} == table
