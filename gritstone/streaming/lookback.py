@@ -32,11 +32,12 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def machine_alerts(telemetry: DataFrame, acks: DataFrame | None = None, forget_ms: int = 86_400_000) -> DataFrame:
+def machine_alerts(telemetry: DataFrame, acks: DataFrame | None = None, forget_ms: int | None = 86_400_000) -> DataFrame:
     """Alert events of a telemetry stream: machine_id, rule, ts, reason, severity, stage; the same as `rules.alerts` tells of a table.
 
     acks (machine_id, ts, rule) may be a stream too. A micro-batch's rows are taken in time order, acknowledgements before readings of their
-    time. A row older than the last one of its machine gives reason `late` and no more.
+    time. A row older than the last one of its machine gives reason `late` and no more. Machines are forgotten after `forget_ms` of silence; None
+    keeps them, for runs that end when their input does (with a timer pending, Spark goes on to make empty batches).
     """
     df = rules.with_optional(telemetry).withColumn("us", W.micros("ts"))
     plain = {n: r for n, r in RULES.items() if n not in LOOKING}
@@ -45,7 +46,7 @@ def machine_alerts(telemetry: DataFrame, acks: DataFrame | None = None, forget_m
     if acks is not None:
         none = [F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes if c in SIGNALS]
         rows = rows.unionByName(acks.select("machine_id", "ts", W.micros("ts").alias("us"), *none, F.col("rule").alias("ack"), F.lit(None).cast("string").alias("told")))
-    return rows.groupBy("machine_id").transformWithStateInPandas(_Machine(forget_ms), rules.EVENTS, "Append", "ProcessingTime")
+    return rows.groupBy("machine_id").transformWithStateInPandas(_Machine(forget_ms), rules.EVENTS, "Append", "None" if forget_ms is None else "ProcessingTime")
 
 
 def _mean(values: list) -> float | None:
@@ -54,7 +55,7 @@ def _mean(values: list) -> float | None:
 
 
 class _Machine(StatefulProcessor):
-    def __init__(self, forget_ms: int) -> None:
+    def __init__(self, forget_ms: int | None) -> None:
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -64,6 +65,13 @@ class _Machine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.kept.get() if self.kept.exists() else None
+        now = timerValues.getCurrentProcessingTimeInMs()
+        timer = kept[1] if kept else None
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+            if timer <= now:  # rows have come in the batch in which the machine would have been forgotten
+                kept = None
+                self.recent.clear()
         state = json.loads(kept[0]) if kept else {"last": None, "idle": None, "carries": {}}
         carries = {n: Carry(**c) for n, c in state["carries"].items()}
         recent = [tuple(r) for r in self.recent.get()]
@@ -82,10 +90,9 @@ class _Machine(StatefulProcessor):
                 out += [(key[0], rule, r.ts, *e) for e in carries.setdefault(rule, Carry()).take(rule, r.us, levels, clear, value, base)]
             state["last"] = r.us
         self.recent.put(recent)
-        if kept and kept[1]:
-            self.handle.deleteTimer(kept[1])
-        timer = timerValues.getCurrentProcessingTimeInMs() + self.forget_ms
-        self.handle.registerTimer(timer)
+        timer = None if self.forget_ms is None else now + self.forget_ms
+        if timer is not None:
+            self.handle.registerTimer(timer)
         self.kept.update((json.dumps({**state, "carries": {n: asdict(c) for n, c in carries.items()}}), timer))
         yield pd.DataFrame(out, columns=rules._COLUMNS)
 
