@@ -35,20 +35,11 @@ def _telemetry(spark, sf_dir) -> DataFrame:
     )
 
 
-_ALERTS = f"""with {NUMBERED},
-t as (select machine_id, 1704067200000000 + n * 60000000 + pauses * 600000000 as us, 100 + 9 * sin(n / 7.0::double + user_id) as cool, 92 + 5 * sin(n / 5.0::double + user_id) as oil, 100 + 30 * sin(n / 6.0::double + user_id) as press,
-  24 + sin(n / 11.0::double + user_id) as volt, abs(27 * sin(n / 8.0::double + user_id)) as tilt, n % 20 < 14 as belt from nb),
-rd as (select machine_id, us, 'COOLANT_HIGH' as rule, cool > 100 as w, false as c, cool < 100 * 0.95 as clear, cool as x, 120 as hw, 0 as hc, 'none' as resp from t
-  union all select machine_id, us, 'COOLANT_CRITICAL', false, cool > 105, cool < 105 * 0.95, cool, 0, 0, 'graded' from t
-  union all select machine_id, us, 'HYD_OIL_HIGH', oil > 90, oil > 95, oil < 90 * 0.95, oil, 0, 0, 'graded' from t
-  union all select machine_id, us, 'OIL_PRESSURE_LOW', false, press < 100, press > 105, press, 0, 0, 'graded' from t
-  union all select machine_id, us, 'BATTERY_LOW', volt < 24, false, volt > 25.2, volt, 300, 0, 'none' from t
-  union all select machine_id, us, 'TIP_RISK', tilt > 15, tilt > 25, tilt < 15 * 0.95, tilt, 0, 0, 'escalate' from t
-  union all select machine_id, us, 'SEATBELT', not belt, not belt, belt, null, 5, 30, 'escalate' from t),
-s1 as (select *, (us - lag(us) over k) / 1e6 as dt, lag(w) over k as pw, lag(c) over k as pc from rd window k as (partition by machine_id, rule order by us)),
+#: What the engine tells of readings rd (w, c: lower and higher level; hw, hc: seconds they must hold; lo, hi: their ranks) and acknowledgements ak.
+_ENGINE = """s1 as (select *, (us - lag(us) over k) / 1e6 as dt, lag(w) over k as pw, lag(c) over k as pc from rd window k as (partition by machine_id, rule order by us)),
 s2 as (select * exclude (dt), case when dt > 0 and dt <= 120 then dt end as step from s1),
 s3 as (select *, max(case when w and not (step is not null and pw) then us end) over k as w0, max(case when c and not (step is not null and pc) then us end) over k as c0 from s2 window k as (partition by machine_id, rule order by us rows unbounded preceding)),
-s4 as (select *, case when c and (us - c0) / 1e6 + 60 >= hc then 2 when w and (us - w0) / 1e6 + 60 >= hw then 1 end as rank from s3),
+s4 as (select *, case when c and (us - c0) / 1e6 + 60 >= hc then hi when w and (us - w0) / 1e6 + 60 >= hw then lo end as rank from s3),
 s5 as (select *, rank is null and clear as q from s4),
 s6 as (select *, lag(q) over k as pq, lag(rank) over k as prank from s5 window k as (partition by machine_id, rule order by us)),
 s7 as (select *, max(case when q and not (step is not null and pq) then us end) over (partition by machine_id, rule order by us rows unbounded preceding) as q0 from s6),
@@ -60,14 +51,28 @@ e1 as (select *, max(rank) over r as top, sum(case when rank = 2 and prank = 2 t
   from s10 where rank is not null or ends window r as (partition by machine_id, rule, ep order by us rows unbounded preceding)),
 e2 as (select *, rule in ('COOLANT_CRITICAL', 'HYD_OIL_HIGH') and coalesce(x - old >= 3, false) as rising, min(us) filter (rank = 2 and resp = 'graded' and spent >= 120) over z as derate from e1 window z as (partition by machine_id, rule, ep)),
 e3 as (select *, min(us) filter (rank = 2 and resp = 'graded' and (spent >= 300 or (us >= derate + 60000000 and rising))) over z as shut from e2 window z as (partition by machine_id, rule, ep)),
-e4 as (select *, min(us) filter (rank = 2 and ((resp = 'graded' and (spent >= 420 or us >= shut + 120000000)) or (resp = 'escalate' and spent >= 120))) over z as esc, lag(top) over (partition by machine_id, rule, ep order by us) as ptop from e3 window z as (partition by machine_id, rule, ep)),
+ac as (select e.machine_id, e.rule, e.ep, min(k.us) as ack from (select machine_id, rule, ep, min(us) as a, max(us) as b from e3 group by all) e join ak k on k.machine_id = e.machine_id and k.rule = e.rule and k.us > e.a and k.us <= e.b group by all),
+e4 as (select e3.*, min(us) filter (rank = 2 and ((resp = 'graded' and (spent >= 420 or (us >= shut + 120000000 and not coalesce(ack <= us, false)))) or (resp = 'escalate' and spent >= 120))) over z as esc, lag(top) over (partition by machine_id, rule, ep order by us) as ptop from e3 left join ac using (machine_id, rule, ep) window z as (partition by machine_id, rule, ep)),
 ev as (select machine_id, rule, us, 'open' as reason, top, 'warn' as stage from e4 where opens
   union all select machine_id, rule, us, 'severity', top, case when esc < us then 'escalated' when shut < us then 'recommend_shutdown' when derate < us then 'derate' else 'warn' end from e4 where not opens and top > ptop
   union all select machine_id, rule, us, 'stage', top, 'derate' from e4 where us = derate
   union all select machine_id, rule, us, 'stage', top, 'recommend_shutdown' from e4 where us = shut
   union all select machine_id, rule, us, 'stage', top, 'escalated' from e4 where us = esc
   union all select machine_id, rule, us, 'resolve', top, 'resolved' from e4 where ends)
-select machine_id, rule, make_timestamp(us) as ts, reason, case top when 2 then 'critical' else 'warning' end as severity, stage from ev"""
+select machine_id, rule, make_timestamp(us) as ts, reason, ['info', 'warning', 'critical'][top + 1] as severity, stage from ev"""
+_NO_ACKS = "ak as (select '' as machine_id, '' as rule, 0 as us where false)"
+
+_ALERTS = f"""with {NUMBERED},
+t as (select machine_id, 1704067200000000 + n * 60000000 + pauses * 600000000 as us, 100 + 9 * sin(n / 7.0::double + user_id) as cool, 92 + 5 * sin(n / 5.0::double + user_id) as oil, 100 + 30 * sin(n / 6.0::double + user_id) as press,
+  24 + sin(n / 11.0::double + user_id) as volt, abs(27 * sin(n / 8.0::double + user_id)) as tilt, n % 20 < 14 as belt from nb),
+rd as (select machine_id, us, 'COOLANT_HIGH' as rule, cool > 100 as w, false as c, cool < 100 * 0.95 as clear, cool as x, 120 as hw, 0 as hc, 'none' as resp, 1 as lo, 2 as hi from t
+  union all select machine_id, us, 'COOLANT_CRITICAL', false, cool > 105, cool < 105 * 0.95, cool, 0, 0, 'graded', 1, 2 from t
+  union all select machine_id, us, 'HYD_OIL_HIGH', oil > 90, oil > 95, oil < 90 * 0.95, oil, 0, 0, 'graded', 1, 2 from t
+  union all select machine_id, us, 'OIL_PRESSURE_LOW', false, press < 100, press > 105, press, 0, 0, 'graded', 1, 2 from t
+  union all select machine_id, us, 'BATTERY_LOW', volt < 24, false, volt > 25.2, volt, 300, 0, 'none', 1, 2 from t
+  union all select machine_id, us, 'TIP_RISK', tilt > 15, tilt > 25, tilt < 15 * 0.95, tilt, 0, 0, 'escalate', 1, 2 from t
+  union all select machine_id, us, 'SEATBELT', not belt, not belt, belt, null, 5, 30, 'escalate', 1, 2 from t), {_NO_ACKS},
+{_ENGINE}"""
 
 
 @query(_ALERTS)
@@ -122,3 +127,65 @@ def fatigue_scores(spark, sf_dir):
     n = lambda k: (F.col("event_id") % k).cast("double")
     night = (F.hour("ts") >= 22) | (F.hour("ts") < 6)
     return df.select("event_id", "user_id", "perclos", proximity.fatigue_score(F.col("perclos"), n(4), n(5), n(13) - 1, night).alias("score"))
+
+
+def _odd_telemetry(spark, sf_dir) -> DataFrame:
+    """Minutes with missing signals, drops of pressure, idling and speeding, from the events' kinds and numbers."""
+    df = numbered(spark, sf_dir, "event_id", "value")
+    us = F.lit(1704067200000000) + F.col("n").cast("long") * 60_000_000 + F.col("pauses") * 600_000_000
+    unless = lambda cond, x: F.when(~F.expr(cond), x)
+    return df.select(
+        "machine_id", F.timestamp_micros(us).alias("ts"), unless("event_id % 41 = 0", F.lit(1250.0) + F.col("n") % 7 * 10).alias("engine_rpm"), unless("event_id % 97 = 0", F.lit(70.0)).alias("engine_load_pct"), F.lit(None).cast("double").alias("coolant_temp_c"), F.lit(None).cast("double").alias("hydraulic_oil_temp_c"),
+        F.lit(None).cast("double").alias("oil_pressure_kpa"), F.lit(None).cast("double").alias("battery_voltage"), unless("event_type = 'signup'", F.when(F.expr("n % 60 < 40"), 240.0).otherwise(120.0) + F.col("event_id") % 16).alias("hydraulic_pressure_bar"),
+        unless("event_type = 'error'", F.when(F.expr("n % 90 < 70"), 0.5).otherwise(4.5 + F.col("event_id") % 4)).alias("ground_speed_kmh"), F.lit(None).cast("double").alias("pitch_deg"), F.lit(None).cast("double").alias("roll_deg"), F.lit(None).cast("boolean").alias("seatbelt_fastened"),
+        unless("event_id % 53 = 0", F.expr("n % 70 < 45")).alias("is_idle"), F.when(F.expr("user_id % 3 <> 0"), "excavator").alias("machine_type"),
+    )
+
+
+@query(f"""with recursive {NUMBERED},
+t as (select user_id, machine_id, n, 1704067200000000 + n * 60000000 + pauses * 600000000 as us, case when event_id % 41 <> 0 then 1250.0::double + n % 7 * 10 end as rpm, case when event_id % 97 <> 0 then 70.0::double end as ld, case when event_type <> 'signup' then (case when n % 60 < 40 then 240 else 120 end + event_id % 16)::double end as p,
+  case when event_type <> 'error' then case when n % 90 < 70 then 0.5 else 4.5 + event_id % 4 end end::double as v, case when event_id % 53 <> 0 then n % 70 < 45 end as idle, case when user_id % 3 <> 0 then 5.5 end as lim from nb),
+a as (select *, avg(p) over (partition by machine_id order by us range between 119999999 preceding and current row) as recent, avg(p) over (partition by machine_id order by us range between 359999999 preceding and 180000000 preceding) as base, avg(v) over (partition by machine_id order by us range between 179999999 preceding and current row) as still,
+  min(coalesce(ld, 0)) over m > 40 and us - min(us) over m >= 300000000 as loaded, coalesce(idle, false) and rpm is not null as i from t window m as (partition by machine_id order by us range between 359999999 preceding and current row)),
+f as (select *, coalesce(base > 100 and recent < 0.65 * base and loaded and still < 2, false) as found, i and not coalesce(us - lag(us) over k <= 120000000 and lag(i) over k, false) as begins from a window k as (partition by machine_id order by us)),
+h as (select *, max(case when begins then us end) over (partition by machine_id order by us rows unbounded preceding) as since from f),
+j as (select *, case when i then avg(case when i then rpm end) over (partition by machine_id, since order by us rows unbounded preceding) end as mean, case when i then (us - since) / 1e6 + 60 end as run from h),
+l as (select user_id, n, case when found then base end as was, case when found and not recent >= 0.65 * (1 + 0.05) * base then base end as held from f where n = 1
+  union all select f.user_id, f.n, case when l.held is not null then l.held when found then base end, case when l.held is null and not found then null when recent >= 0.65 * (1 + 0.05) * coalesce(l.held, base) then null else coalesce(l.held, base) end from l join f on f.user_id = l.user_id and f.n = l.n + 1),
+rd as (select machine_id, us, 'HYD_PRESSURE_DROP' as rule, false as w, coalesce(recent < 0.65 * was, false) as c, was is null or coalesce(recent >= 0.65 * (1 + 0.05) * was, false) as clear, recent as x, 0 as hw, 0 as hc, 'graded' as resp, 1 as lo, 2 as hi from f join l using (user_id, n)
+  union all select machine_id, us, 'EXCESS_IDLE', coalesce(mean > 1200 and run > 600, false), coalesce(mean > 1200 and run > 1200, false), not i or coalesce(mean < 1200 * 0.95, false), run, 0, 0, 'none', 0, 1 from j
+  union all select machine_id, us, 'OVERSPEED', coalesce(v > lim, false), false, v is null or lim is null or v < lim * 0.95, v, 0, 0, 'none', 1, 2 from t), {_NO_ACKS},
+{_ENGINE}""")
+def alert_look_back(spark, sf_dir):
+    """Pressure drops, idling and speeding of machines with missing signals."""
+    found = rules.readings(_odd_telemetry(spark, sf_dir)).where(F.col("rule").isin("HYD_PRESSURE_DROP", "EXCESS_IDLE", "OVERSPEED"))
+    return rules.alerts(found)
+
+
+@query(f"""with {NUMBERED},
+t as (select *, 1704067200000000 + n * 60000000 + pauses * 600000000 as us, case when event_type <> 'signup' then 104 + 6 * sin(n / 9.0::double + user_id) end as cool from nb),
+rd as (select machine_id, us, 'COOLANT_CRITICAL' as rule, false as w, coalesce(cool > 105, false) as c, coalesce(cool < 105 * 0.95, false) as clear, cool as x, 0 as hw, 0 as hc, 'graded' as resp, 1 as lo, 2 as hi from t),
+ak as (select machine_id, 'COOLANT_CRITICAL' as rule, us from t where event_type = 'view'),
+{_ENGINE}""")
+def alert_acknowledged(spark, sf_dir):
+    """Graded alerts whose views acknowledge them; views at the opening count nothing. Missing temperatures are neither hot nor calm."""
+    df = numbered(spark, sf_dir)
+    us = F.lit(1704067200000000) + F.col("n").cast("long") * 60_000_000 + F.col("pauses") * 600_000_000
+    signals = _telemetry(spark, sf_dir).select("machine_id", "ts", *(c for c in _telemetry(spark, sf_dir).columns if c not in ("machine_id", "ts", "coolant_temp_c")))
+    seen = df.select("machine_id", F.timestamp_micros(us).alias("ts"), "event_type", F.when(F.col("event_type") != "signup", 104 + 6 * F.sin(F.col("n") / 9.0 + F.col("user_id"))).alias("coolant_temp_c"))
+    found = rules.readings(signals.join(seen.drop("event_type"), ["machine_id", "ts"])).where("rule = 'COOLANT_CRITICAL'")
+    acks = seen.where("event_type = 'view'").select("machine_id", "ts", F.lit("COOLANT_CRITICAL").alias("rule"))
+    return rules.alerts(found.unionByName(rules.acknowledgements(acks)), chunk=7 * W.DAY)
+
+
+@query(f"""with {NUMBERED},
+t as (select machine_id, 1704067200000000 + n * 60000000 + pauses * 600000000 as us, case when event_type = 'error' then 'machine_fault' when event_type = 'purchase' then 'sensor_glitch' when event_type = 'click' then 'normal' end as kind, value from nb),
+rd as (select machine_id, us, 'UNUSUAL_BEHAVIOUR' as rule, coalesce(kind = 'machine_fault', false) as w, false as c, not coalesce(kind = 'machine_fault', false) as clear, value as x, 0 as hw, 0 as hc, 'none' as resp, 1 as lo, 2 as hi from t
+  union all select machine_id, us, 'SENSOR_GLITCH', coalesce(kind = 'sensor_glitch', false), false, not coalesce(kind = 'sensor_glitch', false), value, 0, 0, 'none', 0, 2 from t), {_NO_ACKS},
+{_ENGINE}""")
+def alert_verdicts(spark, sf_dir):
+    """What a model's verdicts open and close."""
+    df = numbered(spark, sf_dir, "value")
+    us = F.lit(1704067200000000) + F.col("n").cast("long") * 60_000_000 + F.col("pauses") * 600_000_000
+    kind = F.when(F.col("event_type") == "error", "machine_fault").when(F.col("event_type") == "purchase", "sensor_glitch").when(F.col("event_type") == "click", "normal")
+    return rules.alerts(rules.verdict_readings(df.select("machine_id", F.timestamp_micros(us).alias("ts"), kind.alias("kind"), F.col("value").alias("score"))))
