@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written_once
 from .windows import micros
 
 
@@ -13,7 +14,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
 
     One sort of the union of both sides. Of right rows with one time the last by `tie` counts
     (the first, looking forward). With `chunk` seconds a key's series is cut into stretches
-    that are sorted apart; what a stretch takes from others comes from one row a stretch.
+    that are sorted apart; what a stretch takes from others comes from one row a stretch. The rows of both sides
+    are then a table in the shared folder.
     """
     kept = left.columns
     pick = F.struct(*(F.col(c) for c in columns))
@@ -29,15 +31,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
         w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("_found", seen.over(w)).where("_left")
     else:
-        both = both.withColumn("_chunk", F.floor(F.col("_us") / round(chunk * 1_000_000)))
+        # written once, as the rows and what each stretch leaves to later ones are both read from it
+        both = written_once(both.withColumn("_chunk", F.floor(F.col("_us") / round(chunk * 1_000_000))), "asof")
         w = Window.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        inside = both.withColumn("_found", seen.over(w))
-        nearest = (F.min_by if ahead else F.max_by)("_right", F.struct("_us", "_tie"))
-        each = both.where("not _left").groupBy(by, "_chunk").agg(nearest.alias("_last"))
-        spine = both.select(by, "_chunk").distinct().join(each, [by, "_chunk"], "left")
+        inside = both.withColumn("_found", seen.over(w)).where("_left")
+        nearest = (F.min_by if ahead else F.max_by)("_right", F.when(~F.col("_left"), F.struct("_us", "_tie")))
+        each = both.groupBy(by, "_chunk").agg(nearest.alias("_last"))
         c = Window.partitionBy(by).orderBy(F.col("_chunk").desc() if ahead else F.col("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-        carried = spine.select(by, "_chunk", F.last("_last", ignorenulls=True).over(c).alias("_carried"))
-        found = inside.where("_left").join(carried, [by, "_chunk"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+        carried = each.select(by, "_chunk", F.last("_last", ignorenulls=True).over(c).alias("_carried"))
+        found = inside.join(carried, [by, "_chunk"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return found.select(*kept, *(F.col("_found")[c].alias(c) for c in columns))
 
 

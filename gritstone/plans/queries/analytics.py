@@ -29,9 +29,10 @@ def _segments(spark, sf_dir):
     df = events(spark, sf_dir)
     start = df.where("event_type = 'signup'").withColumn("end_time", F.least(F.col("ts") + F.expr("interval 2 days"), F.coalesce(F.lead("ts").over(W.by("user_id")), F.lit("9999-01-01").cast("timestamp"))))
     machine = lambda c: F.concat(F.lit("m"), F.col(c))
-    shifts = start.select(F.col("event_id").alias("shift_id"), machine("user_id").alias("machine_id"), F.concat(F.lit("o"), F.col("user_id") % 20).alias("operator_id"), F.concat(F.lit("site"), F.col("user_id") % 5).alias("site_id"), F.col("ts").alias("shift_date"), F.col("ts").alias("start_time"), "end_time")
+    shifts = written_once(start.select(F.col("event_id").alias("shift_id"), machine("user_id").alias("machine_id"), F.concat(F.lit("o"), F.col("user_id") % 20).alias("operator_id"), F.concat(F.lit("site"), F.col("user_id") % 5).alias("site_id"), F.col("ts").alias("shift_date"), F.col("ts").alias("start_time"), "end_time"), "shifts")
     rows = df.select(machine("user_id").alias("machine_id"), "ts", "event_type", "value")
     inside = asof.point_in_interval(rows, shifts.select("machine_id", "shift_id", "start_time", "end_time"), "machine_id", "ts", "start_time", "end_time", ["shift_id"], 7 * W.DAY).where("shift_id is not null and event_type <> 'signup'")
+    inside = written_once(inside.select("shift_id", "event_type", "value"), "inside")
     telemetry = inside.select("shift_id", (F.col("event_type") == "view").alias("is_idle"), F.col("value").alias("fuel_rate_lph"))
     tasks = inside.where("event_type = 'purchase'").select("shift_id", F.lit("completed").alias("status"), F.col("value").alias("quantity"), (2 * F.col("value")).alias("actual_duration_min"), (F.col("value") + 10).alias("fleet_p50_min"))
     machines = df.select("user_id").distinct().select(machine("user_id").alias("machine_id"), F.concat(F.lit("type"), F.col("user_id") % 3).alias("machine_type"))

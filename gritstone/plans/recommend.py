@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plural
 from ..operators import asof
+from ..sources.shared import written_once
 
 #: Event type, least count and module of the safety rules, in order of priority.
 SAFETY = (("tip_risk", 1, "TM-SAFE-03"), ("seatbelt_unfastened", 1, "TM-SAFE-02"), ("proximity_breach", 2, "TM-SAFE-01"))
@@ -70,7 +71,7 @@ def handover_facts(shifts: DataFrame, alerts: DataFrame, events: DataFrame, task
     Each source meets the shifts by one sort or by time buckets, so rows grow with what is found and not with
     shifts times events. Shifts of a machine don't overlap. `chunk` seconds cut a hot machine's series (see `asof_join`).
     """
-    s = shifts.select("shift_id", "machine_id", "start_time", "end_time", (F.col("fuel_start_pct") - F.col("fuel_end_pct")).alias("fuel_used_pct"))
+    s = written_once(shifts.select("shift_id", "machine_id", "start_time", "end_time", (F.col("fuel_start_pct") - F.col("fuel_end_pct")).alias("fuel_used_pct")), "shifts")
     ends = s.select("shift_id", "machine_id", F.col("end_time").alias("_at"))
     spans = alerts.select("machine_id", "ts", F.coalesce("resolved_at", F.lit("9999-01-01").cast("timestamp")).alias("_until"), "alert_code")
     open_ = _open_at(spans, ends).groupBy("shift_id").agg(F.array_sort(F.collect_list("alert_code")).alias("open_alerts"))
@@ -90,7 +91,7 @@ def _open_at(spans: DataFrame, ends: DataFrame) -> DataFrame:
     An alert meets the next end of a shift after it was raised, and with that the ones that follow until it is resolved: ends are numbered
     by machine, and an alert covers a stretch of numbers.
     """
-    place = ends.withColumn("_n", F.row_number().over(Window.partitionBy("machine_id").orderBy("_at", "shift_id")))
+    place = written_once(ends.withColumn("_n", F.row_number().over(Window.partitionBy("machine_id").orderBy("_at", "shift_id"))), "ends")
     first = asof.asof_join(spans, place.select("machine_id", "_at", F.col("_n").alias("_from")), "machine_id", "ts", "_at", ["_from"], "forward", tie="_from")
     both = asof.asof_join(first, place.select("machine_id", "_at", F.col("_n").alias("_to")), "machine_id", "_until", "_at", ["_to"], exact=False, tie="_to")
     covered = both.where("_from <= _to").select("machine_id", "alert_code", F.explode(F.sequence("_from", "_to")).alias("_n"))
