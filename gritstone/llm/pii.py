@@ -109,8 +109,9 @@ def span_features(text: str, start: int, end: int, before: str) -> list[int]:
     return [K[x] for x in on]
 
 
-#: Words with a digit or @, parted by white space and lone signs.
-_CHUNK = re.compile(r"\S*[0-9@]\S*(?:\s+(?:[^\w\s]{1,3}\s+)?\S*[0-9@]\S*)*")
+#: Words with a digit or @, parted by white space and lone signs. A word is tried from its first character only and never twice, so long runs cost their length.
+_WORD = r"[^\s0-9@]*+[0-9@]\S*+"
+_CHUNK = re.compile(rf"(?<!\S){_WORD}(?:\s++(?:[^\w\s]{{1,3}}\s++)?{_WORD})*+")
 
 
 def windows(text: str):
@@ -130,8 +131,9 @@ def candidates(text: str, tokens: list[tuple[int, int]], before: list[str]) -> l
     out = []
     digits_of = [sum(c in "0123456789" for c in text[a:b]) for a, b in tokens]
     letter_in = [any(c.isalpha() for c in text[a:b]) for a, b in tokens]
+    near = _near([n > 0 or text[a] == "@" for n, (a, _) in zip(digits_of, tokens, strict=True)])
     for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
+        if not near[i] or not (text[a].isalnum() or text[a] in "+("):
             continue
         inside = re.findall(r"[a-z]+", text[max(tokens[0][0], a - 40) : a].lower())
         front = " ".join([*before, *inside][-3:])
@@ -147,6 +149,30 @@ def candidates(text: str, tokens: list[tuple[int, int]], before: list[str]) -> l
     return out
 
 
+def _near(held: list[bool]) -> list[bool]:
+    """Whether one of a token and the MOST - 1 after it is held."""
+    out, left = [], 0
+    for x in reversed(held):
+        left = MOST if x else left - 1
+        out.append(left > 0)
+    return out[::-1]
+
+
+def clusters(n: int, segments: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, list[tuple[int, int, list[int]]]]]:
+    """(first token, token after the last, segments) of groups of segments that overlap or touch, out of n tokens.
+
+    A token between two groups lies outside on every path, so groups are settled one by one, with the token that follows.
+    """
+    out: list[list] = []
+    for seg in sorted(segments, key=lambda x: x[:2]):
+        if out and seg[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], seg[1])
+            out[-1][2].append(seg)
+        else:
+            out.append([seg[0], seg[1], [seg]])
+    return [(a, min(b + 1, n), own) for a, b, own in out]
+
+
 class Field:
     """Weights of span features by type, and of neighbouring types."""
 
@@ -319,8 +345,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Field) -> li
                 free[-1].append(t)
         for part in free:
             if part and re.search("[0-9@]", text[part[0][0] : part[-1][1]]):
-                segments = candidates(text, part, before)
-                out += [(TYPES[y], part[i][0], part[j - 1][1]) for i, j, y in model.best(len(part), segments)] if segments else []
+                for a, b, own in clusters(len(part), candidates(text, part, before)):
+                    out += [(TYPES[y], part[a + i][0], part[a + j - 1][1]) for i, j, y in model.best(b - a, [(i - a, j - a, on) for i, j, on in own])]
     return out
 
 
