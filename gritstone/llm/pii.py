@@ -9,7 +9,7 @@ addresses in forms that the patterns leave out, and secret tokens. Base spans al
 The field learns from generated lines: each type in several written forms, and numbers
 that are none of them. Words without digits or @ end a stretch of candidates, lone signs and white space of any
 kind and length do not; the program splits there, and most of a text costs one search for digits.
-A candidate has at most `MOST` tokens and, without @ or letters, at most `MOST_DIGITS` digits, as the longest
+A candidate has at most `MOST` tokens, none of them a sign that no type is written with, and, without @ or letters, at most `MOST_DIGITS` digits, as the longest
 card number; so their number grows with the text, however long, also in tables of figures.
 
 Edge cases: null texts are empty; repeated rows are judged one by one; offsets are code points; an empty table
@@ -85,14 +85,14 @@ _CUES = (("email", ("mail", "email", "contact")), ("ip", ("ip", "host", "server"
 _HEX = re.compile(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*")
 FEATURES = (
     "bias", "at", "dots", "three dots", "four small numbers", "plus", "bracket", "digits 1-6", "digits 7-8", "digits 9-12", "digits 13-19", "digits 20+", "checksum", "one number", "groups of four", "even groups", "letters and digits",
-    "long mixed", "letters only", "ends in letters", "domain end", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "blank inside", "odd sign", "short groups", "joined left", "joined right", "single digits", "four numbers and no cue", "line end and no cue", "begins with 00",
+    "long mixed", "letters only", "ends in letters", "domain end", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "blank inside", "odd sign", "short groups", "joined left", "joined right", "single digits", "four numbers and no cue", "line end and no cue", "begins with 00", "checksum fails", "number beside",
 )
 K = {name: i for i, name in enumerate(FEATURES)}
 _DOMAIN_END = re.compile(r"\.[A-Za-z]{2,6}$")
 
 
-def span_features(text: str, start: int, end: int, before: str) -> list[int]:
-    """Numbers of the features that hold of a whole span. before: the words in front, lower case."""
+def span_features(text: str, start: int, end: int, before: str, beside: bool) -> list[int]:
+    """Numbers of the features that hold of a whole span. before: the words in front, lower case; beside: a number is next to it, at most a sign between."""
     s = text[start:end]
     numbers = re.findall("[0-9]+", s)
     digits = "".join(numbers)
@@ -100,7 +100,8 @@ def span_features(text: str, start: int, end: int, before: str) -> list[int]:
     on = ["bias", "digits 20+" if n > 19 else "digits 13-19" if n > 12 else "digits 9-12" if n > 8 else "digits 7-8" if n > 6 else "digits 1-6"]
     on += ["at"] * ("@" in s) + ["dots"] * ("." in s) + ["three dots"] * (s.count(".") == 3 and letters == 0) + ["plus"] * (s[0] == "+") + ["bracket"] * ("(" in s)
     on += ["four small numbers"] * (len(numbers) == 4 and letters == 0 and all(len(x) < 4 and int(x) < 256 for x in numbers))
-    on += ["checksum"] * (12 < n < 20 and luhn(digits)) + ["one number"] * (s == digits) + ["groups of four"] * (len(numbers) > 2 and letters == 0 and all(len(x) == 4 for x in numbers[:-1]))
+    sums = 12 < n < 20 and luhn(digits)
+    on += ["checksum"] * sums + ["checksum fails"] * (12 < n < 20 and not sums) + ["number beside"] * beside + ["one number"] * (s == digits) + ["groups of four"] * (len(numbers) > 2 and letters == 0 and all(len(x) == 4 for x in numbers[:-1]))
     on += ["letters only"] * (n == 0) + ["letters and digits"] * (n > 0 < letters) + ["long mixed"] * (len(s) > 19 and n > 3 and letters > 3 and bool(_HEX.fullmatch(s))) + ["ends in letters"] * s[-1].isalpha()
     on += ["domain end"] * bool(_DOMAIN_END.search(s)) + ["blank inside"] * any(c.isspace() for c in s) + ["odd sign"] * bool(re.search(r"[^\w\s.@+()-]", s)) + ["short groups"] * (len(numbers) > 5) + ["even groups"] * (len(numbers) > 1 and len({len(x) for x in numbers}) == 1)
     cued = [f"cue {kind}" for kind, cues in _CUES if any(c in before for c in cues)]
@@ -124,6 +125,8 @@ def windows(text: str):
 
 #: Without @, an entity has this many digits at least; without @ and letters, this many at most.
 LEAST_DIGITS, MOST_DIGITS = 4, 19
+#: No type is written with these signs inside, and a number alone is no entity if it is shorter than a phone number.
+APART, LEAST_NUMBER = frozenset(",;:=<>|[]{}#&*?!~^$\"'`\\"), 7
 
 
 def candidates(text: str, tokens: list[tuple[int, int]], before: list[str]) -> list[tuple[int, int, list[int]]]:
@@ -131,6 +134,12 @@ def candidates(text: str, tokens: list[tuple[int, int]], before: list[str]) -> l
     out = []
     digits_of = [sum(c in "0123456789" for c in text[a:b]) for a, b in tokens]
     letter_in = [any(c.isalpha() for c in text[a:b]) for a, b in tokens]
+    figure = [text[a:b].isdigit() for a, b in tokens]
+
+    def number_at(k: int, step: int) -> bool:
+        k = k if 0 <= k < len(tokens) and text[tokens[k][0]].isalnum() else k + step
+        return 0 <= k < len(tokens) and figure[k]
+
     near = _near([n > 0 or text[a] == "@" for n, (a, _) in zip(digits_of, tokens, strict=True)])
     for i, (a, _) in enumerate(tokens):
         if not near[i] or not (text[a].isalnum() or text[a] in "+("):
@@ -140,12 +149,14 @@ def candidates(text: str, tokens: list[tuple[int, int]], before: list[str]) -> l
         digits, at, letters = 0, False, False
         for j in range(i + 1, min(i + MOST, len(tokens)) + 1):
             s, b = tokens[j - 1]
+            if text[s] in APART:
+                break
             digits += digits_of[j - 1]
             at, letters = at or text[s] == "@", letters or letter_in[j - 1]
             if digits > MOST_DIGITS and not at and not letters:
                 break
-            if (at or digits >= LEAST_DIGITS) and text[b - 1].isalnum():
-                out.append((i, j, span_features(text, a, b, front)))
+            if (at or digits >= (LEAST_DIGITS if letters else LEAST_NUMBER)) and text[b - 1].isalnum():
+                out.append((i, j, span_features(text, a, b, front, number_at(i - 1, -1) or number_at(j, 1))))
     return out
 
 
@@ -280,6 +291,9 @@ def _examples(rng: random.Random) -> list[tuple[str, int, int, int]]:
         made += [("\n".join(rng.choice(" \t").join(figure() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(2, 5))), 0), (rng.choice(["\n", "  ", " - ", " / "]).join(d(rng.randint(1, 4)) for _ in range(rng.randint(2, 8))), 0)]
     for _ in range(40):  # sums and calls: a sign or bracket right behind a letter or digit
         made += [(f"{d(1)}+{d(rng.randint(4, 5))}", 0), (f"{word()}+{d(rng.randint(4, 9))}", 0), (f"{word()}++{d(4)}", 0), (f"{word()}({d(rng.randint(4, 8))})", 0), (f"{word()}({d(rng.randint(4, 8))}, {d(2)})", 0)]
+    for _ in range(40):  # years, pages, versions and tables of four-digit figures
+        groups, mark = [rng.choice([d(4), str(rng.randint(1900, 2030)), str(rng.randint(1000, 2000))]) for _ in range(rng.randint(3, 8))], rng.choice([" ", "  ", "\t", "\n", " - ", ". ", " / "])
+        made += [(mark.join(groups), 0), (f"{d(2)}.{d(1)}.{d(5)}.{d(4)}", 0), (f"{d(1)}.{d(2)}.{d(4)}.{d(3)}", 0), (f"{d(4)}-{d(2)}-{d(2)} {d(2)}", 0), (f"{d(4)}-{d(2)}-{d(2)}\n{d(4)}-{d(2)}-{d(2)}", 0)]
     cues = {kind: words for kind, words in _CUES}
     out = []
     for s, y in made:

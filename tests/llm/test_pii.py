@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 from hypothesis import given, settings
@@ -107,3 +109,38 @@ def test_redaction_and_odd_rows(spark, odd_docs, no_docs):
     assert got[1].text == "mail <email> or <phone>." and got[1].n_chars == len(got[1].text) and got[2].text is None
     assert pii.annotate(odd_docs).count() == odd_docs.count() and pii.redact(odd_docs).columns == odd_docs.columns
     assert pii.annotate(no_docs).collect() == []
+
+
+def test_long_runs_cost_their_length():
+    """Lines without blanks, figures after figures, and a text of a megabyte take seconds, not minutes."""
+    import time
+
+    model = pii.field()
+    for text, most in (("漢" * 1_000_000 + " 1", 5), ("漢字。" * 200_000 + "12", 15), ("a" * 1_000_000 + " 1", 5), ("\n".join(f"2024-01-{i % 28 + 1:02d},{i % 24:02d}:30:00,{(i * 7919) % 100000 / 100:.2f},{i % 977}" for i in range(3000)), 15)):
+        began = time.perf_counter()
+        assert pii.find(text, model)[1] == []
+        assert time.perf_counter() - began < most
+
+
+@pytest.mark.parametrize("text", ["Results: 1204 1311 1420 1533 1640 1755 units", "pages 1021, 1044, 1050, 1061, 1077", "years 1998 1999 2000 2001 2002 2003 2004", "version 10.0.19041.1234", "in 1995, 1996, 1997, 1998 and 1999", "1204\t1311\t1420\t1533\n1640\t1755\t1800\t1911"])
+def test_figures_are_no_entities(text):
+    assert pii.find(text, pii.field()) == ([], [])
+
+
+def test_figures_in_tables_are_seldom_taken():
+    rng = random.Random(12)
+    tables = ["\n".join(" ".join(str(rng.randrange(1000, 10000)) for _ in range(6)) for _ in range(8)) for _ in range(60)]
+    taken = sum(j - i for t in tables for _, i, j in pii.find(t, pii.field())[1])
+    assert taken < 0.02 * sum(map(len, tables))
+
+
+def test_groups_of_segments_are_settled_as_the_whole():
+    """The best path of a stretch is that of its groups of segments."""
+    model, found = pii.field(), 0
+    for text, *_ in pii._examples(random.Random(3))[:1500]:
+        for tokens, before in pii.windows(text + " 12.5 and 7 " + text):
+            segments = pii.candidates(text + " 12.5 and 7 " + text, tokens, before)
+            parts = [(a + i, a + j, y) for a, b, own in pii.clusters(len(tokens), segments) for i, j, y in model.best(b - a, [(i - a, j - a, on) for i, j, on in own])]
+            assert parts == (model.best(len(tokens), segments) if segments else [])
+            found += len(parts)
+    assert found > 200
