@@ -153,6 +153,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def quoted(name: str) -> str:
+    """A column's name where Spark parses it: dots and quotes are part of the name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents(df: DataFrame, *others: str) -> DataFrame:
     """doc_id and text of any frame that has them; whatever else it has stays out of the plan."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
@@ -205,8 +210,13 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], column: str = "text") -> DataFrame:
-    """Like `map_text` for functions that return rows of `df`'s own schema; the text column becomes a string."""
-    typed = df.withColumn(column, F.col(column).cast("string"))
+    """Like `map_text` for functions that return rows of `df`'s own schema; the text column becomes a string.
+
+    Names that Spark can't pass to a Python function as they are, such as those with dots, are replaced meanwhile.
+    """
+    names = df.columns
+    plain = [n if n.isidentifier() else f"_column_{i}_{uuid.uuid4().hex}" for i, n in enumerate(names)]
+    typed = df.toDF(*plain).withColumn(column, F.col(column).cast("string"))
 
     def run(batches):
         step = make()
@@ -214,7 +224,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for part in pieces(batch, column):
                 yield step(part)
 
-    return typed.mapInArrow(run, typed.schema)
+    return typed.mapInArrow(run, typed.schema).toDF(*names)
 
 
 def arrow_schema(fields: list[tuple[str, str]]) -> pa.Schema:

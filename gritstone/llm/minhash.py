@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, dealt, documents, heavy_keys, held, join_dealt, keep, map_text, scratched, spread
+from .frames import cut, dealt, documents, heavy_keys, held, join_dealt, keep, map_text, quoted, scratched, spread
 
 ROWS, BITS = 6, 4
 #: An estimate this many hundredths below the threshold is over five standard deviations away.
@@ -110,13 +110,19 @@ def shingles(text: str | None, n: int) -> tuple[np.ndarray, bytes]:
     return np.unique(mixed ^ (mixed >> np.uint64(32))), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+#: Shingles hashed at once.
+STRETCH = 1 << 16
+
+
 def minima(found: np.ndarray, n: int) -> np.ndarray:
     """The smallest value of each of n hash functions over a set, 32 bits each."""
     multiply, add = _families(n)
-    out = np.empty(n, np.uint64)
-    for start in range(0, n, 16):  # a block of functions at a time stays in the CPU's cache
-        part = slice(start, start + 16)
-        out[part] = (found[None, :] * multiply[part, None] + add[part, None]).min(axis=1)
+    out = np.full(n, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), STRETCH):  # so memory doesn't grow with a text
+        some = found[at : at + STRETCH]
+        for start in range(0, n, 16):  # a block of functions at a time stays in the CPU's cache
+            part = slice(start, start + 16)
+            out[part] = np.minimum(out[part], (some[None, :] * multiply[part, None] + add[part, None]).min(axis=1))
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -244,7 +250,7 @@ def drop_copies(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
     Groups are of texts, whatever their ids, so no text goes because its id occurs twice. The row with the smallest
     doc_id stays, among those the one with the least digest of its text, and of rows with equal id and text the one
-    whose other columns come first. Texts without words stay, one row for each id and text; rows without doc_id all stay.
+    whose other columns, written as JSON, come first. Texts without words stay, one row for each id and text; rows without doc_id all stay.
     """
     signed, nodes = _classes(docs, like)
     roots = components(_links(docs, nodes, like), "final")
@@ -252,9 +258,11 @@ def drop_copies(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     alone = signed.where("digest is null and doc_id is not null").select("doc_id", "exact")
     kept = cut(least.union(alone).distinct(), "kept")
     keep(kept)
+    others = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")  # columns of any type, maps too, have an order as text
     same = (F.col("kept_id") == F.col("own_id")) & F.col("kept_exact").eqNullSafe(F.col("own_exact"))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("own_id"), exact_text().alias("own_exact"), F.struct(*docs.columns).alias("row"))
-    once = rows.groupBy("own_id", "own_exact").agg(F.min("row").alias("row")).join(kept, same, "left_semi").select("row.*")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("own_id"), exact_text().alias("own_exact"), F.struct(*map(quoted, docs.columns)).alias("row"), order.alias("order"))
+    once = rows.groupBy("own_id", "own_exact").agg(F.min_by("row", "order").alias("row")).join(kept, same, "left_semi").select("row.*")
     return once.unionByName(docs.where("doc_id is null"))
 
 

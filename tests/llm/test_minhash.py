@@ -84,3 +84,21 @@ def test_heavy_keys_lose_no_rows(spark, monkeypatch):
         monkeypatch.setattr(frames, "HEAVY", heavy)
         got = frames.join_dealt(rows, one, "k", "id").collect()
         assert sorted((r.id, r.k, r.twice) for r in got) == sorted((i, k, 2 * k) for i in range(1000) if (k := 0 if i % 3 == 0 else i) is not None)
+
+
+def test_minima_of_a_long_text_take_bounded_memory(monkeypatch):
+    """Stretches of shingles give what the whole gives, and no table of all shingles by functions is made."""
+    import tracemalloc
+
+    import numpy as np
+
+    from gritstone.llm import minhash
+
+    found = np.random.default_rng(1).integers(0, 1 << 63, 1_000_000, dtype=np.uint64)
+    few = minhash.minima(found[:5000], 64)
+    tracemalloc.start()
+    minhash.minima(found, 64)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(minhash, "STRETCH", 37)
+    assert (minhash.minima(found[:5000], 64) == few).all()

@@ -76,3 +76,19 @@ def test_odd_tables(spark, tmp_path, odd_docs, no_docs):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     no_docs.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert p.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_columns_of_any_type_and_name_reach_the_last_stage(spark, small):
+    """Maps, structs, binaries and names with dots, blanks and quotes pass all filtering stages unchanged."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(
+        "doc_id", "text", F.create_map(F.lit("k"), F.col("doc_id")).alias("tags"), F.struct("lang", F.array("source").alias("s")).alias("a.b"), F.col("source").cast("binary").alias("row `x`"), F.col("n_chars").alias("own id"), F.lit(None).cast("map<int,array<string>>").alias("order"), F.col("lang").alias("row")
+    )
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    before = {r.doc_id: r.asDict(True) for r in docs.collect()}
+    for stage in (p.drop_toxic, p.drop_poor, p.drop_copies, p.mask_private):
+        docs = stage(spark, docs, small).cache()
+        assert docs.columns == list(next(iter(before.values())))
+    rows = docs.collect()
+    assert len(rows) > 50 and len({r.doc_id for r in rows}) == len(rows)
+    assert all({**r.asDict(True), "text": None} == {**before[r.doc_id], "text": None} for r in rows)
+    assert p.pack(spark, docs, small).count() >= len(rows)
