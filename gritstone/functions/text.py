@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,3 +120,45 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 2400, overlap_chars
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, content string")
+
+
+#: Characters of a piece of a section, and how many of its last ones begin the next.
+MOST_CHARS, CARRIED_CHARS = 2400, 400
+_EDGES = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+
+
+def packed(body: Column, most: int = MOST_CHARS, carried: int = CARRIED_CHARS) -> Column:
+    """Pieces of a text: paragraphs joined until the next would make more than `most` characters; the next piece begins with the last `carried` ones.
+
+    A paragraph is never cut, so a long one makes a long piece.
+    """
+    glue = F.lit("\n\n")
+    begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, p: Column) -> Column:
+        open_ = acc["open"]
+        full = (open_ != "") & (F.length(open_) + F.length(p) + 2 > most)
+        return F.struct(F.when(full, F.array_append(acc["done"], open_)).otherwise(acc["done"]).alias("done"), F.when(full, F.concat(F.right(open_, F.lit(carried)), glue, p)).when(open_ != "", F.concat(open_, glue, p)).otherwise(p).alias("open"))
+
+    pieces = F.aggregate(F.split(body, r"\n[ \t\n\r\f\x0B]*\n"), begin, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    return F.when(F.length(body) <= most, F.array(body)).otherwise(pieces)
+
+
+def markdown_chunks(docs: DataFrame, key: str, text: str, untitled: Column) -> DataFrame:
+    """key, chunk_index, heading, content of markdown texts, all as columns.
+
+    The first line that begins with one # is the title, `untitled` stands for it where there is none; lines with one # are no body. Sections
+    begin at lines with two #, what comes before them belongs to the title. Each piece of a section is headed by title and heading. Null texts have no chunks.
+    """
+    lines = F.concat(F.lit("\n"), F.regexp_replace(F.col(text), "\r\n?", "\n"))
+    title = F.when(lines.rlike("\n# "), F.trim(F.regexp_extract(lines, "\n# ([^\n]*)", 1))).otherwise(untitled)
+    parts = F.split(F.regexp_replace(lines, "\n# [^\n]*", ""), "\n## ")
+    each = docs.where(F.col(text).isNotNull()).select(F.col(key), title.alias("_title"), F.posexplode(parts).alias("_section", "_part"))
+    first = F.col("_section") == 0
+    heading = F.when(first, F.col("_title")).otherwise(F.trim(F.regexp_extract("_part", "^([^\n]*)", 1)))
+    body = F.regexp_replace(F.when(first, F.col("_part")).otherwise(F.regexp_replace("_part", "^[^\n]*", "")), _EDGES, "")
+    pieces = each.select(key, "_title", "_section", heading.alias("heading"), body.alias("_body")).where("_body <> ''").select(key, "_title", "_section", "heading", F.posexplode(packed(F.col("_body"))).alias("_piece", "_text"))
+    header = F.concat(F.lit("# "), F.col("_title"), F.when(F.col("heading") == F.col("_title"), "").otherwise(F.concat(F.lit("\n## "), F.col("heading"))))
+    # numbered within the text it was cut from
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_section", "_piece")) - 1
+    return pieces.select(key, place.alias("chunk_index"), "heading", F.concat(header, F.lit("\n\n"), F.col("_text")).alias("content"))

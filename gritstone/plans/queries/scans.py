@@ -163,3 +163,21 @@ def validate_events(spark, sf_dir):
     """The first broken rule of each event, by its type; NULL: valid."""
     rules = [("user_id", F.col("user_id").isNotNull()), ("event_type", F.col("event_type").isin("view", "signup", "purchase", "error", "click")), ("value", (F.col("event_type") != "purchase") | (F.col("value") >= 5))]
     return events(spark, sf_dir).select("event_id", schemas.first_error(rules).alias("error"))
+
+
+@query("""with recursive d as (select doc_id, case when doc_id % 3 <> 0 then '# ' || source || chr(10) else '' end || replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(10) || '## '), '. ', '.' || chr(10) || chr(10)) as t, 'doc ' || doc_id as stem from documents where text is not null),
+l as (select doc_id, case when contains(chr(10) || t, chr(10) || '# ') then trim(regexp_extract(chr(10) || t, '\n# ([^\n]*)', 1), ' ') else stem end as title, string_split(regexp_replace(chr(10) || t, '\n# [^\n]*', '', 'g'), chr(10) || '## ') as parts from d),
+s as (select doc_id, title, i - 1 as section, parts[i] as part from l, unnest(range(1, len(parts) + 1)) as u(i)),
+b as (select doc_id, title, section, case when section = 0 then title else trim(regexp_extract(part, '^([^\n]*)', 1), ' ') end as heading, regexp_replace(case when section = 0 then part else regexp_replace(part, '^[^\n]*', '') end, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') as body from s),
+p as (select doc_id, section, case when length(body) <= 2400 then [body] else regexp_split_to_array(body, '\n[ \t\n\r\f\v]*\n') end as ps from b where body <> ''),
+r as (select doc_id, section, 1 as i, null::varchar as done, ps[1] as open, 0 as piece from p
+  union all select r.doc_id, r.section, i + 1, case when open <> '' and length(open) + length(ps[i + 1]) + 2 > 2400 then open end, case when open <> '' and length(open) + length(ps[i + 1]) + 2 > 2400 then right(open, 400) || chr(10) || chr(10) || ps[i + 1] when open <> '' then open || chr(10) || chr(10) || ps[i + 1] else ps[i + 1] end, i
+    from r join p on p.doc_id = r.doc_id and p.section = r.section where i < len(ps)),
+o as (select doc_id, section, i as pos, done as txt from r where done is not null union all select r.doc_id, r.section, i + 1, open from r join p on p.doc_id = r.doc_id and p.section = r.section where i = len(ps) and open <> '')
+select doc_id, (row_number() over (partition by doc_id order by section, pos) - 1)::int as chunk_index, heading, '# ' || title || case when heading = title then '' else chr(10) || '## ' || heading end || chr(10) || chr(10) || txt as content from o join b using (doc_id, section)""")
+def markdown_chunks(spark, sf_dir):
+    """Chunks of the documents as markdown: their lines as sections, their sentences as paragraphs."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n", "\n## "), r"\. ", ".\n\n")
+    top = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("# "), F.col("source"), F.lit("\n"))).otherwise("")
+    return text.markdown_chunks(d.select("doc_id", F.concat(top, body).alias("body")), "doc_id", "body", F.concat(F.lit("doc "), F.col("doc_id")))
