@@ -41,7 +41,7 @@ class Stretches:
         each = marked.groupBy(*self.keys, "_stretch").agg(*(_leaves(kind, inputs[n], self.order).alias(n) for kind, of in seen.items() for n in of))
         earlier = Window.partitionBy(*self.keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
         carried = each.select(*self.keys, "_stretch", *(_carry(kind, n).over(earlier).alias(f"_from_{n}") for kind, of in seen.items() for n in of))
-        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in self.keys] + [F.col("a._stretch") == F.col("b._stretch")]
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in self.keys] + [F.col("a._stretch").eqNullSafe(F.col("b._stretch"))]
         both = inside.alias("a").join(carried.alias("b"), same).select("a.*", *(f"b._from_{n}" for n in named))
         out = both.withColumns({n: _together(kind, n) for kind, of in seen.items() for n in of})
         return out.drop("_stretch", *inputs.values(), *(f"_from_{n}" for n in named))
