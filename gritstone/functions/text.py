@@ -162,3 +162,26 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, untitled: Column) -> D
     # numbered within the text it was cut from
     place = F.row_number().over(Window.partitionBy(key).orderBy("_section", "_piece")) - 1
     return pieces.select(key, place.alias("chunk_index"), "heading", F.concat(header, F.lit("\n\n"), F.col("_text")).alias("content"))
+
+
+#: What a shared fault code adds to a match, or only other codes take from it; the least score of an answer.
+CODE_BONUS, LEAST_SCORE = 5, 2
+
+
+def best_answers(questions: DataFrame, answers: DataFrame, q_id: str, q_text: str, a_id: str, a_text: str) -> DataFrame:
+    """Each question's id with the id and score of its best answer, both NULL if none reaches the least score; of equals the smallest id.
+
+    A score is the number of words of the answer, repeats included, that the question has too: words of three or more letters a to z, digits or
+    Devanagari signs. If the question names fault codes (E-123), an answer with one of them gains, one with others alone loses. One join on
+    words and codes; NULL and empty texts have none of either.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9ऀ-ॿ\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
+    codes = lambda c: F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(r"(E-\d{3})"), 1))
+    asked, given = F.coalesce(F.col(q_text), F.lit("")), F.coalesce(F.col(a_text), F.lit(""))
+    told = lambda found, of: F.explode(F.concat(F.transform(found, lambda w: F.struct(w.alias("token"), F.lit(False).alias("code"))), F.transform(of, lambda c: F.struct(c.alias("token"), F.lit(True).alias("code")))))
+    q = questions.select(F.col(q_id).alias("_q"), (F.size(codes(asked)) > 0).alias("_asks"), told(F.array_distinct(words(asked)), codes(asked)).alias("_t")).select("_q", "_asks", "_t.*")
+    a = answers.select(F.col(a_id).alias("_a"), (F.size(codes(given)) > 0).alias("_has"), told(words(given), codes(given)).alias("_t")).groupBy("_a", "_has", "_t.token", "_t.code").agg(F.count(F.lit(1)).alias("_k"))
+    met = q.join(a, ["token", "code"]).groupBy("_q", "_asks", "_a", "_has").agg(F.sum(F.when(~F.col("code"), F.col("_k")).otherwise(0)).alias("_n"), F.max("code").alias("_same"))
+    score = F.col("_n") + F.when(F.col("_same"), CODE_BONUS).when(F.col("_asks") & F.col("_has"), -CODE_BONUS).otherwise(0)
+    best = met.select("_q", "_a", score.alias("score")).where(F.col("score") >= LEAST_SCORE).groupBy("_q").agg(F.min_by("_a", F.struct(-F.col("score"), "_a")).alias("_a"), F.max("score").alias("score"))
+    return questions.select(F.col(q_id).alias("_q")).join(best, "_q", "left").select(F.col("_q").alias(q_id), F.col("_a").alias(a_id), F.col("score").cast("long").alias("score"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import text
 from ...operators import windows as W
-from ...streaming import episodes, renewed
-from ..registry import events, query
+from ...streaming import episodes, proximity, renewed
+from ..registry import events, query, table
 
 _KINDS = {"click": "info", "purchase": "warning", "signup": "critical", "error": "emergency"}
 
@@ -37,3 +38,33 @@ def renewed_lookup(spark, sf_dir):
     bought = df.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("newest"))
     got = renewed.renewed(df.select("event_id", "user_id", "ts"), bought, "user_id", "ts", "at", ["newest"], 2 * W.DAY, tie="newest")
     return got.select("event_id", "user_id", "checked_at", "newest")
+
+
+@query("""with f as (select user_id, min(ts) as t0 from events group by 1), d as (select user_id, min(ts) as t1 from events join f using (user_id) where ts - t0 >= interval '4 days' group by 1),
+s as (select user_id, value / 150 as x, t1 from events left join d using (user_id) where t1 is null or ts <= t1), m as (select user_id, median(x) as mid, count(x) as n, bool_or(t1 is not null) as done from s group by 1),
+c as (select user_id, done, n, 0.75::double * avg(x) filter (x >= 0.8::double * mid) as t from s join m using (user_id) group by all)
+select user_id, done, n, case when g then t else 0.22 end as threshold, done and not g as fallback from (select *, coalesce(done and n >= 6 and t between 0.12 and 0.30, false) as g from c)""")
+def eye_calibration(spark, sf_dir):
+    """Each user's threshold from four days of values, or the default where there are too few or it isn't plausible."""
+    df = events(spark, sf_dir, "user_id", "value").withColumn("x", F.col("value") / 150)
+    return proximity.eye_threshold(df, "user_id", "x", 4 * W.DAY, 6)
+
+
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\x{{0900}}-\x{{097F}}\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)"
+_CODES = r"list_distinct(regexp_extract_all(upper({0}), 'E-\d{{3}}'))"
+
+
+@query(f"""with d as (select doc_id, coalesce(text, '') || ' e-' || (110 + doc_id % 4 * 105) as t from documents), b as (select item_id, coalesce(text, '') || case when item_id % 3 = 0 then ' E-' || (110 + item_id % 4 * 105) else '' end as t from benchmark),
+dw as (select doc_id, unnest(list_distinct({_WORDS.format('t')})) as w from d), bw as (select item_id, w, count(*) as k from (select item_id, unnest({_WORDS.format('t')}) as w from b) group by all),
+n as (select doc_id, item_id, sum(k) as n from dw join bw using (w) group by all),
+dc as (select doc_id, unnest({_CODES.format('t')}) as c from d), bc as (select item_id, unnest({_CODES.format('t')}) as c from b),
+same as (select distinct doc_id, item_id, true as same from dc join bc using (c)),
+s as (select doc_id, item_id, coalesce(n, 0) + case when same then 5 when item_id in (select item_id from bc) then -5 else 0 end as score from n full join same using (doc_id, item_id)),
+r as (select * from s where score >= 2 qualify row_number() over (partition by doc_id order by score desc, item_id) = 1)
+select doc_id, item_id, score::bigint as score from documents left join r using (doc_id)""")
+def best_answers(spark, sf_dir):
+    """The benchmark item that answers each document best, by shared words and fault codes."""
+    code = lambda i: (110 + F.col(i) % 4 * 105).cast("string")
+    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" e-"), code("doc_id")).alias("t"))
+    b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" E-"), code("item_id"))).otherwise("")).alias("t"))
+    return text.best_answers(d, b, "doc_id", "t", "item_id", "t")

@@ -112,3 +112,25 @@ def fatigue_alerts(df: DataFrame, key: str) -> DataFrame:
     told = spaced(found.withColumns({"_enters": enters, "_first": F.col("_over") & ~F.lag("_over", 1, False).over(w)}), key, "_first", "_over", CLOSED_REPEAT_S, "_again")
     reasons = F.array_compact(F.array(F.when(F.col("_enters"), "score"), F.when(F.col("_again"), "eyes_closed")))
     return told.withColumn("reason", F.explode(reasons)).drop("_high", "_shut", "_over", "_enters", "_first", "_again")
+
+
+#: Share of the open-eye mean that is the threshold, least share of the median of an open eye, plausible thresholds, the threshold otherwise.
+EYE_FACTOR, OPEN_SHARE, EYE_RANGE, EYE_DEFAULT = 0.75, 0.8, (0.12, 0.30), 0.22
+
+
+def eye_threshold(df: DataFrame, key: str, value: str, seconds: float = 30, least: int = 60) -> DataFrame:
+    """One row a key: done, n, threshold, fallback; needs `us`.
+
+    A key is measured from its first row, with or without a value, to the first row `seconds` later or more, that one included; without such a row it
+    isn't done and has the default. With under `least` values, or a threshold that isn't plausible, it falls back on the default. Rows with NULL key or
+    time take no part, NULL and NaN values aren't counted.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col("us").isNotNull()).select(key, "us", F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_x"))
+    first = rows.groupBy(key).agg(F.min("us").alias("_first"))
+    since = rows.join(first, key)
+    end = since.where(F.col("us") - F.col("_first") >= round(seconds * 1e6)).groupBy(key).agg(F.min("us").alias("_end"))
+    taken = rows.join(end, key, "left").where(F.col("_end").isNull() | (F.col("us") <= F.col("_end")))
+    mid = taken.groupBy(key).agg(F.median("_x").alias("_mid"), F.count("_x").alias("n"), F.max(F.col("_end").isNotNull()).alias("done"))
+    mean = taken.join(mid, key).groupBy(key, "done", "n").agg((EYE_FACTOR * F.avg(F.when(F.col("_x") >= OPEN_SHARE * F.col("_mid"), F.col("_x")))).alias("_t"))
+    good = F.coalesce(F.col("done") & (F.col("n") >= least) & F.col("_t").between(*EYE_RANGE), F.lit(False))
+    return mean.select(key, "done", "n", F.when(good, F.col("_t")).otherwise(EYE_DEFAULT).alias("threshold"), (F.col("done") & ~good).alias("fallback"))
