@@ -252,7 +252,7 @@ def _paths(tree: _Tree) -> Iterator[tuple[int, float, dict[int, tuple[float, flo
 def _share(out: np.ndarray, x: np.ndarray, value: int, path: dict[int, tuple[float, float, float]]) -> None:
     """Adds a leaf's Shapley values: the mean over all orders of features of what each adds when it becomes known."""
     m = len(path)
-    inside = {f: ((x[:, f] >= lo) & (x[:, f] < hi)).astype(float) for f, (lo, hi, _) in path.items()}
+    inside = {f: ((x[:, f] >= lo) & ((x[:, f] < hi) | (hi == np.inf))).astype(float) for f, (lo, hi, _) in path.items()}
     for f, (_, _, part) in path.items():
         known = [np.ones(len(x))]  # by the number of known features: the sum, over their choices, of the chance to come here
         for o in path.keys() - {f}:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, asof, scoring
+from ..operators import aggregates, asof, boosting, scoring
 from ..operators import windows as W
 from ..operators.islands import run_starts
 
@@ -152,3 +152,20 @@ def apply_floor(df: DataFrame, probability: str) -> DataFrame:
     from ..functions.predicates import bands
 
     return df.withColumn(probability, F.greatest(probability, "p_floor")).withColumn("risk_band", bands(F.col(probability), RISK, "low"))
+
+
+def failure_forecast(rows: DataFrame, nodes: DataFrame, features: list[str], floor_signal: str, n: int = 3) -> DataFrame:
+    """Adds p, risk_band and top_factors: what pushes the log-odds up most, or, if nothing does, what moves them most; to a thousandth.
+
+    floor_signal: a column with the feature that lies so far off that the probability has a floor (`FLOOR_P`), else NULL; that feature is named first. One that the model doesn't
+    know is named with a NULL share.
+    """
+    parts = {c: F.col("_parts")[i] for i, c in enumerate(features)}
+    got = boosting.contributions(boosting.predict(rows, nodes, features, [boosting.LOGIT], "_p"), nodes, features, boosting.LOGIT, "_parts", "_base")
+    got = got.withColumns({"p": F.col("_p")[0], "p_floor": F.when(F.col(floor_signal).isNotNull(), FLOOR_P).otherwise(0.0)})
+    own = F.struct(F.col(floor_signal).alias("name"), F.map_from_arrays(F.array(*map(F.lit, features)), F.col("_parts"))[F.col(floor_signal)].alias("value"))
+    top = scoring.top_contributions(parts, n)
+    others = F.filter(top, lambda x: x["name"] != F.col(floor_signal))
+    named = F.when(F.col(floor_signal).isNotNull(), F.concat(F.array(own), F.slice(others, 1, n - 1))).otherwise(top)
+    rounded = F.transform(named, lambda x: F.struct(x["name"].alias("feature"), F.round(x["value"], 3).alias("shap")))
+    return apply_floor(got.withColumn("top_factors", rounded), "p").drop("_p", "_parts", "_base", "p_floor")

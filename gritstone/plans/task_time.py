@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, asof
+from ..operators import aggregates, asof, boosting
 from ..operators import windows as W
 from .maintenance import shift_engine_hours
 
@@ -78,6 +78,39 @@ def conformal_offset(df: DataFrame, actual: str, low: str, middle: str, high: st
     return aggregates.at_rank(miss, [], "miss", F.least(F.ceil((F.col("n") + 1) * share), F.col("n")), "offset")
 
 
+#: Percents of the forecast, and features that are a task's size and so no reason to be early or late.
+PERCENTS, NO_FACTOR = [10, 50, 90], {"quantity", "unit"}
+
+
+def fit_forecast(tasks: DataFrame, minutes: str, features: list[str], at: list[list[float]] | None = None, **size: int) -> DataFrame:
+    """Nodes of three quantile models of log1p(minutes); `at` and `size` as in `boosting.fit`. Tasks without minutes, or with negative ones, aren't learned from."""
+    known = tasks.select(*features, F.when(F.col(minutes) >= 0, F.log1p(minutes)).alias("_y"))
+    return boosting.fit(known, "_y", features, at or boosting.cuts(known, features), PERCENTS, **size)
+
+
+def quantiles(tasks: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
+    """Adds _q: the three quantiles of log1p(minutes) in rising order."""
+    return boosting.predict(tasks, nodes, features, PERCENTS, "_q").withColumn("_q", F.array_sort("_q"))
+
+
+def widening(tasks: DataFrame, nodes: DataFrame, features: list[str], minutes: str, share: float = 0.8) -> DataFrame:
+    """One row: the offset, in log1p space, that makes p10 to p90 hold a share of tasks that weren't learned from; 0 where the models are careful enough, or without tasks."""
+    y = F.log1p(minutes)
+    miss = quantiles(tasks.where(F.col(minutes) >= 0), nodes, features).select(F.greatest(F.col("_q")[0] - y, y - F.col("_q")[2]).alias("miss"))
+    return aggregates.at_rank(miss, [], "miss", F.least(F.ceil((F.col("n") + 1) * share), F.col("n")), "offset").select(F.greatest("offset", F.lit(0.0)).alias("offset"))
+
+
+def forecast(tasks: DataFrame, nodes: DataFrame, features: list[str], offset: float, k: int = 3) -> DataFrame:
+    """Adds p10_min, p50_min and p90_min, the outer ones moved apart by the offset, and factors: the k features that move p50 most, in minutes.
+
+    Features may be NULL or NaN, which goes below every cut; a task always gets a forecast.
+    """
+    q = boosting.contributions(quantiles(tasks, nodes, features), nodes, features, 50, "_parts", "_base")
+    q = q.withColumns({"p10_min": F.expm1(F.col("_q")[0] - offset), "p50_min": F.expm1(F.col("_q")[1]), "p90_min": F.expm1(F.col("_q")[2] + offset)})
+    parts = {c: F.col("_parts")[i] for i, c in enumerate(features) if c not in NO_FACTOR}
+    return q.withColumn("factors", top_factors(F.col("p50_min"), parts, k)).drop("_q", "_parts", "_base")
+
+
 def factor_minutes(p50: Column, contributions: Column) -> Column:
     """Minutes of each factor, from an array of its contributions in log1p space: p50 less what it would be without the factor."""
     return F.transform(contributions, lambda c: p50 - F.expm1(F.log1p(p50) - c))

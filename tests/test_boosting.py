@@ -105,3 +105,37 @@ def test_cuts_and_odd_rows(spark):
     assert B.contributions(df, none, ["a"], 90).select("base", "parts").distinct().collect() == [(0.0, [0.0])]
     with pytest.raises(ValueError):
         B.fit(df, "y", ["a"], [[]], [50, 50])
+
+
+def test_failure_forecast_has_a_floor_that_is_named_first(spark):
+    from gritstone.plans import maintenance
+
+    df = frame(spark).withColumn("late", (F.col("y") > 12).cast("int"))
+    nodes = B.fit(df, "late", XS, AT, [B.LOGIT], trees=6, depth=2, shrink=2)
+    rows = df.where("id < 60").withColumn("far", F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "unseen"))
+    parts = {r.id: dict(zip(XS, r.parts, strict=True)) for r in B.contributions(rows, nodes, XS, B.LOGIT).collect()}
+    plain = {r.id: r.p[0] for r in B.predict(rows, nodes, XS, [B.LOGIT], "p").collect()}
+    out = maintenance.failure_forecast(rows, nodes, XS, "far", 2)
+    assert out.columns == [*rows.columns, "p", "top_factors", "risk_band"]
+    for r in out.collect():
+        up = sorted((x for x in XS if parts[r.id][x] > 0), key=lambda x: (-parts[r.id][x], x)) or sorted(XS, key=lambda x: (-abs(parts[r.id][x]), x))
+        want = up[:2] if r.far is None else [r.far, *[x for x in up[:2] if x != r.far][:1]]
+        assert [f.feature for f in r.top_factors] == want
+        assert r.p == pytest.approx(plain[r.id] if r.far is None else max(plain[r.id], 0.35))
+        assert r.risk_band == ("high" if r.p >= 0.6 else "medium" if r.p >= 0.3 else "low")
+        assert all((f.shap is None) == (f.feature == "unseen") for f in r.top_factors)
+
+
+def test_forecast_is_in_order_and_leaves_the_size_out(spark):
+    from gritstone.plans import task_time
+
+    df = frame(spark).select("id", F.col("a").alias("quantity"), F.when(F.col("id") % 7 > 0, F.col("c")).alias("c"), F.when(F.col("id") % 11 > 0, F.col("y")).alias("minutes"))
+    nodes = task_time.fit_forecast(df, "minutes", ["quantity", "c"], trees=5, depth=2, shrink=2)
+    off = task_time.widening(df, nodes, ["quantity", "c"], "minutes", 0.9).first().offset
+    out = task_time.forecast(df, nodes, ["quantity", "c"], off)
+    assert out.columns == [*df.columns, "p10_min", "p50_min", "p90_min", "factors"]
+    got = out.collect()
+    assert len(got) == 900 and all(r.p10_min <= r.p50_min <= r.p90_min and [f.feature for f in r.factors] == ["c"] for r in got)
+    known = [r for r in got if r.minutes is not None]
+    assert np.mean([r.p10_min - 1e-9 <= r.minutes <= r.p90_min + 1e-9 for r in known]) >= 0.9
+    assert task_time.widening(df.limit(0), nodes, ["quantity", "c"], "minutes").first().offset == 0.0
