@@ -119,6 +119,24 @@ def zone_posts(spark, sf_dir):
     return proximity.zones(seen, "user_id").select("event_id", "user_id", "zone", "severity", "post")
 
 
+_CLOSING = """dd as (select event_id, user_id, n, n * 400000 + pauses * 5000000 as us, 5.5 + 4 * sin(n / 4.0::double + user_id) as d, case when n % 50 >= 35 then 2.0 else 0.0 end as wider from nb),
+dl as (select *, coalesce(last_value(us) over b, first_value(us) over i) as old_us, coalesce(last_value(d) over b, first_value(d) over i) as old_d from dd
+  window b as (partition by user_id order by us range between unbounded preceding and 1000000 preceding), i as (partition by user_id order by us range between 999999 preceding and current row)),
+ds as (select *, case when us - old_us >= 700000 then (old_d - d) * 1e6 / (us - old_us) end as speed from dl),
+d as (select *, coalesce(speed > 0.5, false) as near from ds),
+"""
+
+
+@query(f"with {NUMBERED},\n{_CLOSING}" + _ZONES[_ZONES.index("r as (select") : _ZONES.index("f as (select")].rstrip().rstrip(",") + """
+select event_id, user_id, speed as closing_mps, near as approaching, zone, case level when 1 then 'warning' when 2 then 'critical' end as severity from l""")
+def closing_zones(spark, sf_dir):
+    """How fast each object has come nearer over the last second, whether it approaches, and the zone and severity that follow."""
+    df = numbered(spark, sf_dir, "event_id")
+    us = F.col("n").cast("long") * 400_000 + F.col("pauses") * 5_000_000
+    seen = df.select("event_id", "user_id", us.alias("us"), (5.5 + 4 * F.sin(F.col("n") / 4.0 + F.col("user_id"))).alias("distance_m"), (F.col("n") % 50 >= 35).alias("wide"))
+    return proximity.zones(proximity.closing(seen, "user_id"), "user_id").select("event_id", "user_id", "closing_mps", "approaching", "zone", "severity")
+
+
 @query("""with p as (select *, avg((value < 25)::int::double) over (partition by user_id order by ts range between interval '172799999999 microseconds' preceding and current row) as perclos from events)
 select event_id, user_id, perclos, 0.45 * least(perclos / 0.3, 1.0) + 0.15 * least((event_id % 4) / 3.0, 1.0) + 0.15 * least((event_id % 5) / 3.0, 1.0) + 0.15 * least(greatest((event_id % 13) - 1, 0) / 10.0, 1.0) + 0.10 * (hour(ts) >= 22 or hour(ts) < 6)::int as score from p""")
 def fatigue_scores(spark, sf_dir):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import windows as W
-from .. import anomaly, maintenance
+from .. import anomaly, maintenance, task_time
 from ..registry import events, query
 from .alerts import NUMBERED, numbered
 
@@ -49,18 +50,35 @@ def component_scores(spark, sf_dir):
     return scored.select("event_id", *(f"score_{c}" for c in maintenance.COMPONENTS), "likely_component", "worst_dev_z24", "worst_trend_z72", "p_baseline", "p", "risk_band")
 
 
-@query("""with s as (select user_id, event_id as shift_id, ts as start_time, least(ts + interval '2 days', coalesce(lead(ts) over (partition by user_id order by ts), timestamp '9999-01-01')) as end_time from events where event_type = 'signup'),
+_SHIFTS = """with s as (select user_id, event_id as shift_id, ts as start_time, least(ts + interval '2 days', coalesce(lead(ts) over (partition by user_id order by ts), timestamp '9999-01-01')) as end_time from events where event_type = 'signup'),
 c as (select s.*, coalesce(min(e.ts), any_value(end_time)) as stop from s left join events e on e.user_id = s.user_id and e.event_type = 'error' and e.ts >= start_time and e.ts < end_time group by all),
-h as (select *, (epoch_us(stop) - epoch_us(start_time)) / 3.6e9 as hours from c), t as (select *, 1000 + user_id - sum(hours) over (partition by user_id order by start_time desc rows unbounded preceding) as eh_start from h)
-select shift_id, eh_start, eh_start + hours as eh_end from t""")
-def shift_hours(spark, sf_dir):
-    """Engine hours at the start and end of shifts, counted back from the machine's total."""
+h as (select *, (epoch_us(stop) - epoch_us(start_time)) / 3.6e9 as hours from c), t as (select *, 1000 + user_id - sum(hours) over (partition by user_id order by start_time desc rows unbounded preceding) as eh_start from h)"""
+
+
+def _shifts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shifts from signups, machines by user, and a log in which errors are failures and purchases services."""
     df = events(spark, sf_dir, "event_id", "user_id", "event_type").withColumn("machine_id", F.col("user_id"))
     end = F.least(F.col("ts") + F.expr("interval 2 days"), F.coalesce(F.lead("ts").over(W.by("user_id")), F.lit("9999-01-01").cast("timestamp")))
     shifts = df.where("event_type = 'signup'").select(F.col("event_id").alias("shift_id"), "machine_id", F.col("ts").alias("start_time"), end.alias("end_time"))
-    log = df.where("event_type = 'error'").select("machine_id", F.lit("failure").alias("event_type"), F.col("ts").alias("event_date"), F.lit("engine").alias("component"), F.lit(0.0).alias("engine_hours_at_event"))
-    machines = df.select("machine_id").distinct().withColumn("total_engine_hours", 1000.0 + F.col("machine_id"))
-    return maintenance.shift_engine_hours(shifts, machines, log).select("shift_id", "eh_start", "eh_end")
+    kind = F.when(F.col("event_type") == "error", "failure").otherwise("scheduled_service")
+    log = df.where("event_type in ('error', 'purchase')").select("machine_id", kind.alias("event_type"), F.col("ts").alias("event_date"), F.lit("engine").alias("component"), (900.0 + F.col("event_id") % 100).alias("engine_hours_at_event"))
+    machines = df.select("machine_id").distinct().select("machine_id", (1000.0 + F.col("machine_id")).alias("total_engine_hours"), (100.0 + F.col("machine_id") % 3 * 50).alias("service_interval_hours"))
+    return shifts, machines, log
+
+
+@query(_SHIFTS + """
+select shift_id, eh_start, eh_start + hours as eh_end from t""")
+def shift_hours(spark, sf_dir):
+    """Engine hours at the start and end of shifts, counted back from the machine's total."""
+    return maintenance.shift_engine_hours(*_shifts(spark, sf_dir)).select("shift_id", "eh_start", "eh_end")
+
+
+@query(_SHIFTS + """,
+v as (select user_id, ts as at, event_id from events where event_type = 'purchase')
+select shift_id, case when v.event_id is not null then least(greatest(1 - 0.2::double * greatest(eh_start - (900 + v.event_id % 100), 0) / (100 + t.user_id % 3 * 50), 0.3), 1) end as health_score from t asof left join v on t.user_id = v.user_id and t.start_time >= v.at""")
+def shift_start_health(spark, sf_dir):
+    """A machine's health at the start of each shift, by the engine hours since its last service; none without a service."""
+    return task_time.shift_health(*_shifts(spark, sf_dir))
 
 
 @query(f"""with {NUMBERED}, h as (select *, n + pauses as bin, n + pauses + 0.5::double as eh, 30 + n % 31 as n_min, case when n % 9 <> 0 then 88 + 9 * sin(n / 7.0::double + user_id) end as x from nb),
