@@ -177,19 +177,24 @@ def _search(pairs: DataFrame, k: int, phase: int) -> DataFrame:
     return pairs.mapInArrow(run, ENTRY)
 
 
+def _met(blocks: DataFrame, candidates: DataFrame, numbers: int, *columns: str) -> DataFrame:
+    """Each query block with each candidate block, from a shuffle: the copies of the query blocks outgrow any estimate of their size, so none are broadcast."""
+    spread = blocks.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(max(1, numbers) - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), *columns)
+    return spread.hint("merge").join(candidates, "block")
+
+
 @scratched
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of `vectors` (vec_id, embedding) for each row of `queries`."""
     asked = usable(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     (candidates, numbers), (blocks, _) = _blocks(usable(vectors), CANDIDATE_BLOCK, "candidates"), _blocks(asked, QUERY_BLOCK, "queries")
-    spread = blocks.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(max(1, numbers) - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    first = _search(spread.join(candidates, "block"), k, 1)
+    first = _search(_met(blocks, candidates, numbers), k, 1)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id")
     cutoff = cut(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff")), "cutoff")
     # the cutoffs in the order of a block's ids; a query with fewer than k candidates has none
-    each = blocks.select("block", F.posexplode("ids").alias("pos", "query_id")).join(cutoff, "query_id", "left")
+    each = blocks.select("block", F.posexplode("ids").alias("pos", "query_id")).join(cutoff.hint("merge"), "query_id", "left")
     told = each.groupBy("block").agg(F.expr("transform(array_sort(collect_list(struct(pos, cutoff))), x -> x.cutoff)").alias("cutoff"))
-    second = _search(spread.join(told.withColumnRenamed("block", "q_block"), "q_block").join(candidates, "block"), k, 2)
+    second = _search(_met(blocks.join(told.hint("merge"), "block"), candidates, numbers, "cutoff"), k, 2)
     ranked = second.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     out = cut(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "ranked")
     keep(out)

@@ -72,3 +72,11 @@ def test_the_cutoff_spares_work():
     for i in range(40):
         assert sorted(column[got][row[got] == i]) == sorted(np.lexsort((ids, -whole[i]))[:5])
     assert first <= 40 * 5 * t.PARTS and second < 0.15 * whole.size
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    """They are queries x candidate blocks, which no estimate of a table's size shows."""
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(300)]
+    (candidates, numbers), (blocks, _) = (t._blocks(t.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), n, "blocks") for n in (16, 8))
+    plan = t._met(blocks, candidates, numbers)._jdf.queryExecution().executedPlan().toString()
+    assert numbers > 1 and "SortMergeJoin" in plan and "Broadcast" not in plan
