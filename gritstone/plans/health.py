@@ -40,9 +40,10 @@ def anomaly_penalties(anomalies: DataFrame) -> DataFrame:
     return each.select("machine_id", F.explode(subsystems).alias("subsystem"), F.least(ANOMALY_WEIGHT * F.col("anomaly_score"), F.lit(1.0)).alias("penalty")).where("penalty > 0")
 
 
-def prediction_penalties(predictions: DataFrame) -> DataFrame:
-    """The failure probability counts for the likely component."""
-    return predictions.where(F.col("likely_component").isin(*SUBSYSTEMS)).select("machine_id", F.col("likely_component").alias("subsystem"), F.least(F.greatest("failure_probability", F.lit(0.0)), F.lit(1.0)).alias("penalty")).where("penalty > 0")
+def prediction_penalties(predictions: DataFrame, capped: bool = True) -> DataFrame:
+    """The failure probability counts for the likely component, 1 at most if it is capped."""
+    p = F.col("failure_probability").cast("double")
+    return predictions.where(F.col("likely_component").isin(*SUBSYSTEMS)).select("machine_id", F.col("likely_component").alias("subsystem"), (F.least(p, F.lit(1.0)) if capped else p).alias("penalty")).where("penalty > 0")
 
 
 def health(machines: DataFrame, *penalties: DataFrame) -> DataFrame:

@@ -112,3 +112,19 @@ def test_merge_and_text(spark):
     chunks = text.chunks(long, "id", "body").collect()
     assert all(len(r.content) <= 2400 for r in chunks) and "p5" in chunks[-1].content
     assert vectors.match_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "k int, v array<float>"), "k", "v", [1.0, 0.1], 4, 0.3).orderBy("k").collect()[0].k == 1
+
+
+def test_health_query_keeps_values_beyond_one(spark, tmp_path):
+    """As in its SQL: a purchase of 560 is a probability of 1.12 and a score of -0.12; the operator caps unless told otherwise."""
+    import duckdb
+
+    from gritstone.plans.catalog import ORACLE, QUERIES
+
+    rows = [(0, at(0), 1, "purchase", 560.2), (1, at(1), 1, "purchase", 250.0), (8, at(1), 2, "purchase", 501.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["health_scores"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLE['health_scores']})").fetchall())
+    predictions = spark.createDataFrame([("M", 1.5, "engine")], "machine_id string, failure_probability double, likely_component string")
+    assert health.prediction_penalties(predictions).first().penalty == 1.0
