@@ -5,7 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,20 +171,96 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, untitled: Column) -> D
 CODE_BONUS, LEAST_SCORE = 5, 2
 
 
+#: Questions of a group, characters of its questions' or answers' texts, answers of a group, and matches that a step of a task adds up at once.
+QUESTIONS, CHARS, ANSWERS, STEP = 4096, 4 << 20, 256, 1 << 21
+
+
+def _groups(df: DataFrame, text: str, most: int) -> int:
+    rows, chars = df.agg(F.count(F.lit(1)), F.sum(F.length(text))).first()
+    return max(1, -(-rows // most), -(-(chars or 0) // CHARS))
+
+
+def _places(lists: pa.ChunkedArray, rows: np.ndarray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and place in a vocabulary of each token of the lists that is in it."""
+    flat = lists.combine_chunks()
+    at = pc.index_in(flat.flatten(), value_set=vocabulary)
+    known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    return rows[flat.value_parent_indices().to_numpy()][known], at.drop_null().to_numpy()
+
+
+def _numbered(ids: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct ids in rising order, NULL last, and each row's place among them."""
+    found = pc.unique(ids)
+    found = found.take(pc.array_sort_indices(found))
+    return found, pc.index_in(ids, value_set=found, skip_nulls=False).to_numpy()
+
+
+def _matches(q: pa.Table, a: pa.Table, tokens: str, q_at: np.ndarray, a_at: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many times answers hold tokens that each question has, repeats in the answer included."""
+    vocabulary = pc.unique(a[tokens].combine_chunks().flatten())
+    item, token = _places(a[tokens], a_at, vocabulary)
+    order = np.argsort(token, kind="stable")
+    item, begins = item[order], np.searchsorted(token[order], np.arange(len(vocabulary) + 1))
+    question, token = _places(q[tokens], q_at, vocabulary)
+    size = np.diff(begins)[token]
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    start = 0
+    while start < len(token):
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + STEP, side="right")) - 1)
+        n = size[start:end]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = np.repeat(question[start:end] * shape[1], n) + item[np.repeat(begins[token[start:end]], n) + inner]
+        lowest, span = int(cell.min(initial=0)), int(cell.max(initial=0)) + 1
+        out[lowest:span] += np.bincount(cell - lowest, minlength=span - lowest)[: span - lowest]
+        start = end
+    return out.reshape(shape)
+
+
+def best_matches(questions: DataFrame, answers: DataFrame, q_id: str, a_id: str, text: str, q_words: Column, a_words: Column, q_codes: Column, a_codes: Column, least: int) -> DataFrame:
+    """_q, _a, score: for each question's id the best answer that reaches the least score, of equals the smallest id; both frames have a column `text`.
+
+    Questions lie in groups by their id, answers in groups by theirs, and each group of questions meets each group of answers in one task, where matches
+    are counted in arrays of a size that the tables don't change. Pairs of words are never rows, so common words cost no shuffle. Rows of one id count as one
+    question or answer with the words of all.
+    """
+    q_groups, a_groups = _groups(questions, text, QUESTIONS), _groups(answers, text, ANSWERS)
+    dealt = lambda k, n: F.pmod(F.xxhash64(k), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = questions.select(dealt(q_id, q_groups).alias("_g"), F.col(q_id).alias("_q"), q_words.alias("words"), q_codes.alias("codes")).select("*", every(a_groups).alias("_h"))
+    a = answers.select(dealt(a_id, a_groups).alias("_h"), F.col(a_id).alias("_a"), a_words.alias("words"), a_codes.alias("codes")).select("*", every(q_groups).alias("_g"))
+    kinds = f"_q {questions.schema[q_id].dataType.simpleString()}, _a {answers.schema[a_id].dataType.simpleString()}, score long"
+
+    def best(q: pa.Table, a: pa.Table) -> pa.Table:
+        (q_ids, q_at), (a_ids, a_at) = _numbered(q["_q"]), _numbered(a["_a"])
+        shape = (len(q_ids), len(a_ids))
+        score = _matches(q, a, "words", q_at, a_at, shape)
+        same = _matches(q, a, "codes", q_at, a_at, shape) > 0
+        asks, has = np.zeros(shape[0], bool), np.zeros(shape[1], bool)
+        for marks, at, t in ((asks, q_at, q), (has, a_at, a)):
+            marks[at[pc.greater(pc.list_value_length(t["codes"]), 0).to_numpy()]] = True
+        score += CODE_BONUS * np.where(same, 1, -(asks[:, None] & has[None, :]).astype(np.int64))
+        if not score.size:
+            score = np.full((shape[0], 1), least - 1)
+        top = score.argmax(axis=1)  # of equals the first, which has the smallest id
+        rows = np.flatnonzero(score[np.arange(shape[0]), top] >= least)
+        return pa.table({"_q": q_ids.take(rows), "_a": a_ids.take(top[rows]), "score": pa.array(score[rows, top[rows]], pa.int64())})
+
+    found = q.groupBy("_g", "_h").cogroup(a.groupBy("_g", "_h")).applyInArrow(best, kinds)
+    return found.groupBy("_q").agg(F.min_by("_a", F.struct(-F.col("score"), F.col("_a").isNull(), "_a")).alias("_a"), F.max("score").alias("score"))
+
+
 def best_answers(questions: DataFrame, answers: DataFrame, q_id: str, q_text: str, a_id: str, a_text: str) -> DataFrame:
     """Each question's id with the id and score of its best answer, both NULL if none reaches the least score; of equals the smallest id.
 
     A score is the number of words of the answer, repeats included, that the question has too: words of three or more letters a to z, digits or
-    Devanagari signs. If the question names fault codes (E-123), an answer with one of them gains, one with others alone loses. One join on
-    words and codes; NULL and empty texts have none of either.
+    Devanagari signs. If the question names fault codes (E-123), an answer with one of them gains, one with others alone loses. NULL and
+    empty texts have no words or codes.
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9ऀ-ॿ\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
     codes = lambda c: F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(r"(E-\d{3})"), 1))
     asked, given = F.coalesce(F.col(q_text), F.lit("")), F.coalesce(F.col(a_text), F.lit(""))
-    told = lambda found, of: F.explode(F.concat(F.transform(found, lambda w: F.struct(w.alias("token"), F.lit(False).alias("code"))), F.transform(of, lambda c: F.struct(c.alias("token"), F.lit(True).alias("code")))))
-    q = questions.select(F.col(q_id).alias("_q"), (F.size(codes(asked)) > 0).alias("_asks"), told(F.array_distinct(words(asked)), codes(asked)).alias("_t")).select("_q", "_asks", "_t.*")
-    a = answers.select(F.col(a_id).alias("_a"), (F.size(codes(given)) > 0).alias("_has"), told(words(given), codes(given)).alias("_t")).groupBy("_a", "_has", "_t.token", "_t.code").agg(F.count(F.lit(1)).alias("_k"))
-    met = q.join(a, ["token", "code"]).groupBy("_q", "_asks", "_a", "_has").agg(F.sum(F.when(~F.col("code"), F.col("_k")).otherwise(0)).alias("_n"), F.max("code").alias("_same"))
-    score = F.col("_n") + F.when(F.col("_same"), CODE_BONUS).when(F.col("_asks") & F.col("_has"), -CODE_BONUS).otherwise(0)
-    best = met.select("_q", "_a", score.alias("score")).where(F.col("score") >= LEAST_SCORE).groupBy("_q").agg(F.min_by("_a", F.struct(-F.col("score"), "_a")).alias("_a"), F.max("score").alias("score"))
+    q, a = questions.select(F.col(q_id), asked.alias("_text")), answers.select(F.col(a_id), given.alias("_text"))
+    text = F.col("_text")
+    best = best_matches(q, a, q_id, a_id, "_text", F.array_distinct(words(text)), words(text), codes(text), codes(text), LEAST_SCORE)
     return questions.select(F.col(q_id).alias("_q")).join(best, "_q", "left").select(F.col("_q").alias(q_id), F.col("_a").alias(a_id), F.col("score").cast("long").alias("score"))

@@ -107,11 +107,10 @@ o as (select doc_id, item_id, count(*) as overlap from d join b using (w) group
 select doc_id, item_id, overlap from o qualify row_number() over (partition by doc_id order by overlap desc, item_id) = 1""")
 def word_overlap(spark, sf_dir):
     """The benchmark item that shares most words with each document."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(text.words(F.col("text"))).alias("w"))
-    b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.explode(text.words(F.col("text"))).alias("w"))
-    shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"))
-    best = F.max(F.struct("overlap", (-F.col("item_id")).alias("first")))
-    return shared.groupBy("doc_id").agg(best.alias("b")).select("doc_id", (-F.col("b.first")).alias("item_id"), F.col("b.overlap").alias("overlap"))
+    d, b, none = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), F.array().cast("array<string>")
+    words = F.coalesce(text.words(F.col("text")), none)
+    best = text.best_matches(d, b, "doc_id", "item_id", "text", words, words, none, none, 1)
+    return best.select(F.col("_q").alias("doc_id"), F.col("_a").alias("item_id"), F.col("score").alias("overlap"))
 
 
 @query(r"""select doc_id, trim(regexp_replace(regexp_replace(replace(lower(text || ' E 365, e-1234 and E110!'), 'ß', 'ss'), '\be\s*-?\s*(\d{3})\b', 'e-\1', 'g'), '[^\p{L}\p{M}\p{N}-]+', ' ', 'g')) as key from documents""")
