@@ -39,7 +39,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
         each = both.groupBy(by, "_chunk").agg(nearest.alias("_last"))
         c = Window.partitionBy(by).orderBy(F.col("_chunk").desc() if ahead else F.col("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
         carried = each.select(by, "_chunk", F.last("_last", ignorenulls=True).over(c).alias("_carried"))
-        found = inside.join(carried, [by, "_chunk"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
+        # a row a key and stretch, which grow with the rows: never broadcast
+        found = inside.join(carried.hint("merge"), [by, "_chunk"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return found.select(*kept, *(F.col("_found")[c].alias(c) for c in columns))
 
 

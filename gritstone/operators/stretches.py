@@ -42,7 +42,7 @@ class Stretches:
         earlier = Window.partitionBy(*self.keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
         carried = each.select(*self.keys, "_stretch", *(_carry(kind, n).over(earlier).alias(f"_from_{n}") for kind, of in seen.items() for n in of))
         same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in self.keys] + [F.col("a._stretch").eqNullSafe(F.col("b._stretch"))]
-        both = inside.alias("a").join(carried.alias("b"), same).select("a.*", *(f"b._from_{n}" for n in named))
+        both = inside.alias("a").join(carried.alias("b").hint("merge"), same).select("a.*", *(f"b._from_{n}" for n in named))
         out = both.withColumns({n: _together(kind, n) for kind, of in seen.items() for n in of})
         return out.drop("_stretch", *inputs.values(), *(f"_from_{n}" for n in named))
 
@@ -71,19 +71,20 @@ def reached(nodes: DataFrame, key: str, at: str, then: str, begins: str) -> Data
     """key and `at` of all nodes that are reached from those where `begins` holds, by going from `at` to `then` again and again.
 
     Pointer doubling: after round n the jumps are 2**n steps long and all nodes fewer steps away are found, so a chain of a
-    million steps takes twenty rounds. A key's chain lies in any number of tasks; each round is a table in the shared folder.
+    million steps takes twenty rounds. A key's chain lies in any number of tasks; each round is a table in the shared folder. The joins are told to sort:
+    the files are so small for their rows that Spark would send a table to every executor, by way of the driver, in each round.
     """
     jumps = written_once(nodes.where(F.col(then).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("a"), F.col(then).alias("b")), "jumps")
     found = written_once(nodes.where(begins).select(F.col(key).alias("k"), F.col(at).alias("a")).distinct(), "reached")
     count = found.count()
     while True:
-        more = written_once(found.unionByName(found.join(jumps, ["k", "a"]).select("k", F.col("b").alias("a"))).distinct(), "reached")
+        more = written_once(found.unionByName(found.join(jumps.hint("merge"), ["k", "a"]).select("k", F.col("b").alias("a"))).distinct(), "reached")
         remove(found)
         found, old, count = more, count, more.count()
         if count == old:
             remove(jumps)
             return found.select(F.col("k").alias(key), F.col("a").alias(at))
-        longer = written_once(jumps.join(jumps.select("k", F.col("a").alias("b"), F.col("b").alias("c")), ["k", "b"]).select("k", "a", F.col("c").alias("b")), "jumps")
+        longer = written_once(jumps.join(jumps.select("k", F.col("a").alias("b"), F.col("b").alias("c")).hint("merge"), ["k", "b"]).select("k", "a", F.col("c").alias("b")), "jumps")
         remove(jumps)
         jumps = longer
 
@@ -102,8 +103,8 @@ def spaced(df: DataFrame, key: str, sure: str, may: str, seconds: float, name: s
     to_sure = asof.asof_join(nodes, later("_sure", "_s"), "_key", "_ts", "_s", ["_s"], "forward", exact=False, chunk=chunk)
     to_may = asof.asof_join(to_sure, later("_may", "_m"), "_key", "_then", "_m", ["_m"], "forward", chunk=chunk)
     first = nodes.groupBy("_key").agg(F.min("us").alias("_first"))
-    linked = to_may.join(first, "_key").select("_key", "us", F.unix_micros(F.least("_s", "_m")).alias("_next"), (F.col("_sure") | (F.col("us") == F.col("_first"))).alias("_begins"))
-    hit = reached(linked, "_key", "us", "_next", "_begins").join(nodes.select("_key", "us", "_sure"), ["_key", "us"])
+    linked = to_may.join(first.hint("merge"), "_key").select("_key", "us", F.unix_micros(F.least("_s", "_m")).alias("_next"), (F.col("_sure") | (F.col("us") == F.col("_first"))).alias("_begins"))
+    hit = reached(linked, "_key", "us", "_next", "_begins").join(nodes.select("_key", "us", "_sure").hint("merge"), ["_key", "us"])
     at = hit.select(F.col("_key").alias(key), "us", F.col("_sure").alias("_hit_sure"))
     told = F.when(F.col("_hit_sure").isNull(), False).otherwise(yes | (perhaps & ~F.col("_hit_sure")))
-    return df.join(at, [key, "us"], "left").select(*df.columns, told.alias(name))
+    return df.join(at.hint("merge"), [key, "us"], "left").select(*df.columns, told.alias(name))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gritstone.operators import stretches as S
 from gritstone.operators.stretches import Stretches, reached, spaced
 
 
@@ -50,3 +51,20 @@ def test_long_chains_take_few_rounds(spark):
     n = 3000
     nodes = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("at"), F.when(F.col("id") + 2 < n, F.col("id") + 2).alias("then"), (F.col("id") == 0).alias("begins"))
     assert sorted(r.at for r in reached(nodes, "k", "at", "then", "begins").collect()) == list(range(0, n, 2))
+
+
+def test_spaced_rows_are_never_broadcast(spark, monkeypatch):
+    """Small files hold many rows, and a broadcast of them passes the driver in each round."""
+    plans, write = [], S.written_once
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(S, "written_once", seen)
+    monkeypatch.setattr(S.asof, "written_once", seen)
+    rows = [(k, i * 1_000_000, i % 40 == 0, i % 3 == 0) for k in range(4) for i in range(200)]
+    out = S.spaced(spark.createDataFrame(rows, "k long, us long, sure boolean, may boolean"), "k", "sure", "may", 5, "post")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+    assert out.where("post").count() > 100
