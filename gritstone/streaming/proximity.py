@@ -116,6 +116,8 @@ def fatigue_alerts(df: DataFrame, key: str) -> DataFrame:
 
 #: Share of the open-eye mean that is the threshold, least share of the median of an open eye, plausible thresholds, the threshold otherwise.
 EYE_FACTOR, OPEN_SHARE, EYE_RANGE, EYE_DEFAULT = 0.75, 0.8, (0.12, 0.30), 0.22
+#: Rows of a task, about: whole keys lie in as many tasks as that takes.
+EYE_ROWS = 250_000
 
 
 def eye_threshold(df: DataFrame, key: str, value: str, seconds: float = 30, least: int = 60) -> DataFrame:
@@ -126,6 +128,7 @@ def eye_threshold(df: DataFrame, key: str, value: str, seconds: float = 30, leas
     time take no part, NULL and NaN values aren't counted.
     """
     rows = df.where(F.col(key).isNotNull() & F.col("us").isNotNull()).select(key, "us", F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_x"))
+    rows = rows.repartition(max(1, -(-rows.count() // EYE_ROWS)), key)
     first = rows.groupBy(key).agg(F.min("us").alias("_first"))
     since = rows.join(first, key)
     end = since.where(F.col("us") - F.col("_first") >= round(seconds * 1e6)).groupBy(key).agg(F.min("us").alias("_end"))

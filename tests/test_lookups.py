@@ -40,3 +40,12 @@ def test_answers_in_many_groups(spark, monkeypatch):
     rows = got.collect()
     assert len(rows) == len(q) and {r.id: (r.a, r.score) for r in rows if r.id is not None} == want
     assert all(r.a is None for r in rows if r.id is None)
+
+
+def test_calibration_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    """A task's memory doesn't grow with the table."""
+    monkeypatch.setattr(proximity, "EYE_ROWS", 50)
+    df = spark.createDataFrame([(k, i * 1_000_000, 0.3) for k in range(40) for i in range(40)], "k long, us long, x double")
+    got = proximity.eye_threshold(df, "k", "x", 30, 20)
+    assert "hashpartitioning(k" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 32), REPARTITION_BY_NUM" in plan
+    assert {(r.done, r.n, round(r.threshold, 6), r.fallback) for r in got.collect()} == {(True, 31, 0.225, False)}
