@@ -21,6 +21,7 @@ def numbered(spark, sf_dir, *columns: str) -> DataFrame:
     w = W.by("user_id")
     before = w.rowsBetween(W.Window.unboundedPreceding, -1)
     df = events(spark, sf_dir, *dict.fromkeys(["user_id", "event_type", *columns]))
+    df = rules.dealt(df, ["user_id"], df.count())
     return df.select("*", F.concat(F.lit("m"), F.col("user_id")).alias("machine_id"), F.row_number().over(w).alias("n"), F.coalesce(F.count_if(F.col("event_type") == "purchase").over(before), F.lit(0)).alias("pauses"))
 
 

@@ -147,6 +147,8 @@ def _looked_back(df: DataFrame, chunk: float | None) -> DataFrame:
         goes_on = _false((before["us"] >= F.col("us") - round(GAP_S * 1e6)) & before["_idle"])
         return rows.withColumns({"_recent": F.avg(pressure).over(m(2)), "_before": F.avg(pressure).over(earlier), "_loaded": (F.min(F.coalesce("engine_load_pct", F.lit(0.0))).over(m(6)) > 40) & covered, "_still": F.avg("ground_speed_kmh").over(m(3)) < 2, "_starts": F.col("_idle") & ~goes_on})
 
+    if chunk is None and not df.isStreaming:
+        df = dealt(df, ["machine_id"], df.count())
     df = minutes(df, ["machine_id"]) if chunk is None else W.chunked(df, "machine_id", LOOK_S, chunk, minutes)
     df = Stretches(("machine_id",), chunk).scan(df, last={"_since": F.when(F.col("_starts"), F.col("us"))})
     run = Stretches(("machine_id", "_since"), chunk).scan(df, total={"_rpm_sum": F.when(F.col("_idle"), F.col("engine_rpm")), "_rpm_n": F.col("_idle").cast("int")})
@@ -217,12 +219,23 @@ def alerts(found: DataFrame, chunk: float | None = None) -> DataFrame:
     from its time on, if the alert has opened before it.
     """
     acked = F.array_contains("levels", ACK)
-    rows = _episodes(_active(_latched(found.where(~acked), chunk), chunk), chunk)
+    found = written_once(found, "readings")  # read for its count, for drops, for other rules and for acknowledgements
+    n = found.count()
+    rows = _episodes(_active(_latched(found.where(~acked), chunk, n), chunk, n), chunk)
     rows = rows if chunk is None else written_once(rows, "episodes")
     return _told(_staged(rows, found.where(acked).select(*KEY, F.col("us").alias("ack_us")), chunk))
 
 
-def _latched(found: DataFrame, chunk: float | None) -> DataFrame:
+#: Rows of a task, about: whole keys lie in as many tasks as that takes.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Whole keys over as many tasks as `rows` rows take, so that a task's share doesn't grow with the table."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *keys)
+
+
+def _latched(found: DataFrame, chunk: float | None, n: int) -> DataFrame:
     """Levels and clear of a pressure drop follow the pressure before it, which is kept until the pressure is back."""
     drop, place = F.col("rule") == "HYD_PRESSURE_DROP", ["machine_id", "_stretch"]
     size, columns = round(chunk * 1e6) if chunk else 1 << 62, found.columns
@@ -245,7 +258,7 @@ def _latched(found: DataFrame, chunk: float | None) -> DataFrame:
                 out.append((levels, clear))
             yield b.assign(levels=[x for x, _ in out], clear=[x for _, x in out])[columns]
 
-    kept = rows.repartition(*place).sortWithinPartitions(*place, "us").mapInPandas(run, found.schema)
+    kept = dealt(rows, place, n).sortWithinPartitions(*place, "us").mapInPandas(run, found.schema)
     return found.where(~drop).unionByName(kept)
 
 
@@ -327,14 +340,14 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str]
         yield key, rows
 
 
-def _active(found: DataFrame, chunk: float | None) -> DataFrame:
+def _active(found: DataFrame, chunk: float | None, n: int) -> DataFrame:
     """Rows that an alert acts on, with sign: active (rank: the highest level that has held long enough) or calm (the clear band has held so).
 
     crit_step: seconds since the row before, if both are critical and no gap is between them.
     """
 
     def compute(df: DataFrame, keys: list[str]) -> DataFrame:
-        w = W.by(keys)
+        df, w = dealt(df, keys, n), W.by(keys)
         begins = w.rowsBetween(W.Window.unboundedPreceding, 0)
         age = lambda on, was: F.when(on, (F.col("us") - F.last(F.when(on & ~(F.col("step").isNotNull() & _false(was)), F.col("us")), True).over(begins)) / 1e6)
         df = df.withColumn("_p", F.lag(F.struct("us", "levels")).over(w))

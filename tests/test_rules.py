@@ -187,3 +187,16 @@ def test_acknowledgement_at_the_opening_counts_nowhere(spark, tmp_path):
     q = rules.alerts_stream(stream).writeStream.format("memory").queryName("acked_at_open").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("acked_at_open").collect()} == table
+
+
+def test_more_rows_take_more_tasks(spark, monkeypatch):
+    """A task's share of readings doesn't grow with the table, and the alerts are the same."""
+    hot = lambda m: {"coolant_temp_c": 110.0 if m % 20 < 9 else 88.0, "hydraulic_pressure_bar": 120.0 if m % 30 > 20 else 240.0}
+    df = frame(spark, hot, minutes=90).withColumn("machine_id", F.explode(F.array(*(F.lit(f"M{i:02}") for i in range(8)))))
+    few = sorted(map(tuple, rules.alerts(rules.readings(df)).collect()))
+    assert few
+    monkeypatch.setattr(rules, "TASK_ROWS", 100)
+    read, found = rules.readings(df), rules.alerts(rules.readings(df))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (read, found)]
+    assert ", 8), REPARTITION_BY_NUM" in plans[0] and ", 72), REPARTITION_BY_NUM" in plans[1]  # 8 machines of 90 minutes, ten rules
+    assert sorted(map(tuple, found.collect())) == few
